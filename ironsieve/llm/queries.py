@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ironsieve.llm.embedding_dedup import near_duplicate_vectors
+from ironsieve.llm.jaccard_join import jaccard_components
 from ironsieve.llm.mixing import mix_sources
 from ironsieve.llm.url_filter import filter_urls
 from ironsieve.session import read_table
@@ -34,8 +35,12 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read_table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_url_filter, op3_source_mixing)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_url_filter, op3_source_mixing, op9_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
