@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ironsieve.llm.decontamination import leaked_items
 from ironsieve.llm.embedding_dedup import near_duplicate_vectors
 from ironsieve.llm.jaccard_join import jaccard_components
 from ironsieve.llm.mixing import mix_sources
@@ -35,12 +36,16 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_url_filter, op3_source_mixing, op9_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_url_filter, op3_source_mixing, op4_decontamination, op9_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
