@@ -11,6 +11,7 @@ from ironsieve.llm.decontamination import leaked_items
 from ironsieve.llm.embedding_dedup import near_duplicate_vectors
 from ironsieve.llm.jaccard_join import jaccard_components
 from ironsieve.llm.mixing import mix_sources
+from ironsieve.llm.quality import quality_scores, train_on_folds
 from ironsieve.llm.url_filter import filter_urls
 from ironsieve.session import read_table
 
@@ -40,12 +41,17 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality_scores(docs, train_on_folds(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_url_filter, op3_source_mixing, op4_decontamination, op9_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_url_filter, op3_source_mixing, op4_decontamination, op5_quality, op9_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
