@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ironsieve.llm.decontamination import leaked_items
 from ironsieve.llm.embedding_dedup import near_duplicate_vectors
 from ironsieve.llm.jaccard_join import jaccard_components
+from ironsieve.llm import language_id
 from ironsieve.llm.mixing import mix_sources
 from ironsieve.llm.quality import quality_scores, train_on_folds
 from ironsieve.llm.url_filter import filter_urls
@@ -46,12 +47,17 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, train_on_folds(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return language_id.predict_languages(docs, language_id.train_on_folds(docs))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_url_filter, op3_source_mixing, op4_decontamination, op5_quality, op9_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_url_filter, op3_source_mixing, op4_decontamination, op5_quality, op6_language_id, op9_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
