@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from ironsieve.llm import language_id
 from ironsieve.llm.mixing import mix_sources
 from ironsieve.llm.quality import quality_scores, train_on_folds
 from ironsieve.llm.url_filter import filter_urls
-from ironsieve.session import read_table
+from ironsieve.llm.warc import read_archives, write_archives
+from ironsieve.session import ensure_checkpoint_dir, read_table
 
 URL_RULES = (
     ("allow", "com", "/"),
@@ -52,12 +54,19 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_languages(docs, language_id.train_on_folds(docs))
 
 
+def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    index = write_archives(read_table(spark, sf_dir, "pages"), folder)
+    back = read_archives(index, folder)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "sound")
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_url_filter, op3_source_mixing, op4_decontamination, op5_quality, op6_language_id, op9_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_url_filter, op3_source_mixing, op4_decontamination, op5_quality, op6_language_id, op7_warc_bundles, op9_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
