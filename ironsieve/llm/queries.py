@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ironsieve.llm.decontamination import leaked_items
 from ironsieve.llm.embedding_dedup import near_duplicate_vectors
+from ironsieve.llm.html_extract import extract_main_text
 from ironsieve.llm.jaccard_join import jaccard_components
 from ironsieve.llm import language_id
 from ironsieve.llm.mixing import mix_sources
@@ -61,12 +62,16 @@ def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "sound")
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_url_filter, op3_source_mixing, op4_decontamination, op5_quality, op6_language_id, op7_warc_bundles, op9_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_url_filter, op3_source_mixing, op4_decontamination, op5_quality, op6_language_id, op7_warc_bundles, op8_html_extraction, op9_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
