@@ -1,19 +1,21 @@
 """N-gram Jaccard self-join with signature trees.
 
-1. A count sketch over all shingles of all documents puts every shingle into a class of how common it is.
-2. Each document lists its shingles from rare to common. Two similar documents share one of the first few (the prefix
-   filter), so equal prefix shingles give groups outside of which there is no link. Groups are combined before the
-   shuffle: a task joins the documents of a shingle and of nearly one size to their smallest one, and sends one row for
-   each such group, so a shingle that a third of all documents hold is no hot key.
-3. Documents with equal sets are one class; of each class only the smallest id goes on.
-4. The classes of a group meet in one task, where signature trees find its links (see signature_tree). A group beyond
+1. Every document's shingles are split by hash range into so many parts that two similar documents, which differ in
+   few shingles, have at least one equal part (pigeonhole over the size of the symmetric difference). The number of
+   parts goes by classes of size; a document near the upper end of its class is in the next class's scheme, too. Parts
+   of fewer than two shingles say little and are left out where the others suffice by the same count. Equal parts give
+   groups outside of which there is no link. A part holds several shingles, so a passage or phrase that many documents
+   share joins nothing by itself. Groups are combined before the shuffle: a task joins the documents of an equal part
+   to their smallest one and sends one row for the group, so a group with a third of all documents is no hot key.
+2. Documents with equal sets are one class; of each class only the smallest id goes on.
+3. The classes of a group meet in one task, where signature trees find its links (see signature_tree). A group beyond
    the block size is dealt over blocks within bands of similar size; every pair of blocks that can hold links is a task.
    Tasks return edges that span the components, not all pairs.
-5. Connected components over these edges.
+4. Connected components over these edges.
 
-The sketch only orders; links are decided on the whole sets, so none is lost or added at any size (shingles are
-64-bit hashes). Nulls: a null text or one without words has an empty set and links with nothing; a null id gets no
-component and links with nothing. Rows that repeat an id are one vertex. An empty table gives no rows.
+Links are decided on the whole sets, so none is lost or added at any size (shingles are 64-bit hashes). Nulls: a null
+text or one without words has an empty set and links with nothing; a null id gets no component and links with nothing.
+Rows that repeat an id are one vertex. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,16 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ironsieve.llm.signature_tree import linked_pairs, prefix_length
+from ironsieve.llm.signature_tree import linked_pairs
 from ironsieve.llm.textvec import mix, row_words, shingles
 from ironsieve.operators.components import connected_components
 from ironsieve.session import cut
 
-SKETCH = 18
+#: A class of sizes ends at so many times its start.
+CLASS = 1.6
 #: Shingles and documents of a block at most, about.
 BLOCK_SHINGLES, BLOCK_DOCS = 1 << 20, 4096
-#: Up to so many document numbers may be broadcast to pick texts.
-BROADCAST_IDS = 400_000
+#: Up to so many rows that say where a document goes may be broadcast to its text.
+BROADCAST_IDS = 200_000
 _PORTION = 1 << 22
 
 
@@ -52,6 +55,12 @@ def portions(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
         yield at, texts[at:]
 
 
+def flat_sets(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and elements, joined, of the sets of all texts."""
+    sets = shingle_sets(texts, k)
+    return np.array([len(x) for x in sets], np.int64), np.concatenate([*sets, np.empty(0, np.uint64)])
+
+
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of every text."""
     h, at = row_words(texts)
@@ -59,42 +68,6 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     return [np.unique(s[to[i] : to[i + 1]]) for i in range(len(texts))]
 
 
-def _sketch(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(1 << SKETCH, np.int64)
-        for b in batches:
-            for _, texts in portions(b.column(0).to_pylist()):
-                s, _ = shingles(*row_words(texts), k)
-                count += np.bincount((s >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH)
-        part = np.split(count, 16)
-        yield pa.RecordBatch.from_pydict({"part": pa.array(range(16), pa.int32()), "counts": [x.tobytes() for x in part]})
-
-    return run
-
-
-def _sum(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), np.int64) for x in table["counts"])
-    return pa.table({"part": table["part"].slice(0, 1), "counts": [total.tobytes()]})
-
-
-def common_classes(docs: DataFrame, k: int) -> np.ndarray:
-    """A class for each value of a hash's upper bits: 0 as rare as most, higher the more common. Bounded: 2^18 bytes."""
-    parts = (
-        docs.select("text")
-        .mapInArrow(_sketch(k), "part int, counts binary")
-        .groupBy("part")
-        .applyInArrow(_sum, "part int, counts binary")
-        .orderBy("part")
-        .collect()
-    )
-    if not parts:
-        return np.zeros(1 << SKETCH, np.uint8)
-    count = np.concatenate([np.frombuffer(r.counts, np.int64) for r in parts])
-    mean = count.mean()
-    over = count - mean
-    return np.where(over > 6 * math.sqrt(mean) + 16, np.log2(np.maximum(over, 2)) + 1, 0).astype(np.uint8)
-
-
 def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs of unlike members."""
     a, b = a[a != b], b[a != b]
@@ -105,97 +78,115 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[new], b[new]
 
 
-_ROWS = "kind int, r int, a long, b long, n long, c long, blob binary"
-
-
-def _rows(kind: int, count: int, **given) -> pa.RecordBatch:
-    names = {"kind": pa.int32(), "r": pa.int32(), "a": pa.int64(), "b": pa.int64(), "n": pa.int64(), "c": pa.int64(), "blob": pa.binary()}
-    given["kind"] = np.full(count, kind, np.int32)
-    return pa.RecordBatch.from_pydict(
-        {k: pa.array(given[k], t) if k in given else pa.nulls(count, t) for k, t in names.items()}
-    )
-
-
-def _describe(k: int, percent: int, classes: np.ndarray, ranges: int):
-    """kind 0: a document's id, set size and 128-bit set hash; 1: an edge to the smallest document of a group in this
-    batch; 2: the groups of one range of shingles, packed: shingle, smallest document, smallest and largest size."""
-    band = math.log(100 / percent)
+def _describe(k: int):
+    """A document's id, set size and 128-bit set hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
-            ids = np.where(null, 0, ids).astype(np.int64)
-            token, owner, size = [], [], []
             for at, texts in portions(batch.column(1).to_pylist()):
-                sets = shingle_sets(texts, k)
-                n = np.array([len(s) for s in sets], np.int64)
-                flat = np.concatenate([*sets, np.empty(0, np.uint64)])
+                n, flat = flat_sets(texts, k)
                 some = np.flatnonzero(n)
-                start = np.concatenate([[0], np.cumsum(n)])[:-1][some]
-                own = np.arange(at, at + len(texts))
+                start = (np.cumsum(n) - n)[some]
                 h1, h2 = np.zeros((2, len(texts)), np.int64)
                 if len(some):
                     h1[some] = np.add.reduceat(mix(flat ^ np.uint64(0xA5A5A5A5)), start).view(np.int64)
                     h2[some] = np.add.reduceat(mix(flat + np.uint64(0x1234567)), start).view(np.int64)
-                    rank = classes[(flat >> np.uint64(64 - SKETCH)).astype(np.int64)]
-                    mixed = np.maximum.reduceat(rank, start) > 0
-                    for q, s, m in zip(some, start, mixed, strict=True):
-                        if null[at + q]:
-                            continue
-                        p = prefix_length(int(n[q]), percent)
-                        u = sets[q]
-                        if m:
-                            key = (rank[s : s + n[q]].astype(np.uint64) << np.uint64(57)) | (u >> np.uint64(7))
-                            u = u[np.argpartition(key, p - 1)[:p]] if p < len(u) else u
-                        token.append(u[:p])
-                        owner.append(np.full(p, ids[at + q]))
-                        size.append(np.full(p, n[q]))
-                yield _rows(0, len(texts), a=pa.array(ids[own], mask=null[own]), n=n, b=h1, c=h2)
-            if not token:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(texts)), *map(pa.array, (n, h1, h2))], ["id", "n", "h1", "h2"]
+                )
+
+    return run
+
+
+def size_classes(percent: int) -> np.ndarray:
+    """The upper ends of the classes of size: similar sets are in the same class or in neighbouring ones."""
+    ends = [1]
+    while ends[-1] < 1 << 40:
+        ends.append(max(ends[-1] + 1, int(ends[-1] * CLASS), 100 * ends[-1] // percent))
+    return np.array(ends, np.int64)
+
+
+def _differ(ends: np.ndarray, percent: int) -> np.ndarray:
+    """In how many elements two similar sets of at most this size can differ."""
+    return 2 * ends * (100 - percent) // (100 + percent)
+
+
+def part_keys(n: np.ndarray, flat: np.ndarray, scheme: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the parts of every set under its scheme; n, flat: sizes and sorted elements of the sets."""
+    differ = _differ(size_classes(percent)[scheme], percent)
+    parts = (differ + 1) * 106 // 100 + 1
+    parts[differ == 0] = 1
+    row = np.repeat(np.arange(len(n)), n)
+    base = np.cumsum(parts) - parts
+    own = base[row] + ((flat >> np.uint64(32)) * parts[row].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+    count = np.bincount(own, minlength=int(parts.sum()))
+    edge = np.concatenate([[0], np.cumsum(count)])
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(flat ^ np.uint64(0x5BD1E995)))])
+    who = np.repeat(np.arange(len(n)), parts)
+    number = np.arange(len(who)) - base[who]
+    salt = mix((scheme[who].astype(np.uint64) << np.uint64(44)) + number.astype(np.uint64))
+    key = mix((total[edge[1:]] - total[edge[:-1]]) ^ salt)
+    poor = count < 2
+    few = np.bincount(who[poor], minlength=len(n)) >= parts - differ
+    keep = ~poor | few[who]
+    return who[keep], key[keep]
+
+
+def _group(k: int, percent: int, ranges: int):
+    """Equal parts inside a batch: edges to the smallest document, and for each range of keys (key, smallest document)."""
+    ends = size_classes(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, batch in enumerate(batches):
+            valid = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            ids = batch.column(0).fill_null(0).to_numpy()
+            keys, owners = [], []
+            for at, texts in portions(batch.column(1).to_pylist()):
+                n, flat = flat_sets([t if valid[at + i] else None for i, t in enumerate(texts)], k)
+                some = np.flatnonzero(n)
+                n = n[some]
+                c = np.searchsorted(ends, n)
+                up = np.flatnonzero(100 * n >= percent * (ends[c] + 1))
+                row, key = part_keys(n, flat, c, percent)
+                keys.append(key)
+                owners.append(ids[at + some[row]])
+                if len(up):
+                    pick = np.repeat(np.isin(np.arange(len(n)), up), n)
+                    row, key = part_keys(n[up], flat[pick], c[up] + 1, percent)
+                    keys.append(key)
+                    owners.append(ids[at + some[up[row]]])
+            if not keys:
                 continue
-            t, d, z = np.concatenate(token), np.concatenate(owner), np.concatenate(size)
-            order = np.lexsort((z, t))
-            t, d, z = t[order], d[order], z[order]
-            g = (np.log(z) / band).astype(np.int64)
-            start = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (g[1:] != g[:-1])]))
-            end = np.concatenate([start[1:], [len(t)]])
+            t, d = np.concatenate(keys), np.concatenate(owners)
+            order = np.argsort(t, kind="stable")
+            t, d = t[order], d[order]
+            if not len(t):
+                continue
+            start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
             low = np.minimum.reduceat(d, start)
-            a, b = _pairs(d, np.repeat(low, end - start))
-            if len(a):
-                yield _rows(1, len(a), a=a, b=b)
-            t, lo, hi = t[start], z[start], z[end - 1]
+            a, b = _pairs(d, np.repeat(low, np.diff(np.append(start, len(t)))))
+            t = t[start]
             r = ((t >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
             edge = np.searchsorted(r, np.arange(ranges + 1))
-            blobs, used = [], []
-            for q in range(ranges):
-                s = slice(edge[q], edge[q + 1])
-                if edge[q] < edge[q + 1]:
-                    used.append(q)
-                    blobs.append(t[s].tobytes() + low[s].tobytes() + lo[s].tobytes() + hi[s].tobytes())
-            yield _rows(2, len(used), r=np.array(used, np.int32), blob=blobs)
+            used = np.flatnonzero(edge[1:] > edge[:-1])
+            blobs = [t[edge[q] : edge[q + 1]].tobytes() + low[edge[q] : edge[q + 1]].tobytes() for q in used]
+            links = [b""] * len(used)
+            links[number % len(used)] = a.tobytes() + b.tobytes()
+            yield pa.RecordBatch.from_pydict({"r": pa.array(used, pa.int32()), "blob": blobs, "links": links})
 
     return run
 
 
-def _meet(percent: int):
-    """Edges between the groups of equal shingles that came from different batches."""
-
-    def run(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x.as_py(), np.int64).reshape(4, -1) for x in table["blob"]]
-        t, low, lo, hi = np.concatenate(parts, axis=1)
-        order = np.lexsort((lo, t))
-        t, low, lo, hi = t[order], low[order], lo[order], hi[order]
-        new = np.concatenate([[True], t[1:] != t[:-1]])
-        rank = np.cumsum(new)
-        top = np.maximum.accumulate(rank * (1 << 40) + hi)[:-1] - rank[1:] * (1 << 40)
-        new[1:] |= percent * lo[1:] > 100 * top
-        start = np.flatnonzero(new)
-        first = np.repeat(np.minimum.reduceat(low, start), np.diff(np.concatenate([start, [len(t)]])))
-        a, b = _pairs(low, first)
-        return pa.table({"a": a, "b": b})
-
-    return run
+def _meet(table: pa.Table) -> pa.Table:
+    """Edges between the groups of equal parts that came from different batches, and those found before."""
+    t, low = np.concatenate([np.frombuffer(x.as_py(), np.int64).reshape(2, -1) for x in table["blob"]], axis=1)
+    order = np.argsort(t, kind="stable")
+    t, low = t[order], low[order]
+    start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+    first = np.repeat(np.minimum.reduceat(low, start), np.diff(np.append(start, len(t))))
+    known = [np.frombuffer(x.as_py(), np.int64).reshape(2, -1) for x in table["links"]]
+    a, b = _pairs(*np.concatenate([np.array([low, first]), *known], axis=1))
+    return pa.table({"a": a, "b": b})
 
 
 def _trees(k: int, percent: int):
@@ -296,20 +287,19 @@ def jaccard_components(
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    classes = common_classes(docs, k)
-    stage = cut(docs.mapInArrow(_describe(k, percent, classes, ranges), _ROWS))
-    sets = stage.where("kind = 0").select(F.col("a").alias("id"), "n", F.col("b").alias("h1"), F.col("c").alias("h2"))
-    met = stage.where("kind = 2").select("r", "blob").groupBy("r").applyInArrow(_meet(percent), "a long, b long")
+    sets = cut(docs.mapInArrow(_describe(k), "id long, n long, h1 long, h2 long"))
+    grouped = docs.mapInArrow(_group(k, percent, ranges), "r int, blob binary, links binary")
+    met = grouped.groupBy("r").applyInArrow(_meet, "a long, b long")
     filled = sets.where("n > 0 and id is not null")
     reps = filled.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
     copies = cut(filled.join(reps, ["n", "h1", "h2"]).where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
-    groups = connected_components(stage.where("kind = 1").select("a", "b").unionAll(met).unionAll(copies))
+    groups = connected_components(met.unionAll(copies))
     member = cut(reps.select(F.col("rep").alias("id"), "n").join(groups.withColumnRenamed("node", "id"), "id"))
     keys = cut(_keys(member, percent))
-    ids = keys.select("id").distinct()
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    found = texts.join(keys, "id").groupBy("key").applyInArrow(_trees(k, percent), "a long, b long")
+    few = keys.count() <= BROADCAST_IDS
+    texts = docs if few else docs.join(keys.select("id").distinct(), "id", "left_semi")
+    met = texts.join(F.broadcast(keys) if few else keys, "id")
+    found = met.groupBy("key").applyInArrow(_trees(k, percent), "a long, b long")
     parts = connected_components(cut(found).unionAll(copies))
     return sets.join(parts.withColumnRenamed("node", "id"), "id", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")

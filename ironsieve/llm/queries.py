@@ -15,6 +15,7 @@ from ironsieve.llm.jaccard_join import jaccard_components
 from ironsieve.llm import language_id
 from ironsieve.llm.mixing import mix_sources
 from ironsieve.llm.quality import quality_scores, train_on_folds
+from ironsieve.llm.secret_scan import scan_secrets
 from ironsieve.llm.url_filter import filter_urls
 from ironsieve.llm.warc import read_archives, write_archives
 from ironsieve.session import ensure_checkpoint_dir, read_table
@@ -70,8 +71,26 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = (
+    op1_embedding_dedup,
+    op2_url_filter,
+    op3_source_mixing,
+    op4_decontamination,
+    op5_quality,
+    op6_language_id,
+    op7_warc_bundles,
+    op8_html_extraction,
+    op9_ngram_jaccard,
+    op10_secret_scan,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_url_filter, op3_source_mixing, op4_decontamination, op5_quality, op6_language_id, op7_warc_bundles, op8_html_extraction, op9_ngram_jaccard)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,8 +8,6 @@ overlap <= slack(A) + bits(A & B), likewise for B, and overlap <= the larger siz
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 
 from ironsieve.llm.embedding_dedup import Sets
@@ -139,7 +137,3 @@ def linked_pairs(
                 found.append((x, y))
     return found
 
-
-def prefix_length(n: int, percent: int) -> int:
-    """Of n tokens in a global order, so many first ones include a shared one for every set that is similar enough."""
-    return n - math.ceil(percent * n / 100) + 1
