@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from ironsieve.llm.jaccard_join import portions
 from ironsieve.llm.quality import held_out
 from ironsieve.llm.textvec import HashIndex, code_points, letter_table, lower_table, mix, runs, slabs, span_hashes
+from ironsieve.session import cut
 
 SAMPLE, ORDERS, SMOOTH = 3000, (4, 3, 2, 1), 0.5
 _END = np.uint32(0x110000)
@@ -63,28 +64,29 @@ def grams(low: np.ndarray, s: np.ndarray, e: np.ndarray, order: int) -> tuple[np
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words (order 0) and n-grams, combined for each batch."""
+    """Counts of words (order 0) and n-grams, combined for each slab of text."""
     for b in batches:
         langs = np.array(b.column(0).to_pylist(), object)
-        found: dict[tuple[int, str], list[np.ndarray]] = {}
         for at, texts in portions(b.column(1).to_pylist()):
+            found: dict[tuple[int, str], list[tuple[np.ndarray, np.ndarray]]] = {}
             for row, h, low, s, e in words_of(texts):
                 lang = langs[at + row]
-                for one in set(lang):
+                for one in sorted(set(lang)):
                     own = lang == one
-                    found.setdefault((0, one), []).append(h[own])
+                    found.setdefault((0, one), []).append(np.unique(h[own], return_counts=True))
                     for order in ORDERS:
-                        found.setdefault((order, one), []).append(grams(low, s[own], e[own], order)[1])
-        for (order, one), parts in found.items():
-            h, c = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "ord": pa.array(np.full(len(h), order, np.int32)),
-                    "h": pa.array(h.view(np.int64)),
-                    "lang": pa.array([one] * len(h), pa.string()),
-                    "c": pa.array(c.astype(np.int64)),
-                }
-            )
+                        g = grams(low, s[own], e[own], order)[1]
+                        found.setdefault((order, one), []).append(np.unique(g, return_counts=True))
+            for (order, one), parts in found.items():
+                h, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "ord": pa.array(np.full(len(h), order, np.int32)),
+                        "h": pa.array(h.view(np.int64)),
+                        "lang": pa.array([one] * len(h), pa.string()),
+                        "c": pa.array(c.astype(np.int64)),
+                    }
+                )
 
 
 @dataclass
@@ -140,8 +142,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     rows = docs.where("id is not null and text is not null and lang is not null")
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
     key = F.shiftrightunsigned(F.xxhash64("id", F.lit("language")), 33) / F.lit(float(1 << 31))
-    chosen = rows.join(sizes, "lang").where(key < F.lit(float(sample)) / F.col("rows")).select("lang", "text")
-    counts = chosen.mapInArrow(_count, "ord int, h long, lang string, c long").groupBy("ord", "h", "lang").agg(F.sum("c").alias("c"))
+    # one row for each language, as the model has one column for each
+    chosen = rows.join(F.broadcast(sizes), "lang").where(key < F.lit(float(sample)) / F.col("rows")).select("lang", "text")
+    counts = chosen.mapInArrow(_count, "ord int, h long, lang string, c long")
+    counts = cut(counts.groupBy("ord", "h", "lang").agg(F.sum("c").alias("c")))
     total = F.sum("c").alias("total")
     # an entry for each word or n-gram that was seen twice; bounded by the sample's words
     entries = (
