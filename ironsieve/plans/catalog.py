@@ -1,15 +1,22 @@
-"""Registered queries of the findings, graph and event engines."""
+"""All registered queries of the findings, dependency, graph and event engines, and their SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from ironsieve.plans import findings
+from ironsieve.plans.registry import Query
 
+_PARTS = (findings.query,)
 
-def queries():
-    return {}
 
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.scan_summary(spark, sf_dir)
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict[str, Query]:
+    return {k: v for part in _PARTS for k, v in part.queries.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for part in _PARTS for k, v in part.sql.items()}

@@ -1,0 +1,132 @@
+"""Readers: project files, manifests, scanner reports and configuration. Schemas are declared (see ironsieve.schemas)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ironsieve import schemas
+from ironsieve.functions import severity as sev
+from ironsieve.functions.text import language_of
+
+# fixed values: folders that hold no source of the project
+SKIPPED = "node_modules .git dist build coverage .next .nuxt __pycache__ .venv vendor".split()
+
+
+def project_files(spark: SparkSession, root: str, largest: int | None = None, languages: list[str] | None = None, skipped: list[str] = SKIPPED) -> DataFrame:
+    """(file, size, language, text) of the source files under a folder; sizes are tested before contents are kept."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = raw.select(F.col("path").alias("file"), F.col("length").alias("size"), language_of(F.col("path")).alias("language"), "content")
+    files = files.where(~F.arrays_overlap(F.split("file", "/"), F.array(*[F.lit(s) for s in skipped])))
+    files = files.where("language is not null" if languages is None else F.col("language").isin(languages))
+    if largest is not None:
+        files = files.where(F.col("size") <= largest)
+    return files.select("file", "size", "language", F.decode("content", "UTF-8").alias("text"))
+
+
+def glob_pattern(glob: str) -> str:
+    """A regular expression for a path glob: ``**/`` any folders, ``**`` anything, ``*`` and ``?`` inside a segment."""
+    out, i = [], 0
+    while i < len(glob):
+        if glob.startswith("**/", i):
+            out, i = [*out, "(?:.*/)?"], i + 3
+        elif glob.startswith("**", i):
+            out, i = [*out, ".*"], i + 2
+        else:
+            c = glob[i]
+            out.append("[^/]*" if c == "*" else "[^/]" if c == "?" else c if c.isalnum() or c in "_/" else "\\" + c)
+            i += 1
+    return "^" + "".join(out) + "$"
+
+
+def selected(files: DataFrame, include: list[str] = (), exclude: list[str] = (), path: str = "file") -> DataFrame:
+    for g in [include] if include else []:
+        files = files.where(F.rlike(path, F.lit("|".join(map(glob_pattern, g)))))
+    return files.where(~F.rlike(path, F.lit("|".join(map(glob_pattern, exclude))))) if exclude else files
+
+
+def ignored(path: Column, rules: list[str]) -> Column:
+    """By an ignore file's lines, whatever the case: the last one that matches decides; ``!`` takes a path back."""
+    out = F.lit(False)
+    for line in rules:
+        line = line.strip()
+        if not line or line.startswith("#"):
+            continue
+        back = line.startswith("!")
+        line = line.lstrip("!").rstrip("/")
+        body = glob_pattern(line.lstrip("/"))[1:-1]
+        head = "^" if line.startswith("/") or "/" in line else "(?:^|/)"
+        out = F.when(F.rlike(path, F.lit(f"(?i){head}{body}(?:/.*)?$")), F.lit(not back)).otherwise(out)
+    return out
+
+
+def _finding(**given) -> list[Column]:
+    return [given[c].alias(c) if c in given else F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in schemas.FINDING.split(", "))]
+
+
+def semgrep_findings(reports: DataFrame, json: str = "report") -> DataFrame:
+    """Findings of semgrep reports, one JSON text a row; null and broken reports have none."""
+    r = reports.select(F.explode(F.from_json(json, schemas.SEMGREP)["results"]).alias("r"))
+    return r.select(
+        *_finding(
+            id=F.col("r.check_id"), engine=F.lit("semgrep"), severity=sev.lookup(F.col("r.extra.severity"), sev.SEMGREP, "low"), type=F.element_at(F.split("r.check_id", r"\."), -1),
+            file=F.col("r.path"), line=F.col("r.start.line"), description=F.col("r.extra.message"), fix_suggestion=F.coalesce("r.extra.fix", F.lit("")), auto_fixable=F.col("r.extra.fix").isNotNull(),
+        )
+    )
+
+
+def gitleaks_findings(reports: DataFrame, json: str = "report") -> DataFrame:
+    """Every leak is critical and can be fixed by moving it out of the code."""
+    r = reports.select(F.explode(F.from_json(json, f"array<struct<{schemas.GITLEAKS.replace(' ', ':').replace(',:', ',')}>>")).alias("r"))
+    return r.select(
+        *_finding(
+            id=F.col("r.RuleID"), engine=F.lit("gitleaks"), severity=F.lit("critical"), type=F.lit("hardcoded_secret"), file=F.col("r.File"), line=F.col("r.StartLine"),
+            description=F.col("r.Description"), fix_suggestion=F.lit("Move this secret to an environment variable"), auto_fixable=F.lit(True),
+        )
+    )
+
+
+def trivy_findings(reports: DataFrame, json: str = "report") -> DataFrame:
+    """Vulnerabilities of each target; targets without any are skipped. Fixable if a fixed version is named."""
+    t = reports.select(F.explode(F.from_json(json, schemas.TRIVY)["Results"]).alias("t"))
+    v = t.select("t.Target", F.explode("t.Vulnerabilities").alias("v"))
+    fixed = F.coalesce(F.col("v.FixedVersion"), F.lit("")) != ""
+    return v.select(
+        *_finding(
+            id=F.col("v.VulnerabilityID"), engine=F.lit("trivy"), severity=sev.lookup(F.upper("v.Severity"), sev.TRIVY, "low"), type=F.lit("vulnerable_dependency"), file=F.col("Target"), line=F.lit(0),
+            description=F.concat_ws(" ", F.concat("v.PkgName", F.lit("@"), "v.InstalledVersion", F.lit(":")), F.coalesce("v.Title", "v.Description")),
+            fix_suggestion=F.when(fixed, F.concat(F.lit("Upgrade to "), "v.FixedVersion")).otherwise(""), auto_fixable=fixed,
+        )
+    )
+
+
+def packages(manifests: DataFrame, json: str = "package_json") -> DataFrame:
+    """(project, name, version, dependencies, …) of package manifests; broken ones are dropped."""
+    return manifests.select("project", F.from_json(json, schemas.PACKAGE).alias("p")).where("p is not null").select("project", "p.*")
+
+
+def locked_packages(locks: DataFrame, json: str = "lock_json") -> DataFrame:
+    """(project, name, version, deprecated) of lock files; the old format's versions override the new one's."""
+    p = locks.select("project", F.from_json(json, schemas.LOCKFILE).alias("l"))
+    new = p.select("project", F.explode("l.packages").alias("k", "v")).where(F.startswith("k", F.lit("node_modules/")))
+    new = new.select("project", F.regexp_replace("k", "^node_modules/", "").alias("name"), "v.version", "v.deprecated", F.lit(0).alias("o"))
+    old = p.select("project", F.explode("l.dependencies").alias("name", "v")).select("project", "name", "v.version", F.lit(None).cast("string").alias("deprecated"), F.lit(1).alias("o"))
+    return new.unionByName(old).groupBy("project", "name").agg(F.max_by("version", "o").alias("version"), F.max("deprecated").alias("deprecated"))
+
+
+def python_requirements(texts: DataFrame) -> DataFrame:
+    """(project, name, spec) of requirement lists; comments and options are no requirements."""
+    lines = texts.select("project", F.explode(F.split("text", "\n")).alias("x")).select("project", F.trim(F.regexp_replace("x", "#.*$", "")).alias("x"))
+    lines = lines.where(F.rlike("x", F.lit(r"^[A-Za-z0-9]")))
+    return lines.select("project", F.lower(F.regexp_extract("x", r"^([A-Za-z0-9._-]+)", 1)).alias("name"), F.trim(F.regexp_extract("x", r"^[A-Za-z0-9._-]+(?:\[[^\]]*\])?\s*([^;]*)", 1)).alias("spec"))
+
+
+def tool_servers(configs: DataFrame, json: str = "content") -> DataFrame:
+    """(location, server, command, args, env) of tool server configuration; broken files are dropped."""
+    c = configs.select("location", F.from_json(json, schemas.MCP_CONFIG)["mcpServers"].alias("m"))
+    return c.select("location", F.explode("m").alias("server", "s")).select("location", "server", "s.*")
+
+
+def baseline(spark: SparkSession, path: str) -> DataFrame:
+    """Accepted findings (id, file, line, type, hash) of a baseline file."""
+    return spark.read.schema("id string, file string, line int, type string, hash string").json(path)
