@@ -1,12 +1,13 @@
 """N-gram Jaccard self-join with signature trees.
 
 1. Every document's shingles are split by hash range into so many parts that two similar documents, which differ in
-   few shingles, have at least one equal part (pigeonhole over the size of the symmetric difference). The number of
-   parts goes by classes of size; a document near the upper end of its class is in the next class's scheme, too. Parts
-   of fewer than two shingles say little and are left out where the others suffice by the same count. Equal parts give
-   groups outside of which there is no link. A part holds several shingles, so a passage or phrase that many documents
-   share joins nothing by itself. Groups are combined before the shuffle: a task joins the documents of an equal part
-   to their smallest one and sends one row for the group, so a group with a third of all documents is no hot key.
+   few shingles, have several equal parts (pigeonhole over the size of the symmetric difference). The number of parts
+   goes by classes of size; a document near an end of its class is in a scheme with the neighbouring class, too. Parts of
+   fewer than two shingles say little and are left out where the others suffice by the same count. A document of which
+   fewer parts have an equal elsewhere than any similar document would share has no partner and drops out; so passages
+   and phrases that many documents share join nothing. What is left is grouped by equal parts: outside of a group there
+   is no link. Groups are combined before the shuffle: a task joins the documents of an equal part to one of them and
+   sends one row for the group, so a group with a third of all documents is no hot key.
 2. Documents with equal sets are one class; of each class only the smallest id goes on.
 3. The classes of a group meet in one task, where signature trees find its links (see signature_tree). A group beyond
    the block size is dealt over blocks within bands of similar size; every pair of blocks that can hold links is a task.
@@ -35,7 +36,7 @@ from ironsieve.operators.components import connected_components
 from ironsieve.session import cut
 
 #: A class of sizes ends at so many times its start.
-CLASS = 1.6
+CLASS = 1.4
 #: Shingles and documents of a block at most, about.
 BLOCK_SHINGLES, BLOCK_DOCS = 1 << 20, 4096
 #: Up to so many rows that say where a document goes may be broadcast to its text.
@@ -68,125 +69,168 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     return [np.unique(s[to[i] : to[i + 1]]) for i in range(len(texts))]
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of unlike members."""
-    a, b = a[a != b], b[a != b]
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[new], b[new]
+def size_classes(percent: int) -> np.ndarray:
+    """The upper ends of the classes of size: similar sets are in the same class or in neighbouring ones."""
+    ends = [1]
+    while ends[-1] < 1 << 31:
+        ends.append(max(ends[-1] + 1, int(ends[-1] * CLASS), 100 * ends[-1] // percent))
+    return np.array(ends, np.int64)
+
+
+def schemes(percent: int) -> np.ndarray:
+    """For each scheme, in how many elements two similar sets of it can differ.
+
+    Scheme 2c is for pairs inside class c; 2c + 1 for those of a set at the end of class c and one at the start of c + 1.
+    """
+    ends = size_classes(percent)
+    past = np.minimum(np.append(ends[1:], ends[-1]), 100 * ends // percent)
+    both = np.stack([2 * ends, ends + past], axis=1).ravel()
+    return both * (100 - percent) // (100 + percent)
+
+
+def part_keys(n: np.ndarray, flat: np.ndarray, scheme: np.ndarray, percent: int):
+    """(rows, keys, need) of the parts of sets under their schemes; n, flat: sizes and sorted elements of the sets.
+
+    A key's lowest seven bits are its scheme. ``need``: so many keys a set has in common with every similar one, at least.
+    """
+    differ = schemes(percent)[scheme]
+    parts = (differ + 1) * 6 // 5 + 1
+    parts[differ == 0] = 1
+    row = np.repeat(np.arange(len(n)), n)
+    base = np.cumsum(parts) - parts
+    own = base[row] + ((flat >> np.uint64(32)) * parts[row].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+    count = np.bincount(own, minlength=int(parts.sum()))
+    edge = np.concatenate([[0], np.cumsum(count)])
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(flat ^ np.uint64(0x5BD1E995)))])
+    who = np.repeat(np.arange(len(n)), parts)
+    number = np.arange(len(who)) - base[who]
+    class_ = scheme.astype(np.uint64)[who]
+    salt = mix((class_ << np.uint64(44)) + number.astype(np.uint64))
+    key = (mix((total[edge[1:]] - total[edge[:-1]]) ^ salt) & ~np.uint64(255)) | class_
+    poor = count < 2
+    lacking = np.bincount(who[poor], minlength=len(n))
+    all_ = lacking >= parts - differ
+    keep = ~poor | all_[who]
+    return who[keep], key[keep], np.where(all_, 1, parts - differ - lacking)
+
 
+def _placed(n: np.ndarray, flat: np.ndarray, percent: int):
+    """(rows, sizes, scheme, elements): all sets in their class, then those near its end, then those near its start."""
+    ends = size_classes(percent)
+    c = np.searchsorted(ends, n)
+    yield np.arange(len(n)), n, 2 * c, flat
+    last = np.where(c > 0, ends[c - 1], 0)
+    for near, scheme in ((100 * n >= percent * (ends[c] + 1), 2 * c + 1), (percent * n <= 100 * last, 2 * c - 1)):
+        at = np.flatnonzero(near)
+        if len(at):
+            yield at, n[at], scheme[at], flat[np.repeat(near, n)]
 
-def _describe(k: int):
-    """A document's id, set size and 128-bit set hash."""
+
+def set_hashes(n: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of every non-empty set."""
+    start = np.cumsum(n) - n
+    h1 = np.add.reduceat(mix(flat ^ np.uint64(0xA5A5A5A5)), start).view(np.int64)
+    return h1, np.add.reduceat(mix(flat + np.uint64(0x1234567)), start).view(np.int64)
+
+
+def _describe(k: int, percent: int):
+    """A document's id, set size, 128-bit set hash, and the (scheme, need) it is in."""
+    kind = pa.list_(pa.struct([("s", pa.int32()), ("need", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in portions(batch.column(1).to_pylist()):
                 n, flat = flat_sets(texts, k)
                 some = np.flatnonzero(n)
-                start = (np.cumsum(n) - n)[some]
                 h1, h2 = np.zeros((2, len(texts)), np.int64)
+                needs = [[] for _ in texts]
                 if len(some):
-                    h1[some] = np.add.reduceat(mix(flat ^ np.uint64(0xA5A5A5A5)), start).view(np.int64)
-                    h2[some] = np.add.reduceat(mix(flat + np.uint64(0x1234567)), start).view(np.int64)
+                    h1[some], h2[some] = set_hashes(n[some], flat)
+                    for rows, size, scheme, elements in _placed(n[some], flat, percent):
+                        need = part_keys(size, elements, scheme, percent)[2]
+                        for r, s, m in zip(some[rows].tolist(), scheme.tolist(), need.tolist(), strict=True):
+                            needs[r].append({"s": s, "need": m})
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), *map(pa.array, (n, h1, h2))], ["id", "n", "h1", "h2"]
+                    [batch.column(0).slice(at, len(texts)), *map(pa.array, (n, h1, h2)), pa.array(needs, kind)],
+                    ["id", "n", "h1", "h2", "needs"],
                 )
 
     return run
 
 
-def size_classes(percent: int) -> np.ndarray:
-    """The upper ends of the classes of size: similar sets are in the same class or in neighbouring ones."""
-    ends = [1]
-    while ends[-1] < 1 << 40:
-        ends.append(max(ends[-1] + 1, int(ends[-1] * CLASS), 100 * ends[-1] // percent))
-    return np.array(ends, np.int64)
+_SHARED = np.uint64(128)  # a key's eighth bit: its group was found in the batch already
 
 
-def _differ(ends: np.ndarray, percent: int) -> np.ndarray:
-    """In how many elements two similar sets of at most this size can differ."""
-    return 2 * ends * (100 - percent) // (100 + percent)
+def _tally(rows: list[np.ndarray]) -> np.ndarray:
+    """(node, centre, scheme, count) columns with equal first three summed."""
+    a, b, s, c = np.concatenate(rows, axis=1)
+    order = np.lexsort((s, b, a))
+    a, b, s, c = a[order], b[order], s[order], c[order]
+    if not len(a):
+        return np.array([a, b, s, c])
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (s[1:] != s[:-1])])
+    start = np.flatnonzero(new)
+    return np.array([a[start], b[start], s[start], np.add.reduceat(c, start)])
 
 
-def part_keys(n: np.ndarray, flat: np.ndarray, scheme: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of the parts of every set under its scheme; n, flat: sizes and sorted elements of the sets."""
-    differ = _differ(size_classes(percent)[scheme], percent)
-    parts = (differ + 1) * 106 // 100 + 1
-    parts[differ == 0] = 1
-    row = np.repeat(np.arange(len(n)), n)
-    base = np.cumsum(parts) - parts
-    own = base[row] + ((flat >> np.uint64(32)) * parts[row].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-    count = np.bincount(own, minlength=int(parts.sum()))
-    edge = np.concatenate([[0], np.cumsum(count)])
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(flat ^ np.uint64(0x5BD1E995)))])
-    who = np.repeat(np.arange(len(n)), parts)
-    number = np.arange(len(who)) - base[who]
-    salt = mix((scheme[who].astype(np.uint64) << np.uint64(44)) + number.astype(np.uint64))
-    key = mix((total[edge[1:]] - total[edge[:-1]]) ^ salt)
-    poor = count < 2
-    few = np.bincount(who[poor], minlength=len(n)) >= parts - differ
-    keep = ~poor | few[who]
-    return who[keep], key[keep]
+def _meeting(key: np.ndarray, node: np.ndarray):
+    """Distinct (key, node) sorted, the groups' starts and sizes, and the smallest node of each row's group."""
+    plain = key & ~_SHARED
+    order = np.lexsort((~key & _SHARED, node, plain))
+    key, node, plain = key[order], node[order], plain[order]
+    new = np.concatenate([[True], (plain[1:] != plain[:-1]) | (node[1:] != node[:-1])])
+    key, node, plain = key[new], node[new], plain[new]
+    start = np.flatnonzero(np.concatenate([[True], plain[1:] != plain[:-1]]))
+    size = np.diff(np.append(start, len(plain)))
+    return key, node, start, size, np.repeat(node[start], size)
 
 
 def _group(k: int, percent: int, ranges: int):
-    """Equal parts inside a batch: edges to the smallest document, and for each range of keys (key, smallest document)."""
-    ends = size_classes(percent)
+    """Equal parts inside a batch: how often each set meets a centre, and for each range of keys (key, centre)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch in enumerate(batches):
             valid = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            ids = batch.column(0).fill_null(0).to_numpy()
-            keys, owners = [], []
+            keys, nodes = [], []
             for at, texts in portions(batch.column(1).to_pylist()):
                 n, flat = flat_sets([t if valid[at + i] else None for i, t in enumerate(texts)], k)
-                some = np.flatnonzero(n)
-                n = n[some]
-                c = np.searchsorted(ends, n)
-                up = np.flatnonzero(100 * n >= percent * (ends[c] + 1))
-                row, key = part_keys(n, flat, c, percent)
-                keys.append(key)
-                owners.append(ids[at + some[row]])
-                if len(up):
-                    pick = np.repeat(np.isin(np.arange(len(n)), up), n)
-                    row, key = part_keys(n[up], flat[pick], c[up] + 1, percent)
+                n = n[n > 0]
+                if not len(n):
+                    continue
+                h1, _ = set_hashes(n, flat)
+                for rows, size, scheme, elements in _placed(n, flat, percent):
+                    row, key, _ = part_keys(size, elements, scheme, percent)
                     keys.append(key)
-                    owners.append(ids[at + some[up[row]]])
+                    nodes.append(h1[rows[row]])
             if not keys:
                 continue
-            t, d = np.concatenate(keys), np.concatenate(owners)
-            order = np.argsort(t, kind="stable")
-            t, d = t[order], d[order]
-            if not len(t):
-                continue
-            start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-            low = np.minimum.reduceat(d, start)
-            a, b = _pairs(d, np.repeat(low, np.diff(np.append(start, len(t)))))
-            t = t[start]
-            r = ((t >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+            key, node, start, size, first = _meeting(np.concatenate(keys), np.concatenate(nodes))
+            many = np.repeat(size > 1, size)
+            scheme = (key & np.uint64(127)).astype(np.int64)
+            met = _tally([np.array([node[many], first[many], scheme[many], np.ones(many.sum(), np.int64)])])
+            key = key[start] | np.where(size > 1, _SHARED, np.uint64(0))
+            node = node[start]
+            r = ((key >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
             edge = np.searchsorted(r, np.arange(ranges + 1))
             used = np.flatnonzero(edge[1:] > edge[:-1])
-            blobs = [t[edge[q] : edge[q + 1]].tobytes() + low[edge[q] : edge[q + 1]].tobytes() for q in used]
+            blobs = [key[edge[q] : edge[q + 1]].tobytes() + node[edge[q] : edge[q + 1]].tobytes() for q in used]
             links = [b""] * len(used)
-            links[number % len(used)] = a.tobytes() + b.tobytes()
+            links[number % len(used)] = met.tobytes()
             yield pa.RecordBatch.from_pydict({"r": pa.array(used, pa.int32()), "blob": blobs, "links": links})
 
     return run
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Edges between the groups of equal parts that came from different batches, and those found before."""
-    t, low = np.concatenate([np.frombuffer(x.as_py(), np.int64).reshape(2, -1) for x in table["blob"]], axis=1)
-    order = np.argsort(t, kind="stable")
-    t, low = t[order], low[order]
-    start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-    first = np.repeat(np.minimum.reduceat(low, start), np.diff(np.append(start, len(t))))
-    known = [np.frombuffer(x.as_py(), np.int64).reshape(2, -1) for x in table["links"]]
-    a, b = _pairs(*np.concatenate([np.array([low, first]), *known], axis=1))
-    return pa.table({"a": a, "b": b})
+    """How often each set meets a centre over all batches, by scheme: a row for each of its shared parts is counted once."""
+    key, node = np.concatenate([np.frombuffer(x.as_py(), np.int64).reshape(2, -1) for x in table["blob"]], axis=1)
+    key, node, start, size, first = _meeting(key.view(np.uint64), node)
+    many = np.repeat(size > 1, size)
+    key, node, first = key[many], node[many], first[many]
+    known = ((key & _SHARED) > 0).astype(np.int64)
+    rows = [np.frombuffer(x.as_py(), np.int64).reshape(4, -1) for x in table["links"]]
+    a, b, s, c = _tally([np.array([node, first, (key & np.uint64(127)).astype(np.int64), 1 - known]), *rows])
+    return pa.table({"a": a, "b": b, "s": s.astype(np.int32), "c": c})
 
 
 def _trees(k: int, percent: int):
@@ -287,14 +331,20 @@ def jaccard_components(
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sets = cut(docs.mapInArrow(_describe(k), "id long, n long, h1 long, h2 long"))
-    grouped = docs.mapInArrow(_group(k, percent, ranges), "r int, blob binary, links binary")
-    met = grouped.groupBy("r").applyInArrow(_meet, "a long, b long")
+    needs = "array<struct<s:int,need:int>>"
+    sets = cut(docs.mapInArrow(_describe(k, percent), f"id long, n long, h1 long, h2 long, needs {needs}"))
     filled = sets.where("n > 0 and id is not null")
-    reps = filled.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
-    copies = cut(filled.join(reps, ["n", "h1", "h2"]).where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
-    groups = connected_components(met.unionAll(copies))
-    member = cut(reps.select(F.col("rep").alias("id"), "n").join(groups.withColumnRenamed("node", "id"), "id"))
+    reps = cut(filled.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.first("needs").alias("needs")))
+    same = filled.join(reps.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"]).where("id != rep")
+    copies = cut(same.select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    grouped = docs.mapInArrow(_group(k, percent, ranges), "r int, blob binary, links binary")
+    met = cut(grouped.groupBy("r").applyInArrow(_meet, "a long, b long, s int, c long"))
+    alive = reps.select(F.col("h1").alias("a"), F.explode("needs").alias("m")).select("a", "m.*")
+    alive = alive.join(met.groupBy("a", "s").agg(F.sum("c").alias("c")), ["a", "s"]).where("c >= need")
+    alive = cut(alive.select("a", "s").distinct())
+    groups = connected_components(met.join(alive, ["a", "s"]).select("a", "b"))
+    member = reps.select(F.col("rep").alias("id"), "n", F.col("h1").alias("a")).join(alive.select("a").distinct(), "a")
+    member = cut(member.join(groups.withColumnRenamed("node", "a"), "a").select("id", "n", "component"))
     keys = cut(_keys(member, percent))
     few = keys.count() <= BROADCAST_IDS
     texts = docs if few else docs.join(keys.select("id").distinct(), "id", "left_semi")
