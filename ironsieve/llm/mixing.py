@@ -1,6 +1,6 @@
 """Mixing sources to target weights with distributed prefix sums; DataFrame operations only.
 
-Every row gets a uniform 64-bit hash key of its id. Keys order the rows of a source at random but the same way in every
+Every row gets a uniform hash key, the MD5 of its id as text. Keys order the rows of a source at random but the same way in every
 run. Equal-width ranges of the key deal each source over many tasks, so one large source is no hot key; prefix sums run
 inside each range and over the ranges' sums. A source's budget is cut where its prefix sum reaches it: whole epochs
 first, then the rows before the cut, the last of them in part.
@@ -80,15 +80,14 @@ def mix_sources(
     """
     spark = docs.sparkSession
     n = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.xxhash64(F.col(id_col))
+    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     sized = cut(
         docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"))
     )
-    # the upper 31 bits of the key, scaled to 0 .. n - 1
-    sized = sized.withColumn(
-        "range", F.shiftright(F.shiftrightunsigned("key", 33) * F.lit(n).cast("long"), 31).cast("int")
-    )
+    # the upper 32 bits of the key, scaled to 0 .. n - 1
+    upper = F.conv(F.left("key", F.lit(8)), 16, 10).cast("long")
+    sized = sized.withColumn("range", F.shiftright(upper * F.lit(n).cast("long"), 32).cast("int"))
     parts = cut(sized.groupBy("source", "range").agg(F.sum("size").alias("part")))
     targets = source_targets(parts.groupBy("source").agg(F.sum("part").alias("source_size")), weights, share, limit)
     prior = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)

@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage, and their SQL where SQL can express them."""
+"""The registered queries of this subpackage. Their SQL, where SQL can express them, is in ironsieve.llm.sql."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ from ironsieve.llm import language_id
 from ironsieve.llm.mixing import mix_sources
 from ironsieve.llm.quality import quality_scores, train_on_folds
 from ironsieve.llm.secret_scan import scan_secrets
+from ironsieve.llm.sql import SQL
 from ironsieve.llm.url_filter import filter_urls
 from ironsieve.llm.warc import read_archives, write_archives
 from ironsieve.session import ensure_checkpoint_dir, read_table
@@ -95,6 +96,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
-
-
-SQL = {}
