@@ -27,8 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ironsieve.llm.jaccard_join import portions
-from ironsieve.llm.textvec import HashIndex, code_points, letter_table, lower_table, mix, slabs, span_hashes
+from ironsieve.llm.textvec import HashIndex, code_points, letter_table, lower_table, mix, portions, slabs, span_hashes
 
 WINDOW, SHORTEST, COVER, LEAST = 8, 5, 0.3, 12
 #: Characters of benchmark text in a shard, about.
@@ -237,7 +236,7 @@ def leaked_items(
             b = held.value
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                for at, texts in portions(batch.column(1).to_pylist()):
+                for at, texts in portions(batch.column(1)):
                     for row, item, n, differs in b.matches(texts):
                         yield pa.RecordBatch.from_pydict(
                             {
@@ -269,7 +268,7 @@ def drop_leaks(docs: DataFrame, bench: DataFrame, text_col: str = "text", **opti
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for at, texts in portions(batch.column(place).to_pylist()):
+                for at, texts in portions(batch.column(place)):
                     keep[[at + row for row, *_ in held.value.matches(texts)]] = False
                 yield batch.filter(pa.array(keep))
 

@@ -7,7 +7,7 @@ import re
 from dataclasses import dataclass
 
 _TOKEN = re.compile(
-    r"""<!--(?:.*?-->|.*)|<[!?][^>]*+>|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>|(?P<text>[^<]++|<)""",
+    r"""<!--(?:.*?-->|.*)|<[!?][^>]*+>|</[^A-Za-z>][^>]*+>|</>|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>|(?P<text>[^<]++|<(?![A-Za-z/!?]))""",
     re.S,
 )
 _ATTR = re.compile(r"""\b(class|id|role|style|itemprop|aria-hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)

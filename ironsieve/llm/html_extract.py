@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ironsieve.llm.html_blocks import N_CUES, Block, blocks
+from ironsieve.llm.textvec import portions
 
 _TEXT = 24
 N_FEATURES = N_CUES + _TEXT
@@ -241,7 +242,7 @@ def extract_main_text(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = [main_text(held.value, x) for x in b.column(2).to_pylist()]
+            text = [main_text(held.value, x) for _, pages in portions(b.column(2)) for x in pages]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())],
                 [id_col, url_col, "text", "n_chars"],

@@ -1,18 +1,22 @@
 """N-gram Jaccard self-join with signature trees.
 
-1. Every document's shingles are split by hash range into so many parts that two similar documents, which differ in
-   few shingles, have several equal parts (pigeonhole over the size of the symmetric difference). The number of parts
-   goes by classes of size; a document near an end of its class is in a scheme with the neighbouring class, too. Parts of
-   fewer than two shingles say little and are left out where the others suffice by the same count. A document of which
-   fewer parts have an equal elsewhere than any similar document would share has no partner and drops out; so passages
-   and phrases that many documents share join nothing. What is left is grouped by equal parts: outside of a group there
-   is no link. Groups are combined before the shuffle: a task joins the documents of an equal part to one of them and
-   sends one row for the group, so a group with a third of all documents is no hot key.
+1. Of every document's shingles in hash order, so many first ones are listed that two similar documents share a fifth of
+   their size among them (the prefix filter, with a share instead of one). A document of which fewer listed shingles
+   stand in any other document has no partner and drops out; that leaves little besides near copies.
 2. Documents with equal sets are one class; of each class only the smallest id goes on.
-3. The classes of a group meet in one task, where signature trees find its links (see signature_tree). A group beyond
+3. What is left is grouped. A set is split by hash range into so many parts that two similar sets, which differ in few
+   shingles, have several equal parts (pigeonhole over the size of the symmetric difference); the number of parts goes by
+   classes of size, and a set near an end of its class is in a scheme with the neighbouring class, too. Empty parts are
+   left out where the others suffice by the same count. Sets with an equal part meet at its centre, one of them; a set
+   may leave its rarest centres as long as it leaves fewer than half of the parts that it must share, as two similar
+   sets then still meet. So passages that many documents share join little. Outside of a group there is no link.
+4. The classes of a group meet in one task, where signature trees find its links (see signature_tree). A group beyond
    the block size is dealt over blocks within bands of similar size; every pair of blocks that can hold links is a task.
    Tasks return edges that span the components, not all pairs.
-4. Connected components over these edges.
+5. Connected components over these edges.
+
+Equal shingles are combined inside each batch before the shuffle, and the centres of parts by partial aggregation, so a
+shingle or part that a third of all documents hold is no hot key; the join with the centres is left to skew handling.
 
 Links are decided on the whole sets, so none is lost or added at any size (shingles are 64-bit hashes). Nulls: a null
 text or one without words has an empty set and links with nothing; a null id gets no component and links with nothing.
@@ -26,12 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ironsieve.llm.signature_tree import linked_pairs
-from ironsieve.llm.textvec import mix, row_words, shingles
+from ironsieve.llm.textvec import mix, portions, row_words, shingles
 from ironsieve.operators.components import connected_components
 from ironsieve.session import cut
 
@@ -41,19 +45,7 @@ CLASS = 1.4
 BLOCK_SHINGLES, BLOCK_DOCS = 1 << 20, 4096
 #: Up to so many rows that say where a document goes may be broadcast to its text.
 BROADCAST_IDS = 200_000
-_PORTION = 1 << 22
-
-
-def portions(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
-    """Consecutive rows of about four million characters, with the number of their first row."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        if size > _PORTION:
-            yield at, texts[at:i]
-            at, size = i, 0
-        size += len(t or "")
-    if at < len(texts):
-        yield at, texts[at:]
+_MARK = np.uint64(1)
 
 
 def flat_sets(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +86,7 @@ def part_keys(n: np.ndarray, flat: np.ndarray, scheme: np.ndarray, percent: int)
     A key's lowest seven bits are its scheme. ``need``: so many keys a set has in common with every similar one, at least.
     """
     differ = schemes(percent)[scheme]
-    parts = (differ + 1) * 6 // 5 + 1
+    parts = (differ + 1) * 3 // 2 + 1
     parts[differ == 0] = 1
     row = np.repeat(np.arange(len(n)), n)
     base = np.cumsum(parts) - parts
@@ -106,11 +98,11 @@ def part_keys(n: np.ndarray, flat: np.ndarray, scheme: np.ndarray, percent: int)
     number = np.arange(len(who)) - base[who]
     class_ = scheme.astype(np.uint64)[who]
     salt = mix((class_ << np.uint64(44)) + number.astype(np.uint64))
-    key = (mix((total[edge[1:]] - total[edge[:-1]]) ^ salt) & ~np.uint64(255)) | class_
-    poor = count < 2
-    lacking = np.bincount(who[poor], minlength=len(n))
+    key = (mix((total[edge[1:]] - total[edge[:-1]]) ^ salt) & ~np.uint64(127)) | class_
+    empty = count == 0
+    lacking = np.bincount(who[empty], minlength=len(n))
     all_ = lacking >= parts - differ
-    keep = ~poor | all_[who]
+    keep = ~empty | all_[who]
     return who[keep], key[keep], np.where(all_, 1, parts - differ - lacking)
 
 
@@ -133,104 +125,110 @@ def set_hashes(n: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return h1, np.add.reduceat(mix(flat + np.uint64(0x1234567)), start).view(np.int64)
 
 
-def _describe(k: int, percent: int):
-    """A document's id, set size, 128-bit set hash, and the (scheme, need) it is in."""
-    kind = pa.list_(pa.struct([("s", pa.int32()), ("need", pa.int32())]))
+def _describe(k: int):
+    """A document's id, set size and 128-bit set hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in portions(batch.column(1).to_pylist()):
+            for at, texts in portions(batch.column(1)):
                 n, flat = flat_sets(texts, k)
                 some = np.flatnonzero(n)
                 h1, h2 = np.zeros((2, len(texts)), np.int64)
-                needs = [[] for _ in texts]
                 if len(some):
                     h1[some], h2[some] = set_hashes(n[some], flat)
-                    for rows, size, scheme, elements in _placed(n[some], flat, percent):
-                        need = part_keys(size, elements, scheme, percent)[2]
-                        for r, s, m in zip(some[rows].tolist(), scheme.tolist(), need.tolist(), strict=True):
-                            needs[r].append({"s": s, "need": m})
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), *map(pa.array, (n, h1, h2)), pa.array(needs, kind)],
-                    ["id", "n", "h1", "h2", "needs"],
+                    [batch.column(0).slice(at, len(texts)), *map(pa.array, (n, h1, h2))], ["id", "n", "h1", "h2"]
                 )
 
     return run
 
 
-_SHARED = np.uint64(128)  # a key's eighth bit: its group was found in the batch already
+def listed(n, percent: int):
+    """How many of n shingles are listed: similar sets share a fifth of the smaller size, at least, among theirs."""
+    return n - -(-percent * n // 100) + -(-n // 5)
 
 
-def _tally(rows: list[np.ndarray]) -> np.ndarray:
-    """(node, centre, scheme, count) columns with equal first three summed."""
-    a, b, s, c = np.concatenate(rows, axis=1)
-    order = np.lexsort((s, b, a))
-    a, b, s, c = a[order], b[order], s[order], c[order]
-    if not len(a):
-        return np.array([a, b, s, c])
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (s[1:] != s[:-1])])
-    start = np.flatnonzero(new)
-    return np.array([a[start], b[start], s[start], np.add.reduceat(c, start)])
+def least_shared(n: Column, percent: int) -> Column:
+    """So many listed shingles a set of n shares with every similar one, at least: a partner has percent of its size."""
+    return F.ceil(F.ceil(n * percent / F.lit(100)) / F.lit(5))
 
 
 def _meeting(key: np.ndarray, node: np.ndarray):
-    """Distinct (key, node) sorted, the groups' starts and sizes, and the smallest node of each row's group."""
-    plain = key & ~_SHARED
-    order = np.lexsort((~key & _SHARED, node, plain))
+    """Distinct (key, node) sorted, and the starts and sizes of the groups of equal keys; a key's lowest bit is a mark."""
+    plain = key & ~_MARK
+    order = np.lexsort((~key & _MARK, node, plain))
     key, node, plain = key[order], node[order], plain[order]
     new = np.concatenate([[True], (plain[1:] != plain[:-1]) | (node[1:] != node[:-1])])
     key, node, plain = key[new], node[new], plain[new]
     start = np.flatnonzero(np.concatenate([[True], plain[1:] != plain[:-1]]))
     size = np.diff(np.append(start, len(plain)))
-    return key, node, start, size, np.repeat(node[start], size)
+    return key, node, start, size
 
 
-def _group(k: int, percent: int, ranges: int):
-    """Equal parts inside a batch: how often each set meets a centre, and for each range of keys (key, centre)."""
+def _list(k: int, percent: int, ranges: int):
+    """Listed shingles by hash range, one row for each in a batch, and how many each set shares inside the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch in enumerate(batches):
             valid = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            keys, nodes = [], []
-            for at, texts in portions(batch.column(1).to_pylist()):
+            tokens, nodes = [], []
+            for at, texts in portions(batch.column(1)):
                 n, flat = flat_sets([t if valid[at + i] else None for i, t in enumerate(texts)], k)
                 n = n[n > 0]
-                if not len(n):
-                    continue
-                h1, _ = set_hashes(n, flat)
-                for rows, size, scheme, elements in _placed(n, flat, percent):
-                    row, key, _ = part_keys(size, elements, scheme, percent)
-                    keys.append(key)
-                    nodes.append(h1[rows[row]])
-            if not keys:
+                if len(n):
+                    place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+                    first = place < np.repeat(listed(n, percent), n)
+                    tokens.append(flat[first])
+                    nodes.append(np.repeat(set_hashes(n, flat)[0], n)[first])
+            if not tokens:
                 continue
-            key, node, start, size, first = _meeting(np.concatenate(keys), np.concatenate(nodes))
-            many = np.repeat(size > 1, size)
-            scheme = (key & np.uint64(127)).astype(np.int64)
-            met = _tally([np.array([node[many], first[many], scheme[many], np.ones(many.sum(), np.int64)])])
-            key = key[start] | np.where(size > 1, _SHARED, np.uint64(0))
-            node = node[start]
-            r = ((key >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+            t = np.concatenate(tokens) << np.uint64(1)  # the lowest bit: shared inside the batch
+            t, node, start, size = _meeting(t, np.concatenate(nodes))
+            who, c = np.unique(node[np.repeat(size > 1, size)], return_counts=True)
+            t, node = t[start] | (size > 1).astype(np.uint64), node[start]
+            r = ((t >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
             edge = np.searchsorted(r, np.arange(ranges + 1))
             used = np.flatnonzero(edge[1:] > edge[:-1])
-            blobs = [key[edge[q] : edge[q + 1]].tobytes() + node[edge[q] : edge[q + 1]].tobytes() for q in used]
-            links = [b""] * len(used)
-            links[number % len(used)] = met.tobytes()
-            yield pa.RecordBatch.from_pydict({"r": pa.array(used, pa.int32()), "blob": blobs, "links": links})
+            blobs = [t[edge[q] : edge[q + 1]].tobytes() + node[edge[q] : edge[q + 1]].tobytes() for q in used]
+            counts = [b""] * len(used)
+            counts[number % len(used)] = who.tobytes() + c.astype(np.int64).tobytes()
+            yield pa.RecordBatch.from_pydict({"r": pa.array(used, pa.int32()), "blob": blobs, "links": counts})
 
     return run
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """How often each set meets a centre over all batches, by scheme: a row for each of its shared parts is counted once."""
-    key, node = np.concatenate([np.frombuffer(x.as_py(), np.int64).reshape(2, -1) for x in table["blob"]], axis=1)
-    key, node, start, size, first = _meeting(key.view(np.uint64), node)
-    many = np.repeat(size > 1, size)
-    key, node, first = key[many], node[many], first[many]
-    known = ((key & _SHARED) > 0).astype(np.int64)
-    rows = [np.frombuffer(x.as_py(), np.int64).reshape(4, -1) for x in table["links"]]
-    a, b, s, c = _tally([np.array([node, first, (key & np.uint64(127)).astype(np.int64), 1 - known]), *rows])
-    return pa.table({"a": a, "b": b, "s": s.astype(np.int32), "c": c})
+def _shared_counts(table: pa.Table) -> pa.Table:
+    """(a, c): how many of a range's listed shingles each set shares with others."""
+    t, node = np.concatenate([np.frombuffer(x.as_py(), np.int64).reshape(2, -1) for x in table["blob"]], axis=1)
+    t, node, _, size = _meeting(t.view(np.uint64), node)
+    new = np.repeat(size > 1, size) & (t & _MARK == 0)
+    known = [np.frombuffer(x.as_py(), np.int64).reshape(2, -1) for x in table["links"]]
+    a, c = np.concatenate([np.array([node[new], np.ones(new.sum(), np.int64)]), *known], axis=1)
+    who, at = np.unique(a, return_inverse=True)
+    return pa.table({"a": who, "c": np.bincount(at, c, len(who)).astype(np.int64)})
+
+
+def _parts(k: int, percent: int):
+    """(a, key) of every set's parts, and (a, scheme, need) as rows without key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["a", "key", "s", "need"]
+        for batch in batches:
+            for _, texts in portions(batch.column(1)):
+                n, flat = flat_sets(texts, k)
+                n = n[n > 0]
+                if not len(n):
+                    continue
+                h1, _ = set_hashes(n, flat)
+                for rows, size, scheme, elements in _placed(n, flat, percent):
+                    row, key, need = part_keys(size, elements, scheme, percent)
+                    none = pa.nulls(len(row), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(h1[rows[row]]), pa.array(key.view(np.int64)), none, none], names)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(h1[rows]), pa.nulls(len(rows), pa.int64()), pa.array(scheme.astype(np.int32)), pa.array(need.astype(np.int32))], names
+                    )
+
+    return run
 
 
 def _trees(k: int, percent: int):
@@ -238,7 +236,7 @@ def _trees(k: int, percent: int):
         table = table.sort_by([("part", "ascending"), ("id", "ascending")])
         ids, side, part = (table[c].to_numpy() for c in ("id", "side", "part"))
         sets = []
-        for _, texts in portions(table["text"].to_pylist()):
+        for _, texts in portions(table["text"].combine_chunks()):
             sets += shingle_sets(texts, k)
         filled = np.array([len(s) > 0 for s in sets])
         a, b = [], []
@@ -322,6 +320,13 @@ def _keys(member: DataFrame, percent: int) -> DataFrame:
     return small.unionByName(large)
 
 
+def _texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` (id, ...) with their texts: few rows are broadcast, many are joined."""
+    if rows.count() <= BROADCAST_IDS:
+        return docs.join(F.broadcast(rows), "id")
+    return docs.join(rows.select("id").distinct(), "id", "left_semi").join(rows, "id")
+
+
 def jaccard_components(
     docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -331,25 +336,31 @@ def jaccard_components(
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    needs = "array<struct<s:int,need:int>>"
-    sets = cut(docs.mapInArrow(_describe(k, percent), f"id long, n long, h1 long, h2 long, needs {needs}"))
+    blobs = "r int, blob binary, links binary"
+    sets = cut(docs.mapInArrow(_describe(k), "id long, n long, h1 long, h2 long"))
     filled = sets.where("n > 0 and id is not null")
-    reps = cut(filled.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.first("needs").alias("needs")))
-    same = filled.join(reps.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"]).where("id != rep")
+    reps = cut(filled.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep")))
+    same = filled.join(reps, ["n", "h1", "h2"]).where("id != rep")
     copies = cut(same.select(F.col("id").alias("a"), F.col("rep").alias("b")))
-    grouped = docs.mapInArrow(_group(k, percent, ranges), "r int, blob binary, links binary")
-    met = cut(grouped.groupBy("r").applyInArrow(_meet, "a long, b long, s int, c long"))
-    alive = reps.select(F.col("h1").alias("a"), F.explode("needs").alias("m")).select("a", "m.*")
-    alive = alive.join(met.groupBy("a", "s").agg(F.sum("c").alias("c")), ["a", "s"]).where("c >= need")
-    alive = cut(alive.select("a", "s").distinct())
-    groups = connected_components(met.join(alive, ["a", "s"]).select("a", "b"))
-    member = reps.select(F.col("rep").alias("id"), "n", F.col("h1").alias("a")).join(alive.select("a").distinct(), "a")
-    member = cut(member.join(groups.withColumnRenamed("node", "a"), "a").select("id", "n", "component"))
+    shared = docs.mapInArrow(_list(k, percent, ranges), blobs).groupBy("r").applyInArrow(_shared_counts, "a long, c long")
+    shared = shared.groupBy("a").agg(F.sum("c").alias("c"))
+    near = reps.withColumnRenamed("h1", "a").join(shared, "a").where(F.col("c") >= least_shared(F.col("n"), percent))
+    near = cut(near.select("a", "n", F.col("rep").alias("id")))
+    parts = cut(_texts_of(docs, near.select("id")).mapInArrow(_parts(k, percent), "a long, key long, s int, need int"))
+    keyed = parts.where("key is not null").select("a", "key")
+    centres = keyed.groupBy("key").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("f")).where("f > 1").select("key", "b")
+    met = keyed.join(centres, "key").groupBy("a", F.col("key").bitwiseAND(127).cast("int").alias("s"), "b")
+    met = cut(met.agg(F.count(F.lit(1)).alias("c")))
+    needs = parts.where("key is null").select("a", "s", "need").distinct()
+    alive = needs.join(met.groupBy("a", "s").agg(F.sum("c").alias("c")), ["a", "s"]).where("c >= need")
+    alive = cut(alive.select("a", "s", "need"))
+    rarest = W.partitionBy("a", "s").orderBy("c", "b").rowsBetween(W.unboundedPreceding, 0)  # a row for each part, at most
+    kept = met.join(alive, ["a", "s"]).withColumn("sum", F.sum("c").over(rarest)).where("2 * sum >= need")
+    groups = connected_components(kept.select("a", "b"))
+    member = near.join(alive.select("a").distinct(), "a").join(groups.withColumnRenamed("node", "a"), "a")
+    member = cut(member.select("id", "n", "component"))
     keys = cut(_keys(member, percent))
-    few = keys.count() <= BROADCAST_IDS
-    texts = docs if few else docs.join(keys.select("id").distinct(), "id", "left_semi")
-    met = texts.join(F.broadcast(keys) if few else keys, "id")
-    found = met.groupBy("key").applyInArrow(_trees(k, percent), "a long, b long")
+    found = _texts_of(docs, keys).groupBy("key").applyInArrow(_trees(k, percent), "a long, b long")
     parts = connected_components(cut(found).unionAll(copies))
     return sets.join(parts.withColumnRenamed("node", "id"), "id", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")

@@ -25,9 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ironsieve.llm.jaccard_join import portions
 from ironsieve.llm.quality import held_out
-from ironsieve.llm.textvec import HashIndex, code_points, letter_table, lower_table, mix, runs, slabs, span_hashes
+from ironsieve.llm.textvec import HashIndex, code_points, letter_table, lower_table, mix, portions, runs, slabs, span_hashes
 from ironsieve.session import cut
 
 SAMPLE, ORDERS, SMOOTH = 3000, (4, 3, 2, 1), 0.5
@@ -67,7 +66,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words (order 0) and n-grams, combined for each slab of text."""
     for b in batches:
         langs = np.array(b.column(0).to_pylist(), object)
-        for at, texts in portions(b.column(1).to_pylist()):
+        for at, texts in portions(b.column(1)):
             found: dict[tuple[int, str], list[tuple[np.ndarray, np.ndarray]]] = {}
             for row, h, low, s, e in words_of(texts):
                 lang = langs[at + row]
@@ -183,7 +182,7 @@ def predict_languages(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lang, score = [], [np.empty(0)]
-            for _, texts in portions(b.column(2).to_pylist()):
+            for _, texts in portions(b.column(2)):
                 x, y = held.value.predict(texts)
                 lang += x
                 score.append(y)

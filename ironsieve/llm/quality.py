@@ -24,8 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ironsieve.llm.jaccard_join import portions
-from ironsieve.llm.textvec import code_points, lower_table, letter_table, mix, runs, slabs, space_table, span_hashes
+from ironsieve.llm.textvec import code_points, letter_table, lower_table, mix, portions, runs, slabs, space_table, span_hashes
 
 BITS, SAMPLE, SHARDS, EPOCHS = 18, 12_288, 4, 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-6, 1e-6
@@ -104,12 +103,12 @@ def _train(epochs: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("key", "ascending"), ("id", "ascending"), ("y", "ascending")])
         labels, rows = table["y"].to_pylist(), []
-        for at, texts in portions(table["text"].to_pylist()):
+        for at, texts in portions(table["text"].combine_chunks()):
             f, to = features(texts)
             for r in range(len(texts)):
                 i, c = np.unique(f[to[r] : to[r + 1]], return_counts=True)
                 x = SCALE * c / max(1, to[r + 1] - to[r])
-                rows.append((np.append(i, 1 << BITS), np.append(x, 1.0), labels[at + r]))
+                rows.append((np.append(i, 1 << BITS).astype(np.int32), np.append(x, 1.0).astype(np.float32), labels[at + r]))
         w, bias = ftrl(rows, epochs)
         return pa.table({"w": pa.array([w.astype(np.float32).tobytes()], pa.binary()), "bias": [bias], "n": [len(rows)]})
 
@@ -151,8 +150,7 @@ def quality_scores(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(2).to_pylist()
-            s = np.concatenate([held.value.scores(t) for _, t in portions(texts)] or [np.empty(0)])
+            s = np.concatenate([held.value.scores(t) for _, t in portions(b.column(2))] or [np.empty(0)])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))],
                 [id_col, "held_out", "score", "predicted"],
@@ -177,7 +175,7 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", least: floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = [held.value.scores(t) for _, t in portions(b.column(place).to_pylist())]
+            s = [held.value.scores(t) for _, t in portions(b.column(place))]
             yield b.filter(pa.array(np.concatenate([*s, np.empty(0)]) >= least))
 
     return docs.mapInArrow(run, docs.schema)

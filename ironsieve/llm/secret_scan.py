@@ -23,6 +23,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from ironsieve.llm.textvec import portions
+
 KINDS = ("assign", "access", "hex", "novel")
 #: Novelty from which a candidate is reported, and the characters around a sensitive word or candidate that count.
 NOVELTY, NEAR, CONTEXT = 0.8, 64, 256
@@ -130,7 +132,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty()
         for b in batches:
-            rows = [scan(t, novelty, least) for t in b.column(1).to_pylist()]
+            rows = [scan(t, novelty, least) for _, texts in portions(b.column(1)) for t in texts]
             count = [pa.array([sum(x[1] == k for x in base) for base, _ in rows], pa.int64()) for k in range(3)]
             digest = pa.array([hashlib.sha256(listed(base).encode()).hexdigest() for base, _ in rows], pa.string())
             spans = pa.array([listed(every) for _, every in rows], pa.string())
@@ -153,9 +155,8 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", size_col: str | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty()
         for b in batches:
-            texts, columns = b.column(place).to_pylist(), list(b.columns)
-            changed = {}
-            for i, text in enumerate(texts):
+            columns, changed = list(b.columns), {}
+            for i, text in ((at + i, t) for at, texts in portions(b.column(place)) for i, t in enumerate(texts)):
                 _, spans = scan(text, novelty)
                 if spans:
                     out, at = [], 0
@@ -165,6 +166,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", size_col: str | None
                         at = max(at, e)
                     changed[i] = "".join([*out, text[at:]])
             if changed:
+                texts = b.column(place).to_pylist()
                 columns[place] = pa.array([changed.get(i, t) for i, t in enumerate(texts)], pa.string())
                 if length is not None:
                     sizes = b.column(length).to_pylist()

@@ -11,8 +11,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-SLAB = 1 << 20
+SLAB = 1 << 18
+PORTION = 1 << 20
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -69,6 +72,16 @@ def slabs(texts: list[str | None]) -> Iterator[tuple[np.ndarray, str]]:
         yield np.array(rows, np.int64), "\n" + "".join(parts)
 
 
+def portions(column: pa.Array, size: int = PORTION) -> Iterator[tuple[int, list[str | None]]]:
+    """Texts of consecutive rows, about ``size`` bytes at a time, with the number of their first row."""
+    length = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    part = (np.cumsum(length, dtype=np.int64) - length) // size
+    edge = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(column)]
+    for at, to in zip(edge[:-1], edge[1:], strict=True):
+        if at < to:
+            yield at, column.slice(at, to - at).to_pylist()
+
+
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True; the first and last element are False."""
     at = np.flatnonzero(mask[1:] != mask[:-1]) + 1
