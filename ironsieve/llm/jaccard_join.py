@@ -45,6 +45,8 @@ CLASS = 1.4
 BLOCK_SHINGLES, BLOCK_DOCS = 1 << 20, 4096
 #: Up to so many rows that say where a document goes may be broadcast to its text.
 BROADCAST_IDS = 200_000
+#: Hash ranges of listed shingles for each shuffle partition: small ones, so that a range is a small group.
+RANGES = 8
 _MARK = np.uint64(1)
 
 
@@ -335,7 +337,7 @@ def jaccard_components(
         raise ValueError("percent must be in 1..100 and k in 1..64")
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     blobs = "r int, blob binary, links binary"
     sets = cut(docs.mapInArrow(_describe(k), "id long, n long, h1 long, h2 long"))
     filled = sets.where("n > 0 and id is not null")
