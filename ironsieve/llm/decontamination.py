@@ -1,18 +1,24 @@
 """Benchmark decontamination by template canonicalisation.
 
-Tokens are runs of letters and runs of digits (with inner ``.`` and ``,``). In the template of a text, numbers (digits
+Tokens are runs of letters and runs of digits (with inner ``.`` and ``,``); in scripts without spaces between words,
+every letter is a token. In the template of a text, numbers (digits
 and number words), names (capitalised words inside a sentence, common first names anywhere) and units (after a number)
 become typed placeholders. The windows of every benchmark item, as plain lower-cased tokens and as templates, form a
 hash table that every task gets; each document's windows are joined with it. For windows that match as templates, the
 slots must agree: along one alignment, an item's value may stand for one value of the document only. What fails that is
 a common phrase pattern, not a re-parameterised question, and is dropped.
 
-A document leaks an item if the matched windows are at least ``cover`` of the item's windows or ``least`` of them. The
-benchmark is taken in shards of bounded size, so the table that tasks hold is bounded; each further shard is one more
+A template window with fewer than ``_LITERAL`` tokens that are no placeholders is lengthened until it holds so many; if
+the item ends first, it has no template. An item without any template window matches by the template of all its tokens,
+if one of them is no placeholder.
+
+A document leaks an item if the matched windows are at least ``cover`` of the item's windows or ``least`` of them, or if
+so many of the windows that have a template match with their whole template. ``matched_windows`` and ``item_windows``
+are those of the larger share. The benchmark is taken in shards of bounded size, so the table that tasks hold is bounded; each further shard is one more
 pass over the documents.
 
-Nulls: null or empty texts and items match nothing. Items of fewer tokens than ``SHORTEST`` match nothing; those with
-fewer than ``window`` match by one window of all their tokens. Rows that repeat a doc_id or an item_id are reported once
+Nulls: null or empty texts and items match nothing. Items of fewer tokens than ``window`` match by one window of all
+their tokens, those of fewer than ``SHORTEST`` only as plain tokens: an item of one common word is in many texts. Rows that repeat a doc_id or an item_id are reported once
 with their best match. Empty tables give no rows.
 """
 
@@ -33,6 +39,8 @@ WINDOW, SHORTEST, COVER, LEAST = 8, 5, 0.3, 12
 #: Characters of benchmark text in a shard, about.
 SHARD = 8_000_000
 _LITERAL = 5  # of a template window's tokens, so many at least are no placeholders
+#: Scripts without spaces between words: Thai, Lao, Myanmar, Khmer, kana, ideographs.
+_UNSPACED = ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 
 NUMBER_WORDS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half dozen".split()
 UNITS = "mm cm m km inch inches foot feet ft yard yards mile miles mg g kg gram grams kilogram kilograms ton tons tonnes ounce ounces pound pounds lb lbs ml l liter liters litre litres gallon gallons second seconds sec minute minutes min hour hours h day days week weeks month months year years percent dollar dollars usd euro euros eur cent cents degree degrees celsius fahrenheit kelvin watt watts kw kwh volt volts amp amps joule joules newton newtons hz khz mhz ghz byte bytes kb mb gb tb mph kmh".split()
@@ -50,6 +58,7 @@ def _word_hashes(words: list[str]) -> np.ndarray:
 _NUM, _NAME, _UNIT = 1, 2, 3
 _SLOT = mix(np.arange(1, 5, dtype=np.uint64) * np.uint64(0x7F4A7C15F39CC060))
 _FOLD = [np.uint64(pow(0xD1342543DE82EF95, i + 1, 1 << 64)) for i in range(64)]
+_UNFOLD = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
 
 
 @dataclass
@@ -77,7 +86,10 @@ def tokens(texts: list[str | None]) -> Tokens:
         joint = (cp == 46) | (cp == 44)
         joint[1:-1] &= digit[:-2] & digit[2:]
         c = letter[cp].view(np.int8) + 2 * (digit | joint[: len(cp)] & np.concatenate([[False], digit[:-1]])).view(np.int8)
-        change = c[1:] != c[:-1]
+        alone = np.zeros(len(cp), bool)
+        for low, high in _UNSPACED:
+            alone |= (cp >= low) & (cp <= high)
+        change = (c[1:] != c[:-1]) | alone[1:] | alone[:-1]
         s = np.flatnonzero(change & (c[1:] > 0)) + 1
         e = np.flatnonzero(change & (c[:-1] > 0)) + 1
         if not len(s):
@@ -129,6 +141,27 @@ def windows(values: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np
     return at, mix(h[at])
 
 
+def spans(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of token spans of any lengths."""
+    n = len(values)
+    up, down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, x, np.uint64)])) for x in (_FOLD[0], _UNFOLD))
+    total = np.concatenate([[np.uint64(0)], np.cumsum(values * up[:n])])
+    return mix(((total[end] - total[start]) * down[start]) ^ (end - start).astype(np.uint64))
+
+
+def grown(tok: Tokens, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First tokens and ends of the dense n-token windows, lengthened to ``_LITERAL`` literals inside their row."""
+    literal = np.flatnonzero(tok.kind == 0)
+    if len(literal) < _LITERAL:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at = np.arange(len(tok.kind))
+    last = np.searchsorted(literal, at) + _LITERAL - 1
+    at = at[last < len(literal)]
+    end = literal[last[: len(at)]] + 1
+    keep = (end > at + n) & (tok.row[end - 1] == tok.row[at])
+    return at[keep], end[keep]
+
+
 class Benchmark:
     """The windows of a shard of items in a hash table."""
 
@@ -138,72 +171,130 @@ class Benchmark:
         texts = [t for _, t in items]
         tok = tokens(texts)
         size = np.diff(tok.at)
-        self.sizes = {int(n): None for n in np.unique(np.minimum(size, window)) if n >= SHORTEST}
+        self.window = window
         self.windows = np.maximum(size - window + 1, 1)
         self.slots = []
         for i, t in enumerate(texts):
             a, b = tok.at[i], tok.at[i + 1]
             self.slots.append([t[tok.start[x] : tok.end[x]].lower() if tok.kind[x] else "" for x in range(a, b)])
+        template = tok.template()
+        #: By item: starts of windows that are their own template or have one of the same length; all that have one.
+        self.regular: list[set[int]] = [set() for _ in texts]
+        self.admitted = np.zeros(len(texts), np.int64)
+        self.sizes = {int(n): None for n in np.unique(np.minimum(size, window)) if n}
         for n in self.sizes:
             found = []
-            for form, values in enumerate((tok.hash, tok.template())):
+            for form, values in enumerate((tok.hash, template)):
+                if form and n < SHORTEST:
+                    continue
                 at, h = windows(values, tok.row, n)
                 item = tok.row[at]
                 keep = (size[item] >= window) if n == window else (size[item] == n)
                 if form:
-                    keep &= fits(tok.kind, at, n)
+                    keep &= fits(tok.kind, at, n, window)
+                own = keep if form or n < window else keep & ~dense(tok.kind, at, n)
+                for i, p in zip(item[own].tolist(), (at - tok.at[item])[own].tolist(), strict=True):
+                    self.regular[i].add(p)
                 found.append((h[keep], item[keep], (at - tok.at[item])[keep]))
-            h, item, pos = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.argsort(h, kind="stable")
-            h, item, pos = h[order], item[order], pos[order]
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
-            self.sizes[n] = (HashIndex(h[first]), np.append(first, len(h)), item, pos)
-
-    def matches(self, texts: list[str | None]) -> list[tuple[int, int, int, bool]]:
-        """(row, item number, matched windows, whether some slot differs) of every leak."""
+            self.sizes[n] = table(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        self.admitted += [len(x) for x in self.regular]
+        at, end = grown(tok, window)
+        item = tok.row[at]
+        np.add.at(self.admitted, item, 1)
+        self.grown = table(spans(template, at, end), item, at - tok.at[item])
+        literals = np.bincount(tok.row[tok.kind == 0], minlength=len(texts))
+        bare = np.flatnonzero((size >= window) & (self.admitted == 0) & (literals > 0))
+        self.admitted[bare] = 1
+        self.bare = {}
+        for n in np.unique(size[bare]):
+            item = bare[size[bare] == n]
+            h = spans(template, tok.at[item], tok.at[item + 1])
+            self.bare[int(n)] = table(h, item, np.full(len(item), -1))
+
+    def matches(self, texts: list[str | None]) -> list[tuple[int, int, int, int, bool]]:
+        """(row, item number, matched windows, windows counted, whether some slot differs) of every leak."""
         tok = tokens(texts)
         template = tok.template()
-        hits = defaultdict(lambda: defaultdict(dict))  # (row, item) -> alignment -> item position -> window
-        for n, (index, edge, item, pos) in self.sizes.items():
-            for form, values in enumerate((tok.hash, template)):
-                at, h = windows(values, tok.row, n)
-                if form:
-                    some = fits(tok.kind, at, n)
-                    at, h = at[some], h[some]
-                got = index.find(h)
-                for k in np.flatnonzero(got >= 0):
-                    a, row = int(at[k]), int(tok.row[at[k]])
-                    for x in range(edge[got[k]], edge[got[k] + 1]):
-                        p = int(pos[x])
-                        hits[row, int(item[x])][a - p].setdefault(p, (a, n, form))
+        # (row, item) -> alignment -> starts of plain windows, start of a template window (-1: the item) -> its place
+        hits = defaultdict(lambda: defaultdict(lambda: (set(), {})))
         out = []
+
+        def look(found: tuple, at: np.ndarray, end: np.ndarray, h: np.ndarray, form: int) -> None:
+            index, edge, item, pos = found
+            got = index.find(h)
+            for k in np.flatnonzero(got >= 0):
+                a, b, row = int(at[k]), int(end[k]), int(tok.row[at[k]])
+                for x in range(edge[got[k]], edge[got[k] + 1]):
+                    p = int(pos[x])
+                    plain, loose = hits[row, int(item[x])][a - max(p, 0)]
+                    if form:
+                        loose[p] = (a, b)
+                    else:
+                        plain.add(p)
+
+        for n, found in self.sizes.items():
+            at, h = windows(tok.hash, tok.row, n)
+            if n < SHORTEST:
+                index, edge, item, _ = found
+                got = index.find(h)
+                for row, g in {(int(tok.row[at[k]]), int(got[k])) for k in np.flatnonzero(got >= 0)}:
+                    out.extend((row, int(i), 1, 1, False) for i in item[edge[g] : edge[g + 1]])
+                continue
+            look(found, at, at + n, h, 0)
+            at, h = windows(template, tok.row, n)
+            some = fits(tok.kind, at, n, self.window)
+            look(found, at[some], at[some] + n, h[some], 1)
+        if len(self.grown[2]):
+            at, end = grown(tok, self.window)
+            look(self.grown, at, end, spans(template, at, end), 1)
+        for n, found in self.bare.items():
+            at = np.arange(max(0, len(tok.row) - n + 1))
+            at = at[tok.row[at] == tok.row[at + n - 1]]
+            look(found, at, at + n, spans(template, at, at + n), 1)
         for (row, item), by in hits.items():
-            matched, differs = set(), False
-            for found in by.values():
-                sure = {p for p, (_, _, form) in found.items() if not form}
-                loose = {p: w for p, w in found.items() if w[2]}
+            matched, typed, differs = set(), set(), False
+            for plain, loose in by.values():
+                sure = {p for p in plain if p in self.regular[item]}
+                loose = {p: w for p, w in loose.items() if p not in sure}
                 if loose:
                     means: dict[str, set[str]] = defaultdict(set)
-                    for p, (a, n, _) in loose.items():
-                        for q in range(n):
+                    for p, (a, b) in loose.items():
+                        for q in range(b - a):
                             if tok.kind[a + q]:
                                 own = texts[row][tok.start[a + q] : tok.end[a + q]].lower()
-                                means[self.slots[item][p + q]].add(own)
+                                means[self.slots[item][max(p, 0) + q]].add(own)
                     if all(len(v) == 1 for v in means.values()):
                         sure |= set(loose)
                         differs |= any(k not in v for k, v in means.items())
-                matched |= sure
-            total = int(self.windows[item])
-            if len(matched) >= min(self.least, max(1, self.cover * total)):
-                out.append((row, item, len(matched), differs))
+                typed |= sure
+                matched |= plain | {p for p in sure if p >= 0}
+            counts = [(len(matched), int(self.windows[item])), (len(typed), int(self.admitted[item]))]
+            leaks = [(m / n, m, n) for m, n in counts if n and m >= min(self.least, max(1, self.cover * n))]
+            if leaks:
+                _, m, n = max(leaks)
+                out.append((row, item, m, n, differs))
         return out
 
 
-def fits(kind: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """Windows with slots, but enough literal tokens besides."""
+def table(h: np.ndarray, item: np.ndarray, pos: np.ndarray) -> tuple[HashIndex, np.ndarray, np.ndarray, np.ndarray]:
+    """An index of the distinct hashes, the edges of their runs, and the runs' items and positions."""
+    order = np.argsort(h, kind="stable")
+    h, item, pos = h[order], item[order], pos[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+    return HashIndex(h[first]), np.append(first, len(h)), item, pos
+
+
+def dense(kind: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Windows with slots."""
+    slots = np.concatenate([[0], np.cumsum(kind > 0)])
+    return slots[at + n] > slots[at]
+
+
+def fits(kind: np.ndarray, at: np.ndarray, n: int, window: int) -> np.ndarray:
+    """Windows with slots, but enough literal tokens besides: for whole items of fewer tokens than a window, one."""
     slots = np.concatenate([[0], np.cumsum(kind > 0)])
     inside = slots[at + n] - slots[at]
-    return (inside > 0) & (n - inside >= min(_LITERAL, n - 1))
+    return (inside > 0) & (n - inside >= (min(_LITERAL, n - 1) if n == window else 1))
 
 
 def _shards(bench: DataFrame, id_col: str, text_col: str, window: int, cover: float, least: int) -> Iterator[Benchmark]:
@@ -237,13 +328,13 @@ def leaked_items(
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 for at, texts in portions(batch.column(1)):
-                    for row, item, n, differs in b.matches(texts):
+                    for row, item, n, of, differs in b.matches(texts):
                         yield pa.RecordBatch.from_pydict(
                             {
                                 "doc_id": pa.array([ids[at + row]], pa.int64()),
                                 "item_id": pa.array([b.ids[item]], pa.int64()),
                                 "matched_windows": pa.array([n], pa.int32()),
-                                "item_windows": pa.array([int(b.windows[item])], pa.int32()),
+                                "item_windows": pa.array([of], pa.int32()),
                                 "reparameterised": pa.array([differs]),
                             }
                         )

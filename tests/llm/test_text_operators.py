@@ -60,6 +60,35 @@ def test_leaks(spark):
     assert _leaks(spark, docs, [])[0] == {} and _leaks(spark, [], [(1, ITEM)])[0] == {}
 
 
+def test_leaks_of_number_dense_and_short_items(spark):
+    items = [
+        (1, "If 3 x + 5 y = 12 and 2 x - 4 y = 7 find x"),
+        (2, "A train travels 120 km in 2 hours and 90 km in 3 hours"),
+        (3, "What is 3 + 51 * 7 - 2 + 9 / 3 + 6"),
+        (4, "capital city"),
+        (5, "小明有三个苹果他又买了五个苹果"),
+        (6, "1 2 3 4 5 6 7 8 9 10"),
+        (7, "Why 5 km 7"),
+    ]
+    docs = [
+        (1, "so. If 8 x + 6 y = 31 and 9 x - 1 y = 4 find x then"),
+        (2, "so. A train travels 45 km in 7 hours and 80 km in 6 hours then"),
+        (3, "so. What is 8 + 12 * 5 - 1 + 7 / 8 + 11 then"),
+        (4, "the Capital, city of it"),
+        (5, "你好小明有三个苹果他又买了五个苹果再见"),
+        (6, "11 12 13 14 15 16 17 18 19 20 21 22 23 24"),
+        (7, "so. A train travels 45 km in 7 hours"),
+        (8, "so. What is 8 + 12 * 5 - 1 + 7 / 2 + 11 then"),
+        (9, "so. If 8 x + 6 y is 31 and 8 x - 1 y is 4 find z then"),
+        (10, "capital of a city; why 6 km 8"),
+        (11, items[0][1] + ". " + items[1][1] + ". " + items[2][1]),
+    ]
+    got, d, b = _leaks(spark, docs, items)
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (11, 1), (11, 2), (11, 3)}
+    assert all(got[k].coverage == 1.0 and got[k].reparameterised == (k[0] < 4) for k in got)
+    assert sorted(r.doc_id for r in dc.drop_leaks(d, b).collect()) == [6, 7, 8, 9, 10]
+
+
 def test_leaks_do_not_depend_on_shards(spark, monkeypatch):
     docs, bench = read_table(spark, "/root/testdata/sf0.001", "documents"), read_table(spark, "/root/testdata/sf0.001", "benchmark")
     whole = sorted(map(tuple, dc.leaked_items(docs, bench).collect()))
