@@ -10,6 +10,7 @@ from ironsieve.functions import text as tx
 from ironsieve.functions.imports import category_flags
 from ironsieve.operators import environment as env
 from ironsieve.operators import findings as fd
+from ironsieve.operators import rulebook
 from ironsieve.operators.rules import Rule, lines_of, scan_files
 from ironsieve.plans.registry import Registry
 from ironsieve.session import read_table
@@ -156,6 +157,42 @@ def trust_grade(spark, sf_dir):
     return every.select("project", mark.alias("grade"), F.when(mark == "A", "SAFE").when(mark == "F", "DANGEROUS").otherwise("CAUTION").alias("verdict"))
 
 
+def _rulebook_scan(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """Findings of the whole rulebook in documents and pages, and of the patterns above that are no layout or licence lines."""
+    files = docs.select(F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("file"), "text").unionAll(
+        pages.select(F.concat(F.lit("pages/"), F.col("page_id").cast("string")), "html")
+    )
+    return scan_files(files, rulebook.RULES + OBFUSCATED + tuple(r for r in RULES if r.type in ("hardcoded_secret", "personal_data")))
+
+
+@query()
+def rulebook_findings(spark, sf_dir):
+    """Every rule over every document and page. Its patterns look around, which RE2 cannot express."""
+    return _rulebook_scan(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "pages")).select("id", "severity", "type", "file", "line", "description", "auto_fixable", "rule_no")
+
+
+def _project_grades(docs: DataFrame) -> DataFrame:
+    files = docs.select(F.col("source").alias("file"), "text")
+    found = scan_files(files, rulebook.RULES + OBFUSCATED + RULES)
+    worst = found.groupBy(F.col("file").alias("project")).agg(F.min(sev.rank(F.col("severity"))).alias("worst"), F.bool_or(F.col("type") == "malicious").alias("bad"))
+    mark = (
+        F.when(F.col("worst").isNull(), "A")
+        .when(F.col("bad") | (F.col("worst") == 0), "F")
+        .when(F.col("worst") == 1, "D")
+        .when(F.col("worst") == 2, "C")
+        .otherwise("B")
+    )
+    verdict = F.when(mark.isin("A", "B"), "SAFE").when(mark.isin("C", "D"), "CAUTION").otherwise("DANGEROUS")
+    every = docs.select(F.col("source").alias("project")).distinct().join(worst, "project", "left")
+    return every.select("project", mark.alias("grade"), verdict.alias("verdict"))
+
+
+@query()
+def rulebook_trust_grade(spark, sf_dir):
+    """Each project's grade by every rule; trust_grade and its SQL look at the token rule only."""
+    return _project_grades(read_table(spark, sf_dir, "documents"))
+
+
 @query(f"WITH {_lines_sql('pages', 'page_id', 'html')}, {_rules_sql(OBFUSCATED, 'page_id')} SELECT id, severity, type, file, line, description FROM found")
 def obfuscation_lines(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("file"), F.col("html").alias("text"))

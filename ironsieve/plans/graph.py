@@ -12,6 +12,7 @@ from ironsieve.functions import severity as sev
 from ironsieve.operators import graph as gr
 from ironsieve.plans.registry import Registry
 from ironsieve.session import cut, read_table
+from ironsieve.sources.code import parsed_files
 
 query = Registry()
 
@@ -124,3 +125,21 @@ def call_map_filter(spark, sf_dir):
 def call_context(spark, sf_dir):
     fns, calls = call_graph(spark, sf_dir)
     return gr.call_context(calls, fns, 1).join(fns, F.col("fn") == F.col("id")).select("name", "auth", "validated")
+
+
+def parsed_parts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The graph of source files composed from the parts: each imports its brand's file and declares a class."""
+    key = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("import { find } from './"), F.col("p_brand"), F.lit("';\nexport class Part"), key, F.lit(" {\n  load(x) {\n    return find(x);\n  }\n  async save(x) {\n    return this.load(x);\n  }\n}\n"))
+    files = read_table(spark, sf_dir, "part").select(F.concat(F.lit("src/p"), key, F.lit(".ts")).alias("file"), F.lit("typescript").alias("language"), text.alias("text"))
+    return gr.build(parsed_files(files))
+
+
+@query("SELECT 'src/p' || p_partkey || '.ts' AS file_path, './' || p_brand AS module, 'find' AS specifiers, CAST(1 AS INTEGER) AS line FROM part")
+def imports_of(spark, sf_dir):
+    return parsed_parts(spark, sf_dir)["imports"].select("file_path", "module", "specifiers", F.col("line").cast("int").alias("line"))
+
+
+@query("SELECT 'src/p' || p_partkey || '.ts::Part' || p_partkey AS class_id, 'Part' || p_partkey AS class_name, 'src/p' || p_partkey || '.ts::Part' || p_partkey || '.' || m AS id, m AS name FROM part, (VALUES ('load'), ('save')) AS v(m)")
+def class_methods(spark, sf_dir):
+    return parsed_parts(spark, sf_dir)["methods"].select("class_id", "class_name", "id", "name")

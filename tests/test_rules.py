@@ -5,6 +5,8 @@ from ironsieve.operators import findings as fd
 from ironsieve.operators.rulebook import FRAMEWORK_GATES, RULES, SECRETS
 from ironsieve.operators.rules import Rule, scan_files
 from ironsieve.functions.text import is_test_path
+from ironsieve.plans import catalog
+from ironsieve.plans import findings as plan
 
 # (rule, line that must be reported, line that must not)
 CASES = [
@@ -114,3 +116,19 @@ def test_first_wins_and_gates(spark):
 def test_secret_rules_alone(spark):
     df = spark.createDataFrame([("x.py", 'token = "abc"\nkey = "glpat-' + "a" * 20 + '"')], "file string, text string")
     assert [(r.id, r.line) for r in scan_files(df, SECRETS).collect()] == [("SECRET_GITLAB_TOKEN", 2)]
+
+
+def test_every_rule_is_reached_by_a_query(spark):
+    docs = spark.createDataFrame([(i, f"p{i}", line) for i, (_, line, _) in enumerate(CASES)] + [(900, "clean", "plain words"), (901, "clean", None)], "doc_id long, source string, text string")
+    pages = spark.createDataFrame([(i, line) for i, (_, line, _) in enumerate(CASES)], "page_id long, html string")
+    got = {(r.file, r.id) for r in plan._rulebook_scan(docs, pages).collect()}
+    for i, (name, _, _) in enumerate(CASES):
+        assert (f"documents/{i}", name) in got and (f"pages/{i}", name) in got
+    assert {"rulebook_findings", "rulebook_trust_grade", "imports_of", "class_methods"} <= set(catalog.queries())
+    grades = {r.project: (r.grade, r.verdict) for r in plan._project_grades(docs).collect()}
+    number = {c[0]: i for i, c in enumerate(CASES)}
+    assert grades["clean"] == ("A", "SAFE")
+    for rule in RULES:
+        if rule.id in number and rule.severity in ("critical", "high"):
+            assert grades[f"p{number[rule.id]}"][0] in ("F", "D")
+    assert grades[f"p{number['MASS_ASSIGNMENT']}"] == ("C", "CAUTION")
