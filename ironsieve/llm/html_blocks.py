@@ -12,6 +12,8 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"""\b(class|id|role|style|itemprop|aria-hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "title", "svg", "select"}
+#: Of these, the ones that swallow the rest of the page if they are not closed; the others' content is markup.
+TEXT_ONLY = {"script", "style", "textarea", "iframe", "title"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set(
     "html head body p div section article main nav header footer aside form fieldset figure figcaption ul ol li dl dt dd "
@@ -79,6 +81,7 @@ def blocks(page: str | None) -> list[Block]:
     cues = linked = total = 0
     tag = ""
     memo: dict[tuple[str, str], int] = {}
+    unclosed: dict[str, int] = {}  # from here on, no end tag of that name follows
 
     def flush():
         nonlocal parts, linked, total
@@ -127,8 +130,16 @@ def blocks(page: str | None) -> list[Block]:
             continue
         attrs = m["attrs"]
         if name in RAW:
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else size
+            if name == "svg" and attrs.endswith("/"):
+                continue
+            if not (name in unclosed and unclosed[name] <= at):
+                end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                if end:
+                    at = end.end()
+                    continue
+                unclosed[name] = at
+            if name in TEXT_ONLY:
+                at = size
             continue
         if name in VOID or attrs.endswith("/") and name not in BLOCK:
             continue

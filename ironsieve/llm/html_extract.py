@@ -7,7 +7,8 @@ as (page, content texts) or composed here from page parts of known kind, always
 
 Blocks are joined in page order by one newline. ``<br>`` is white space; scripts, styles, titles and comments in the
 markup have no text. Nulls: null or empty html has the empty text. Broken markup is read as far as it goes: an unclosed
-tag ends the page, an unclosed script too. Rows are independent: repeated rows give the same text. An empty table gives
+tag ends the page, an unclosed script too; a self-closed svg and an
+unclosed svg, select, noscript or template skip their tag only. Rows are independent: repeated rows give the same text. An empty table gives
 no rows.
 """
 

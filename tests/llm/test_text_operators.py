@@ -211,6 +211,17 @@ def test_blocks():
     assert html_blocks.blocks(None) == [] and html_blocks.blocks("<p>a<b") [0].text == "a" and html_blocks.blocks("<" * 5000 + "<p>x</p>")
 
 
+def test_skipped_elements_end_where_they_end():
+    text = lambda page: [b.text for b in html_blocks.blocks(page)]
+    assert text('<header><svg class="logo"/>Name</header><article><p>Kept</article><svg><path d="x"/><text>no</text></svg><p>Too') == ["Name", "Kept", "Too"]
+    for name in ("select", "noscript", "svg", "template"):
+        assert text(f"<p>a<{name}><p>b</p>" * 3) == ["a", "b"] * 3
+        assert text(f"<{name} id=x>no</{name.upper()} ><p>b") == ["b"]
+    for name in ("script", "style", "textarea", "iframe", "title"):
+        assert text(f"<p>a<{name}><p>b") == ["a"] and text(f"<p>a<{name}/><p>b") == ["a"]
+    assert text("<p>a</p>" + "<svg>" * 20_000 + "<p>z") == ["a", "z"]
+
+
 def test_extraction(spark):
     field = html_extract.composed_field()
     bad = n = 0
