@@ -8,7 +8,8 @@ takes precedence over every block; a block decides if there is no allow; a class
 Urls that are only named as targets are judged by the rules, too, and carry their decision to their aliases.
 
 Hosts: what stands after the first ``://`` up to ``/``, ``?``, ``#`` or the end, with A-Z lower-cased. Aliases are the
-same url without scheme and fragment. Nulls: a null url, or one without ``://``, has an empty host and path, fits no rule,
+same url without scheme and fragment. A relative target is resolved against the page's ``<base href>`` or url, its dot
+segments removed; one of a scheme without ``://`` (``mailto:``) has no edge. Nulls: a null url, or one without ``://``, has an empty host and path, fits no rule,
 has no aliases and is allowed. Null html has no edges. Repeated rows are judged alike. An empty table gives no rows.
 """
 
@@ -87,6 +88,37 @@ def judge_by_table(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return urls.join(best, ["host", "path"], "left")
 
 
+def plain_path(path: Column) -> Column:
+    """An absolute path without dot segments."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(
+        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
+        F.array().cast("array<string>"),
+        lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+        .when(x == ".", done)
+        .otherwise(F.concat(done, F.array(x))),
+    )
+    end = F.when(F.rlike(path, F.lit(r"/\.\.?$")), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    dotted = F.rlike(path, F.lit(r"/\.\.?(?:/|$)"))
+    return F.when(dotted, F.concat(F.lit("/"), F.array_join(F.concat(kept, end), "/"))).otherwise(path)
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """The absolute url of a target named in a page at ``base``; null if it is empty or of another kind of scheme."""
+    scheme = F.regexp_extract(base, r"(?s)^([^:/?#]*)://", 1)
+    root = F.concat(scheme, F.lit("://"), host_of(base))
+    folder = F.concat(F.lit("/"), F.regexp_extract(path_of(base), r"(?s)^/(.*/)?", 1))
+    path, rest = F.regexp_extract(target, r"(?s)^[^?#]*", 0), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    return (
+        F.when(F.rlike(target, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*://")), target)
+        .when(F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target))
+        .when(F.startswith(target, F.lit("/")), F.concat(root, plain_path(path), rest))
+        .when(F.startswith(target, F.lit("?")), F.concat(root, path_of(base), target))
+        .when(F.startswith(target, F.lit("#")), base)
+        .when((target != "") & ~F.rlike(target, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")), F.concat(root, plain_path(F.concat(folder, path)), rest))
+    )
+
+
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(a, b): alias keys joined by a canonical link or a refresh redirect of the page."""
     html, url = F.col(html_col), F.col(url_col)
@@ -98,18 +130,16 @@ def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     named = F.transform(
         tags, lambda t: F.regexp_extract(t, r"(?is)(?:\bhref\s*=|\burl\s*=)\s*[\"']?\s*([^\"'\s>]+)", 1)
     )
-    target = F.col("target")
-    scheme = F.regexp_extract(url, r"(?s)^([^:/?#]*)://", 1)
-    whole = (
-        F.when(F.contains(target, F.lit("://")), target)
-        .when(F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target))
-        .when(F.startswith(target, F.lit("/")), F.concat(scheme, F.lit("://"), host_of(url), target))
-    )
-    return (
+    # in two steps, so that the markup is searched once
+    base = F.regexp_extract(html, r"(?is)<base\b[^>]*?\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
+    links = (
         pages.where(F.contains(url, F.lit("://")) & html.isNotNull())
-        .select(url, F.explode(named).alias("target"))
-        .select(alias_key(url).alias("a"), alias_key(F.replace(whole, F.lit("&amp;"), F.lit("&"))).alias("b"))
-        .where("a is not null and b is not null and a != b")
+        .select(url.alias("url"), F.when(F.size(named) > 0, base).alias("base"), named.alias("targets"))
+        .select("url", F.coalesce(resolved(F.col("url"), F.col("base")), "url").alias("base"), F.explode("targets").alias("target"))
+    )
+    whole = resolved(F.col("base"), F.replace("target", F.lit("&amp;"), F.lit("&")))
+    return links.select(alias_key(F.col("url")).alias("a"), alias_key(whole).alias("b")).where(
+        "a is not null and b is not null and a != b"
     )
 
 

@@ -6,7 +6,7 @@ import pytest
 from ironsieve.llm import queries as q
 from ironsieve.llm.embedding_dedup import near_duplicate_vectors, quantise, tile_links, unit_rows
 from ironsieve.llm.mixing import mix_sources
-from ironsieve.llm.url_filter import filter_urls, judge_by_table
+from ironsieve.llm.url_filter import filter_urls, judge_by_table, page_links
 from ironsieve.session import read_table
 from tests.oracle import difference, views
 
@@ -95,6 +95,27 @@ def test_urls(spark):
     assert filter_urls(df.limit(0), q.URL_RULES).collect() == []
 
 
+def test_relative_targets(spark):
+    from urllib.parse import urljoin
+
+    bases = ["https://n.net/it/a", "http://n.net", "https://N.net/it/", "https://n.net/it/b/c?q=/x/y#f"]
+    targets = ["page2.html", "../fr/a", "?id=3", "./x/./y/..", "/a/../fr/b", "../../../z?u=https://o.org/../k", ".", "a/b", "//o.org/p", "https://o.org/p/../q", "q&amp;r", "mailto:x@y.z", "a:b/c", "#top", "..x/.y"]
+    rows = [(b, f"<link rel=canonical href='{t}'>") for b in bases for t in targets]
+    rows += [("https://n.net/it/a", '<meta http-equiv="refresh" content="0; url=next.html">'), ("https://n.net/it/a", '<base href="../fr/"><link rel="canonical" href="c">')]
+    want = set()
+    for b, t in [(b, t) for b in bases for t in targets] + [("https://n.net/it/a", "next.html"), ("https://n.net/fr/", "c")]:
+        if t not in ("mailto:x@y.z", "a:b/c", "#top"):
+            own = "https://n.net/it/a" if t == "c" else b
+            whole = t if "://" in t[:9] else urljoin(b, t.replace("&amp;", "&"))
+            cut = lambda u: u.split("://", 1)[1].split("#")[0].replace("N.net", "n.net")
+            if cut(own) != cut(whole):
+                want.add((cut(own), cut(whole)))
+    df = spark.createDataFrame(rows, "url string, html string")
+    assert {tuple(r) for r in page_links(df).collect()} == want
+    pages = spark.createDataFrame([(1, "https://net/it/a", "<link rel=canonical href='../fr/a'>"), (2, "https://net/it/b", None)], "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in filter_urls(pages, q.URL_RULES).collect()} == {1: "block", 2: "allow"}
+
+
 def test_urls_by_rule_table(spark):
     pages = read_table(spark, SF, "pages")
     rules = spark.createDataFrame(list(q.URL_RULES), "verdict string, host string, path string")
