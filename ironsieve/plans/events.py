@@ -179,6 +179,14 @@ def orders_by_severity(spark, sf_dir):
     return o.select(F.col("o_orderkey").alias("id"), rank.alias("rank"), "o_orderdate").orderBy("rank", F.desc("o_orderdate"), "id").limit(500).select("id", "rank")
 
 
+@query("SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 ELSE 3 END AS rank FROM orders WHERE o_orderstatus = 'O' ORDER BY rank, o_orderdate DESC, id")
+def all_orders_by_severity(spark, sf_dir):
+    """Every open order; orders_by_severity and its SQL stop after 500."""
+    rank = sev.lookup(F.col("o_orderpriority"), {"1-URGENT": 0, "2-HIGH": 1, "3-MEDIUM": 2}, 3)
+    o = read_table(spark, sf_dir, "orders").where("o_orderstatus = 'O'")
+    return o.select(F.col("o_orderkey").alias("id"), rank.alias("rank"), "o_orderdate").orderBy("rank", F.desc("o_orderdate"), "id").select("id", "rank")
+
+
 @query("SELECT 'p' || user_id % 3 AS project_id, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_rollup(spark, sf_dir):
     e = read_table(spark, sf_dir, "events")

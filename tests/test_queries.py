@@ -35,3 +35,9 @@ def test_entry_without_the_llm_parts(tmp_path):
     shutil.copytree(root / "ironsieve", tmp_path / "ironsieve", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and not any(k.startswith('op') and k[2].isdigit() for k in q), q"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_all_open_orders(spark):
+    rows = catalog.queries()["all_orders_by_severity"](spark, SF).collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/orders.parquet").where("o_orderstatus = 'O'").count()
+    assert [r.rank for r in rows] == sorted(r.rank for r in rows)
