@@ -143,3 +143,23 @@ def imports_of(spark, sf_dir):
 @query("SELECT 'src/p' || p_partkey || '.ts::Part' || p_partkey AS class_id, 'Part' || p_partkey AS class_name, 'src/p' || p_partkey || '.ts::Part' || p_partkey || '.' || m AS id, m AS name FROM part, (VALUES ('load'), ('save')) AS v(m)")
 def class_methods(spark, sf_dir):
     return parsed_parts(spark, sf_dir)["methods"].select("class_id", "class_name", "id", "name")
+
+
+def _deep_paths(fns: DataFrame, calls: DataFrame) -> DataFrame:
+    return gr.attack_paths(calls, fns).select("entry", "sink", "kind").distinct()
+
+
+@query()
+def deep_attack_paths(spark, sf_dir):
+    """attack_paths to the operator's own depth; that query and its SQL stop at 3."""
+    return _deep_paths(*call_graph(spark, sf_dir))
+
+
+def _deep_context(fns: DataFrame, calls: DataFrame) -> DataFrame:
+    return gr.call_context(calls, fns).join(fns, F.col("fn") == F.col("id")).select("name", "auth", "validated")
+
+
+@query()
+def deep_call_context(spark, sf_dir):
+    """call_context to the operator's own depth; that query and its SQL stop at 1."""
+    return _deep_context(*call_graph(spark, sf_dir))

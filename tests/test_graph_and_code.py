@@ -110,3 +110,17 @@ def test_source_maps(spark):
     df = spark.createDataFrame([(content, 2, 0), (None, 1, None)], "c string, l int, k int").select(resolved("c", "l", "k").alias("r")).select("r.*")
     assert [tuple(r) for r in df.collect()] == [("src/b.ts", 5), (None, 1)]
     assert df.select(F.col("line")).count() == 2
+
+
+def test_depth_of_the_registered_questions(spark):
+    from ironsieve.plans import graph as plan
+
+    chain = ["handleOrder", "stepB", "stepC", "stepD", "stepE", "executeRaw"]
+    guarded = ["authGate", "hopB", "hopC", "hopD", "hopE", "target", "tailB", "tailC", "tailD", "tailE", "validateAll", "beyond"]
+    fns = [(n, n, i, "src/api/route.ts", n == "handleOrder", True, i) for i, n in enumerate(chain + guarded)]
+    calls = [(i, a, a, b, b, None) for i, (a, b) in enumerate([*zip(chain, chain[1:]), *zip(guarded, guarded[1:])])]
+    f = spark.createDataFrame(fns, "id string, name string, seq long, file_path string, is_exported boolean, is_async boolean, start_line int")
+    c = spark.createDataFrame(calls, "seq long, caller_id string, caller_name string, callee_id string, callee_name string, receiver string")
+    assert [tuple(r) for r in plan._deep_paths(f, c).collect()] == [("handleOrder", "executeRaw", "database")]
+    got = {r.name: (r.auth, r.validated) for r in plan._deep_context(f, c).collect()}
+    assert got["target"] == (True, True) and got["tailB"] == (False, True) and got["hopE"] == (True, False)
