@@ -2,23 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ironsieve.session import cut
 
+#: A key with more rows than this is met by broadcast; so many such keys there are at most, as the bar rises with the rows.
+HOT_ROWS, HOT_KEYS = 100, 50_000
 
-def _unsettled(edges: DataFrame) -> int:
-    """Nodes that still have two parents, or a parent and children: none once every component is one star."""
+
+def hot_bar(rows: int) -> int:
+    """Rows from which a key is hot: at most ``HOT_KEYS`` of the keys of ``rows`` rows are above it."""
+    return max(HOT_ROWS, -(-rows // HOT_KEYS))
+
+
+def join_by_key(rows: DataFrame, facts: DataFrame, on: list[str], count: str, bar: int) -> DataFrame:
+    """``rows`` joined with one fact for each key, where ``count`` (a column of ``facts``) is the key's number of rows.
+
+    Keys above the bar are few (see hot_bar), so their facts are broadcast and their rows stay where they are; only the
+    rows of the other keys are shuffled, and none of these keys has more than ``bar`` rows.
+    """
+    hot = F.broadcast(facts.where(F.col(count) > bar).drop(count))
+    cold = facts.where(F.col(count) <= bar).drop(count)
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on))
+
+
+def _state(edges: DataFrame) -> Row:
+    """(open, most, size): nodes with two parents, or a parent and children (none once every component is one star),
+    the largest number of edges at a node, and the edges."""
     seen = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(
         edges.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down"))
     )
-    return (
-        seen.groupBy("n")
-        .agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-        .where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))
-        .count()
-    )
+    nodes = seen.groupBy("n").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    open_ = F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))
+    return nodes.agg(open_.alias("open"), F.max(F.col("up") + F.col("down")).alias("most"), F.sum("up").alias("size")).first()
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -26,8 +43,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     ``edges`` is undirected: loops, repeats, either direction and nulls are fine (a null end drops the edge).
     Every round points larger neighbours at the smallest one (large star), then every node's smaller neighbours at
-    the smallest of them (small star). Minima are combined before the shuffle, hubs are split by skewed-join handling,
-    and each round is checkpointed, so the plan stays short. Rounds grow with the logarithm of the longest chain.
+    the smallest of them (small star). Minima are combined before the shuffle; the edges of hubs do not move to meet
+    their hub's minimum, as those few minima are broadcast (``join_by_key``). Each round is checkpointed, so the plan
+    stays short. Rounds grow with the logarithm of the longest chain.
     """
     a, b = F.col(a), F.col(b)
     e = cut(
@@ -35,14 +53,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .distinct()
     )
-    while not e.isEmpty() and _unsettled(e):
+    while (state := _state(e)).open:
+        bar = hot_bar(2 * state.size)
+
+        def meet(rows: DataFrame, facts: DataFrame, bar=bar, hubs=state.most > bar) -> DataFrame:
+            return join_by_key(rows, facts, ["u"], "n", bar) if hubs else rows.join(facts, "u")
+
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = (
-            large.join(small, "u").where(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        )
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        least = least.select("u", F.least("u", "m").alias("m"), "n")
+        large = meet(both, least).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        hung = meet(large, small).where(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(hung.unionAll(small.select("u", F.col("m").alias("v"))).distinct())
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
