@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 _TOKEN = re.compile(
@@ -11,24 +12,29 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"""\b(class|id|role|style|itemprop|aria-hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "title", "svg", "select"}
-#: Of these, the ones that swallow the rest of the page if they are not closed; the others' content is markup.
-TEXT_ONLY = {"script", "style", "textarea", "iframe", "title"}
+_CLASS = re.compile(r"""\bclass\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+#: Elements that repeat in tables and lists, too.
+_NO_ITEM = {"tr", "td", "th", "tbody", "table", "ul", "ol", "dl", "p", "body", "html"}
+#: Elements whose content is no markup; unclosed, they last to the end of the page, as in HTML.
+RAW = {"script", "style", "textarea", "iframe", "title"}
+#: Elements that a block inside them ends, as in HTML.
+ENDED_BY_BLOCKS = ("svg", "select")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set(
     "html head body p div section article main nav header footer aside form fieldset figure figcaption ul ol li dl dt dd "
     "table thead tbody tfoot tr td th caption blockquote pre h1 h2 h3 h4 h5 h6 hr address details summary center dialog "
-    "option button label menu".split()
+    "option optgroup button label menu noscript template svg select".split()
 )
+_IN_SELECT = {"option", "optgroup", "select", "svg"}
 #: What an open element says about the text below it: by tag, and by words in its class, id or role.
-TAGS = "article main nav header footer aside form li table h p a figure blockquote pre button section div dialog figcaption dl".split()
+TAGS = "article main nav header footer aside form li table h p a figure blockquote pre button section div dialog figcaption dl svg select noscript template".split()
 WORDS = {
     "content": r"article|content|post|entry|story|body|text|prose|main",
     "ad": r"ads?|advert\w*|sponsor\w*|promo\w*|adsbygoogle|dfp",
     "menu": r"nav\w*|menu\w*|breadcrumbs?|toc|pag\w+|tabs?|tags?",
     "head": r"header|masthead|topbar|logo|branding|hero",
-    "foot": r"footer|copyright|colophon|legal|bottom",
-    "side": r"side\w*|aside|widgets?|related|recommend\w*|rail|more|teasers?",
+    "foot": r"footer|copyright|colophon|legal|bottom|contentinfo",
+    "side": r"complementary|side\w*|aside|widgets?|related|recommend\w*|rail|more|teasers?",
     "comment": r"comments?|replies|reply|disqus|respond|discussion|reviews?|reader\w*",
     "notice": r"cookies?|consent|notice|alert|modal|popup|subscri\w+|newsletter|gdpr|overlay|signup|banner|toast|warning",
     "share": r"share\w*|social|follow|sharing",
@@ -44,10 +50,16 @@ _CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"
 
 @dataclass
 class Block:
+    """``up``: the element around the block's own; ``item``: the nearest element around the text that has a like sibling
+    and holds several blocks, 0 if none."""
+
     text: str
     cues: int
     link: float
     tag: str
+    own: int = 0
+    up: int = 0
+    item: int = 0
 
 
 def _cues(tag: str, attrs: str) -> int:
@@ -75,25 +87,28 @@ def blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     if not page:
         return out
-    stack: list[tuple[str, int]] = [("", 0)]
+    stack: list[tuple[str, int, int]] = [("", 0, 0)]
+    likes: Counter[tuple] = Counter()  # elements by parent, tag and class
+    like_of: list[tuple] = [()]
+    parents = [0]
     opened: dict[str, int] = {}
     parts: list[str] = []
     cues = linked = total = 0
-    tag = ""
-    memo: dict[tuple[str, str], int] = {}
-    unclosed: dict[str, int] = {}  # from here on, no end tag of that name follows
+    tag, own_element = "", 0
+    memo: dict[tuple[str, str], tuple[int, str]] = {}
+    unclosed: set[str] = set()  # no end tag of that name follows
 
     def flush():
         nonlocal parts, linked, total
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, cues, linked / max(1, total), tag))
+                out.append(Block(text, cues, linked / max(1, total), tag, own_element, parents[own_element]))
             parts, linked, total = [], 0, 0
 
     def pop(names) -> None:
         while len(stack) > 1:
-            name, _ = stack.pop()
+            name = stack.pop()[0]
             opened[name] -= 1
             if name in names:
                 return
@@ -109,7 +124,8 @@ def blocks(page: str | None) -> list[Block]:
             if not parts:
                 if text.isspace():
                     continue
-                cues, tag = stack[-1][1], next((t for t, _ in reversed(stack) if t in BLOCK), "")
+                cues = stack[-1][1]
+                tag, own_element = next(((t, e) for t, _, e in reversed(stack) if t in BLOCK), ("", 0))
             parts.append(text)
             total += len(text)
             linked += len(text) * bool(opened.get("a"))
@@ -130,18 +146,16 @@ def blocks(page: str | None) -> list[Block]:
             continue
         attrs = m["attrs"]
         if name in RAW:
-            if name == "svg" and attrs.endswith("/"):
+            end = None if name in unclosed else re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            if end is None and opened.get("svg"):  # there, it is no raw text
+                unclosed.add(name)
                 continue
-            if not (name in unclosed and unclosed[name] <= at):
-                end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                if end:
-                    at = end.end()
-                    continue
-                unclosed[name] = at
-            if name in TEXT_ONLY:
-                at = size
+            at = end.end() if end else size
             continue
-        if name in VOID or attrs.endswith("/") and name not in BLOCK:
+        for host in ENDED_BY_BLOCKS:
+            if opened.get(host) and name in BLOCK and name not in _IN_SELECT:
+                pop({host})
+        if name in VOID or attrs.endswith("/") and (name not in BLOCK or name == "svg"):
             continue
         close = _CLOSES.get(name)
         if close and any(opened.get(c) for c in close):
@@ -153,10 +167,26 @@ def blocks(page: str | None) -> list[Block]:
                     break
                 if t in BLOCK and t not in close:
                     break
-        own = memo.get((name, attrs))
-        if own is None:
-            own = memo[name, attrs] = _cues(name, attrs)
-        stack.append((name, stack[-1][1] | own))
+        known = memo.get((name, attrs))
+        if known is None:
+            named = _CLASS.search(attrs) if attrs else None
+            known = memo[name, attrs] = _cues(name, attrs), named[1].strip("\"'") if named else ""
+        like = (stack[-1][2], name, known[1])
+        likes[like] += 1
+        stack.append((name, stack[-1][1] | known[0], len(parents)))
+        parents.append(like[0])
+        like_of.append(like)
         opened[name] = opened.get(name, 0) + 1
     flush()
+    held = [0] * len(parents)
+    for b in out:
+        held[b.own] += 1
+    for e in range(len(parents) - 1, 0, -1):
+        held[parents[e]] += held[e]
+    item = [0] * len(parents)
+    for e in range(1, len(parents)):
+        fine = held[e] > 1 and likes[like_of[e]] > 1 and like_of[e][1] not in _NO_ITEM
+        item[e] = e if fine else item[parents[e]]
+    for b in out:
+        b.item = item[b.own]
     return out
