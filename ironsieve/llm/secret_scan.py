@@ -3,10 +3,13 @@
 Base kinds, each leftmost and without overlap, matched first and then held to their least length: ``assign`` (a value
 after a secret's name), ``access`` (an access key id) and ``hex`` (a run of hexadecimal digits).
 
-``novel`` spans come from compression: around every sensitive word (key, secret, token, password and the like) each
-long word-like string is a candidate. Its novelty is the number of bytes that it adds to the zstandard-compressed
-surrounding text, the compressor being primed with a dictionary of common identifiers, divided by its length. Ordinary
-identifiers and words that the surroundings repeat add little; random strings add nearly all their bytes and are
+``novel`` spans come from compression: around every sensitive word (key, secret, token, password and the like) the long
+word-like strings are candidates that hold letters and digits, or letters whose case changes often. (A run of letters of
+one case cannot be told from a word this way, nor one of digits from a number: neither is a candidate.) A candidate's
+cost is the number of bytes that it adds to the zstandard-compressed surrounding text, the compressor being primed with
+a dictionary of common identifiers; its novelty is this cost over that of a random string of the same length and
+alphabet in the same place, so entropy coding, which helps long strings and small alphabets, is on both sides. Ordinary
+identifiers and words that the surroundings repeat cost little; random strings cost what random strings cost and are
 reported. Candidates that overlap a base span are left to it.
 
 Spans are code points, end exclusive. Nulls: a null or empty text has no spans. Rows are independent, repeated ones give
@@ -15,7 +18,9 @@ the same. An empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 
@@ -64,8 +69,31 @@ _IDENTIFIERS = (
 )
 
 
+_ALPHABETS = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+/_=-")
+
+
+def alphabet_of(own: str) -> str:
+    """The groups of characters that a string uses: with hexadecimal digits only, those; else whole alphabets."""
+    seen = set(own)
+    used = [not seen.isdisjoint(x) for x in _ALPHABETS]
+    used[1] |= used[2]
+    used[3] |= used[4]
+    return "".join(x for x, u in zip(_ALPHABETS, used, strict=True) if u)
+
+
+@functools.lru_cache(4096)
+def _short_twin(length: int, alphabet: str) -> str:
+    return "".join(random.Random(f"{length} {alphabet}").choices(alphabet, k=length))
+
+
+def twin(own: str) -> str:
+    """A random string of the same length and alphabet, always the same one."""
+    make = _short_twin if len(own) <= 4096 else _short_twin.__wrapped__
+    return make(len(own), alphabet_of(own))
+
+
 class Novelty:
-    """Marginal compressed bytes of a string in its surroundings, under the identifier dictionary."""
+    """Marginal compressed bytes of a string in its surroundings, under the identifier dictionary, over its twin's."""
 
     def __init__(self) -> None:
         primed = zstandard.ZstdCompressionDict(_IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -75,8 +103,16 @@ class Novelty:
 
     def __call__(self, before: str, candidate: str, after: str) -> float:
         around = (before + "\n" + after + "\n").encode("utf-8", "surrogatepass")
-        own = candidate.encode("utf-8", "surrogatepass")
-        return (len(self.packer.compress(around + own)) - len(self.packer.compress(around))) / len(own)
+        bare = len(self.packer.compress(around))
+        own, other = (len(self.packer.compress(around + x.encode())) - bare for x in (candidate, twin(candidate)))
+        return own / max(1, other)
+
+
+def is_candidate(own: str) -> bool:
+    """Letters and digits, or letters that change case at a fifth of their places or more."""
+    if re.search("[0-9]", own):
+        return bool(re.search("[A-Za-z]", own))
+    return 5 * len(re.findall("[a-z](?=[A-Z])|[A-Z](?=[a-z])", own)) >= len(own)
 
 
 def base_spans(text: str, folded: bytes) -> list[tuple[int, int, int]]:
@@ -103,8 +139,7 @@ def novel_spans(text: str, folded: bytes, base: list[tuple[int, int, int]], nove
     out = []
     for start, end in sorted(seen.items()):
         own = text[start:end]
-        classes = sum(bool(re.search(x, own)) for x in ("[a-z]", "[A-Z]", "[0-9]"))
-        if classes < 2 or not re.search("[0-9]", own) or not re.search("[A-Za-z]", own):
+        if not is_candidate(own):
             continue
         if any(s < end and start < e for s, _, e in base):
             continue

@@ -359,3 +359,32 @@ def test_secrets_over_documents(spark):
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in secret_scan.scan_secrets(docs).collect():
         assert r.base_sha256 == hashlib.sha256(secret_scan.listed(base_by_hand(texts[r.doc_id])).encode()).hexdigest()
+
+
+LETTERS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+
+
+@pytest.mark.parametrize("alphabet", [LETTERS + LETTERS.upper() + DIGITS, LETTERS + DIGITS, DIGITS + "abcdef", DIGITS + "ABCDEF"])
+def test_random_strings_of_every_length_are_reported(spark, alphabet):
+    import random
+
+    r, novelty = random.Random(7), secret_scan.Novelty()
+    prose = [d.text[:900] for d in read_table(spark, SF, "documents").where("length(text) > 900").limit(10).collect()]
+    for n in (16, 24, 40, 64, 100, 128, 300, 1000, 4096):
+        hits = 0
+        for k in range(30):
+            own, before = "".join(r.choices(alphabet, k=n)), prose[k % 10][:400]
+            text = f"{before} the secret key is {own} and {prose[k % 10][400:]}"
+            hits += any(s <= len(before) + 19 < e for s, _, e in secret_scan.scan(text, novelty)[1])
+        assert hits >= 27, (n, hits)
+
+
+def test_names_are_seldom_reported(spark):
+    names = "configuration_manager_service2 getUserById2Handler https-proxy-agent-v2 user_profile_image_512x512 com-example-app-v1-config api_key_rotation_policy_2023 sha256-checksum-file AbstractSingletonProxyFactoryBean2 documentation_index_page_14 ThisIsACamelCaseIdentifierName averylongwordoflettersonly 20240115102030405060".split()
+    novelty = secret_scan.Novelty()
+    text = [f"the words go on and on as words do, the secret key {x} is described below, and there is more" for x in names]
+    assert [x for x, t in zip(names, text, strict=True) if secret_scan.scan(t, novelty)[1]] == []
+    docs = secret_scan.scan_secrets(read_table(spark, SF, "documents"))
+    assert docs.where("spans like '%novel%'").count() == 0
+    long = f"secret {'x9' * 500_000} " + "word " * 400_000
+    assert secret_scan.scan(long, novelty)[1] == []
