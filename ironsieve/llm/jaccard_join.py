@@ -1,4 +1,7 @@
-"""N-gram Jaccard self-join with signature trees.
+"""N-gram Jaccard self-join: hash blocks bring near copies together, signature trees link them.
+
+The corpus-wide pruning is done by shared hashes (steps 1 to 3), which is what makes the join a few shuffles; inside the
+groups that they leave, all links are found by the dual traversal of signature trees (step 4).
 
 1. Of every document's shingles in hash order, so many first ones are listed that two similar documents share a fifth of
    their size among them (the prefix filter, with a share instead of one). A document of which fewer listed shingles
@@ -11,12 +14,16 @@
    may leave its rarest centres as long as it leaves fewer than half of the parts that it must share, as two similar
    sets then still meet. So passages that many documents share join little. Outside of a group there is no link.
 4. The classes of a group meet in one task, where signature trees find its links (see signature_tree). A group beyond
-   the block size is dealt over blocks within bands of similar size; every pair of blocks that can hold links is a task.
-   Tasks return edges that span the components, not all pairs.
+   the block size is dealt over blocks within bands of similar size. First every block is searched alone, together with
+   a few pivots of its band and of the band below; in a group of near copies that joins all blocks at once. Only the
+   sets outside of the group's largest component so far, its stragglers, then meet the blocks of their own and the
+   neighbouring bands: of two sets that are joined already no link is missed. Tasks return edges that span the
+   components, not all pairs.
 5. Connected components over these edges.
 
 Equal shingles are combined inside each batch before the shuffle, and the centres of parts by partial aggregation, so a
-shingle or part that a third of all documents hold is no hot key; the join with the centres is left to skew handling.
+shingle or part that a third of all documents hold is no hot key; the centres of frequent parts are broadcast
+(``join_by_key``).
 
 Links are decided on the whole sets, so none is lost or added at any size (shingles are 64-bit hashes). Nulls: a null
 text or one without words has an empty set and links with nothing; a null id gets no component and links with nothing.
@@ -36,7 +43,7 @@ from pyspark.sql.window import Window as W
 
 from ironsieve.llm.signature_tree import linked_pairs
 from ironsieve.llm.textvec import mix, portions, row_words, shingles
-from ironsieve.operators.components import connected_components
+from ironsieve.operators.components import connected_components, hot_bar, join_by_key
 from ironsieve.session import cut
 
 #: A class of sizes ends at so many times its start.
@@ -258,68 +265,87 @@ def _trees(k: int, percent: int):
     return run
 
 
-def _keys(member: DataFrame, percent: int) -> DataFrame:
-    """(id, part, key, cross, side): the task or tasks where each class representative meets its group."""
+#: Members of a band that every block of it and of the band above is searched with.
+PIVOTS = 4
+
+
+def _key(c, g, x, i, j):
+    return F.struct(c.alias("c"), g.cast("int").alias("g"), F.lit(x).alias("x"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+
+
+def _numbers(count):
+    return F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _small_keys(member: DataFrame, of: DataFrame, partitions: int) -> DataFrame:
+    """(id, part, key, cross, side): the task where each class representative of a small group meets its group."""
+    total = of.agg(F.sum("tokens")).first()[0] or 0
+    tasks = max(1, math.ceil(total / BLOCK_SHINGLES), 2 * partitions)
+    c = F.col("component")
+    key = _key(F.lit(-1).cast("long"), F.lit(0), 0, F.pmod(F.xxhash64(c), F.lit(tasks)), F.lit(0))
+    return member.join(of.select(c), "component").select("id", c.alias("part"), key.alias("key"), F.lit(False).alias("cross"), F.lit(0).alias("side"))
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Blocks that the sets of each (component, band g) need."""
+    need = F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_DOCS)).cast("int")
+    return rows.groupBy("component", "g").agg(need.alias("blocks"))
+
+
+def _own_keys(large: DataFrame) -> DataFrame:
+    """Keys of every member's own block, and of the pivots in the other blocks of their band and the band above."""
+    c, g = F.col("component"), F.col("g")
+    own = large.select("id", c.alias("part"), _key(c, g, 0, F.col("t"), F.col("t")).alias("key"))
+    pivots = large.groupBy("component", "g").agg(*(F.min_by("id", F.xxhash64("id", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)))
+    pivots = pivots.select("component", "g", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("id"))
+    blocks = large.select("component", "g", "blocks").distinct()
+    placed = pivots.join(large.select("id", "t"), "id")
+    met = placed.withColumn("up", F.explode(F.array(F.lit(0), F.lit(1)))).select("component", (g + F.col("up")).alias("g"), "id", "t", "up")
+    met = met.join(blocks, ["component", "g"]).withColumn("o", F.explode(_numbers(F.col("blocks")))).where("up = 1 or o <> t")
+    met = met.select("id", c.alias("part"), _key(c, g, 0, F.col("o"), F.col("o")).alias("key"))
+    return own.unionByName(met).select("*", F.lit(False).alias("cross"), F.lit(0).alias("side"))
+
+
+def _straggler_keys(large: DataFrame, parts: DataFrame) -> DataFrame:
+    """Keys where the sets outside of their group's largest component meet all blocks of sets of similar size."""
+    rooted = large.join(parts.select(F.col("node").alias("id"), F.col("component").alias("root")), "id", "left")
+    rooted = cut(rooted.withColumn("root", F.coalesce("root", "id")))
+    first = rooted.groupBy("component", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("component").agg(F.max_by("root", F.struct("k", "root")).alias("first"))
+    apart = cut(rooted.join(first, "component").where("root <> first").drop("first", "root", "blocks", "t"))
+    few = _blocks(apart).withColumnRenamed("blocks", "some")
+    side = lambda rows, band, d, i, j, which: rows.select(
+        "id", F.col("component").alias("part"), _key(F.col("component"), band, d + 2, i, j).alias("key"), F.lit(True).alias("cross"), F.lit(which).alias("side")
+    )
+    blocks = large.select("component", "g", "blocks").distinct()
+    apart = apart.join(few, ["component", "g"]).withColumn("s", F.pmod(F.xxhash64("id"), F.col("some")).cast("int"))
+    out = None
+    g, o = F.col("g"), F.col("o")
+    for d in (-1, 0, 1):  # the stragglers' band is the block's and d
+        held = large.join(few.withColumn("g", g - d), ["component", "g"]).withColumn("o", F.explode(_numbers(F.col("some"))))
+        sent = apart.join(blocks.withColumn("g", g + d), ["component", "g"]).withColumn("o", F.explode(_numbers(F.col("blocks"))))
+        both = side(held, g, d, F.col("t"), o, 0).unionByName(side(sent, g - d, d, o, F.col("s"), 1))
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
+def group_links(docs: DataFrame, member: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): edges that span the components of the link graph inside the groups of ``member`` (id, n, component)."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     of = member.groupBy("component").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("docs"))
     of = cut(of.where("docs > 1"))
     big = (F.col("tokens") > BLOCK_SHINGLES) | (F.col("docs") > BLOCK_DOCS)
-    total = of.where(~big).agg(F.sum("tokens")).first()[0] or 0
-    tasks = max(1, math.ceil(total / BLOCK_SHINGLES), 2 * int(member.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    small = member.join(of.where(~big).select("component"), "component").select(
-        "id",
-        F.col("component").alias("part"),
-        F.struct(
-            F.lit(-1).cast("long").alias("c"),
-            F.lit(0).alias("g"),
-            F.lit(0).alias("x"),
-            F.pmod(F.xxhash64("component"), F.lit(tasks)).cast("int").alias("i"),
-            F.lit(0).alias("j"),
-        ).alias("key"),
-        F.lit(False).alias("cross"),
-        F.lit(0).alias("side"),
-    )
-    if of.where(big).isEmpty():
-        return small
-    g = F.floor(F.log("n") / F.lit(math.log(100 / percent))).cast("int")
-    large = member.join(of.where(big).select("component"), "component").withColumn("g", g)
-    bands = large.groupBy("component", "g").agg(
-        F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_DOCS)).cast("int").alias("blocks")
-    )
-    w = W.partitionBy("component").orderBy("g")  # some tens of rows: one for each band of sizes
-    bands = bands.withColumn("up", F.when(F.lead("g").over(w) == F.col("g") + 1, F.lead("blocks").over(w))).withColumn(
-        "down", F.when(F.lag("g").over(w) == F.col("g") - 1, F.lag("blocks").over(w))
-    )
-    placed = large.join(bands, ["component", "g"]).withColumn(
-        "t", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    )
 
-    def keys(count, band, x, i, j, side):
-        numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(
-            numbers,
-            lambda o: F.struct(
-                F.struct(
-                    F.col("component").alias("c"),
-                    band.alias("g"),
-                    F.lit(x).alias("x"),
-                    i(o).alias("i"),
-                    j(o).alias("j"),
-                ).alias("key"),
-                (F.lit(x == 1) | (F.col("t") != o)).alias("cross"),
-                side(o).cast("int").alias("side"),
-            ),
-        )
-
-    t, own = F.col("t"), F.col("g")
-    meets = F.concat(
-        keys(F.col("blocks"), own, 0, lambda o: F.least(t, o), lambda o: F.greatest(t, o), lambda o: t > o),
-        keys(F.col("up"), own, 1, lambda o: t, lambda o: o, lambda o: F.lit(0)),
-        keys(F.col("down"), own - 1, 1, lambda o: o, lambda o: t, lambda o: F.lit(1)),
-    )
-    large = placed.select("id", F.col("component").alias("part"), F.explode(meets).alias("m")).select(
-        "id", "part", "m.key", "m.cross", "m.side"
-    )
-    return small.unionByName(large)
+    def search(keys: DataFrame) -> DataFrame:
+        return cut(_texts_of(docs, keys).groupBy("key").applyInArrow(_trees(k, percent), "a long, b long"))
+
+    small = _small_keys(member, of.where(~big), partitions)
+    if of.where(big).isEmpty():
+        return search(cut(small))
+    g = F.floor(F.log("n") / F.lit(math.log(100 / percent))).cast("int") if percent < 100 else F.lit(0)
+    large = cut(member.join(of.where(big).select("component"), "component").withColumn("g", g))
+    large = cut(large.join(_blocks(large), ["component", "g"]).withColumn("t", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    found = search(cut(small.unionByName(_own_keys(large))))
+    return found.unionAll(search(cut(_straggler_keys(large, connected_components(found)))))
 
 
 def _texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -341,8 +367,9 @@ def jaccard_components(
     blobs = "r int, blob binary, links binary"
     sets = cut(docs.mapInArrow(_describe(k), "id long, n long, h1 long, h2 long"))
     filled = sets.where("n > 0 and id is not null")
-    reps = cut(filled.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep")))
-    same = filled.join(reps, ["n", "h1", "h2"]).where("id != rep")
+    reps = cut(filled.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("f")))
+    more = reps.where("f > 1").select("n", "h1", "h2", "rep", "f")
+    same = join_by_key(filled, more, ["n", "h1", "h2"], "f", hot_bar(filled.count())).where("id != rep")
     copies = cut(same.select(F.col("id").alias("a"), F.col("rep").alias("b")))
     shared = docs.mapInArrow(_list(k, percent, ranges), blobs).groupBy("r").applyInArrow(_shared_counts, "a long, c long")
     shared = shared.groupBy("a").agg(F.sum("c").alias("c"))
@@ -350,8 +377,8 @@ def jaccard_components(
     near = cut(near.select("a", "n", F.col("rep").alias("id")))
     parts = cut(_texts_of(docs, near.select("id")).mapInArrow(_parts(k, percent), "a long, key long, s int, need int"))
     keyed = parts.where("key is not null").select("a", "key")
-    centres = keyed.groupBy("key").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("f")).where("f > 1").select("key", "b")
-    met = keyed.join(centres, "key").groupBy("a", F.col("key").bitwiseAND(127).cast("int").alias("s"), "b")
+    centres = keyed.groupBy("key").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("f")).where("f > 1")
+    met = join_by_key(keyed, centres, ["key"], "f", hot_bar(keyed.count())).groupBy("a", F.col("key").bitwiseAND(127).cast("int").alias("s"), "b")
     met = cut(met.agg(F.count(F.lit(1)).alias("c")))
     needs = parts.where("key is null").select("a", "s", "need").distinct()
     alive = needs.join(met.groupBy("a", "s").agg(F.sum("c").alias("c")), ["a", "s"]).where("c >= need")
@@ -361,9 +388,7 @@ def jaccard_components(
     groups = connected_components(kept.select("a", "b"))
     member = near.join(alive.select("a").distinct(), "a").join(groups.withColumnRenamed("node", "a"), "a")
     member = cut(member.select("id", "n", "component"))
-    keys = cut(_keys(member, percent))
-    found = _texts_of(docs, keys).groupBy("key").applyInArrow(_trees(k, percent), "a long, b long")
-    parts = connected_components(cut(found).unionAll(copies))
+    parts = connected_components(group_links(docs, member, k, percent).unionAll(copies))
     return sets.join(parts.withColumnRenamed("node", "id"), "id", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
     )

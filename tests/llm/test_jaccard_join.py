@@ -64,6 +64,27 @@ def test_same_as_brute_force(spark, monkeypatch, k, percent, blocks):
     assert got == brute(rows, k, percent)
 
 
+def test_large_groups(spark, monkeypatch):
+    """Near copies of a few texts, chains of drifting copies and a passage that all share, over many small blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", 12)
+    r = random.Random(4)
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for base in range(3):
+        words = passage + [f"b{base}x{i}" for i in range(30)]
+        for k in range(60):
+            copy = list(words)
+            for _ in range(r.choice([0, 1, 1, 2, 5])):
+                copy[r.randrange(len(copy))] = f"v{r.randrange(99)}"
+            texts.append(" ".join(copy))
+            if k % 6 == 0:
+                words = copy + [f"d{r.randrange(999)}"]
+    rows = list(enumerate(texts))
+    r.shuffle(rows)
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert sorted(tuple(x) for x in got) == brute(rows, 5, 80)
+
+
 def test_hard_rows(spark):
     rows = [(5, None), (3, ""), (9, " \t\n"), (8, "One"), (2, "one"), (7, "a b c d e"), (7, "a b c d e"), (None, "a b c d e"), (1, "x " * 300_000), (4, "X " * 300_001)]
     docs = spark.createDataFrame([(i, t, i, "z") for i, t in rows], "doc_id long, text string, component long, node string")
