@@ -14,8 +14,9 @@ if one of them is no placeholder.
 
 A document leaks an item if the matched windows are at least ``cover`` of the item's windows or ``least`` of them, or if
 so many of the windows that have a template match with their whole template. ``matched_windows`` and ``item_windows``
-are those of the larger share. The benchmark is taken in shards of bounded size, so the table that tasks hold is bounded; each further shard is one more
-pass over the documents.
+are those of the larger share. The benchmark is taken in shards of bounded size, so the table that tasks hold is bounded.
+With more than one shard, one pass over the documents first tells, by a bit array of all windows' hashes (bounded, too),
+which documents can match at all; only those go on to the shards. So every document is read once for a benchmark of any size.
 
 Nulls: null or empty texts and items match nothing. Items of fewer tokens than ``window`` match by one window of all
 their tokens, those of fewer than ``SHORTEST`` only as plain tokens: an item of one common word is in many texts. Rows that repeat a doc_id or an item_id are reported once
@@ -32,8 +33,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ironsieve.llm.textvec import HashIndex, code_points, letter_table, lower_table, mix, portions, slabs, span_hashes
+from ironsieve.session import cut
 
 WINDOW, SHORTEST, COVER, LEAST = 8, 5, 0.3, 12
 #: Characters of benchmark text in a shard, about.
@@ -181,7 +184,7 @@ class Benchmark:
         #: By item: starts of windows that are their own template or have one of the same length; all that have one.
         self.regular: list[set[int]] = [set() for _ in texts]
         self.admitted = np.zeros(len(texts), np.int64)
-        self.sizes = {int(n): None for n in np.unique(np.minimum(size, window)) if n}
+        self.sizes: dict[int, tuple] = {int(n): () for n in np.unique(np.minimum(size, window)) if n}
         for n in self.sizes:
             found = []
             for form, values in enumerate((tok.hash, template)):
@@ -211,68 +214,138 @@ class Benchmark:
             h = spans(template, tok.at[item], tok.at[item + 1])
             self.bare[int(n)] = table(h, item, np.full(len(item), -1))
 
+    def hashes(self) -> np.ndarray:
+        """Of all windows."""
+        found = [*self.sizes.values(), self.grown, *self.bare.values()]
+        return np.concatenate([np.empty(0, np.uint64), *(x[0].keys[x[0].rows >= 0] for x in found)])
+
+    def shape(self) -> Shape:
+        return Shape(self.window, tuple(self.sizes), bool(len(self.grown[2])), tuple(self.bare))
+
     def matches(self, texts: list[str | None]) -> list[tuple[int, int, int, int, bool]]:
         """(row, item number, matched windows, windows counted, whether some slot differs) of every leak."""
         tok = tokens(texts)
-        template = tok.template()
-        # (row, item) -> alignment -> starts of plain windows, start of a template window (-1: the item) -> its place
-        hits = defaultdict(lambda: defaultdict(lambda: (set(), {})))
-        out = []
-
-        def look(found: tuple, at: np.ndarray, end: np.ndarray, h: np.ndarray, form: int) -> None:
-            index, edge, item, pos = found
+        out, hits = [], []
+        for form, n, at, end, h in self.shape().windows(tok):
+            index, edge, item, pos = self.sizes[n] if form in ("plain", "template") else self.grown if form == "grown" else self.bare[n]
             got = index.find(h)
-            for k in np.flatnonzero(got >= 0):
-                a, b, row = int(at[k]), int(end[k]), int(tok.row[at[k]])
-                for x in range(edge[got[k]], edge[got[k] + 1]):
-                    p = int(pos[x])
-                    plain, loose = hits[row, int(item[x])][a - max(p, 0)]
-                    if form:
-                        loose[p] = (a, b)
-                    else:
-                        plain.add(p)
-
-        for n, found in self.sizes.items():
-            at, h = windows(tok.hash, tok.row, n)
-            if n < SHORTEST:
-                index, edge, item, _ = found
-                got = index.find(h)
-                for row, g in {(int(tok.row[at[k]]), int(got[k])) for k in np.flatnonzero(got >= 0)}:
-                    out.extend((row, int(i), 1, 1, False) for i in item[edge[g] : edge[g + 1]])
+            k = np.flatnonzero(got >= 0)
+            many = edge[got[k] + 1] - edge[got[k]]
+            x = np.repeat(edge[got[k]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            row, k = tok.row[np.repeat(at[k], many)], np.repeat(k, many)
+            if form == "plain" and n < SHORTEST:
+                out += [(int(r), int(i), 1, 1, False) for r, i in set(zip(row.tolist(), item[x].tolist(), strict=True))]
                 continue
-            look(found, at, at + n, h, 0)
-            at, h = windows(template, tok.row, n)
-            some = fits(tok.kind, at, n, self.window)
-            look(found, at[some], at[some] + n, h[some], 1)
-        if len(self.grown[2]):
+            hits.append(np.stack([row, item[x], at[k] - np.maximum(pos[x], 0), pos[x], at[k], end[k], np.full(len(k), form != "plain")]))
+        if not hits:
+            return out
+        hits = np.concatenate(hits, axis=1)
+        hits = hits[:, np.lexsort((hits[3], hits[1], hits[0]))]
+        new = np.ones(hits.shape[1], bool)
+        new[1:] = (hits[:2, 1:] != hits[:2, :-1]).any(axis=0)
+        # pairs of a text and an item with fewer hits than a leak needs go at once
+        start = np.flatnonzero(new)
+        places = new.copy()
+        places[1:] |= hits[3, 1:] != hits[3, :-1]
+        if len(start):
+            most = np.add.reduceat(places.astype(np.int64), start)
+            own = hits[1, start]
+            need = np.stack([self._need(self.windows[own]), self._need(self.admitted[own])])
+            fine = (most >= need.min(axis=0)).tolist()
+            for s, e, go in zip(start, [*start[1:], hits.shape[1]], fine, strict=True):
+                if go:
+                    out += self._leak(tok, texts, hits[:, s:e])
+        return out
+
+    def _need(self, n: np.ndarray) -> np.ndarray:
+        """So many matched windows of n make a leak."""
+        return np.where(n > 0, np.minimum(self.least, np.maximum(1, self.cover * n)), np.inf)
+
+    def _leak(self, tok: Tokens, texts: list[str | None], hits: np.ndarray) -> list[tuple[int, int, int, int, bool]]:
+        """The leak of one item in one text, if it is one."""
+        row, item = int(hits[0, 0]), int(hits[1, 0])
+        # alignment -> starts of plain windows, start of a template window (-1: the item) -> its place
+        by = defaultdict(lambda: (set(), {}))
+        for shift, p, a, b, loose in hits[2:].T.tolist():
+            if loose:
+                by[shift][1][p] = (a, b)
+            else:
+                by[shift][0].add(p)
+        matched, typed, differs = set(), set(), False
+        for plain, loose in by.values():
+            sure = {p for p in plain if p in self.regular[item]}
+            loose = {p: w for p, w in loose.items() if p not in sure}
+            if loose:
+                means: dict[str, set[str]] = defaultdict(set)
+                for p, (a, b) in loose.items():
+                    for q in range(b - a):
+                        if tok.kind[a + q]:
+                            own = texts[row][tok.start[a + q] : tok.end[a + q]].lower()
+                            means[self.slots[item][max(p, 0) + q]].add(own)
+                if all(len(v) == 1 for v in means.values()):
+                    sure |= set(loose)
+                    differs |= any(k not in v for k, v in means.items())
+            typed |= sure
+            matched |= plain | {p for p in sure if p >= 0}
+        counts = [(len(matched), int(self.windows[item])), (len(typed), int(self.admitted[item]))]
+        leaks = [(m / n, m, n) for m, n in counts if n and m >= min(self.least, max(1, self.cover * n))]
+        return [(row, item, *max(leaks)[1:], differs)] if leaks else []
+
+
+@dataclass
+class Shape:
+    """Which windows of a text can match: lengths of plain windows, whether there are lengthened ones, and of which
+    lengths whole items are matched by their template."""
+
+    window: int
+    sizes: tuple[int, ...]
+    grown: bool
+    bare: tuple[int, ...]
+
+    def __or__(self, other: Shape) -> Shape:
+        return Shape(self.window, tuple(sorted({*self.sizes, *other.sizes})), self.grown or other.grown, tuple(sorted({*self.bare, *other.bare})))
+
+    def windows(self, tok: Tokens) -> Iterator[tuple[str, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(form, length, first tokens, ends, hashes)."""
+        template = tok.template()
+        for n in self.sizes:
+            at, h = windows(tok.hash, tok.row, n)
+            yield "plain", n, at, at + n, h
+            if n >= SHORTEST:
+                at, h = windows(template, tok.row, n)
+                some = fits(tok.kind, at, n, self.window)
+                yield "template", n, at[some], at[some] + n, h[some]
+        if self.grown:
             at, end = grown(tok, self.window)
-            look(self.grown, at, end, spans(template, at, end), 1)
-        for n, found in self.bare.items():
+            yield "grown", 0, at, end, spans(template, at, end)
+        for n in self.bare:
             at = np.arange(max(0, len(tok.row) - n + 1))
             at = at[tok.row[at] == tok.row[at + n - 1]]
-            look(found, at, at + n, spans(template, at, at + n), 1)
-        for (row, item), by in hits.items():
-            matched, typed, differs = set(), set(), False
-            for plain, loose in by.values():
-                sure = {p for p in plain if p in self.regular[item]}
-                loose = {p: w for p, w in loose.items() if p not in sure}
-                if loose:
-                    means: dict[str, set[str]] = defaultdict(set)
-                    for p, (a, b) in loose.items():
-                        for q in range(b - a):
-                            if tok.kind[a + q]:
-                                own = texts[row][tok.start[a + q] : tok.end[a + q]].lower()
-                                means[self.slots[item][max(p, 0) + q]].add(own)
-                    if all(len(v) == 1 for v in means.values()):
-                        sure |= set(loose)
-                        differs |= any(k not in v for k, v in means.items())
-                typed |= sure
-                matched |= plain | {p for p in sure if p >= 0}
-            counts = [(len(matched), int(self.windows[item])), (len(typed), int(self.admitted[item]))]
-            leaks = [(m / n, m, n) for m, n in counts if n and m >= min(self.least, max(1, self.cover * n))]
-            if leaks:
-                _, m, n = max(leaks)
-                out.append((row, item, m, n, differs))
+            yield "bare", n, at, at + n, spans(template, at, at + n)
+
+
+class Screen:
+    """A bit for the first bits of every window hash of the whole benchmark: texts without a set bit match nothing."""
+
+    def __init__(self, windows: int):
+        self.bits = min(30, max(10, int(16 * windows).bit_length()))
+        self.set = np.zeros(1 << (self.bits - 3), np.uint8)
+        self.shape: Shape | None = None
+
+    def _place(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        return at >> 3, np.uint8(1) << (at & 7).astype(np.uint8)
+
+    def add(self, shard: Benchmark) -> None:
+        np.bitwise_or.at(self.set, *self._place(shard.hashes()))
+        self.shape = shard.shape() | self.shape if self.shape else shard.shape()
+
+    def rows(self, texts: list[str | None]) -> np.ndarray:
+        """Whether each text may match."""
+        tok, out = tokens(texts), np.zeros(len(texts), bool)
+        for _, _, at, _, h in self.shape.windows(tok):
+            byte, bit = self._place(h)
+            out[tok.row[at[(self.set[byte] & bit) > 0]]] = True
         return out
 
 
@@ -297,12 +370,40 @@ def fits(kind: np.ndarray, at: np.ndarray, n: int, window: int) -> np.ndarray:
     return (inside > 0) & (n - inside >= (min(_LITERAL, n - 1) if n == window else 1))
 
 
-def _shards(bench: DataFrame, id_col: str, text_col: str, window: int, cover: float, least: int) -> Iterator[Benchmark]:
-    size = bench.agg(F.sum(F.length(text_col))).first()[0] or 0
-    n = -(-size // SHARD)
-    for s in range(n):
-        part = bench.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(n)) == s).select(id_col, text_col)
-        yield Benchmark([(r[0], r[1]) for r in part.orderBy(id_col, text_col).collect()], window, cover, least)
+class Shards:
+    """The benchmark in shards, each built when it is its turn: (id, text) columns, and how windows are made and counted."""
+
+    def __init__(self, bench: DataFrame, id_col: str, text_col: str, window: int, cover: float, least: int):
+        self.bench, self.columns, self.how = bench.select(id_col, text_col), (id_col, text_col), (window, cover, least)
+        self.chars = bench.agg(F.sum(F.length(text_col))).first()[0] or 0
+        self.count = -(-self.chars // SHARD)
+
+    def __iter__(self) -> Iterator[Benchmark]:
+        for s in range(self.count):
+            part = self.bench.where(F.pmod(F.xxhash64(*self.columns), F.lit(self.count)) == s)
+            yield Benchmark([(r[0], r[1]) for r in part.orderBy(*self.columns).collect()], *self.how)
+
+    def screen(self) -> Screen:
+        out = Screen(self.chars // 3)  # about two windows, as they are and as templates, for each word
+        for shard in self:
+            out.add(shard)
+        return out
+
+
+_MAYBE = "__may_match"
+
+
+def _screened(docs: DataFrame, text_col: str, screen: Screen) -> DataFrame:
+    """``docs`` and whether a row may match."""
+    held = docs.sparkSession.sparkContext.broadcast(screen)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            may = [held.value.rows(texts) for _, texts in portions(batch.column(place))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.empty(0, bool), *may]))], [*batch.schema.names, _MAYBE])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(_MAYBE, T.BooleanType())]))
 
 
 def leaked_items(
@@ -319,8 +420,13 @@ def leaked_items(
     """(doc_id, item_id, matched_windows, item_windows, coverage, reparameterised): a row for each leak."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, matched_windows int, item_windows int, reparameterised boolean"
+    names, types = zip(*((x.split()[0], {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[x.split()[1]]) for x in schema.split(", ")), strict=True)
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    shards = Shards(bench, item_col, item_text_col, window, cover, least)
+    if shards.count > 1:
+        docs = cut(_screened(docs, "text", shards.screen()).where(_MAYBE).drop(_MAYBE))
     out = spark.createDataFrame([], schema)
-    for shard in _shards(bench, item_col, item_text_col, window, cover, least):
+    for shard in shards:
         held = spark.sparkContext.broadcast(shard)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -328,18 +434,10 @@ def leaked_items(
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 for at, texts in portions(batch.column(1)):
-                    for row, item, n, of, differs in b.matches(texts):
-                        yield pa.RecordBatch.from_pydict(
-                            {
-                                "doc_id": pa.array([ids[at + row]], pa.int64()),
-                                "item_id": pa.array([b.ids[item]], pa.int64()),
-                                "matched_windows": pa.array([n], pa.int32()),
-                                "item_windows": pa.array([of], pa.int32()),
-                                "reparameterised": pa.array([differs]),
-                            }
-                        )
-
-        out = out.unionAll(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema))
+                    found = [(ids[at + row], b.ids[item], n, of, differs) for row, item, n, of, differs in b.matches(texts)]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(types)], names)
+
+        out = out.unionAll(docs.mapInArrow(run, schema))
     best = out.groupBy("doc_id", "item_id").agg(
         F.max(F.struct("matched_windows", "item_windows", "reparameterised")).alias("m")
     )
@@ -350,18 +448,24 @@ def leaked_items(
 
 def drop_leaks(docs: DataFrame, bench: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that leak no item, with all their columns."""
-    spark = docs.sparkSession
-    window, cover, least = (options.get(k, v) for k, v in (("window", WINDOW), ("cover", COVER), ("least", LEAST)))
-    place = docs.columns.index(text_col)
-    for shard in _shards(bench, "item_id", "text", window, cover, least):
+    spark, columns, schema = docs.sparkSession, docs.columns, docs.schema
+    shards = Shards(bench, "item_id", "text", *(options.get(k, v) for k, v in (("window", WINDOW), ("cover", COVER), ("least", LEAST))))
+    place, screened = columns.index(text_col), shards.count > 1
+    if screened:
+        docs = _screened(docs, text_col, shards.screen())
+        schema = docs.schema
+    for shard in shards:
         held = spark.sparkContext.broadcast(shard)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for at, texts in portions(batch.column(place)):
-                    keep[[at + row for row, *_ in held.value.matches(texts)]] = False
+                may = np.flatnonzero(batch.column(len(columns))) if screened else None
+                own = batch.column(place) if may is None else batch.column(place).take(pa.array(may))
+                for at, texts in portions(own):
+                    rows = [at + row for row, *_ in held.value.matches(texts)]
+                    keep[rows if may is None else may[rows]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        docs = docs.mapInArrow(run, schema)
+    return docs.drop(_MAYBE) if screened else docs

@@ -105,6 +105,124 @@ def test_benchmark_passages_are_found_by_plain_search_too(spark):
     assert plain <= got and len(got - plain) <= 1
 
 
+def plain_tokens(text):
+    """(lower-cased token, kind, is literal) of a text, by the rules of the docstring."""
+    out, before = [], None
+    for m in re.finditer(r"[^\W\d_]+|[0-9](?:[.,](?=[0-9])|[0-9])*", text or ""):
+        raw, low = m[0], m[0].lower()
+        begins = before is None or re.search(r"[.!?:;|\n]", text[before : m.start()])
+        kind = ""
+        if raw[0].isdigit() or low in dc.NUMBER_WORDS:
+            kind = "n"
+        elif out and out[-1][1] == "n" and low in dc.UNITS:
+            kind = "u"
+        elif len(raw) > 1 and raw[0] != raw[0].lower() and raw[1] == raw[1].lower() and (not begins or low in dc.FIRST_NAMES):
+            kind = "p"
+        out.append((low, kind))
+        before = m.end()
+    return out
+
+
+def every_window(t, n, whole):
+    """{(form, start): (key, end)} of a token list: plain, template and lengthened windows of n tokens."""
+    out = {}
+    shape = [k or w for w, k in t]
+    for p in range(len(t) - n + 1):
+        if whole and len(t) != n:
+            break
+        out["plain", p] = ("plain", *(w for w, _ in t[p : p + n])), p + n
+        slots = sum(bool(k) for _, k in t[p : p + n])
+        if n >= dc.SHORTEST and slots and n - slots >= (5 if n == dc.WINDOW else 1):
+            out["template", p] = ("template", *zip(shape[p : p + n], [bool(k) for _, k in t[p : p + n]], strict=True)), p + n
+    for p in range(len(t)) if n == dc.WINDOW else ():
+        literal = [q for q in range(p, len(t)) if not t[q][1]][:5]
+        if len(literal) == 5 and literal[-1] + 1 > p + n:
+            end = literal[-1] + 1
+            out["grown", p] = ("grown", *zip(shape[p:end], [bool(k) for _, k in t[p:end]], strict=True)), end
+    return out
+
+
+def leaks_by_hand(docs, items):
+    out = {}
+    told = {i: (t, plain_tokens(t)) for i, t in items}
+    for d, text in docs:
+        own = plain_tokens(text)
+        for i, (_, t) in told.items():
+            if not t:
+                continue
+            n = min(dc.WINDOW, len(t))
+            have = every_window(t, n, n < dc.WINDOW)
+            regular = {p for (form, p), _ in have.items() if form == "template" or form == "plain" and (n < dc.WINDOW or not any(k for _, k in t[p : p + n]))}
+            admitted, total = len(regular) + sum(form == "grown" for form, _ in have), max(1, len(t) - n + 1)
+            bare = n == dc.WINDOW and not admitted and any(not k for _, k in t)
+            seen = every_window(own, n, False)
+            if bare:
+                admitted = 1
+                whole = tuple((k or w, bool(k)) for w, k in t)
+                mine = [(k or w, bool(k)) for w, k in own]
+                seen |= {("bare", p): (whole, p + len(t)) for p in range(len(own) - len(t) + 1) if tuple(mine[p : p + len(t)]) == whole}
+                have["bare", -1] = whole, len(t)
+            by, where = {}, {}
+            for (_, p), (key, _) in have.items():
+                where.setdefault(key, []).append(p)
+            for (form, a), (key, end) in seen.items():
+                for p in where.get(key, ()):
+                    plain, loose = by.setdefault(a - max(p, 0), (set(), {}))
+                    if form == "plain":
+                        plain.add(p)
+                    else:
+                        loose[p] = a, end
+            if n < dc.SHORTEST:
+                if by:
+                    out[d, i] = 1, 1, False
+                continue
+            matched, typed, differs = set(), set(), False
+            for plain, loose in by.values():
+                sure = plain & regular
+                loose = {p: w for p, w in loose.items() if p not in sure}
+                means = {}
+                for p, (a, end) in loose.items():
+                    for q in range(end - a):
+                        if own[a + q][1]:
+                            means.setdefault(t[max(p, 0) + q][0], set()).add(own[a + q][0])
+                if loose and all(len(v) == 1 for v in means.values()):
+                    sure = sure | set(loose)
+                    differs |= any({k} != v for k, v in means.items())
+                typed |= sure
+                matched |= plain | {p for p in sure if p >= 0}
+            fits = [(m / x, m, x) for m, x in ((len(matched), total), (len(typed), admitted)) if x and m >= min(dc.LEAST, max(1, dc.COVER * x))]
+            if fits:
+                out[d, i] = (*max(fits)[1:], differs)
+    return out
+
+
+def test_leaks_against_brute_force(spark, monkeypatch):
+    import random
+
+    r = random.Random(12)
+    words = "the a of and farmer train sells buys apples baskets each then how many much does have left in to speed road per total price find".split()
+    fill = lambda: r.choice([str(r.randrange(99)), f"{r.randrange(9)}.{r.randrange(9)}", "seven", f"{r.randrange(50)} km", f"{r.randrange(50)} dollars", "Anna", "Bob", r.choice(words), r.choice(words), r.choice(words), r.choice(words)])
+    items = [(k, " ".join(fill() for _ in range(r.choice([3, 6, 8, 12, 20, 30]))) + r.choice([".", "?", ""])) for k in range(40)] + [(99, None), (98, ""), (40, "the a of")]
+    docs = []
+    for k in range(60):
+        parts = []
+        for _ in range(r.randrange(1, 4)):
+            text = items[r.randrange(40)][1]
+            if r.random() < 0.5:
+                a, b = str(r.randrange(99)), r.choice(["Maria", "Carol", "8.5"])
+                text = re.sub(r"\b\d+\b", a, text) if r.random() < 0.5 else text.replace("Anna", b)
+            parts += [" ".join(r.choices(words, k=r.randrange(12))), text if r.random() < 0.8 else text[: len(text) // 2]]
+        docs.append((k, ". ".join(parts)))
+    docs += [(k, t) for k, t in enumerate((None, "", "Anna has 3 apples"), 100)]
+    want = leaks_by_hand(docs, items)
+    for shard in (dc.SHARD, 300):
+        monkeypatch.setattr(dc, "SHARD", shard)
+        got, d, b = _leaks(spark, docs, items)
+        assert {k: (v.matched_windows, v.item_windows, v.reparameterised) for k, v in got.items()} == want
+        assert {x.doc_id for x in dc.drop_leaks(d, b).collect()} == {i for i, _ in docs} - {i for i, _ in want}
+    assert len(want) > 60 and any(v[2] for v in want.values()) and any(not v[2] for v in want.values())
+
+
 # 5, 6: classifiers
 
 
