@@ -15,10 +15,58 @@ OP1 = f"""WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, l
 SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(component, v.vec_id) AS component_id, coalesce(component, v.vec_id) = v.vec_id AS kept
 FROM v LEFT JOIN n ON n.a = v.vec_id LEFT JOIN least ON least.a = v.vec_id"""
 
-OP2 = f"""WITH h AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UP}', '{_LOW}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
- r AS (SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) t(v, rh, rp)),
+# the longest fitting rule of k (host, path): k.v, k.rule
+_RULES = "(VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) t(v, rh, rp)"
+
+
+def _host(url: str) -> str:
+    return f"translate(regexp_extract(coalesce({url}, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UP}', '{_LOW}')"
+
+
+def _path(url: str) -> str:
+    return f"regexp_extract(coalesce({url}, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+
+
+def _key(url: str) -> str:
+    return f"{_host(url)} || regexp_extract({url}, '(?s)^.*?://[^/?#]*([^#]*)', 1)"
+
+
+def _plain(path: str) -> str:
+    """An absolute path without dot segments."""
+    fold = (
+        f"list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(string_split({path}, '/')[2:], lambda x: [x])),"
+        " lambda done, x: CASE WHEN x[1] = '..' THEN list_slice(done, 1, greatest(len(done) - 1, 0)) WHEN x[1] = '.' THEN done ELSE list_concat(done, x) END)"
+    )
+    end = f"CASE WHEN regexp_matches({path}, '/\\.\\.?$') THEN [''] ELSE CAST([] AS VARCHAR[]) END"
+    return f"CASE WHEN regexp_matches({path}, '/\\.\\.?(?:/|$)') THEN '/' || array_to_string(list_concat({fold}, {end}), '/') ELSE {path} END"
+
+
+def _resolved(base: str, target: str) -> str:
+    """The absolute url of a link's target, null if it is of another scheme."""
+    scheme = f"regexp_extract({base}, '(?s)^([^:/?#]*)://', 1)"
+    root = f"({scheme} || '://' || {_host(base)})"
+    folder = f"('/' || regexp_extract({_path(base)}, '(?s)^/(.*/)?', 1) || regexp_extract({target}, '(?s)^[^?#]*'))"
+    rest = f"regexp_extract({target}, '(?s)^[^?#]*(.*)$', 1)"
+    return (
+        f"CASE WHEN regexp_matches({target}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {target} WHEN starts_with({target}, '//') THEN {scheme} || ':' || {target}"
+        f" WHEN starts_with({target}, '/') THEN {root} || {_plain(f"regexp_extract({target}, '(?s)^[^?#]*')")} || {rest} WHEN starts_with({target}, '?') THEN {root} || {_path(base)} || {target}"
+        f" WHEN starts_with({target}, '#') THEN {base} WHEN {target} <> '' AND NOT regexp_matches({target}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {root} || {_plain(folder)} || {rest} END"
+    )
+
+
+_NAMED = """(?is)(?:\\bhref\\s*=|\\burl\\s*=)\\s*["'']?\\s*([^"''\\s>]+)"""
+OP2 = f"""WITH RECURSIVE r AS (SELECT * FROM {_RULES}),
+ tags AS (SELECT url, html, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*>')) AS tag FROM pages WHERE contains(url, '://')),
+ named AS (SELECT url, regexp_extract(html, '(?is)<base\\b[^>]*?\\bhref\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1) AS base, replace(regexp_extract(tag, '{_NAMED}', 1), '&amp;', '&') AS target FROM tags
+  WHERE regexp_matches(tag, '(?is)\\brel\\s*=\\s*["'']?[^"''>]*\\bcanonical\\b') OR regexp_matches(tag, '(?is)\\bhttp-equiv\\s*=\\s*["'']?refresh\\b')),
+ based AS (SELECT url, coalesce({_resolved("url", "base")}, url) AS base, target FROM named),
+ whole AS (SELECT url, {_resolved("base", "target")} AS target FROM based),
+ e AS (SELECT DISTINCT {_key("url")} AS a, {_key("target")} AS b FROM whole WHERE contains(target, '://') AND {_key("url")} <> {_key("target")}){_REACH},
+ h AS (SELECT page_id, {_host("url")} AS host, {_path("url")} AS path, CASE WHEN contains(url, '://') THEN {_key("url")} END AS key FROM pages),
+ alias AS (SELECT a, component, {_host("('x://' || a)")} AS host, {_path("('x://' || a)")} AS path FROM least),
+ told AS (SELECT component, CASE WHEN bool_or(v = 'allow') THEN 'allow' ELSE 'block' END AS v FROM (SELECT component, arg_max(v, length(rh || rp)) AS v FROM alias JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY component, a) GROUP BY 1),
  m AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v FROM h JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY 1)
-SELECT h.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM h LEFT JOIN m USING (page_id)"""
+SELECT h.page_id, h.host, h.path, rule, coalesce(m.v, told.v, 'allow') AS verdict FROM h LEFT JOIN m USING (page_id) LEFT JOIN least ON least.a = h.key LEFT JOIN told USING (component)"""
 
 OP3 = f"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
  s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),

@@ -135,6 +135,25 @@ def test_relative_targets(spark):
     assert {r.page_id: r.verdict for r in filter_urls(pages, q.URL_RULES).collect()} == {1: "block", 2: "allow"}
 
 
+def test_urls_same_as_sql_on_linked_pages(spark, tmp_path):
+    import random
+
+    r = random.Random(3)
+    hosts = ["a.net", "b.net", "www.example.com", "shop.example.com", "c.org", "D.org", "x.com"]
+    at = lambda: f"{r.choice(['http', 'https'])}://{r.choice(hosts)}/{r.choice(['es/', 'fr/', 'en/', 'it/', ''])}{r.randrange(12)}{r.choice(['', '', '?q=1', '#f'])}"
+    link = lambda t: r.choice([f'<link rel="canonical" href="{t}">', f"<META http-equiv='refresh' content='0; url={t}'>", f"<link href={t} rel=canonical>", f'<link rel="stylesheet" href="{t}">'])
+    target = lambda: r.choice([at(), at(), "../fr/3", "4", "/es/./x/../5", "?id=3", "#top", "mailto:x@y.z", "//b.net/it/2", "./.."])
+    rows = []
+    for k in range(400):
+        html = "".join(link(target()) for _ in range(r.choice([0, 0, 1, 1, 2])))
+        rows.append((k, at() if r.random() < 0.95 else r.choice([None, "no url", ""]), (r.choice(["", "", '<base href="/fr/">']) + html) if r.random() < 0.95 else None))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    df.toPandas().to_parquet(tmp_path / "pages.parquet")
+    got = filter_urls(df, q.URL_RULES).drop("component")
+    assert difference(got, views(str(tmp_path)), q.oracle_sql()["op2_url_filter"]) == ""
+    assert len({(x.rule, x.verdict) for x in got.where("rule is null").collect()}) == 2
+
+
 def test_urls_by_rule_table(spark):
     pages = read_table(spark, SF, "pages")
     rules = spark.createDataFrame(list(q.URL_RULES), "verdict string, host string, path string")
