@@ -7,11 +7,11 @@ words of the whole text; its score is the posterior share, tempered by the squar
 
 Words are runs of letters (Unicode category L), lower-cased; n-grams run over a word with its two ends marked.
 
-Bound: of each language about ``SAMPLE`` learnt texts (those with the smallest hashes of their ids) are counted; words
+Bound: at most ``LANGUAGES`` languages, else an error, as every entry has a number for each; of each language about ``SAMPLE`` learnt texts (those with the smallest hashes of their ids) are counted; words
 seen once in them are left to the n-grams, as unseen words will look like them. Everything else covers all rows. Reruns agree.
 
 Nulls: rows with a null language, text or id are not learnt from. A text that is null or has no letter is ``und`` with
-score 0, as is every text if nothing was learnt. Repeated rows count as often as they stand. Ties go to the language
+score 0, as is every text if nothing was learnt. Of several rows of an id in one language the smallest text is learnt. Ties go to the language
 that comes first by code point.
 """
 
@@ -29,7 +29,7 @@ from ironsieve.llm.quality import held_out
 from ironsieve.llm.textvec import HashIndex, code_points, letter_table, lower_table, mix, portions, runs, slabs, span_hashes
 from ironsieve.session import cut
 
-SAMPLE, ORDERS, SMOOTH = 3000, (4, 3, 2, 1), 0.5
+SAMPLE, ORDERS, SMOOTH, LANGUAGES = 3000, (4, 3, 2, 1), 0.5, 1024
 _END = np.uint32(0x110000)
 
 
@@ -139,10 +139,12 @@ class Model:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from (id, text, lang) rows."""
     rows = docs.where("id is not null and text is not null and lang is not null")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = cut(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")))
+    if sizes.count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     key = F.shiftrightunsigned(F.xxhash64("id", F.lit("language")), 33) / F.lit(float(1 << 31))
-    # one row for each language, as the model has one column for each
-    chosen = rows.join(F.broadcast(sizes), "lang").where(key < F.lit(float(sample)) / F.col("rows")).select("lang", "text")
+    chosen = rows.join(F.broadcast(sizes), "lang").where(key < F.lit(float(sample)) / F.col("rows"))
+    chosen = chosen.groupBy("id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
     counts = chosen.mapInArrow(_count, "ord int, h long, lang string, c long")
     counts = cut(counts.groupBy("ord", "h", "lang").agg(F.sum("c").alias("c")))
     total = F.sum("c").alias("total")
@@ -158,16 +160,19 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     place = {x: i for i, x in enumerate(langs)}
     got = entries.select("ord", "h", "by.lang", "by.c").toArrow()
     order, h = got["ord"].to_numpy(), got["h"].to_numpy().view(np.uint64)
-    size = np.array([len(x) for x in got["lang"].to_pylist()], np.int64)
-    lang = np.array([place[x] for y in got["lang"].to_pylist() for x in y], np.int64)
-    c = np.array([x for y in got["c"].to_pylist() for x in y], np.float64)
-    tables = {}
+    lists = got["lang"].combine_chunks()
+    size = np.diff(lists.offsets.to_numpy())
+    lang = np.array([place[x] for x in lists.flatten().to_pylist()], np.int64)
+    c = got["c"].combine_chunks().flatten().to_numpy().astype(np.float64)
     entry = np.repeat(np.arange(len(h)), size)
+    tables = {}
     for o in (0, *ORDERS):
         pick = np.flatnonzero(order == o)
-        grid = np.full((len(h), len(langs)), SMOOTH)
-        grid[entry, lang] += c
-        grid = grid[pick]
+        at = np.full(len(h), -1)
+        at[pick] = np.arange(len(pick))
+        own = at[entry] >= 0
+        grid = np.full((len(pick), len(langs)), SMOOTH)
+        grid[at[entry[own]], lang[own]] += c[own]
         norm = np.array([(lambda n, v: n + SMOOTH * (v + 1))(*sums.get((o, x), (0, 0))) for x in langs])
         tables[o] = (HashIndex(h[pick]), np.log(grid / norm).astype(np.float32))
     return Model(langs, tables)

@@ -10,8 +10,8 @@ Bound: at most ``SAMPLE`` labelled rows train, half of them of either class as f
 smallest hashes. Everything else covers all rows. Reruns agree.
 
 Nulls: a null or empty text has no features and gets the prior's score. Labels that are null or not 0 or 1 are not
-learnt from; labels without a document neither. A doc_id with several labels or rows is learnt once for each pair. A
-null doc_id is scored, not learnt. Without labels of both classes every score is the share of label 1 (0.5 without any).
+learnt from; labels without a document neither. A doc_id with both labels is learnt once with each; of several rows of
+a doc_id the smallest text is learnt. A null doc_id is scored, not learnt. Without labels of both classes every score is the share of label 1 (0.5 without any).
 """
 
 from __future__ import annotations
@@ -118,7 +118,7 @@ def _train(epochs: int):
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> Model:
     """A model from ``docs`` (id, text) and ``labels`` (id, y)."""
     key = F.xxhash64(F.col("id"), F.lit("quality"))
-    known = labels.where("id is not null and y in (0, 1)").select("id", F.col("y").cast("int").alias("y"), key.alias("key"))
+    known = labels.where("id is not null and y in (0, 1)").select("id", F.col("y").cast("int").alias("y"), key.alias("key")).distinct()
     # of each class the rows with the smallest keys: the cut of a uniform key that leaves half the sample
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
@@ -128,7 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int
     for y, n in counts.items():
         part = F.when(F.col("y") == y, F.lit(min(1.0, sample / 2 / n))).otherwise(part)
     chosen = known.where((F.shiftrightunsigned("key", 33) / F.lit(float(1 << 31))) < part)
-    rows = docs.join(F.broadcast(chosen), "id").withColumn("shard", F.pmod("key", F.lit(SHARDS)).cast("int"))
+    rows = docs.join(F.broadcast(chosen), "id").groupBy("id", "y", "key").agg(F.min("text").alias("text"))
+    rows = rows.withColumn("shard", F.pmod("key", F.lit(SHARDS)).cast("int"))
     parts = rows.groupBy("shard").applyInArrow(_train(epochs), "w binary, bias double, n long").collect()
     if not parts:
         return Model(np.zeros(1 << BITS), 0.0)

@@ -252,6 +252,108 @@ def test_ftrl_learns_a_sign():
     assert w[1] > 0 > w[0]
 
 
+def shape_of(word):
+    kinds = [("L" if c != c.lower() else "l") if c.isalpha() else "0" if c in "0123456789" else c for c in word]
+    return "".join(k for i, k in enumerate(kinds) if not i or k != kinds[i - 1])
+
+
+def plain_features(text):
+    """{n-gram of words or shapes: share} of a text."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shapes = [shape_of(w) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    grams = [("w", *words[i : i + k]) for k in (1, 2) for i in range(len(words) - k + 1)]
+    grams += [("s", *shapes[i : i + k]) for k in (1, 2, 3) for i in range(len(shapes) - k + 1)]
+    return {g: grams.count(g) / len(grams) for g in set(grams)}
+
+
+def ftrl_by_hand(rows, epochs):
+    """Weights by name after follow-the-regularised-leader updates over (features, label) rows."""
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0)) <= quality.L1:
+            return 0.0
+        return ((1 if z[i] > 0 else -1) * quality.L1 - z[i]) / ((quality.BETA + n[i] ** 0.5) / quality.ALPHA + quality.L2)
+
+    for _ in range(epochs):
+        for x, y in rows:
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] = z.get(i, 0) + g - ((n.get(i, 0) + g * g) ** 0.5 - n.get(i, 0) ** 0.5) / quality.ALPHA * w[i]
+                n[i] = n.get(i, 0) + g * g
+    return {i: weight(i) for i in z}
+
+
+def test_quality_against_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    docs = read_table(spark, SF, "documents").where("length(text) < 400").limit(60)
+    labels = spark.createDataFrame([(r.doc_id, k % 2) for k, r in enumerate(docs.orderBy("doc_id").collect())], "doc_id long, quality int")
+    docs = docs.unionByName(docs.limit(1).withColumn("text", F.lit("zzz"))).unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    known = docs.join(labels, "doc_id").where(~quality.held_out("doc_id", 3, 1)).withColumn("key", F.xxhash64("doc_id", F.lit("quality")))
+    rows = known.groupBy("doc_id", "quality", "key").agg(F.min("text").alias("text")).collect()
+    shards = {}
+    for r in sorted(rows, key=lambda r: r.key):
+        x = {g: quality.SCALE * v for g, v in plain_features(r.text).items()}
+        shards.setdefault(r.key % quality.SHARDS, []).append((x | {"bias": 1.0}, r.quality))
+    weights = {}
+    for own in shards.values():
+        for i, w in ftrl_by_hand(own, quality.EPOCHS).items():
+            weights[i] = weights.get(i, 0) + w * len(own) / len(rows)
+    got = quality.quality_scores(docs, quality.train_on_folds(docs, labels)).join(docs.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id").collect()
+    off = []
+    for r in got:
+        if [x.text for x in docs.where(F.col("doc_id") == r.doc_id).collect()] == [r.text]:
+            raw = weights["bias"] + sum(weights.get(g, 0) * quality.SCALE * v for g, v in plain_features(r.text).items())
+            off.append(abs(r.score - 1 / (1 + np.exp(-raw))))
+    assert len(off) > 40 and np.median(off) < 1e-4 and max(off) < 0.02  # a few n-grams share a number
+
+
+def languages_by_hand(learn, texts):
+    """Words first, then ever shorter n-grams, in plain dictionaries: [(language, score)]."""
+    split = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    grams = lambda w, k: [("" if k == 1 else "^") + "", *[(w if k == 1 else f"^{w}^")[i : i + k] for i in range(len(w) + (0 if k == 1 else 2) - k + 1)]][1:]
+    count = {}
+    for t, lang in learn:
+        for w in split(t):
+            for order, items in [(0, [w]), *((k, grams(w, k)) for k in language_id.ORDERS)]:
+                for g in items:
+                    own = count.setdefault(order, {}).setdefault(g, {})
+                    own[lang] = own.get(lang, 0) + 1
+    langs = sorted({lang for _, lang in learn})
+    logs = {}
+    for order, table in count.items():
+        norm = {x: sum(c.get(x, 0) for c in table.values()) + language_id.SMOOTH * (sum(x in c for c in table.values()) + 1) for x in langs}
+        logs[order] = {g: [np.log((c.get(x, 0) + language_id.SMOOTH) / norm[x]) for x in langs] for g, c in table.items() if sum(c.values()) > 1}
+    out = []
+    for t in texts:
+        words, total = split(t), np.zeros(len(langs))
+        for w in words:
+            if w in logs[0]:
+                total += logs[0][w]
+                continue
+            for k in language_id.ORDERS:
+                known = [logs[k][g] for g in grams(w, k) if g in logs[k]]
+                if known:
+                    total += np.mean(known, axis=0)
+                    break
+        soft = np.exp((total - total.max()) / max(1, len(words)) ** 0.5)
+        out.append((langs[int(total.argmax())], soft.max() / soft.sum()) if words else ("und", 0.0))
+    return out
+
+
+def test_languages_against_brute_force(spark):
+    docs = read_table(spark, SF, "documents").where("length(text) < 1500 and lang is not null").limit(120).collect()
+    learn = [(r.text, r.lang) for r in docs[:70]]
+    texts = [r.text for r in docs[40:]] + ["", None, "12 !", "Zzyzx qqq", "thé wórd", "a", "tie tie", "x" * 300]
+    model = language_id.train(spark.createDataFrame([(i, *x) for i, x in enumerate(learn)], "id long, text string, lang string"))
+    lang, score = model.predict(texts)
+    want = languages_by_hand(learn, texts)
+    assert lang == [x for x, _ in want] and np.allclose(score, [y for _, y in want], atol=1e-5)
+
+
 def test_languages(spark):
     docs = read_table(spark, SF, "documents")
     model = language_id.train_on_folds(docs)
