@@ -3,11 +3,13 @@
 Records are grouped into independent zstd frames of bounded size; a bundle is a row of frames and ends in a seek table
 (a skippable frame in the public seekable format: for each frame its compressed and decompressed size, then the number
 of frames). The index maps every record identifier to its bundle, frame and offset inside the frame, so that one record
-is read by one seek and one frame. Tasks write bundles through the file system that the folder's URI names, each under
+is read by one seek and one frame. Tasks write bundles through the file system that the folder's URI names (a path
+without scheme is on the cluster's default file system; ``SCHEMES`` says how Hadoop's names are opened), each under
 a name of its own; the index lists only bundles of tasks that ended well, so a lost executor leaves no half archive.
 
 Of records with equal payloads of at least ``least`` bytes the one with the smallest page_id is the response, the others
-are revisits that refer to it. Payloads are compared by SHA-256 and length; texts travel once, by page, and a payload
+are revisits that refer to it, by its page, target and date. On reading, a revisit is sound if the archives hold a
+response of that page with the same digest. Payloads are compared by SHA-256 and length; texts travel once, by page, and a payload
 with very many copies only meets as digests.
 
 Nulls: null html is an empty payload, a null url leaves out the target; null page_ids come last and may be responses
@@ -27,15 +29,18 @@ from urllib.parse import quote
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ironsieve.operators.components import hot_bar, join_by_key
 from ironsieve.session import cut
 
 FRAME = 1 << 20
 BUNDLE = 1 << 28
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 DATE = "2000-01-01T00:00:00Z"
+#: Hadoop's names of stores, and how tasks open them.
+SCHEMES = {"s3a://": "s3://", "s3n://": "s3://", "dbfs:/": "file:///dbfs/", "abfss://": "abfss://", "viewfs://": "viewfs://"}
 INDEX = "page_id long, record_id string, bundle string, frame int, frame_offset long, frame_bytes long, at long, bytes long"
 
 
@@ -69,17 +74,43 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id, url, payload: bytes, refers_to, rid: str) -> bytes:
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its scheme, on the cluster's default file system if it has none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def located(folder: str) -> str:
+    """The URI under which tasks open a qualified folder."""
+    for name, opened in SCHEMES.items():
+        if folder.startswith(name):
+            return opened + folder[len(name) :].lstrip("/") if name.endswith(":/") else opened + folder[len(name) :]
+    return "file://" + folder.removeprefix("file:").removeprefix("//") if folder.startswith("file:") else folder
+
+
+def _opened(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and path of a qualified folder; local paths keep signs that a URI would quote."""
+    uri = located(folder)
+    return (pafs.LocalFileSystem(), uri.removeprefix("file://")) if uri.startswith("file://") else pafs.FileSystem.from_uri(uri)
+
+
+def _target(url: str) -> str:
+    return quote(url, safe=":/?#[]@!$&'()*+,;=%~-._")
+
+
+def record(page_id, url, payload: bytes, refers_to, rid: str, refers_url: str | None = None) -> bytes:
     """One WARC/1.1 record; with ``refers_to`` a revisit without payload."""
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {rid}"]
     head += [f"WARC-Date: {DATE}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + quote(url, safe=":/?#[]@!$&'()*+,;=%~-._"))
+        head.append("WARC-Target-URI: " + _target(url))
     head.append(f"WARC-Payload-Digest: sha1:{payload_digest(payload)}")
     head += [f"X-Page-ID: {page_id}", f"X-Payload-Length: {len(payload)}"]
     if refers_to is not None:
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        head.append(f"X-Refers-To-Page: {refers_to}")
+        if refers_url is not None:
+            head.append("WARC-Refers-To-Target-URI: " + _target(refers_url))
+        head += [f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page: {refers_to}"]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (payload if refers_to is None else b"")
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -140,16 +171,16 @@ _INDEX_TYPES = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa
 
 def _write(folder: str, frame: int, bundle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, path = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+        fs, path = _opened(folder)
         fs.create_dir(path, recursive=True)
         names = [x.split()[0] for x in INDEX.split(", ")]
         at, number = None, 0
         for b in batches:
-            for page_id, url, html, refers, revisit in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for page_id, url, html, refers, refers_url, revisit in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 at = at or Bundle(fs, path, frame)
                 payload = (html or "").encode("utf-8", "surrogatepass")
                 rid = record_id(page_id, f"{at.name}:{number}")
-                at.add(page_id, rid, record(page_id, url, payload, (refers if refers is not None else "null") if revisit else None, rid))
+                at.add(page_id, rid, record(page_id, url, payload, (refers if refers is not None else "null") if revisit else None, rid, refers_url))
                 number += 1
                 if at.offset >= bundle:
                     yield _columns(at.close(), names, _INDEX_TYPES)
@@ -174,21 +205,21 @@ def write_archives(
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), html.alias("html"))
     digest = F.sha2(F.encode("html", "UTF-8"), 256)
-    keys = cut(rows.select("id", digest.alias("sha"), F.octet_length("html").alias("n")))
+    keys = cut(rows.select("id", "url", digest.alias("sha"), F.octet_length("html").alias("n")))
     # copies are combined before they meet; single payloads need no partner
     first = (
         keys.where(F.col("n") >= least)
         .groupBy("sha", "n")
-        .agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
+        .agg(F.min("id").alias("first"), F.min_by("url", "id").alias("first_url"), F.count(F.lit(1)).alias("copies"))
         .where("copies > 1")
     )
-    later = keys.join(first, ["sha", "n"]).where(~F.col("id").eqNullSafe(F.col("first")))
-    later = later.select(F.col("id").alias("own"), F.col("sha").alias("same"), "first").distinct()
+    later = join_by_key(keys.drop("url"), first, ["sha", "n"], "copies", hot_bar(keys.count())).where(~F.col("id").eqNullSafe(F.col("first")))
+    later = later.select(F.col("id").alias("own"), F.col("sha").alias("same"), "first", "first_url").distinct()
     whole = rows.withColumn("sha", digest)
     joined = whole.join(later, F.col("id").eqNullSafe(F.col("own")) & (F.col("sha") == F.col("same")), "left")
     # a revisit's payload is only measured and digested by its task
-    ready = joined.select("id", "url", "html", F.col("first").alias("refers"), F.col("same").isNotNull().alias("revisit"))
-    return cut(ready.mapInArrow(_write(folder, frame, bundle), INDEX))
+    ready = joined.select("id", "url", "html", F.col("first").alias("refers"), F.col("first_url").alias("refers_url"), F.col("same").isNotNull().alias("revisit"))
+    return cut(ready.mapInArrow(_write(qualified(pages.sparkSession, folder), frame, bundle), INDEX))
 
 
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, sound boolean"
@@ -203,7 +234,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for bundle, frame, records, folder in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if fs is None:
-                fs = pafs.FileSystem.from_uri(folder)[0] if "://" in folder or folder.startswith("file:") else pafs.LocalFileSystem()
+                fs = _opened(folder)[0]
             if bundle != name:
                 f = fs.open_input_file(bundle)
                 table, name = read_seek_table(f, f.size()), bundle
@@ -223,9 +254,18 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
-    """Every record of the index, read back by seeking to its frame: its fields as the archive has them, and whether
-    identifier, length and digest hold."""
+    """Every record of the index, read back by seeking to its frame: its fields as the archive has them, and whether it
+    is sound: identifier, length and digest hold, and a revisit's response is there."""
     frames = index.groupBy("bundle", "frame").agg(
         F.sort_array(F.collect_list(F.struct("at", "bytes", "record_id"))).alias("records")
     )
-    return frames.select("bundle", "frame", "records", F.lit(folder).alias("folder")).mapInArrow(_read, _READ)
+    folder = qualified(index.sparkSession, folder)
+    back = cut(frames.select("bundle", "frame", "records", F.lit(folder).alias("folder")).mapInArrow(_read, _READ))
+    kind, ends = F.col("record_type"), ["refers_to", "payload_digest"]
+    held = back.where(kind == "response").select(F.col("page_id").alias("refers_to"), "payload_digest").distinct()
+    lost = cut(back.where(kind == "revisit").select(*ends).distinct().join(held, [back[ends[0]].eqNullSafe(held[ends[0]]), back[ends[1]] == held[ends[1]]], "left_anti"))
+    if lost.isEmpty():
+        return back
+    lost = lost.select(F.col("refers_to").alias("to"), F.col("payload_digest").alias("of"), F.lit(True).alias("lost"))
+    joined = back.join(lost, back["refers_to"].eqNullSafe(lost["to"]) & (back["payload_digest"] == lost["of"]), "left")
+    return joined.select(*back.columns[:-1], (F.col("sound") & ~(F.coalesce("lost", F.lit(False)) & (kind == "revisit"))).alias("sound"))

@@ -410,6 +410,22 @@ def test_archive_round_trip(spark, tmp_path):
     assert warc.read_archives(warc.write_archives(df.limit(0), folder + "3"), folder + "3").collect() == []
 
 
+def test_revisits_without_their_response_are_not_sound(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a/", "x"), (2, "http://b/", "x"), (3, None, "y"), (4, None, "y")], "page_id long, url string, html string")
+    index = warc.write_archives(pages, str(tmp_path / "w"))
+    back = {r.page_id: r for r in warc.read_archives(index.where("page_id <> 1"), str(tmp_path / "w")).collect()}
+    assert {i: r.sound for i, r in back.items()} == {2: False, 3: True, 4: True}
+    data = warc.record(2, "http://b/", b"x", 1, "<urn:x>", "http://a/")
+    fields, payload = warc.parse_record(data)
+    assert fields["warc-refers-to-target-uri"] == "http://a/" and fields["warc-refers-to-date"] and payload == b""
+
+
+def test_stores_are_opened_by_their_names(spark, tmp_path):
+    assert warc.located("s3a://bucket/a b/c") == "s3://bucket/a b/c" and warc.located("dbfs:/x/y") == "file:///dbfs/x/y"
+    assert warc.located("file:/tmp/x") == warc.located("file:///tmp/x") == "file:///tmp/x" and warc.located("hdfs://n:1/x") == "hdfs://n:1/x"
+    assert warc.qualified(spark, "/tmp/x") == "file:/tmp/x" and warc.qualified(spark, f"file://{tmp_path}") == f"file:{tmp_path}"
+
+
 def test_archives_are_plain_zstandard(spark, tmp_path):
     import zstandard
 
