@@ -30,15 +30,19 @@ def specifiers(text: Column) -> Column:
     return F.concat(*[F.regexp_extract_all(text, F.lit(f), F.lit(1)) for f in FORMS])
 
 
-def category_flags(text: Column) -> list[Column]:
-    """has_<category> of a file's imports."""
-    found = specifiers(text)
+def _named(found: Column, pattern: str) -> Column:
+    return F.exists(found, lambda s: F.rlike(s, F.lit(pattern)))
 
 
-    def named(pattern: str) -> Column:
-        return F.exists(found, lambda s: F.rlike(s, F.lit(pattern)))
+def categories(text: Column) -> Column:
+    """The categories of a file's imports."""
+    found = specifiers(text)
+    return F.array_compact(F.array(*[F.when(_named(found, p), F.lit(c)) for c, p in CATEGORIES.items()]))
 
-    return [named(p).alias(f"has_{c}") for c, p in CATEGORIES.items()]
+
+def category_flags(text: Column) -> list[Column]:
+    """has_<category> of a file's imports."""
+    return [_named(specifiers(text), p).alias(f"has_{c}") for c, p in CATEGORIES.items()]
 
 
 def framework(dependencies: Column) -> Column:

@@ -64,10 +64,14 @@ def language_of(path: Column) -> Column:
 
 
 def is_test_path(path: Column) -> Column:
-    """Tests, fixtures, documentation and translations, where rules for production code do not apply."""
+    """Tests, fixtures, documentation, translations, migrations and installed packages, where rules for production code
+    do not apply."""
     return F.rlike(
         F.lower(path),
-        F.lit(r"(^|/)(tests?|__tests__|__mocks__|specs?|fixtures?|docs?|examples?|i18n|locales?|translations?)/|\.(test|spec)\.[a-z]+$|\.mdx?$"),
+        F.lit(
+            r"(^|/)(tests?|__tests__|__mocks__|specs?|fixtures?|docs?|docs_src|examples?|i18n|locales?|translations?|migrations|node_modules)/"
+            r"|(^|/)test_[^/]*\.py$|\.(test|spec)\.[a-z]+$|\.mdx?$"
+        ),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ironsieve.session import cut
 
 #: A key with more rows than this is met by broadcast; so many such keys there are at most, as the bar rises with the rows.
-HOT_ROWS, HOT_KEYS = 100, 50_000
+HOT_ROWS, HOT_KEYS = 200, 50_000
 
 
 def hot_bar(rows: int) -> int:
@@ -19,12 +19,16 @@ def hot_bar(rows: int) -> int:
 def join_by_key(rows: DataFrame, facts: DataFrame, on: list[str], count: str, bar: int) -> DataFrame:
     """``rows`` joined with one fact for each key, where ``count`` (a column of ``facts``) is the key's number of rows.
 
-    Keys above the bar are few (see hot_bar), so their facts are broadcast and their rows stay where they are; only the
-    rows of the other keys are shuffled, and none of these keys has more than ``bar`` rows.
+    Keys above the bar are few (see hot_bar), so their facts are broadcast. Their rows go on with a salt beside the key,
+    so the shuffle for the other keys deals them evenly; none of these other keys has more than ``bar`` rows.
     """
-    hot = F.broadcast(facts.where(F.col(count) > bar).drop(count))
-    cold = facts.where(F.col(count) <= bar).drop(count)
-    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on))
+    names = [c for c in facts.columns if c not in on and c != count]
+    hot = facts.where(F.col(count) > bar).select(*on, F.struct(*names).alias("_hot"))
+    cold = facts.where(F.col(count) <= bar).select(*on, (F.col(count) > bar).cast("long").alias("_salt"), F.struct(*names).alias("_cold"))
+    salt = F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(*rows.columns))
+    met = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).join(cold, [*on, "_salt"], "left")
+    fact = F.coalesce("_hot", "_cold")
+    return met.where(fact.isNotNull()).select(*rows.columns, *(fact[c].alias(c) for c in names))
 
 
 def _state(edges: DataFrame) -> Row:
@@ -43,8 +47,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     ``edges`` is undirected: loops, repeats, either direction and nulls are fine (a null end drops the edge).
     Every round points larger neighbours at the smallest one (large star), then every node's smaller neighbours at
-    the smallest of them (small star). Minima are combined before the shuffle; the edges of hubs do not move to meet
-    their hub's minimum, as those few minima are broadcast (``join_by_key``). Each round is checkpointed, so the plan
+    the smallest of them (small star). Minima are combined before the shuffle; hubs' minima are few and broadcast
+    (``join_by_key``), so no task gets all edges of a hub. Each round is checkpointed, so the plan
     stays short. Rounds grow with the logarithm of the longest chain.
     """
     a, b = F.col(a), F.col(b)

@@ -1,7 +1,11 @@
 """Rules over text, compiled into one projection per scan: no rule table is joined, so every pattern is compiled once.
 
-A rule may name text that a matching line must hold; that is tested first and costs little. Rules go into the plan in
-chunks, so that generated code stays small.
+A rule names text that a match must hold; that is tested first, for whole files before they are taken apart, and costs
+little. Rules go into the plan in chunks, so that generated code stays small. Line rules look at one line each, file
+rules at the whole text; both may name a pattern whose presence anywhere in the file makes them silent.
+
+Findings are suppressed by their context: comments, tagged templates and sanitising calls in the line, and packages that
+the file imports (see ``IMPORTS_OFF``).
 """
 
 from __future__ import annotations
@@ -12,9 +16,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ironsieve.functions.text import is_test_path
+from ironsieve.functions.imports import categories
+from ironsieve.functions.text import entropy, is_test_path, language_of
 
 CHUNK = 40
+_MARK = "\x01"
 
 
 @dataclass(frozen=True)
@@ -26,17 +32,55 @@ class Rule:
     description: str
     fix: str = ""
     auto_fixable: bool = False
-    needs: str = ""  # text that a matching line holds
+    needs: str | tuple[str, ...] = ""  # text that a match holds; of several, one
     absent: str = ""  # a pattern that a matching line does not hold
-    languages: tuple[str, ...] = ()
+    languages: tuple[str, ...] = ()  # files of other known languages are left alone
     skip_tests: bool = True
+    absent_file: str = ""  # a pattern that the file does not hold
+    file: bool = False  # the pattern runs over the whole text
+    entropy: float = 0.0  # bits for each character that the longest quoted value has, at least
+
+    def texts(self) -> tuple[str, ...]:
+        return (self.needs,) if isinstance(self.needs, str) else self.needs
+
+
+# rules that packages of a category make needless
+IMPORTS_OFF = {
+    "auth": ("AUTH_MISSING_AUTH_MIDDLEWARE", "NEXT_API_NO_AUTH", "NEXT_SERVER_ACTION_NO_AUTH", "VERCEL_CRON_NO_AUTH", "WEBSOCKET_UPGRADE_NO_AUTH"),
+    "sanitization": ("XSS_DANGEROUSLY_SET_INNERHTML", "REACT_DANGEROUSLYSETINNERHTML_VARIABLE", "XSS_INNERHTML", "XSS_DOCUMENT_WRITE"),
+    "helmet": ("CONFIG_NO_SECURITY_HEADERS",),
+    "csrf": ("MISSING_CSRF_PROTECTION", "SERVER_ACTION_NO_CSRF"),
+    "rate_limit": ("RATE_LIMIT_AUTH_ENDPOINT", "LOGIN_NO_LOCKOUT"),
+    "validation": ("MASS_ASSIGNMENT", "SQS_MESSAGE_NO_VALIDATION"),
+    "crypto": ("TWO_FA_BACKUP_CODES_UNHASHED",),
+}
+# what of a line's context silences findings of a type
+CONTEXTS_OFF = {
+    "sql_injection": r"(?:\b(?:sql|gql|Prisma\.sql)|\$queryRaw|\$executeRaw)`",
+    "xss": r"(?i)\b(?:\w*sanitiz\w*|DOMPurify\.\w+|purify|escapeHtml|encodeURIComponent|JSON\.stringify)\s*\(",
+}
+COMMENT = r"^\s*(?://|#|\*|/\*)"
+
+
+def _any(text: Column, needs: Sequence[str]) -> Column:
+    out = F.contains(text, F.lit(needs[0]))
+    for n in needs[1:]:
+        out = out | F.contains(text, F.lit(n))
+    return out
 
 
 def fires(rule: Rule, line: Column) -> Column:
+    """Whether a line rule's own conditions hold in a line."""
     found = F.rlike(line, F.lit(rule.pattern))
     if rule.absent:
         found = found & ~F.rlike(line, F.lit(rule.absent))
-    return F.contains(line, F.lit(rule.needs)) & found if rule.needs else found
+    if rule.type != "hardcoded_secret":
+        found = found & ~F.rlike(line, F.lit(COMMENT))
+    if rule.type in CONTEXTS_OFF:
+        found = found & ~F.rlike(line, F.lit(CONTEXTS_OFF[rule.type]))
+    if rule.entropy:
+        found = found & (entropy(F.regexp_extract(line, r"['\"]([^'\"]{8,})['\"]", 1)) >= rule.entropy)
+    return _any(line, rule.texts()) & found if rule.needs else found
 
 
 def lines_of(files: DataFrame, text: str = "text") -> DataFrame:
@@ -47,48 +91,94 @@ def lines_of(files: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def scan_lines(lines: DataFrame, rules: Sequence[Rule], file: str = "file", language: str | None = None) -> DataFrame:
-    """A row for every rule and line that match: the line's columns, rule_no, and the finding's."""
-    line, path = F.col("line_text"), F.col(file).cast("string")
-    hits = []
-    for number, rule in enumerate(rules):
-        found = fires(rule, line)
-        if rule.languages and language:
-            found = F.col(language).isin(*rule.languages) & found
-        if rule.skip_tests:
-            found = found & ~F.col("_test")
-        hits.append(
-            F.when(
-                found,
-                F.struct(
-                    F.lit(number).alias("rule_no"),
-                    F.lit(rule.id).alias("id"),
-                    F.lit(rule.severity).alias("severity"),
-                    F.lit(rule.type).alias("type"),
-                    F.lit(rule.description).alias("description"),
-                    F.lit(rule.fix).alias("fix_suggestion"),
-                    F.lit(rule.auto_fixable).alias("auto_fixable"),
-                ),
-            )
-        )
+def _open_rule(rule: Rule) -> Column:
+    """Whether a rule looks at the file at all: by language, path and what else the file holds."""
+    out = F.lit(True)
+    if rule.languages:
+        out = F.coalesce(F.col("_lang").isin(*rule.languages), F.lit(True))
+    if rule.skip_tests:
+        out = out & ~F.col("_test")
+    off = [c for c, ids in IMPORTS_OFF.items() if rule.id in ids]
+    if off:
+        out = out & ~F.arrays_overlap("_imports", F.array(*map(F.lit, off)))
+    return out
+
+
+def _silent(rules: Sequence[tuple[int, Rule]], text: Column) -> Column:
+    """Numbers of rules that something elsewhere in the file silences."""
+    hits = [F.when(_any(text, r.texts()) & F.rlike(text, F.lit(r.absent_file)), F.lit(i)) for i, r in rules if r.absent_file]
+    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<int>")
+
+
+def _gate(rules: Sequence[tuple[int, Rule]], text: Column) -> Column:
+    """Whether a file holds text that any rule needs."""
+    if any(not r.needs for _, r in rules):
+        return text.isNotNull()
+    return _any(text, sorted({n for _, r in rules for n in r.texts()}))
+
+
+def _chunked(hits: list[Column]) -> Column:
     chunks = [F.array_compact(F.array(*hits[i : i + CHUNK])) for i in range(0, len(hits), CHUNK)]
-    marked = lines.withColumn("_test", is_test_path(path))
-    return marked.select(*lines.columns, F.explode(F.concat(*chunks)).alias("f")).select(*lines.columns, "f.*")
+    return F.concat(*chunks)
+
+
+def scan_lines(files: DataFrame, rules: Sequence[tuple[int, Rule]]) -> DataFrame:
+    """(file, line, rule_no) of numbered line rules over prepared files (file, text, _lang, _test, _imports)."""
+    text, line, silent = F.col("text"), F.col("line_text"), F.col("_silent")
+    open_ = files.where(_gate(rules, text)).withColumn("_silent", _silent(rules, text))
+    hits = []
+    for i, rule in rules:
+        found = fires(rule, line) & _open_rule(rule)
+        if rule.absent_file:
+            found = found & ~F.array_contains(silent, i)
+        hits.append(F.when(found, F.lit(i)))
+    return lines_of(open_).select("file", F.col("line_no").alias("line"), F.explode(_chunked(hits)).alias("rule_no"))
+
+
+def scan_texts(files: DataFrame, rules: Sequence[tuple[int, Rule]]) -> DataFrame:
+    """(file, line, rule_no) of numbered file rules over prepared files: every line where a match begins."""
+    text = F.translate("text", _MARK, "")
+
+    def begins(rule: Rule) -> Column:
+        marked = F.split(F.regexp_replace(text, rule.pattern, f"{_MARK}$0"), "\n")
+        at = F.transform(marked, lambda line, i: F.when(F.contains(line, F.lit(_MARK)), i + 1))
+        return F.array_compact(at)
+
+    hits = []
+    for i, rule in rules:
+        found = _any(text, rule.texts()) & _open_rule(rule) & F.rlike(text, F.lit(rule.pattern))
+        if rule.absent_file:
+            found = found & ~F.rlike(text, F.lit(rule.absent_file))
+        hits.append(F.when(found, F.struct(F.lit(i).alias("rule_no"), begins(rule).alias("lines"))))
+    found = files.where(_gate(rules, text)).select("file", F.explode(_chunked(hits)).alias("h"))
+    return found.select("file", F.explode("h.lines").alias("line"), F.col("h.rule_no").alias("rule_no"))
 
 
 def scan_files(files: DataFrame, rules: Sequence[Rule], file: str = "file", text: str = "text") -> DataFrame:
-    """Findings (see schemas.FINDING) of whole files, with line numbers and ``rule_no``."""
-    found = scan_lines(lines_of(files, text), rules, file)
+    """Findings (see schemas.FINDING) of whole files, with line numbers and ``rule_no``; null texts have none."""
+    path = F.col(file).cast("string")
+    own = F.when(F.contains(F.col(text), F.lit("import")) | F.contains(F.col(text), F.lit("require")), categories(F.col(text)))
+    ready = files.select(path.alias("file"), F.col(text).alias("text"), language_of(path).alias("_lang"), is_test_path(path).alias("_test"))
+    imported = any(r.id in ids for r in rules for ids in IMPORTS_OFF.values())
+    ready = ready.withColumn("_imports", F.coalesce(own, F.array().cast("array<string>")) if imported else F.array().cast("array<string>"))
+    numbered = list(enumerate(rules))
+    parts = [(scan_lines, [x for x in numbered if not x[1].file]), (scan_texts, [x for x in numbered if x[1].file])]
+    found = [scan(ready, own_rules) for scan, own_rules in parts if own_rules]
+    found = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+    def told(name: str) -> Column:
+        return F.get(F.array(*[F.lit(getattr(r, name)) for r in rules]), F.col("rule_no"))
+
     return found.select(
-        "id",
+        told("id").alias("id"),
         F.lit("pattern").alias("engine"),
-        "severity",
-        "type",
-        F.col(file).cast("string").alias("file"),
-        F.col("line_no").alias("line"),
-        "description",
-        "fix_suggestion",
-        "auto_fixable",
-        F.when(F.rlike(F.col(file).cast("string"), F.lit(r"\.env\.(example|sample|template)$")), "env-example").alias("context"),
+        told("severity").alias("severity"),
+        told("type").alias("type"),
+        "file",
+        "line",
+        told("description").alias("description"),
+        told("fix").alias("fix_suggestion"),
+        told("auto_fixable").alias("auto_fixable"),
+        F.when(F.rlike("file", F.lit(r"\.env\.(example|sample|template)$")), "env-example").alias("context"),
         "rule_no",
     )
