@@ -49,7 +49,7 @@ from ironsieve.session import cut
 #: A class of sizes ends at so many times its start.
 CLASS = 1.4
 #: Shingles and documents of a block at most, about.
-BLOCK_SHINGLES, BLOCK_DOCS = 1 << 20, 4096
+BLOCK_SHINGLES, BLOCK_DOCS = 1 << 20, 1024
 #: Up to so many rows that say where a document goes may be broadcast to its text.
 BROADCAST_IDS = 200_000
 #: Hash ranges of listed shingles for each shuffle partition: small ones, so that a range is a small group.
