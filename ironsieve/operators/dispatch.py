@@ -10,7 +10,8 @@ from ironsieve.operators import events as ev
 from ironsieve.operators import graph as gr
 
 LARGEST_MAP, MAPS_AT_ONCE = 10 * 1024 * 1024, 100
-TIERS = {"FREE": 1, "PRO": 10, "TEAM": 50, "ENTERPRISE": 1_000_000}
+# fixed values: projects by licence tier
+TIERS = {"FREE": 1, "PRO": 5, "TEAM": 20, "AGENCY": 100}
 
 
 def ask(graph: dict[str, DataFrame], question: str, name: str | None = None, depth: int | None = None) -> DataFrame:
@@ -76,7 +77,8 @@ def valid_maps(maps: DataFrame) -> DataFrame:
 
 
 def licences(keys: DataFrame, today: str) -> DataFrame:
-    """(key, valid, tier, projects, expires) of licence keys like ``XX-TIER-…``."""
-    tier = F.regexp_extract("key", r"^[A-Z]{2}-([A-Z]+)-[A-Z0-9-]+$", 1)
+    """(key, valid, tier, projects, expires) of licence keys ``SS-TIER-`` and eight or more letters or digits."""
+    tier = F.regexp_extract("key", r"^SS-(FREE|PRO|TEAM|AGENCY)-[A-Za-z0-9]{8,}$", 1)
+    valid = F.coalesce(tier != "", F.lit(False))
     projects = F.create_map(*[F.lit(x) for kv in TIERS.items() for x in kv])
-    return keys.select("key", tier.isin(*TIERS).alias("valid"), F.when(tier.isin(*TIERS), F.lower(tier)).alias("tier"), F.try_element_at(projects, tier).alias("projects"), F.add_months(F.lit(today).cast("date"), 12).alias("expires"))
+    return keys.select("key", valid.alias("valid"), F.when(valid, F.lower(tier)).alias("tier"), F.try_element_at(projects, tier).alias("projects"), F.add_months(F.lit(today).cast("date"), 12).alias("expires"))

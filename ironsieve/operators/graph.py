@@ -9,7 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from ironsieve.functions.text import normal_path
+from ironsieve.operators.components import hot_bar, join_by_key
 from ironsieve.session import cut
 
 # fixed values: (kind, method, receivers); no receivers: any. The first kind in this order counts.
@@ -59,11 +62,13 @@ ATTACK_SINKS = (
     *_open("eval", "eval Function"),
     ("redirect", "redirect", "res response"),
 )
-SOURCES = "parserequest getbody getrequestbody readinput parseformdata parseinput readuserinput".split()
-SANITIZERS = "valid sanitiz escape clean encode parameteriz prepare guard protect".split()
-VALIDATORS = "valid sanitiz escape clean verify auth protect guard middleware".split()
-HANDLERS = "handle route controller endpoint".split()
-VERBS = "GET POST PUT PATCH DELETE HEAD OPTIONS".split()
+# fixed values: parts of names
+SOURCES = ["parserequest", "getbody", "getrequestbody", "readinput", "parseformdata", "parseinput", "readuserinput"]
+SANITIZERS = ["valid", "sanitiz", "escape", "clean", "encode", "parameteriz", "prepare", "guard", "protect"]
+VALIDATORS = ["valid", "sanitiz", "escape", "clean", "verify", "auth", "protect", "guard", "middleware"]
+HANDLERS = ["handle", "route", "controller", "endpoint"]
+VERBS = ["GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS"]
+# fixed values: names of guards and of validation, and the rules that they concern
 AUTH_CONTEXT = r"(?i)auth|authenticate|protect|guard|verify|authorize|requireAuth|isAuthenticated|withAuth|checkAuth|middleware"
 VALIDATION_CONTEXT = r"(?i)validate|sanitize|check|verify|parse|escape|purify|clean|filter|whitelist|allowlist"
 AUTH_RULES = ("AUTH_MISSING_AUTH_MIDDLEWARE", "NEXT_API_NO_AUTH", "NEXT_SERVER_ACTION_NO_AUTH")
@@ -98,55 +103,56 @@ def sink_kind(name: Column, receiver: Column, sinks=TAINT_SINKS) -> Column:
     return out.otherwise(F.lit(None).cast("string"))
 
 
+def _projects(df: DataFrame) -> DataFrame:
+    """With a project column; without one, all rows are of one project."""
+    return df if "project" in df.columns else df.withColumn("project", F.lit(""))
+
+
 def build(parsed: DataFrame) -> dict[str, DataFrame]:
-    """functions, classes, calls, contains, methods, imports of parsed files (see schemas.PARSED_FILE).
+    """functions, classes, calls, contains, methods, imports, exports, call_sites of parsed files (see
+    schemas.PARSED_FILE, and an optional ``project``).
 
     A call's caller is the first function of that name in the same file; its callee the method ``receiver.callee``
-    names, else the first function of that name anywhere; calls to what is not defined here have no edge.
+    names, else the first function of that name in the project; calls to what is not defined there have no edge. First
+    is by path, then by place in the file (``seq``).
     """
-    seq = lambda: F.col("file_seq") * 1_000_000 + F.col("pos")
-    f = parsed.select("file_seq", "file_path", "language", F.posexplode("functions").alias("pos", "f"))
+    parsed = _projects(parsed)
+    seq, where = F.struct("file_path", "pos").alias("seq"), F.concat(F.when(F.col("project") != "", F.concat("project", F.lit(":"))).otherwise(""), "file_path", F.lit("::"))
+    f = parsed.select("project", "file_path", "language", F.posexplode("functions").alias("pos", "f"))
     member = F.when(F.col("f.class_name").isNotNull(), F.concat(F.col("f.class_name"), F.lit("."), F.col("f.name")))
-    functions = f.select(
-        F.concat("file_path", F.lit("::"), F.coalesce(member, F.col("f.name"))).alias("id"),
-        "f.*",
-        "file_path",
-        "language",
-        seq().alias("seq"),
-    )
-    c = parsed.select("file_seq", "file_path", F.posexplode("classes").alias("pos", "c"))
-    classes = c.select(F.concat("file_path", F.lit("::"), F.col("c.name")).alias("id"), "c.*", "file_path", seq().alias("seq"))
-    s = parsed.select("file_seq", "file_path", F.posexplode("call_sites").alias("pos", "s")).select(
-        seq().alias("seq"), "file_path", "s.*"
-    )
+    functions = f.select(F.concat(where, F.coalesce(member, F.col("f.name"))).alias("id"), "f.*", "project", "file_path", "language", seq)
+    c = parsed.select("project", "file_path", F.posexplode("classes").alias("pos", "c"))
+    classes = c.select(F.concat(where, F.col("c.name")).alias("id"), "c.*", "project", "file_path", seq)
+    s = parsed.select("project", "file_path", F.posexplode("call_sites").alias("pos", "s")).select(seq, "project", "file_path", "s.*")
     row = F.struct("id", "name")
-    own = functions.groupBy("file_path", "name").agg(F.min_by("id", "seq").alias("caller_id"))
-    method = functions.where("class_name is not null").groupBy("class_name", "name").agg(F.min_by(row, "seq").alias("m"))
-    anywhere = functions.groupBy("name").agg(F.min_by(row, "seq").alias("a"))
+    own = functions.groupBy("project", "file_path", "name").agg(F.min_by("id", "seq").alias("caller_id"))
+    method = functions.where("class_name is not null").groupBy("project", "class_name", "name").agg(F.min_by(row, "seq").alias("m"))
+    anywhere = functions.groupBy("project", "name").agg(F.min_by(row, "seq").alias("a"))
     calls = (
-        s.join(own.withColumnRenamed("name", "caller_name"), ["file_path", "caller_name"])
-        .join(method.select(F.col("class_name").alias("receiver"), F.col("name").alias("callee_name"), "m"), ["receiver", "callee_name"], "left")
-        .join(anywhere.withColumnRenamed("name", "callee_name"), "callee_name", "left")
+        s.join(own.withColumnRenamed("name", "caller_name"), ["project", "file_path", "caller_name"])
+        .join(method.select("project", F.col("class_name").alias("receiver"), F.col("name").alias("callee_name"), "m"), ["project", "receiver", "callee_name"], "left")
+        .join(anywhere.withColumnRenamed("name", "callee_name"), ["project", "callee_name"], "left")
         .withColumn("to", F.coalesce("m", "a"))
         .where("to is not null")
-        .select("seq", "caller_id", "caller_name", F.col("to.id").alias("callee_id"), F.col("to.name").alias("callee_name"), "receiver", F.col("file_path").alias("file"), "line")
+        .select("seq", "project", "caller_id", "caller_name", F.col("to.id").alias("callee_id"), F.col("to.name").alias("callee_name"), "receiver", F.col("file_path").alias("file"), "line")
     )
-    imports = parsed.select("file_path", F.explode("imports").alias("i")).select(
-        "file_path", F.col("i.source").alias("module"), F.array_join("i.specifiers", ",").alias("specifiers"), "i.line"
+    imports = parsed.select("project", "file_path", F.explode("imports").alias("i")).select(
+        "project", "file_path", F.col("i.source").alias("module"), F.array_join("i.specifiers", ",").alias("specifiers"), "i.line"
     )
-    contains = functions.select("file_path", "id", "name")
+    exports = parsed.select("project", "file_path", F.explode("exports").alias("e")).select("project", "file_path", "e.name")
+    contains = functions.select("project", "file_path", "id", "name")
     methods = functions.where("class_name is not null").select(
-        F.concat("file_path", F.lit("::"), F.col("class_name")).alias("class_id"), "class_name", "id", "name"
+        F.concat(where, F.col("class_name")).alias("class_id"), "class_name", "id", "name", "project"
     )
-    return {"functions": functions, "classes": classes, "calls": calls, "contains": contains, "methods": methods, "imports": imports, "call_sites": s}
+    return {"functions": functions, "classes": classes, "calls": calls, "contains": contains, "methods": methods, "imports": imports, "exports": exports, "call_sites": s}
 
 
 def totals(graph: dict[str, DataFrame]) -> DataFrame:
     """One row: functions, classes, and call sites resolved or not."""
-    parts = [
-        graph[t].agg(F.count(F.lit(1)).alias(n)) for t, n in (("functions", "functions"), ("classes", "classes"), ("call_sites", "call_sites"))
-    ]
-    return parts[0].join(F.broadcast(parts[1])).join(F.broadcast(parts[2]))
+    names = ("functions", "classes", "call_sites")
+    kinds = [graph[t].select(F.lit(t).alias("kind")) for t in names]
+    every = kinds[0].unionAll(kinds[1]).unionAll(kinds[2])
+    return every.agg(*[F.count_if(F.col("kind") == t).alias(t) for t in names])
 
 
 def reach(edges: DataFrame, roots: DataFrame, depth: int, source: str, target: str) -> DataFrame:
@@ -166,6 +172,29 @@ def reach(edges: DataFrame, roots: DataFrame, depth: int, source: str, target: s
     return seen.where("depth > 0")
 
 
+def near_other(edges: DataFrame, starts: DataFrame, depth: int, source: str, target: str) -> DataFrame:
+    """(node): nodes that some start node other than themselves reaches within ``depth`` steps.
+
+    One search from all start nodes at once: every node keeps the two nearest start nodes, which tells of each node
+    whether one besides itself is near. So the work is that of two searches, whatever the number of start nodes.
+    """
+    step = edges.select(F.col(source).alias("node"), F.col(target).alias("next")).distinct()
+    seen = cut(starts.select("node").distinct().select("node", F.col("node").alias("start")))
+    frontier = seen
+    for _ in range(depth):
+        new = frontier.join(step, "node").select(F.col("next").alias("node"), "start").join(seen, ["node", "start"], "left_anti")
+        two = new.groupBy("node").agg(F.min("start").alias("a"), F.max("start").alias("b"))
+        had = seen.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+        kept = two.join(had, "node", "left").select(
+            "node", F.explode(F.when(F.coalesce("n", F.lit(0)) == 0, F.array_distinct(F.array("a", "b"))).when(F.col("n") == 1, F.array("a"))).alias("start")
+        )
+        frontier = cut(kept)
+        if frontier.isEmpty():
+            break
+        seen = seen.unionAll(frontier)
+    return seen.where(F.col("node") != F.col("start")).select("node").distinct()
+
+
 def callers(graph_calls: DataFrame, functions: DataFrame, name: str, depth: int = 1) -> DataFrame:
     """(node, depth): who calls any function of the name, directly or up to ``depth`` steps away."""
     roots = functions.where(F.col("name") == name).select(F.lit(name).alias("root"), F.col("id").alias("node"))
@@ -188,39 +217,39 @@ def blast_radius(graph_calls: DataFrame, functions: DataFrame, name: str, depth:
 def missing_auth(graph_calls: DataFrame, functions: DataFrame, depth: int = 10) -> DataFrame:
     """Exported asynchronous handlers with nothing named auth within ``depth`` calls."""
     ends = functions.where(F.col("is_exported") & F.col("is_async") & has_any(F.col("name"), HANDLERS))
-    same = functions.select("name", F.col("id").alias("node"))
-    roots = ends.select(F.col("id").alias("root"), "name").join(same, "name").select("root", "node")
-    found = reach(graph_calls, roots, depth, "caller_id", "callee_id").join(
-        functions.where(F.contains(F.lower("name"), F.lit("auth"))).select(F.col("id").alias("node")), "node", "left_semi"
-    )
-    return ends.join(found.select(F.col("root").alias("id")).distinct(), "id", "left_anti").select("id", "name", "file_path", "start_line", "seq")
+    guards = functions.where(F.contains(F.lower("name"), F.lit("auth"))).select(F.col("id").alias("node"))
+    # a search starts from all functions of the handler's name: any of them that reaches a guard clears the name
+    safe = near_other(graph_calls, guards, depth, "callee_id", "caller_id").withColumnRenamed("node", "id")
+    ends, every = _projects(ends), _projects(functions)
+    names = every.join(safe, "id", "left_semi").select("project", "name").distinct()
+    return ends.join(names, ["project", "name"], "left_anti").select("id", "name", "file_path", "start_line", "seq")
 
 
 def _walk(starts: DataFrame, edges: DataFrame, known: DataFrame, sinks, depth: int, must_exist: bool) -> DataFrame:
     """(root, sink, kind, path, key): the first way from each root to every sink it reaches by names.
 
-    ``starts``: (root, name, path, key, level): a root's frontier; names on its path count as seen. Sinks are not
+    ``starts``: (project, root, name, path, key): a root's frontier; names on its path count as seen. Sinks are not
     passed. A name is taken by the first edge that reaches it, whatever that edge's receiver.
     """
-    step = edges.select(F.col("caller_name").alias("name"), "callee_name", "receiver", "seq")
+    step = edges.select("project", F.col("caller_name").alias("name"), "callee_name", "receiver", "seq")
     seen = cut(starts.select("root", F.explode("path").alias("name")).distinct())
-    frontier, out = starts.select("root", "name", "path", "key"), None
+    frontier, out = starts.select("project", "root", "name", "path", "key"), None
     for _ in range(1, depth):
         first = (
-            frontier.join(step, "name")
-            .groupBy("root", "callee_name")
+            frontier.join(step, ["project", "name"])
+            .groupBy("project", "root", "callee_name")
             .agg(F.min(F.struct(F.concat("key", F.array("seq")).alias("key"), "receiver", "path")).alias("b"))
-            .select("root", F.col("callee_name").alias("name"), "b.*")
+            .select("project", "root", F.col("callee_name").alias("name"), "b.*")
         )
         new = first.join(seen, ["root", "name"], "left_anti")
-        new = new.join(known.withColumn("defined", F.lit(True)), "name", "left").withColumn("kind", sink_kind(F.col("name"), F.col("receiver"), sinks))
+        new = new.join(known.withColumn("defined", F.lit(True)), ["project", "name"], "left").withColumn("kind", sink_kind(F.col("name"), F.col("receiver"), sinks))
         new = cut(new.withColumn("path", F.concat("path", F.array("name"))))
         if new.isEmpty():
             break
         hits = new.where("kind is not null" + (" and defined" if must_exist else "")).select("root", F.col("name").alias("sink"), "kind", "path", "key")
         out = hits if out is None else out.unionAll(hits)
         seen = seen.unionAll(new.select("root", "name"))
-        frontier = new.where("kind is null and defined").select("root", "name", "path", "key")
+        frontier = new.where("kind is null and defined").select("project", "root", "name", "path", "key")
     if out is None:
         return starts.select("root", F.col("name").alias("sink"), F.lit("").alias("kind"), "path", "key").limit(0)
     return out
@@ -231,13 +260,15 @@ def attack_paths(edges: DataFrame, functions: DataFrame, depth: int = 5) -> Data
 
     Every direct call of an entry point is followed on its own, so one sink can be found by several ways.
     """
-    known = functions.select("name").distinct()
+    edges, functions = _projects(edges), _projects(functions)
+    known = functions.select("project", "name").distinct()
     entry = functions.where(is_entry_point(F.col("name"), F.col("file_path"), F.col("is_exported"))).select(
-        F.col("seq").alias("entry_seq"), F.col("name").alias("caller_name"), F.col("file_path").alias("entry_file")
+        "project", F.col("seq").alias("entry_seq"), F.col("name").alias("caller_name"), F.col("file_path").alias("entry_file")
     )
-    direct = entry.join(edges, "caller_name").join(known.withColumnRenamed("name", "callee_name"), "callee_name")
+    direct = entry.join(edges, ["project", "caller_name"]).join(known.withColumnRenamed("name", "callee_name"), ["project", "callee_name"])
     direct = cut(
         direct.select(
+            "project",
             F.struct("entry_seq", "seq").alias("root"),
             "entry_file",
             F.col("callee_name").alias("name"),
@@ -264,35 +295,37 @@ def attack_paths(edges: DataFrame, functions: DataFrame, depth: int = 5) -> Data
 
 def data_flows(edges: DataFrame, functions: DataFrame, depth: int = 8) -> DataFrame:
     """(source, sink, kind, path, has_sanitization): the first flow from each taint source to each sink."""
-    known = functions.select("name").distinct()
-    sources = functions.where(is_source(F.col("name"))).select(F.col("name").alias("source"), F.col("seq").alias("source_seq"))
-    using = edges.join(sources.withColumnRenamed("source", "callee_name"), "callee_name")
+    edges, functions = _projects(edges), _projects(functions)
+    known = functions.select("project", "name").distinct()
+    sources = functions.where(is_source(F.col("name"))).select("project", F.col("name").alias("source"), F.col("seq").alias("source_seq"))
+    using = edges.join(sources.withColumnRenamed("source", "callee_name"), ["project", "callee_name"])
     using = using.where(F.col("caller_name") != F.col("callee_name"))
-    first = using.groupBy("source_seq", F.col("callee_name").alias("source"), "caller_id", "caller_name").agg(F.min("seq").alias("seq"))
+    first = using.groupBy("project", "source_seq", F.col("callee_name").alias("source"), "caller_id", "caller_name").agg(F.min("seq").alias("seq"))
     starts = cut(
         first.select(
-            F.struct("source_seq", "source", "seq").alias("root"),
+            "project",
+            F.struct("project", "source_seq", "source", "seq").alias("root"),
             F.col("caller_name").alias("name"),
             F.array("source", "caller_name").alias("path"),
             F.array("seq").alias("key"),
         )
     )
     found = _walk(starts, edges, known, TAINT_SINKS, depth, False)
-    best = found.groupBy(F.col("root.source").alias("source"), "sink").agg(
+    best = found.groupBy(F.col("root.project").alias("project"), F.col("root.source").alias("source"), "sink").agg(
         F.min(F.struct("root", F.size("path").alias("hops"), "key", "kind", "path")).alias("b")
     )
-    same = functions.select("name", F.col("id").alias("node"))
-    roots = starts.select(F.col("name").alias("root")).distinct()
-    clean = reach(edges, roots.join(same, roots["root"] == same["name"]).select("root", "node"), depth, "caller_id", "callee_id")
-    clean = clean.join(functions.where(has_any(F.col("name"), SANITIZERS)).select(F.col("id").alias("node")), "node", "left_semi")
-    clean = clean.select(F.col("root").alias("caller")).distinct().withColumn("scope", F.lit(True))
-    flows = best.withColumn("caller", F.element_at("b.path", 2)).join(clean, "caller", "left")
+    # a flow is clean if its caller, or anything that functions of the caller's name reach, is named like cleaning
+    cleaners = functions.where(has_any(F.col("name"), SANITIZERS)).select(F.col("id").alias("node"))
+    above = near_other(edges, cleaners, depth, "callee_id", "caller_id").withColumnRenamed("node", "id")
+    clean = functions.join(above, "id", "left_semi").select("project", F.col("name").alias("caller")).distinct().withColumn("scope", F.lit(True))
+    flows = best.withColumn("caller", F.element_at("b.path", 2)).join(clean, ["project", "caller"], "left")
     safe = F.coalesce("scope", F.lit(False)) | has_any(F.col("caller"), SANITIZERS)
-    return flows.select("source", "sink", "b.kind", "b.path", safe.alias("has_sanitization"))
+    return flows.select("source", "sink", "b.kind", "b.path", safe.alias("has_sanitization"), "project")
 
 
 def path_findings(paths: DataFrame) -> DataFrame:
-    """Findings of attack paths without validation; only shell commands are critical."""
+    """Findings of attack paths without validation; only shell commands are critical. Ids are of the content;
+    ``findings.running_ids`` gives running ones."""
     text = F.concat(F.lit("Unvalidated path to "), F.col("kind"), F.lit(" sink: "), F.array_join("path", " -> "))
     return paths.where(~F.col("has_validation")).select(
         F.concat(F.lit("kg-attack-path-"), F.left(F.sha2(text, 256), F.lit(8))).alias("id"),
@@ -304,12 +337,60 @@ def path_findings(paths: DataFrame) -> DataFrame:
     )
 
 
+def auth_findings(missing: DataFrame) -> DataFrame:
+    """Findings of handlers without any check among what they call."""
+    text = F.concat(F.lit("No authentication in the calls of "), F.col("name"))
+    return missing.select(
+        F.concat(F.lit("kg-missing-auth-"), F.left(F.sha2("id", 256), F.lit(8))).alias("id"),
+        F.lit("knowledge-graph").alias("engine"),
+        F.lit("high").alias("severity"),
+        F.lit("missing_auth").alias("type"),
+        F.col("file_path").alias("file"),
+        text.alias("description"),
+    )
+
+
+def flow_findings(flows: DataFrame) -> DataFrame:
+    """Findings of tainted flows that nothing cleans; into a shell or code they are critical."""
+    text = F.concat(F.lit("Tainted flow: "), F.array_join("path", " -> "))
+    return flows.where(~F.col("has_sanitization")).select(
+        F.concat(F.lit("kg-tainted-flow-"), F.left(F.sha2(text, 256), F.lit(8))).alias("id"),
+        F.lit("knowledge-graph").alias("engine"),
+        F.when(F.col("kind").isin("shell", "eval"), "critical").otherwise("high").alias("severity"),
+        F.lit("tainted_flow").alias("type"),
+        F.lit(None).cast("string").alias("file"),
+        text.alias("description"),
+    )
+
+
+def _at_lines(findings: DataFrame, functions: DataFrame, pick: Column) -> DataFrame:
+    """Findings with ``fn`` as ``pick`` tells it for each (file, line), over a window of the file's lines.
+
+    Only distinct lines meet their functions, so what a task holds goes by the length of a file, not by its findings.
+    """
+    lines = findings.groupBy("file", "line").agg(F.count(F.lit(1)).alias("_n"))
+    first = functions.groupBy(F.col("file_path").alias("file"), F.col("start_line").cast("int").alias("line")).agg(F.min(F.struct("seq", "id")).alias("_f"))
+    both = lines.select("file", F.col("line").cast("int").alias("line"), "_n", F.lit(None).cast(first.schema["_f"].dataType).alias("_f"), F.lit(1).alias("_k"))
+    both = both.unionByName(first.select("file", "line", F.lit(None).cast("long").alias("_n"), "_f", F.lit(0).alias("_k")))
+    w = W.partitionBy("file").orderBy("line", "_k").rowsBetween(W.unboundedPreceding, 0)
+    told = both.withColumn("fn", pick.over(w)["id"]).where("_k = 1").select("file", "line", "_n", "fn")
+    return join_by_key(findings, told, ["file", "line"], "_n", hot_bar(findings.count()))
+
+
 def closest_function(findings: DataFrame, functions: DataFrame) -> DataFrame:
-    """Findings with ``fn``: the function of their file that starts last at or before their line; of equals the first."""
-    spans = functions.select(F.col("file_path").alias("_file"), "start_line", "seq", F.col("id").alias("fn"))
-    near = findings.join(spans, (findings["file"] == spans["_file"]) & (spans["start_line"] <= findings["line"]), "left")
-    keep = [c for c in findings.columns]
-    return near.groupBy(*keep).agg(F.max_by("fn", F.struct("start_line", -F.col("seq"))).alias("fn"))
+    """Findings (file, line, ...) with ``fn``: the function of their file that starts last at or before their line; of
+    equals the first. A finding without one, or without file or line, has none."""
+    return _placed(findings, _at_lines(findings.where("file is not null and line is not null"), functions, F.last("_f", ignorenulls=True)))
+
+
+def first_function(findings: DataFrame, functions: DataFrame) -> DataFrame:
+    """Findings with ``fn``: of the functions of their file that start at or before their line, the first in walk order."""
+    return _placed(findings, _at_lines(findings.where("file is not null and line is not null"), functions, F.min("_f")))
+
+
+def _placed(findings: DataFrame, told: DataFrame) -> DataFrame:
+    rest = findings.where("file is null or line is null")
+    return told.select(*findings.columns, "fn").unionByName(rest.withColumn("fn", F.lit(None).cast(told.schema["fn"].dataType)))
 
 
 def call_map_filter(findings: DataFrame, context: DataFrame) -> DataFrame:
@@ -324,12 +405,33 @@ def call_map_filter(findings: DataFrame, context: DataFrame) -> DataFrame:
 def call_context(edges: DataFrame, functions: DataFrame, depth: int = 5) -> DataFrame:
     """(fn, auth, validated) of every function: whether callers up to ``depth`` away are named like guards, and whether
     callees, or the function itself, are named like validation."""
-    roots = functions.select(F.col("id").alias("root"), F.col("id").alias("node"))
-    named = functions.select(F.col("id").alias("node"), "name")
-    up = reach(edges, roots, depth, "callee_id", "caller_id").join(named, "node").where(F.rlike("name", F.lit(AUTH_CONTEXT)))
-    down = reach(edges, roots, depth, "caller_id", "callee_id").join(named, "node").where(F.rlike("name", F.lit(VALIDATION_CONTEXT)))
-    up = up.select(F.col("root").alias("fn")).distinct().withColumn("auth", F.lit(True))
-    down = down.select(F.col("root").alias("fn")).distinct().withColumn("below", F.lit(True))
+    id_ = F.col("id").alias("node")
+    guards = functions.where(F.rlike("name", F.lit(AUTH_CONTEXT))).select(id_)
+    checks = functions.where(F.rlike("name", F.lit(VALIDATION_CONTEXT))).select(id_)
+    up = near_other(edges, guards, depth, "caller_id", "callee_id").select(F.col("node").alias("fn"), F.lit(True).alias("auth"))
+    down = near_other(edges, checks, depth, "callee_id", "caller_id").select(F.col("node").alias("fn"), F.lit(True).alias("below"))
     own = functions.select(F.col("id").alias("fn"), F.rlike("name", F.lit(VALIDATION_CONTEXT)).alias("self"))
     out = own.join(up, "fn", "left").join(down, "fn", "left")
     return out.select("fn", F.coalesce("auth", F.lit(False)).alias("auth"), (F.col("self") | F.coalesce("below", F.lit(False))).alias("validated"))
+
+
+def call_map(graph: dict[str, DataFrame]) -> DataFrame:
+    """(caller, callee): edges by imports and inside files, a second graph beside ``calls``.
+
+    A relative import names a file by its path, its path without extension, or its folder's index; what is imported
+    must be exported there and called by the caller. Inside a file, a call of one of its functions is an edge.
+    """
+    named = graph["functions"].groupBy("project", "file_path", "name").agg(F.min_by("id", "seq").alias("id"))
+    sites = graph["call_sites"].select("project", "file_path", "caller_name", "callee_name").distinct()
+    sites = sites.join(named.select("project", "file_path", F.col("name").alias("caller_name"), F.col("id").alias("caller")), ["project", "file_path", "caller_name"])
+    inside = sites.join(named.select("project", "file_path", F.col("name").alias("callee_name"), F.col("id").alias("callee")), ["project", "file_path", "callee_name"])
+    imports = graph["imports"].where(F.startswith("module", F.lit(".")))
+    folder = F.regexp_extract("file_path", r"^(.*/)?[^/]*$", 1)
+    target = normal_path(F.concat(folder, F.col("module")))
+    wanted = imports.select("project", "file_path", F.explode(F.split("specifiers", ",")).alias("callee_name"), target.alias("target"))
+    bare = F.regexp_replace("file_path", r"\.(?:tsx?|jsx?|mjs|cjs)$", "")
+    ways = F.array_distinct(F.array(F.col("file_path"), bare, F.regexp_replace("file_path", r"/index\.(?:ts|js)$", ""), F.concat(bare, F.lit(".js"))))
+    offered = graph["exports"].select("project", "file_path", "name").distinct().join(named, ["project", "file_path", "name"])
+    offered = offered.select("project", F.explode(ways).alias("target"), F.col("name").alias("callee_name"), F.col("id").alias("callee"))
+    across = sites.join(wanted.distinct(), ["project", "file_path", "callee_name"]).join(offered, ["project", "target", "callee_name"])
+    return inside.select("caller", "callee").unionAll(across.select("caller", "callee")).distinct()

@@ -1,6 +1,6 @@
-"""Queries of the code graph. The call graph of the tables: nations call their suppliers, suppliers call the parts they
-ship, parts call the part that follows in an order for large quantities. Names make some of them handlers, validators,
-sources and sinks.
+"""Queries of the code graph. The call graph of the tables: nations call a reader and their customers, customers their
+orders, orders the parts of their lines (all of them), some parts a dangerous function. Names make some of them handlers,
+guards, validators, sources and sinks.
 """
 
 from __future__ import annotations
@@ -17,39 +17,56 @@ from ironsieve.sources.code import parsed_files
 query = Registry()
 
 
+C, O, P = 1_000_000_000, 2_000_000_000, 3_000_000_000  # where customers, orders and parts are numbered from
+
+
 def call_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(functions, calls) with the columns that ironsieve.operators.graph expects."""
-    n, s, p, l = (read_table(spark, sf_dir, t) for t in ("nation", "supplier", "part", "lineitem"))  # noqa: E741
-    nation = n.select(F.concat(F.lit("handleNation"), F.col("n_nationkey").cast("string")).alias("name"), F.col("n_nationkey").cast("long").alias("seq"), F.lit("src/api/route.ts").alias("file_path"), (F.col("n_nationkey") % 2 == 0).alias("is_exported"), (F.col("n_nationkey") % 3 != 0).alias("is_async"))
-    kind = F.when(F.col("s_suppkey") % 7 == 0, "validate").when(F.col("s_suppkey") % 5 == 0, "auth").when(F.col("s_suppkey") % 11 == 0, "readInput").otherwise("supplier")
-    key = F.col("s_suppkey").cast("string")
-    supplier = s.select(F.concat(kind, key).alias("name"), (F.col("s_suppkey") + 1000).alias("seq"), F.lit("src/lib/s.ts").alias("file_path"), F.lit(False).alias("is_exported"), F.lit(False).alias("is_async"), "s_suppkey", "s_nationkey")
-    sink = F.when(F.col("p_partkey") % 97 == 0, "executeRaw").when(F.col("p_partkey") % 89 == 0, "execSync")
-    part = p.select(F.coalesce(sink, F.concat(F.lit("part"), F.col("p_partkey").cast("string"))).alias("name"), (F.col("p_partkey") + 1_000_000).alias("seq"), F.lit("src/db/p.ts").alias("file_path"), F.lit(False).alias("is_exported"), F.lit(False).alias("is_async"), "p_partkey")
-    ident = F.concat_ws("::", "file_path", "name", F.col("seq").cast("string")).alias("id")
-    fns = nation.select(ident, "name", "seq", "file_path", "is_exported", "is_async").unionByName(supplier.select(ident, "name", "seq", "file_path", "is_exported", "is_async")).unionByName(part.select(ident, "name", "seq", "file_path", "is_exported", "is_async"))
-    fns = cut(fns.withColumn("start_line", (F.col("seq") % 500).cast("int")))
-    num = fns.select("id", "name", "seq")
-    calls_s = supplier.select((F.col("s_nationkey").cast("long")).alias("c"), F.col("seq").alias("t"))
-    calls_p = l.where("l_quantity >= 45").select((F.col("l_suppkey") + 1000).alias("c"), (F.col("l_partkey") + 1_000_000).alias("t")).distinct()
-    ends = l.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.max("l_quantity").alias("q"))
-    after = ends.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("part").alias("next"))
-    calls_q = ends.where("q >= 49.5").join(after, ["l_orderkey", "l_linenumber"]).select((F.col("part") + 1_000_000).alias("c"), (F.col("next") + 1_000_000).alias("t")).where("c != t").distinct()
-    pairs = calls_s.unionAll(calls_p).unionAll(calls_q)
-    a, b = num.select(F.col("id").alias("caller_id"), F.col("name").alias("caller_name"), F.col("seq").alias("c")), num.select(F.col("id").alias("callee_id"), F.col("name").alias("callee_name"), F.col("seq").alias("t"))
-    calls = pairs.join(a, "c").join(b, "t").select((F.col("c") * 10_000_000 + F.col("t")).alias("seq"), "caller_id", "caller_name", "callee_id", "callee_name", F.lit(None).cast("string").alias("receiver"))
-    return fns, cut(calls)
-
-
-_G = """WITH RECURSIVE nat AS (SELECT 'handleNation' || n_nationkey AS name, CAST(n_nationkey AS BIGINT) AS seq, 'src/api/route.ts' AS file_path, n_nationkey % 2 = 0 AS is_exported, n_nationkey % 3 <> 0 AS is_async FROM nation),
-sup AS (SELECT CASE WHEN s_suppkey % 7 = 0 THEN 'validate' WHEN s_suppkey % 5 = 0 THEN 'auth' WHEN s_suppkey % 11 = 0 THEN 'readInput' ELSE 'supplier' END || s_suppkey AS name, s_suppkey + 1000 AS seq, 'src/lib/s.ts' AS file_path, FALSE AS is_exported, FALSE AS is_async FROM supplier),
-par AS (SELECT CASE WHEN p_partkey % 97 = 0 THEN 'executeRaw' WHEN p_partkey % 89 = 0 THEN 'execSync' ELSE 'part' || p_partkey END AS name, p_partkey + 1000000 AS seq, 'src/db/p.ts' AS file_path, FALSE AS is_exported, FALSE AS is_async FROM part),
-fn AS (SELECT *, file_path || '::' || name || '::' || seq AS id FROM (SELECT * FROM nat UNION ALL SELECT * FROM sup UNION ALL SELECT * FROM par)),
-ends AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS part, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2),
-pairs AS (SELECT CAST(s_nationkey AS BIGINT) AS c, s_suppkey + 1000 AS t FROM supplier UNION ALL (SELECT DISTINCT l_suppkey + 1000, l_partkey + 1000000 FROM lineitem WHERE l_quantity >= 45)
- UNION ALL (SELECT DISTINCT a.part + 1000000, b.part + 1000000 FROM ends a JOIN ends b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.q >= 49.5 AND a.part <> b.part)),
+    n, c, o, p, l = (read_table(spark, sf_dir, t) for t in ("nation", "customer", "orders", "part", "lineitem"))  # noqa: E741
+    text = lambda k: F.col(k).cast("string")
+    no = F.lit(False)
+
+    def fns(rows: DataFrame, name, seq, path: str, exported=no, asynchronous=no) -> DataFrame:
+        return rows.select(name.alias("name"), seq.cast("long").alias("seq"), F.lit(path).alias("file_path"), exported.alias("is_exported"), asynchronous.alias("is_async"))
+
+    key = F.col("n_nationkey")
+    kind = F.when((F.col("c_custkey") % 7 == 0) & (F.col("c_nationkey") % 4 == 1), "auth").when(F.col("c_custkey") % 7 == 0, "validate").otherwise("customer")
+    sinks = spark.createDataFrame([("executeRaw", 201), ("execSync", 202)], "name string, seq long")
+    every = (
+        fns(n, F.concat(F.lit("handleNation"), text("n_nationkey")), key, "src/api/route.ts", key % 2 == 0, key % 3 != 0)
+        .unionAll(fns(n, F.concat(F.lit("readInput"), text("n_nationkey")), key + 100, "src/lib/in.ts"))
+        .unionAll(fns(sinks, F.col("name"), F.col("seq"), "src/db/sink.ts"))
+        .unionAll(fns(c, F.concat(kind, text("c_custkey")), F.col("c_custkey") + C, "src/lib/c.ts"))
+        .unionAll(fns(o, F.concat(F.lit("order"), text("o_orderkey")), F.col("o_orderkey") + O, "src/lib/o.ts"))
+        .unionAll(fns(p, F.concat(F.lit("part"), text("p_partkey")), F.col("p_partkey") + P, "src/db/p.ts"))
+    )
+    every = cut(every.withColumn("id", F.concat_ws("::", "file_path", "name", text("seq"))).withColumn("start_line", (F.col("seq") % 500).cast("int")))
+    pair = lambda rows, a, b: rows.select(a.cast("long").alias("c"), b.cast("long").alias("t"))
+    sink = F.when(F.col("p_partkey") % 97 == 0, 201).when(F.col("p_partkey") % 89 == 0, 202)
+    pairs = (
+        pair(n, key, key + 100)
+        .unionAll(pair(c, F.col("c_nationkey"), F.col("c_custkey") + C))
+        .unionAll(pair(o, F.col("o_custkey") + C, F.col("o_orderkey") + O))
+        .unionAll(pair(l, F.col("l_orderkey") + O, F.col("l_partkey") + P).distinct())
+        .unionAll(pair(p.where(sink.isNotNull()), F.col("p_partkey") + P, sink))
+    )
+    a, b = every.select(F.col("id").alias("caller_id"), F.col("name").alias("caller_name"), F.col("seq").alias("c")), every.select(F.col("id").alias("callee_id"), F.col("name").alias("callee_name"), F.col("seq").alias("t"))
+    calls = pairs.join(a, "c").join(b, "t").select(F.struct("c", "t").alias("seq"), "caller_id", "caller_name", "callee_id", "callee_name", F.lit(None).cast("string").alias("receiver"))
+    return every, cut(calls)
+
+
+_G = f"""WITH RECURSIVE fn AS (SELECT *, file_path || '::' || name || '::' || seq AS id FROM (
+SELECT 'handleNation' || n_nationkey AS name, CAST(n_nationkey AS BIGINT) AS seq, 'src/api/route.ts' AS file_path, n_nationkey % 2 = 0 AS is_exported, n_nationkey % 3 <> 0 AS is_async FROM nation
+UNION ALL SELECT 'readInput' || n_nationkey, n_nationkey + 100, 'src/lib/in.ts', FALSE, FALSE FROM nation
+UNION ALL SELECT * FROM (VALUES ('executeRaw', 201, 'src/db/sink.ts', FALSE, FALSE), ('execSync', 202, 'src/db/sink.ts', FALSE, FALSE))
+UNION ALL SELECT CASE WHEN c_custkey % 7 = 0 AND c_nationkey % 4 = 1 THEN 'auth' WHEN c_custkey % 7 = 0 THEN 'validate' ELSE 'customer' END || c_custkey, c_custkey + {C}, 'src/lib/c.ts', FALSE, FALSE FROM customer
+UNION ALL SELECT 'order' || o_orderkey, o_orderkey + {O}, 'src/lib/o.ts', FALSE, FALSE FROM orders
+UNION ALL SELECT 'part' || p_partkey, p_partkey + {P}, 'src/db/p.ts', FALSE, FALSE FROM part)),
+pairs AS (SELECT CAST(n_nationkey AS BIGINT) AS c, CAST(n_nationkey + 100 AS BIGINT) AS t FROM nation UNION ALL SELECT c_nationkey, c_custkey + {C} FROM customer UNION ALL SELECT o_custkey + {C}, o_orderkey + {O} FROM orders
+ UNION ALL (SELECT DISTINCT l_orderkey + {O}, l_partkey + {P} FROM lineitem) UNION ALL SELECT p_partkey + {P}, CASE WHEN p_partkey % 97 = 0 THEN 201 ELSE 202 END FROM part WHERE p_partkey % 97 = 0 OR p_partkey % 89 = 0),
 calls AS (SELECT a.id AS caller_id, a.name AS caller_name, b.id AS callee_id, b.name AS callee_name FROM pairs JOIN fn a ON c = a.seq JOIN fn b ON t = b.seq),
 edge AS (SELECT DISTINCT caller_id, callee_id FROM calls)"""
+_REACH = "r(root, name, depth) AS (SELECT a.name || '>' || e.callee_name, e.callee_name, 1 FROM fn a JOIN calls e ON e.caller_name = a.name WHERE a.is_exported UNION SELECT root, e.callee_name, depth + 1 FROM r JOIN calls e ON e.caller_name = r.name WHERE depth < 5 AND r.name NOT IN ('executeRaw', 'execSync'))"
 
 
 @query(f"{_G} SELECT (SELECT count(*) FROM fn) AS functions, (SELECT count(*) FROM calls) AS calls")
@@ -70,38 +87,55 @@ def callees(spark, sf_dir):
     return gr.callees(calls, fns, "handleNation3", 2)
 
 
-@query(f"{_G}, r(node) AS (SELECT id FROM fn WHERE name = 'part17' UNION SELECT e.caller_id FROM r JOIN edge e ON e.callee_id = node) SELECT node, fn.name, fn.is_exported AS is_entry FROM r JOIN fn ON fn.id = node WHERE fn.name <> 'part17'")
+@query(f"{_G}, r(node, depth) AS (SELECT id, 0 FROM fn WHERE name = 'part17' UNION SELECT e.caller_id, depth + 1 FROM r JOIN edge e ON e.callee_id = node WHERE depth < 10) SELECT DISTINCT node, fn.name, fn.is_exported AS is_entry FROM r JOIN fn ON fn.id = node WHERE fn.name <> 'part17'")
 def blast_radius(spark, sf_dir):
     fns, calls = call_graph(spark, sf_dir)
-    return gr.blast_radius(calls, fns, "part17", 40).select("node", "name", "is_entry")
+    return gr.blast_radius(calls, fns, "part17").select("node", "name", "is_entry")
 
 
-@query(f"{_G}, r(root, node) AS (SELECT id, id FROM fn WHERE is_exported AND is_async UNION SELECT root, e.callee_id FROM r JOIN edge e ON e.caller_id = node) SELECT id, name FROM fn WHERE is_exported AND is_async AND id NOT IN (SELECT root FROM r JOIN fn ON fn.id = node WHERE contains(lower(fn.name), 'auth'))")
+@query(f"{_G}, r(root, node, depth) AS (SELECT id, id, 0 FROM fn WHERE is_exported AND is_async UNION SELECT root, e.callee_id, depth + 1 FROM r JOIN edge e ON e.caller_id = node WHERE depth < 10) SELECT id, name FROM fn WHERE is_exported AND is_async AND id NOT IN (SELECT root FROM r JOIN fn ON fn.id = node WHERE contains(lower(fn.name), 'auth'))")
 def missing_auth(spark, sf_dir):
     fns, calls = call_graph(spark, sf_dir)
-    return gr.missing_auth(calls, fns, 10).select("id", "name")
+    return gr.missing_auth(calls, fns).select("id", "name")
+
 
+PATHS = f"{_G}, {_REACH} SELECT DISTINCT split_part(root, '>', 1) AS entry, name AS sink, CASE name WHEN 'execSync' THEN 'shell' ELSE 'database' END AS kind FROM r WHERE name IN ('executeRaw', 'execSync')"
 
-@query(f"{_G}, one AS (SELECT DISTINCT caller_name, callee_name FROM calls), r(root, name, depth) AS (SELECT a.name || '>' || e.callee_name, e.callee_name, 1 FROM fn a JOIN one e ON e.caller_name = a.name WHERE a.is_exported UNION SELECT root, e.callee_name, depth + 1 FROM r JOIN one e ON e.caller_name = r.name WHERE depth < 3 AND r.name NOT IN ('executeRaw', 'execSync')) SELECT DISTINCT split_part(root, '>', 1) AS entry, name AS sink, CASE name WHEN 'execSync' THEN 'shell' ELSE 'database' END AS kind FROM r WHERE name IN ('executeRaw', 'execSync')")
+
+@query(PATHS)
 def attack_paths(spark, sf_dir):
     fns, calls = call_graph(spark, sf_dir)
-    return gr.attack_paths(calls, fns, 3).select("entry", "sink", "kind").distinct()
+    return gr.attack_paths(calls, fns).select("entry", "sink", "kind").distinct()
 
 
-@query()
+@query(f"{_G}, {_REACH} SELECT 'src/api/route.ts' AS file, CASE sink WHEN 'execSync' THEN 'critical' ELSE 'high' END AS severity, 'attack_path' AS type, count(*) AS findings FROM (SELECT DISTINCT root, name AS sink FROM r WHERE name IN ('executeRaw', 'execSync') AND NOT regexp_matches(root, 'auth|valid')) GROUP BY 1, 2, 3")
 def attack_path_findings(spark, sf_dir):
+    """Findings by file and severity: one for each way that no validator guards, by handler, direct call and sink."""
     fns, calls = call_graph(spark, sf_dir)
-    return gr.path_findings(gr.attack_paths(calls, fns, 5))
+    found = gr.path_findings(gr.attack_paths(calls, fns))
+    return found.groupBy("file", "severity", "type").agg(F.count(F.lit(1)).alias("findings"))
 
 
-@query()
+_FLOWS = f"{_G}, r(source, caller, node, depth) AS (SELECT callee_name, caller_id, caller_id, 0 FROM calls WHERE starts_with(callee_name, 'readInput') UNION SELECT source, caller, e.callee_id, depth + 1 FROM r JOIN edge e ON e.caller_id = node WHERE depth < 8), f AS (SELECT DISTINCT source, caller, name FROM r JOIN fn ON fn.id = node), s AS (SELECT source, bool_or(regexp_matches(lower(name), 'valid|sanitiz|escape|clean|encode|parameteriz|prepare|guard|protect')) AS safe FROM f GROUP BY 1)"
+
+
+@query(f"{_FLOWS} SELECT source, name AS sink, CASE name WHEN 'execSync' THEN 'shell' ELSE 'database' END AS kind, safe AS has_sanitization FROM f JOIN s USING (source) WHERE name IN ('executeRaw', 'execSync')")
 def data_flows(spark, sf_dir):
     fns, calls = call_graph(spark, sf_dir)
-    # sources by name: calls of functions named like readInput
-    named = fns.withColumn("name", F.when(F.startswith("name", F.lit("readInput")), F.lit("readInput")).otherwise(F.col("name")))
-    rename = lambda c: F.when(F.startswith(c, F.lit("readInput")), F.lit("readInput")).otherwise(F.col(c))
-    calls = calls.withColumn("caller_name", rename("caller_name")).withColumn("callee_name", rename("callee_name"))
-    return gr.data_flows(calls, named)
+    return gr.data_flows(calls, fns).select("source", "sink", "kind", "has_sanitization")
+
+
+@query(f"{_FLOWS} SELECT CASE name WHEN 'execSync' THEN 'critical' ELSE 'high' END AS severity, 'tainted_flow' AS type, count(*) AS findings FROM f JOIN s USING (source) WHERE name IN ('executeRaw', 'execSync') AND NOT safe GROUP BY 1, 2")
+def flow_findings(spark, sf_dir):
+    fns, calls = call_graph(spark, sf_dir)
+    return gr.flow_findings(gr.data_flows(calls, fns)).groupBy("severity", "type").agg(F.count(F.lit(1)).alias("findings"))
+
+
+@query()
+def data_flow_paths(spark, sf_dir):
+    """The flows with the way that each takes: the first in the order of calls, which SQL does not tell."""
+    fns, calls = call_graph(spark, sf_dir)
+    return gr.data_flows(calls, fns).select("source", "sink", F.array_join("path", ">").alias("path"))
 
 
 @query("WITH f AS (SELECT p_brand AS file, CAST(p_size AS INTEGER) AS start_line, min(p_partkey) AS fn FROM part GROUP BY 1, 2), q AS (SELECT p_partkey AS id, p_brand AS file, CAST(floor(p_retailprice) AS INTEGER) % 60 AS line FROM part) SELECT q.id, f.fn FROM q ASOF LEFT JOIN f ON q.file = f.file AND q.line >= f.start_line")
@@ -112,6 +146,14 @@ def closest_function(spark, sf_dir):
     return gr.closest_function(q, fns).select("id", "fn")
 
 
+@query("WITH f AS (SELECT p_brand AS file, CAST(p_size AS INTEGER) AS start_line, p_partkey AS fn FROM part), q AS (SELECT p_partkey AS id, p_brand AS file, CAST(floor(p_retailprice) AS INTEGER) % 60 AS line FROM part) SELECT q.id, min(f.fn) AS fn FROM q LEFT JOIN f ON q.file = f.file AND f.start_line <= q.line GROUP BY q.id")
+def first_function(spark, sf_dir):
+    p = read_table(spark, sf_dir, "part")
+    fns = p.select(F.col("p_brand").alias("file_path"), F.col("p_size").cast("int").alias("start_line"), F.col("p_partkey").alias("seq"), F.col("p_partkey").alias("id"))
+    q = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("file"), (F.floor("p_retailprice").cast("int") % 60).alias("line"))
+    return gr.first_function(q, fns).select("id", "fn")
+
+
 @query("SELECT p_partkey AS seq, CASE WHEN p_size % 4 = 1 AND p_size % 3 = 0 THEN 'info' ELSE 'high' END AS severity FROM part WHERE NOT (p_size % 4 = 0 AND p_size % 2 = 0) AND NOT (p_size % 4 = 2 AND p_size % 3 = 0)")
 def call_map_filter(spark, sf_dir):
     p = read_table(spark, sf_dir, "part")
@@ -121,10 +163,17 @@ def call_map_filter(spark, sf_dir):
     return gr.call_map_filter(f, context).select("seq", "severity")
 
 
-@query(f"{_G} SELECT fn.name, auth, validated FROM (SELECT id, bool_or(a) AS auth FROM (SELECT f.id, coalesce(regexp_matches(c.caller_name, '(?i)auth|protect|guard|verify|middleware'), FALSE) AS a FROM fn f LEFT JOIN calls c ON c.callee_id = f.id) GROUP BY 1) u JOIN (SELECT id, bool_or(v) AS validated FROM (SELECT f.id, regexp_matches(f.name, '(?i)validate|sanitize|check|verify|parse|escape|purify|clean|filter|whitelist|allowlist') OR coalesce(regexp_matches(c.callee_name, '(?i)validate|sanitize|check|verify|parse|escape|purify|clean|filter|whitelist|allowlist'), FALSE) AS v FROM fn f LEFT JOIN calls c ON c.caller_id = f.id) GROUP BY 1) d USING (id) JOIN fn USING (id)")
+_AUTH, _VALID = gr.AUTH_CONTEXT, gr.VALIDATION_CONTEXT
+CONTEXT = (
+    f"{_G}, u(src, node, depth) AS (SELECT id, id, 0 FROM fn WHERE regexp_matches(name, '{_AUTH}') UNION SELECT src, callee_id, depth + 1 FROM u JOIN edge ON caller_id = node WHERE depth < 5), "
+    f"d(src, node, depth) AS (SELECT id, id, 0 FROM fn WHERE regexp_matches(name, '{_VALID}') UNION SELECT src, caller_id, depth + 1 FROM d JOIN edge ON callee_id = node WHERE depth < 5) "
+    f"SELECT name, id IN (SELECT node FROM u WHERE node <> src) AS auth, regexp_matches(name, '{_VALID}') OR id IN (SELECT node FROM d WHERE node <> src) AS validated FROM fn"
+)
+
+
+@query(CONTEXT)
 def call_context(spark, sf_dir):
-    fns, calls = call_graph(spark, sf_dir)
-    return gr.call_context(calls, fns, 1).join(fns, F.col("fn") == F.col("id")).select("name", "auth", "validated")
+    return _deep_context(*call_graph(spark, sf_dir))
 
 
 def parsed_parts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -132,9 +181,35 @@ def parsed_parts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     key = F.col("p_partkey").cast("string")
     text = F.concat(F.lit("import { find } from './"), F.col("p_brand"), F.lit("';\nexport class Part"), key, F.lit(" {\n  load(x) {\n    return find(x);\n  }\n  async save(x) {\n    return this.load(x);\n  }\n}\n"))
     files = read_table(spark, sf_dir, "part").select(F.concat(F.lit("src/p"), key, F.lit(".ts")).alias("file"), F.lit("typescript").alias("language"), text.alias("text"))
+    brands = read_table(spark, sf_dir, "part").select("p_brand").distinct()
+    found = F.lit("export function find(x) {\n  return x;\n}\n")
+    files = files.unionAll(brands.select(F.concat(F.lit("src/"), "p_brand", F.lit(".ts")), F.lit("typescript"), found))
     return gr.build(parsed_files(files))
 
 
+@query("SELECT 2 * count(*) + count(DISTINCT p_brand) AS functions, count(*) AS classes, 2 * count(*) AS call_sites FROM part")
+def graph_totals(spark, sf_dir):
+    return gr.totals(parsed_parts(spark, sf_dir))
+
+
+@query("SELECT 'src/p' || p_partkey || '.ts::Part' || p_partkey || '.load' AS caller, 'src/' || p_brand || '.ts::find' AS callee FROM part UNION ALL SELECT 'src/p' || p_partkey || '.ts::Part' || p_partkey || '.save', 'src/p' || p_partkey || '.ts::Part' || p_partkey || '.load' FROM part")
+def import_calls(spark, sf_dir):
+    """The call map: calls of imported and exported functions, and calls inside a file."""
+    return gr.call_map(parsed_parts(spark, sf_dir))
+
+
+@query("SELECT 'p' || s_suppkey % 2 || ':src/m' || s_suppkey || '.ts::run' || s_suppkey AS caller_id, 'p' || s_suppkey % 2 || ':src/a.ts::shared' AS callee_id FROM supplier")
+def project_calls(spark, sf_dir):
+    """Two projects that share names: a call stays in its project, and the first function by path is called."""
+    s = read_table(spark, sf_dir, "supplier")
+    key, owner = F.col("s_suppkey").cast("string"), F.concat(F.lit("p"), (F.col("s_suppkey") % 2).cast("string")).alias("project")
+    run = F.concat(F.lit("export function run"), key, F.lit("() {\n  return shared();\n}\n"))
+    files = s.select(owner, F.concat(F.lit("src/m"), key, F.lit(".ts")).alias("file"), F.lit("typescript").alias("language"), run.alias("text"))
+    for path in ("src/z.ts", "src/a.ts"):
+        files = files.unionAll(s.select(owner).distinct().select("project", F.lit(path), F.lit("typescript"), F.lit("function shared() {\n  return 1;\n}\n")))
+    return gr.build(parsed_files(files))["calls"].select("caller_id", "callee_id")
+
+
 @query("SELECT 'src/p' || p_partkey || '.ts' AS file_path, './' || p_brand AS module, 'find' AS specifiers, CAST(1 AS INTEGER) AS line FROM part")
 def imports_of(spark, sf_dir):
     return parsed_parts(spark, sf_dir)["imports"].select("file_path", "module", "specifiers", F.col("line").cast("int").alias("line"))
@@ -149,9 +224,9 @@ def _deep_paths(fns: DataFrame, calls: DataFrame) -> DataFrame:
     return gr.attack_paths(calls, fns).select("entry", "sink", "kind").distinct()
 
 
-@query()
+@query(PATHS)
 def deep_attack_paths(spark, sf_dir):
-    """attack_paths to the operator's own depth; that query and its SQL stop at 3."""
+    """As attack_paths, which once stopped short of the operator's own depth."""
     return _deep_paths(*call_graph(spark, sf_dir))
 
 
@@ -159,7 +234,7 @@ def _deep_context(fns: DataFrame, calls: DataFrame) -> DataFrame:
     return gr.call_context(calls, fns).join(fns, F.col("fn") == F.col("id")).select("name", "auth", "validated")
 
 
-@query()
+@query(CONTEXT)
 def deep_call_context(spark, sf_dir):
-    """call_context to the operator's own depth; that query and its SQL stop at 1."""
+    """As call_context, which once stopped short of the operator's own depth."""
     return _deep_context(*call_graph(spark, sf_dir))

@@ -119,21 +119,22 @@ def parse_python(text: str) -> dict:
 
 
 def parsed_files(files: DataFrame) -> DataFrame:
-    """schemas.PARSED_FILE of (file, language, text); files are numbered by their path."""
+    """schemas.PARSED_FILE of (file, language, text), and their project if they have that column. ``file_seq`` only tells
+    files apart; order is that of paths."""
+    projects = "project" in files.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for path, language, text in zip(b["file"], b["language"], b["text"], strict=True):
+            owners = b["project"] if projects else [""] * len(b)
+            for project, path, language, text in zip(owners, b["file"], b["language"], b["text"], strict=True):
                 try:
                     parts = parse_python(text) if language == "python" else parse_script(text)
                 except (SyntaxError, ValueError, RecursionError, TypeError):
                     continue
-                out.append({"file_path": path, "language": language, **parts})
-            yield pd.DataFrame(out, columns=["file_path", "language", "functions", "classes", "imports", "exports", "call_sites"])
-
-    kind = schemas.PARSED_FILE.removeprefix("file_seq long, ")
-    parsed = files.where("language is not null and text is not null").select("file", "language", "text").mapInPandas(run, kind)
-    # a number that sorts as paths do within a project and needs no global order: the rank inside the folder's hash
-    number = F.pmod(F.xxhash64("file_path"), F.lit(1 << 40))
-    return parsed.select(number.alias("file_seq"), *parsed.columns)
+                out.append({"project": project, "file_path": path, "language": language, **parts})
+            yield pd.DataFrame(out, columns=["project", "file_path", "language", "functions", "classes", "imports", "exports", "call_sites"])
+
+    kind = "project string, " + schemas.PARSED_FILE.removeprefix("file_seq long, ")
+    parsed = files.where("language is not null and text is not null").select("file", "language", "text", *["project"] * projects).mapInPandas(run, kind)
+    return parsed.select(F.pmod(F.xxhash64("file_path"), F.lit(1 << 40)).alias("file_seq"), *parsed.columns)
