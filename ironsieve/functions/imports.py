@@ -23,6 +23,24 @@ FORMS = (
     r"\brequire\s*\(\s*['\"]([^'\"]+)['\"]\s*\)",
     r"\bimport\s*\(\s*['\"]([^'\"]+)['\"]\s*\)",
 )
+# fixed values: what a project is built with, by its dependencies; the first name that fits counts
+STACK = {
+    "framework": (("nextjs", ("next",)), ("fastify", ("fastify",)), ("hono", ("hono",)), ("express", ("express",)), ("koa", ("koa",))),
+    "auth": (
+        ("clerk", ("@clerk/nextjs", "@clerk/clerk-react", "@clerk/clerk-js")),
+        ("next-auth", ("next-auth", "@auth/core")),
+        ("passport", ("passport",)),
+        ("lucia", ("lucia", "@lucia-auth/adapter-prisma", "lucia-auth")),
+    ),
+    "orm": (
+        ("prisma", ("@prisma/client", "prisma")),
+        ("drizzle", ("drizzle-orm",)),
+        ("sequelize", ("sequelize",)),
+        ("typeorm", ("typeorm",)),
+        ("knex", ("knex",)),
+    ),
+}
+PYTHON_FRAMEWORKS = ("django", "fastapi", "flask")
 FRAMEWORKS = ("next", "express", "fastify", "hono", "koa", "@nestjs/core", "react", "vue", "svelte")
 
 
@@ -48,3 +66,19 @@ def category_flags(text: Column) -> list[Column]:
 def framework(dependencies: Column) -> Column:
     """The first framework in order of precedence that the dependencies name, or null."""
     return F.coalesce(*[F.when(F.map_contains_key(dependencies, f), F.lit(f)) for f in FRAMEWORKS])
+
+
+def stack(dependencies: Column) -> list[Column]:
+    """framework, auth and orm of a project's dependencies (a map by name), each null if none is known."""
+
+    def first(kinds) -> Column:
+        names = F.map_keys(dependencies)
+        return F.coalesce(*[F.when(F.arrays_overlap(names, F.array(*map(F.lit, own))), F.lit(kind)) for kind, own in kinds])
+
+    return [first(kinds).alias(what) for what, kinds in STACK.items()]
+
+
+def python_framework(manifest: Column) -> Column:
+    """The framework that a Python manifest's text names."""
+    low = F.lower(manifest)
+    return F.coalesce(*[F.when(F.contains(low, F.lit(f)), F.lit(f)) for f in PYTHON_FRAMEWORKS])

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # fixed values: what is scrubbed, in this order, and by what
 SCRUB = (
@@ -24,13 +25,47 @@ LANGUAGES = {
 _BOUND = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
+# what a mark's pattern begins with, and text that it holds: tried first, as both cost little
+_FIRST = {"[ssn]": r"(?=\d)", "[card]": r"(?=\d)", "[phone]": r"(?=[\d+(])", "[ip]": r"(?=\d)", "[token]": "(?=e)"}
+_HOLDS = {"[email]": "@", "[ssn]": "-", "[ip]": ".", "[token]": "eyJ"}
+
+
+def _quick(pattern: str, mark: str) -> str:
+    """The same matches, found faster: word boundaries are looked at where the pattern can begin, and an address only
+    where its first part begins (or the match before it ended)."""
+    if mark == "[email]":
+        local = r"[a-zA-Z0-9._%+-]"
+        return rf"(?:(?<!{local})|\G){local}++" + pattern.removeprefix(f"{local}+")
+    return _FIRST[mark] + pattern.replace(r"\b", _BOUND)
+
+
 def scrub(text: Column) -> Column:
     """Personal data replaced by marks. Word boundaries are ASCII ones whatever the JVM's notion of letters."""
     for pattern, mark in SCRUB:
-        text = F.regexp_replace(text, pattern.replace(r"\b", _BOUND), mark.replace("[", r"\[").replace("]", r"\]"))
+        done = F.regexp_replace(text, _quick(pattern, mark), mark.replace("[", r"\[").replace("]", r"\]"))
+        text = F.when(F.contains(text, F.lit(_HOLDS[mark])), done).otherwise(text) if mark in _HOLDS else done
     return text
 
 
+def scrub_fields(value: Column, kind: T.DataType) -> Column:
+    """The value with every string in it scrubbed, in structs, arrays and maps' values, too."""
+    if isinstance(kind, T.StringType):
+        return scrub(value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: scrub_fields(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, x: scrub_fields(x, kind.valueType))
+    if isinstance(kind, T.StructType):
+        whole = F.struct(*[scrub_fields(value[f.name], f.dataType).alias(f.name) for f in kind.fields])
+        return F.when(value.isNotNull(), whole)
+    return value
+
+
+def scrub_event(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Events with all strings of all columns scrubbed but those of ``keep``."""
+    return events.select(*[F.col(f.name) if f.name in keep else scrub_fields(F.col(f.name), f.dataType).alias(f.name) for f in events.schema.fields])
+
+
 def strip_invisible(text: Column) -> Column:
     return F.translate(text, INVISIBLE, "")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from ironsieve.session import cut
+from ironsieve.session import cut, release
 
 #: A key with more rows than this is met by broadcast; so many such keys there are at most, as the bar rises with the rows.
 HOT_ROWS, HOT_KEYS = 200, 50_000
@@ -70,6 +70,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         small = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         hung = meet(large, small).where(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(hung.unionAll(small.select("u", F.col("m").alias("v"))).distinct())
+        if state.most > bar:
+            del both, least, large, small, hung, meet
+            release(e.sparkSession)  # rounds over hubs leave the most behind
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

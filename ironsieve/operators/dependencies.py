@@ -8,9 +8,21 @@ from pyspark.sql import functions as F
 from ironsieve.functions import severity as sev
 
 # fixed values: well-known packages, in the order in which a likeness is looked for
-POPULAR = "react express lodash axios moment chalk commander next vue angular webpack typescript zod prisma drizzle hono fastify vite esbuild rollup jest vitest mocha prettier eslint tailwindcss postcss dotenv cors helmet jsonwebtoken bcrypt mongoose sequelize socket.io redis bull passport multer sharp puppeteer playwright".split()
+POPULAR = [
+    "react", "express", "lodash", "axios", "moment", "chalk", "commander", "next", "vue", "angular", "webpack",
+    "typescript", "zod", "prisma", "drizzle", "hono", "fastify", "vite", "esbuild", "rollup", "jest", "vitest",
+    "mocha", "prettier", "eslint", "tailwindcss", "postcss", "dotenv", "cors", "helmet", "jsonwebtoken", "bcrypt",
+    "mongoose", "sequelize", "socket.io", "redis", "bull", "passport", "multer", "sharp", "puppeteer", "playwright",
+]
+# fixed values: the packages that a single name is compared with before it is added
+CHECKED = ["express", "react", "lodash", "axios", "chalk", "commander", "next", "typescript", "webpack", "eslint", "prettier", "jest", "vitest", "fastify", "hono", "zod", "prisma"]
 # fixed values: packages that only look like misspellings
-LEGITIMATE = "recast oxlint biome bun esbuild swc turbopack rome deno-lint jose bcryptjs pino vaul dub zod jotai zustand immer luxon dayjs nanoid cuid ky got ora ink listr execa tempy meow yargs chalk kleur picocolors superjson trpc @biomejs/biome @swc/core @oxlint/core".split()
+LEGITIMATE = [
+    "recast", "oxlint", "biome", "bun", "esbuild", "swc", "turbopack", "rome", "deno-lint", "jose", "bcryptjs",
+    "pino", "vaul", "dub", "zod", "jotai", "zustand", "immer", "luxon", "dayjs", "nanoid", "cuid", "ky", "got",
+    "ora", "ink", "listr", "execa", "tempy", "meow", "yargs", "chalk", "kleur", "picocolors", "superjson", "trpc",
+    "@biomejs/biome", "@swc/core", "@oxlint/core",
+]
 # fixed values: current major versions
 MAJORS = {
     "react": 19, "express": 5, "lodash": 4, "axios": 1, "chalk": 5, "commander": 12, "next": 15, "vue": 3, "webpack": 5, "typescript": 5,
@@ -19,8 +31,8 @@ MAJORS = {
 }
 # fixed values: known fakes of packages
 FAKES = {
-    "express": "expres expresss exxpress xpress", "lodash": "lodashs lodahs lod-ash loadash", "axios": "axois axio axioss", "react": "raect reactt reakt",
-    "chalk": "chaulk chalks chlak", "commander": "comander comanderr", "webpack": "webpak web-pack webpackk", "typescript": "typscript typescipt tyepscript",
+    "express": ["expres", "expresss", "exxpress", "xpress"], "lodash": ["lodashs", "lodahs", "lod-ash", "loadash"], "axios": ["axois", "axio", "axioss"], "react": ["raect", "reactt", "reakt"],
+    "chalk": ["chaulk", "chalks", "chlak"], "commander": ["comander", "comanderr"], "webpack": ["webpak", "web-pack", "webpackk"], "typescript": ["typscript", "typescipt", "tyepscript"],
 }
 # fixed values: what makes an install script suspicious
 INSTALL_SCRIPTS = ("postinstall", "preinstall", "install", "prepare", "prepublish")
@@ -35,7 +47,9 @@ INSTALL_PATTERNS = (
     (r"\|\s*(sh|bash|zsh|node)\b", "pipes to shell/node"),
     (r"/dev/tcp/", "contains reverse shell pattern"),
 )
-LICENCES = "MIT ISC BSD-2-Clause BSD-3-Clause Apache-2.0 0BSD Unlicense CC0-1.0 MPL-2.0".split()
+LICENCES = [
+    "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "0BSD", "Unlicense", "CC0-1.0", "MPL-2.0",
+]
 
 
 def declared(packages: DataFrame, *kinds: str) -> DataFrame:
@@ -81,7 +95,7 @@ def fakes(names: DataFrame, name: str = "name") -> DataFrame:
     """(name, real): names on the list of known fakes."""
     real = F
     for k, v in FAKES.items():
-        real = real.when(F.col(name).isin(v.split()), k)
+        real = real.when(F.col(name).isin(v), k)
     return names.select(name, real.otherwise(None).alias("real")).where("real is not null")
 
 
@@ -156,3 +170,29 @@ def package_check(names: DataFrame, registry: DataFrame, today: str) -> DataFram
     )
     safe = known & licence & fresh & ~old & F.col("similar_to").isNull()
     return got.select("name", "version", "license", fresh.alias("maintained"), old.alias("deprecated"), "similar_to", safe.alias("safe"), why.alias("recommendation"))
+
+
+# fixed values: what a project on a framework should have: (kind, packages of which one will do, priority)
+RECOMMENDED = {
+    "express": (("missing_helmet", ("helmet",), "high"), ("missing_cors", ("cors",), "medium"), ("missing_rate_limit", ("express-rate-limit", "rate-limiter-flexible"), "high")),
+    "nextjs": (("missing_csp", (), "high"), ("missing_rate_limit", ("rate-limiter-flexible", "@upstash/ratelimit"), "medium")),
+    "fastify": (("missing_helmet", ("@fastify/helmet",), "high"), ("missing_cors", ("@fastify/cors",), "medium"), ("missing_rate_limit", ("@fastify/rate-limit",), "high")),
+    "hono": (("missing_cors", (), "medium"), ("missing_csp", (), "high")),
+}
+
+
+def recommended(projects: DataFrame, deps: DataFrame, env_ignored: Column | None = None) -> DataFrame:
+    """(project, kind, package, priority): what projects (project, framework) lack; what no package gives is always told.
+    With ``env_ignored`` (a column of projects), also those whose environment files are not kept out of the repository."""
+    rows = [(f, k, list(p), q) for f, kinds in RECOMMENDED.items() for k, p, q in kinds]
+    table = projects.sparkSession.createDataFrame(rows, "framework string, kind string, packages array<string>, priority string")
+    wanted = projects.join(F.broadcast(table), "framework").withColumn("name", F.explode_outer("packages"))
+    have = deps.select("project", "name").distinct().withColumn("has", F.lit(True))
+    told = wanted.join(have, ["project", "name"], "left").groupBy("project", "kind", "priority").agg(
+        F.bool_or(F.coalesce("has", F.lit(False))).alias("has"), F.min(F.get("packages", F.lit(0))).alias("package")
+    )
+    out = told.where(~F.col("has")).select("project", "kind", "package", "priority")
+    if env_ignored is None:
+        return out
+    bare = projects.where(~F.coalesce(env_ignored, F.lit(False)))
+    return out.unionByName(bare.select("project", F.lit("missing_env_config").alias("kind"), F.lit(None).cast("string").alias("package"), F.lit("high").alias("priority")))

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window as W
 
 from ironsieve.functions import severity as sev
 from ironsieve.functions.text import finding_hash
+from ironsieve.session import cut
 
 DEDUP = ("file", "line", "type", "description")
 AUDIT_DEDUP = ("category", "severity", "file", "line", "description")
@@ -48,29 +49,39 @@ def grade(worst: Column) -> Column:
 
 def summary(findings: DataFrame) -> DataFrame:
     """One row: counts by severity, auto-fixable count, score and status, also for no findings."""
-    counts = scored(findings)
-    worst = F.min(sev.rank(F.col("severity")))
-    one = counts.agg(worst.alias("worst"))
+    counts = (F.col("severity") != "info") & ~F.col("context").eqNullSafe(F.lit("env-example"))
     every = findings.agg(
         *[F.count_if(F.col("severity") == s).alias(s) for s in sev.RANKS],
         F.count_if(F.coalesce(F.col("auto_fixable"), F.lit(False))).alias("auto_fixable"),
         F.coalesce(F.bool_or(F.col("severity").isin("critical", "high")), F.lit(False)).alias("_fails"),
+        F.min(F.when(counts, sev.rank(F.col("severity")))).alias("_worst"),
     )
-    return every.join(F.broadcast(one)).select(
+    return every.select(
         *sev.RANKS,
         "auto_fixable",
-        grade(F.col("worst")).alias("score"),
+        grade(F.col("_worst")).alias("score"),
         F.when(F.col("_fails"), "fail").otherwise("pass").alias("status"),
     )
 
 
 def trust(findings: DataFrame) -> DataFrame:
     """One row: the trust grade of an audit, where any malicious finding fails it, and its verdict."""
-    got = findings.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(sev.rank(F.col("severity"))).alias("worst"),
-        F.coalesce(F.bool_or(F.col("category") == "malicious"), F.lit(False)).alias("bad"),
-    )
+    return _trusted(findings.agg(*_worst()))
+
+
+def trust_by(findings: DataFrame, every: DataFrame, by: str = "project") -> DataFrame:
+    """The trust grade of each project in ``every``, those without findings too."""
+    got = findings.groupBy(by).agg(*_worst())
+    whole = every.select(by).distinct().join(got, by, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return _trusted(whole.withColumn("bad", F.coalesce("bad", F.lit(False))), by)
+
+
+def _worst() -> tuple[Column, ...]:
+    bad = F.coalesce(F.bool_or(F.col("category") == "malicious"), F.lit(False))
+    return F.count(F.lit(1)).alias("n"), F.min(sev.rank(F.col("severity"))).alias("worst"), bad.alias("bad")
+
+
+def _trusted(got: DataFrame, *by: str) -> DataFrame:
     worst = F.col("worst")
     mark = (
         F.when(F.col("n") == 0, "A")
@@ -80,7 +91,53 @@ def trust(findings: DataFrame) -> DataFrame:
         .otherwise("B")
     )
     verdict = F.when(mark.isin("A", "B"), "SAFE").when(mark.isin("C", "D"), "CAUTION").otherwise("DANGEROUS")
-    return got.select(mark.alias("grade"), verdict.alias("verdict"))
+    return got.select(*by, mark.alias("grade"), verdict.alias("verdict"))
+
+
+def running_ids(findings: DataFrame, prefix: str, order: Sequence[str], column: str = "id") -> DataFrame:
+    """Findings with running ids ``prefix``1, 2, ... in the given order.
+
+    Rows are dealt by ranges of the order; each range counts its own, and starts after the sum of those before it, of
+    which there is one number for each range.
+    """
+    name = "_part"
+    parts = cut(findings.repartitionByRange(*order).withColumn(name, F.spark_partition_id()))
+    sizes = parts.groupBy(name).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy(name).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    number = F.row_number().over(W.partitionBy(name).orderBy(*order)) + F.col("_before")
+    out = parts.join(F.broadcast(sizes.select(name, before.alias("_before"))), name)
+    return out.withColumn(column, F.concat(F.lit(prefix), number.cast("string"))).drop(name, "_before")
+
+
+def whole_scan(
+    scanners: Sequence[DataFrame],
+    graph: DataFrame | None = None,
+    gates: tuple[DataFrame, DataFrame] | None = None,
+    kept: Column | None = None,
+    changed: DataFrame | None = None,
+    baseline: DataFrame | None = None,
+) -> DataFrame:
+    """The findings of a scan from those of its scanners, in the scanners' order, with their fingerprint as ``hash``.
+
+    Equal findings (``DEDUP``) are the first scanner's; the graph's come after that and are no copies of others. Then
+    go: rules that a project's framework makes needless (``gates``: gates and frameworks, for findings with a project),
+    paths for which ``kept`` is false, files that did not change, and what the baseline has accepted.
+    """
+    every = merge(scanners)
+    if "project" not in every.columns:
+        every = every.withColumn("project", F.lit(""))
+    order = F.struct("source_no", "file", "line", F.coalesce("rule_no", F.lit(0)) if "rule_no" in every.columns else F.lit(0), "id")
+    out = first_wins(every.withColumn("seq", order), ("project", *DEDUP), ["seq"])
+    if graph is not None:
+        out = out.unionByName(graph, allowMissingColumns=True)
+    if gates is not None:
+        out = framework_gated(out, *gates)
+    if kept is not None:
+        out = out.where(F.coalesce(kept, F.lit(True)))
+    if changed is not None:
+        out = only_changed(out, changed)
+    out = fingerprinted(out)
+    return out if baseline is None else not_in_baseline(out, baseline)
 
 
 def fingerprinted(findings: DataFrame) -> DataFrame:

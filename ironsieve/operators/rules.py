@@ -1,7 +1,8 @@
 """Rules over text, compiled into one projection per scan: no rule table is joined, so every pattern is compiled once.
 
 A rule names text that a match must hold; that is tested first, for whole files before they are taken apart, and costs
-little. Rules go into the plan in chunks, so that generated code stays small. Line rules look at one line each, file
+little. Rules are in chunks: of a file's lines only the chunks are tried of which the file holds any needed text. Some
+hundred patterns are too much for one generated class, so chunks are in a lambda's body, which Spark interprets. Line rules look at one line each, file
 rules at the whole text; both may name a pattern whose presence anywhere in the file makes them silent.
 
 Findings are suppressed by their context: comments, tagged templates and sanitising calls in the line, and packages that
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from ironsieve.functions.imports import categories
 from ironsieve.functions.text import entropy, is_test_path, language_of
 
-CHUNK = 40
+CHUNK = 12
 _MARK = "\x01"
 
 
@@ -63,10 +64,11 @@ COMMENT = r"^\s*(?://|#|\*|/\*)"
 
 
 def _any(text: Column, needs: Sequence[str]) -> Column:
-    out = F.contains(text, F.lit(needs[0]))
-    for n in needs[1:]:
-        out = out | F.contains(text, F.lit(n))
-    return out
+    """Whether the text holds one of the needed ones; halved again and again, as the compiler minds depth."""
+    if len(needs) == 1:
+        return F.contains(text, F.lit(needs[0]))
+    half = len(needs) // 2
+    return _any(text, needs[:half]) | _any(text, needs[half:])
 
 
 def fires(rule: Rule, line: Column) -> Column:
@@ -110,47 +112,64 @@ def _silent(rules: Sequence[tuple[int, Rule]], text: Column) -> Column:
     return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<int>")
 
 
-def _gate(rules: Sequence[tuple[int, Rule]], text: Column) -> Column:
-    """Whether a file holds text that any rule needs."""
-    if any(not r.needs for _, r in rules):
-        return text.isNotNull()
-    return _any(text, sorted({n for _, r in rules for n in r.texts()}))
+def _chunks(rules: Sequence[tuple[int, Rule]]) -> list[list[tuple[int, Rule]]]:
+    return [list(rules[i : i + CHUNK]) for i in range(0, len(rules), CHUNK)]
+
+
+def _open_chunks(rules: Sequence[tuple[int, Rule]], text: Column) -> Column:
+    """Numbers of the chunks of which the file holds any text that a rule needs."""
+    hits = []
+    for k, chunk in enumerate(_chunks(rules)):
+        needs = sorted({n for _, r in chunk for n in r.texts()})
+        hits.append(F.when(_any(text, needs) if all(needs) and needs else text.isNotNull(), F.lit(k)))
+    return F.array_compact(F.array(*hits))
+
+
+def _tried(rules: Sequence[tuple[int, Rule]], text: Column, hit, kind: str) -> Column:
+    """What ``hit(number, rule, text)`` gives for the rules of the open chunks, nulls left out."""
 
+    def every(x: Column) -> Column:
+        none = F.array().cast(f"array<{kind}>")
+        return F.concat(
+            *[
+                F.when(F.array_contains("_open", k), F.array_compact(F.array(*[hit(i, r, x) for i, r in chunk]))).otherwise(none)
+                for k, chunk in enumerate(_chunks(rules))
+            ]
+        )
 
-def _chunked(hits: list[Column]) -> Column:
-    chunks = [F.array_compact(F.array(*hits[i : i + CHUNK])) for i in range(0, len(hits), CHUNK)]
-    return F.concat(*chunks)
+    return F.get(F.transform(F.array(text), every), F.lit(0))
 
 
 def scan_lines(files: DataFrame, rules: Sequence[tuple[int, Rule]]) -> DataFrame:
     """(file, line, rule_no) of numbered line rules over prepared files (file, text, _lang, _test, _imports)."""
-    text, line, silent = F.col("text"), F.col("line_text"), F.col("_silent")
-    open_ = files.where(_gate(rules, text)).withColumn("_silent", _silent(rules, text))
-    hits = []
-    for i, rule in rules:
+    text = F.col("text")
+    ready = files.withColumn("_open", _open_chunks(rules, text)).where(F.size("_open") > 0).withColumn("_silent", _silent(rules, text))
+
+    def hit(i: int, rule: Rule, line: Column) -> Column:
         found = fires(rule, line) & _open_rule(rule)
         if rule.absent_file:
-            found = found & ~F.array_contains(silent, i)
-        hits.append(F.when(found, F.lit(i)))
-    return lines_of(open_).select("file", F.col("line_no").alias("line"), F.explode(_chunked(hits)).alias("rule_no"))
+            found = found & ~F.array_contains("_silent", i)
+        return F.when(found, F.lit(i))
+
+    return lines_of(ready).select("file", F.col("line_no").alias("line"), F.explode(_tried(rules, F.col("line_text"), hit, "int")).alias("rule_no"))
 
 
 def scan_texts(files: DataFrame, rules: Sequence[tuple[int, Rule]]) -> DataFrame:
     """(file, line, rule_no) of numbered file rules over prepared files: every line where a match begins."""
-    text = F.translate("text", _MARK, "")
 
-    def begins(rule: Rule) -> Column:
-        marked = F.split(F.regexp_replace(text, rule.pattern, f"{_MARK}$0"), "\n")
+    def begins(rule: Rule, text: Column) -> Column:
+        marked = F.split(F.regexp_replace(F.translate(text, _MARK, ""), rule.pattern, f"{_MARK}$0"), "\n")
         at = F.transform(marked, lambda line, i: F.when(F.contains(line, F.lit(_MARK)), i + 1))
         return F.array_compact(at)
 
-    hits = []
-    for i, rule in rules:
+    def hit(i: int, rule: Rule, text: Column) -> Column:
         found = _any(text, rule.texts()) & _open_rule(rule) & F.rlike(text, F.lit(rule.pattern))
         if rule.absent_file:
             found = found & ~F.rlike(text, F.lit(rule.absent_file))
-        hits.append(F.when(found, F.struct(F.lit(i).alias("rule_no"), begins(rule).alias("lines"))))
-    found = files.where(_gate(rules, text)).select("file", F.explode(_chunked(hits)).alias("h"))
+        return F.when(found, F.struct(F.lit(i).alias("rule_no"), begins(rule, text).alias("lines")))
+
+    ready = files.withColumn("_open", _open_chunks(rules, F.col("text"))).where(F.size("_open") > 0)
+    found = ready.select("file", F.explode(_tried(rules, F.col("text"), hit, "struct<rule_no:int,lines:array<int>>")).alias("h"))
     return found.select("file", F.explode("h.lines").alias("line"), F.col("h.rule_no").alias("rule_no"))
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ironsieve.plans import dependencies, events, findings, graph
+from ironsieve.plans import code, dependencies, events, findings, graph
 from ironsieve.plans.registry import Query
 
-_PARTS = (findings.query, dependencies.query, events.query, graph.query)
+_PARTS = (findings.query, dependencies.query, events.query, graph.query, code.query)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,18 +8,73 @@ from pyspark.sql import functions as F
 from ironsieve.functions import severity as sev
 from ironsieve.operators import dependencies as dp
 from ironsieve.operators import findings as fd
+from ironsieve.operators.dispatch import licences
 from ironsieve.plans.registry import Registry
 from ironsieve.session import read_table
 from ironsieve.sources import files as src
 
 query = Registry()
-WORDS = ("red bolt", "blue ring", "small nut", "green gear")
 
 
-@query("WITH k AS (SELECT * FROM (VALUES (0, 'red bolt'), (1, 'blue ring'), (2, 'small nut'), (3, 'green gear')) t(o, w)), n AS (SELECT DISTINCT p_name FROM part WHERE p_name NOT IN (SELECT w FROM k)) SELECT p_name AS name, arg_min(w, o) AS similar_to FROM n JOIN k ON levenshtein(lower(p_name), w) BETWEEN 1 AND 2 GROUP BY 1")
+def _listed(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names near well-known packages: one that a part's key chooses, cut, lengthened, changed or as it is."""
+    key, size = F.col("p_partkey"), F.col("p_size") % 4
+    word = F.get(F.array(*map(F.lit, dp.POPULAR)), (key % len(dp.POPULAR)).cast("int"))
+    name = F.when(size == 0, F.left(word, F.length(word) - 1)).when(size == 1, F.concat(word, F.lit("x"))).when(size == 2, F.concat(F.lit("z"), F.substring(word, 2, 99))).otherwise(word)
+    return read_table(spark, sf_dir, "part").select(name.alias("name"))
+
+
+_NAMES = (
+    f"names AS (SELECT DISTINCT CASE p_size % 4 WHEN 0 THEN w[:-2] WHEN 1 THEN w || 'x' WHEN 2 THEN 'z' || w[2:] ELSE w END AS name FROM (SELECT p_size, {_listed(dp.POPULAR)}[p_partkey % {len(dp.POPULAR)} + 1] AS w FROM part))"
+)
+
+
+def _likes(known) -> str:
+    return f"k AS (SELECT unnest({_listed(known)}) AS w, generate_subscripts({_listed(known)}, 1) AS o)"
+
+
+@query(f"WITH {_NAMES}, {_likes(dp.POPULAR)} SELECT name, arg_min(w, o) AS similar_to FROM names JOIN k ON levenshtein(lower(name), lower(w)) BETWEEN 1 AND 2 WHERE name NOT IN (SELECT w FROM k) AND NOT list_contains({_listed(dp.LEGITIMATE)}, name) GROUP BY 1")
 def typosquat(spark, sf_dir):
-    names = read_table(spark, sf_dir, "part").select(F.col("p_name").alias("name"))
-    return dp.lookalikes(names, list(WORDS), [])
+    return dp.lookalikes(_names(spark, sf_dir))
+
+
+@query(f"WITH {_NAMES}, {_likes(dp.CHECKED)} SELECT name, arg_min(w, o) AS similar_to FROM names JOIN k ON levenshtein(lower(name), lower(w)) BETWEEN 1 AND 2 WHERE name NOT IN (SELECT w FROM k) GROUP BY 1")
+def typosquat_checked(spark, sf_dir):
+    """Against the shorter list that a single package is checked with."""
+    return dp.lookalikes(_names(spark, sf_dir), dp.CHECKED, [])
+
+
+_FAKES = [(fake, real) for real, v in dp.FAKES.items() for fake in v]
+
+
+@query("WITH f AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(_FAKES)) + f") t(i, fake, real)) SELECT p_partkey AS id, fake AS name, real FROM part JOIN f ON p_partkey % {len(_FAKES) * 2} = i")
+def known_fakes(spark, sf_dir):
+    p = read_table(spark, sf_dir, "part")
+    name = F.get(F.array(*[F.lit(a) for a, _ in _FAKES]), (F.col("p_partkey") % (2 * len(_FAKES))).cast("int"))
+    named = p.select(F.col("p_partkey").alias("id"), F.coalesce(name, F.lit("express")).alias("name"))
+    return named.join(F.broadcast(dp.fakes(named.select("name").distinct())), "name").select("id", "name", "real")
+
+
+@query("SELECT p_partkey AS project, 'a' AS name, '1' AS spec, 'use b' AS deprecated FROM part WHERE p_size % 3 = 0")
+def deprecated_dependencies(spark, sf_dir):
+    p = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("project"), "p_size")
+    deps = p.select("project", F.lit("a").alias("name"), F.lit("1").alias("spec"))
+    locked = p.select("project", F.lit("a").alias("name"), F.when(F.col("p_size") % 3 == 0, "use b").alias("deprecated"))
+    return dp.deprecated(deps, locked).select("project", "name", "spec", "deprecated")
+
+
+@query("SELECT 'pkg' || p_partkey AS name, p_size % 2 = 0 AS maintained, p_size % 5 = 0 AS deprecated, p_size % 3 <> 0 AND p_size % 2 = 0 AND p_size % 5 <> 0 AND p_size % 7 <> 0 AS safe FROM part")
+def package_checks(spark, sf_dir):
+    p = read_table(spark, sf_dir, "part")
+    name, size = F.concat(F.lit("pkg"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_size")
+    licence = F.when(size % 3 != 0, "MIT").otherwise("GPL-3.0")
+    registry = p.where(size % 7 != 0).select(name, F.lit("1.0").alias("version"), licence.alias("license"), F.when(size % 2 == 0, "2023-05-01").otherwise("2019-01-01").alias("modified"), (size % 5 == 0).alias("deprecated"))
+    gone = p.where(size % 7 == 0).select(name, F.lit(None).cast("string").alias("version"), licence.alias("license"), F.when(size % 2 == 0, "2023-05-01").otherwise("2019-01-01").alias("modified"), (size % 5 == 0).alias("deprecated"))
+    return dp.package_check(p.select(name), registry.unionAll(gone), "2024-01-01").select("name", "maintained", "deprecated", "safe")
 
 
 def _deps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,9 +149,14 @@ def audit_union(spark, sf_dir):
     return two.groupBy("category", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT p_partkey AS id, upper(left(p_brand, 5)) = 'BRAND' AS valid, CASE p_type WHEN 'PROMO' THEN 'pro' WHEN 'SMALL' THEN 'team' ELSE 'free' END AS tier FROM part")
+_KEY = "CASE p_partkey % 6 WHEN 0 THEN 'SS-FREE-' WHEN 1 THEN 'SS-PRO-' WHEN 2 THEN 'SS-TEAM-' WHEN 3 THEN 'SS-AGENCY-' WHEN 4 THEN 'XX-PRO-' ELSE 'SS-ENTERPRISE-' END || CASE WHEN p_size % 5 = 0 THEN 'short' ELSE 'abcD1234' END || p_partkey % 10"
+
+
+@query(f"SELECT p_partkey AS id, regexp_matches(k, '^SS-(FREE|PRO|TEAM|AGENCY)-[A-Za-z0-9]{{8,}}$') AS valid, CASE WHEN regexp_matches(k, '^SS-(FREE|PRO|TEAM|AGENCY)-[A-Za-z0-9]{{8,}}$') THEN lower(string_split(k, '-')[2]) END AS tier, CASE WHEN regexp_matches(k, '^SS-(FREE|PRO|TEAM|AGENCY)-[A-Za-z0-9]{{8,}}$') THEN CAST(CASE string_split(k, '-')[2] WHEN 'FREE' THEN 1 WHEN 'PRO' THEN 5 WHEN 'TEAM' THEN 20 ELSE 100 END AS INTEGER) END AS projects FROM (SELECT p_partkey, {_KEY} AS k FROM part)")
 def licence_tier(spark, sf_dir):
     p = read_table(spark, sf_dir, "part")
-    key = F.concat(F.lit("SS-"), F.upper("p_type"), F.lit("-"), F.col("p_partkey").cast("string"))
-    tier = sev.lookup(F.regexp_extract(key, r"^SS-([A-Z]+)-\d+$", 1), {"PROMO": "pro", "SMALL": "team"}, "free")
-    return p.select(F.col("p_partkey").alias("id"), F.rlike(key, F.lit(r"^SS-[A-Z]+-\d+$")).alias("valid"), tier.alias("tier"))
+    heads = F.get(F.array(*map(F.lit, ("SS-FREE-", "SS-PRO-", "SS-TEAM-", "SS-AGENCY-", "XX-PRO-", "SS-ENTERPRISE-"))), (F.col("p_partkey") % 6).cast("int"))
+    key = F.concat(heads, F.when(F.col("p_size") % 5 == 0, "short").otherwise("abcD1234"), (F.col("p_partkey") % 10).cast("string"))
+    keys = p.select(F.col("p_partkey").alias("id"), key.alias("key"))
+    told = licences(keys.select("key").distinct(), "2024-01-01")
+    return keys.join(told, "key").select("id", "valid", "tier", "projects")

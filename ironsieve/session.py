@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,11 +30,13 @@ def local_session(cpus: int | None = None, partitions: int | None = None) -> Spa
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the session's own, or a local one where none is set (tests only)."""
+    """The shared checkpoint folder: the session's own, or a local one where none is set (tests in one process only)."""
     sc = spark.sparkContext
     at = sc.getCheckpointDir()
     if at is None:
         conf = sc.getConf().get("spark.checkpoint.dir")
+        if not conf and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(conf or f"/tmp/ironsieve-checkpoints-{os.getpid()}")
         at = sc.getCheckpointDir()
     return at
@@ -43,3 +46,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so that a lost executor costs no recomputation of what came before."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints of finished steps now: it does so when the driver's garbage
+    collector finds that nothing refers to them, which on a driver with memory to spare comes late."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -13,15 +13,85 @@ from ironsieve.functions.text import language_of
 SKIPPED = "node_modules .git dist build coverage .next .nuxt __pycache__ .venv vendor".split()
 
 
+CALL_MAP_SKIPPED = [*SKIPPED, "out"]
+COUNT_SKIPPED = [".git", "node_modules"]
+# fixed values: what an audit of code looks at
+AUDIT_EXTENSIONS = ["js", "ts", "jsx", "tsx", "mjs", "cjs", "mts", "cts", "py", "rb"]
+AUDIT_SKIPPED, AUDIT_LARGEST = [".git", "node_modules", "dist"], 500_000
+
+
+def below(path: Column, root: str) -> Column:
+    """The path below the root folder, whatever the scheme both are written with."""
+    plain = lambda c: F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]*:/*(?=/)", "")
+    start = plain(F.lit(root.rstrip("/")))
+    at = F.instr(plain(path), start)
+    return F.ltrim(F.substr(plain(path), at + F.length(start)), F.lit("/"))
+
+
+def file_paths(spark: SparkSession, root: str, skipped: list[str] = SKIPPED, names: str | None = None) -> DataFrame:
+    """(path, file, size, content) of the files under a folder; ``file`` is relative. Skipped folders are those below
+    the root, so the root itself may be inside one. Contents are read only if they are used."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    raw = (reader.option("pathGlobFilter", names) if names else reader).load(root)
+    files = raw.select("path", below(F.col("path"), root).alias("file"), F.col("length").alias("size"), "content")
+    return files.where(~F.arrays_overlap(F.split("file", "/"), F.array(*[F.lit(s) for s in skipped]))) if skipped else files
+
+
+def readable(content: Column) -> Column:
+    """The content as text; null if it is not UTF-8."""
+    return F.try_validate_utf8(content.cast("string"))
+
+
 def project_files(spark: SparkSession, root: str, largest: int | None = None, languages: list[str] | None = None, skipped: list[str] = SKIPPED) -> DataFrame:
-    """(file, size, language, text) of the source files under a folder; sizes are tested before contents are kept."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    files = raw.select(F.col("path").alias("file"), F.col("length").alias("size"), language_of(F.col("path")).alias("language"), "content")
-    files = files.where(~F.arrays_overlap(F.split("file", "/"), F.array(*[F.lit(s) for s in skipped])))
+    """(file, size, language, text) of the source files under a folder; files that are not UTF-8 are left out."""
+    files = file_paths(spark, root, skipped).withColumn("language", language_of(F.col("file")))
     files = files.where("language is not null" if languages is None else F.col("language").isin(languages))
     if largest is not None:
         files = files.where(F.col("size") <= largest)
-    return files.select("file", "size", "language", F.decode("content", "UTF-8").alias("text"))
+    return files.select("file", "size", "language", readable(F.col("content")).alias("text")).where("text is not null")
+
+
+def call_map_files(spark: SparkSession, root: str) -> DataFrame:
+    """Scripts only, with the call map's own list of skipped folders."""
+    return project_files(spark, root, languages=["typescript", "javascript"], skipped=CALL_MAP_SKIPPED)
+
+
+def audit_files(spark: SparkSession, root: str) -> DataFrame:
+    """(file, size, text) of the files that an audit looks at: by extension, at most 500,000 bytes."""
+    files = file_paths(spark, root, AUDIT_SKIPPED).where(F.col("size") <= AUDIT_LARGEST)
+    files = files.where(F.lower(F.regexp_extract("file", r"\.([A-Za-z0-9]+)$", 1)).isin(AUDIT_EXTENSIONS))
+    return files.select("file", "size", readable(F.col("content")).alias("text")).where("text is not null")
+
+
+def count_files(spark: SparkSession, root: str) -> int:
+    """So many files are under a folder, installed packages and version control apart."""
+    return file_paths(spark, root, COUNT_SKIPPED).count()
+
+
+def source_maps(spark: SparkSession, root: str) -> DataFrame:
+    """(file, content) of the source maps under a folder, by path, outside of installed packages."""
+    found = file_paths(spark, root, ["node_modules"], "*.map")
+    return found.select("file", readable(F.col("content")).alias("content")).where("content is not null").orderBy("file")
+
+
+def not_ignored(files: DataFrame, ignored_paths: DataFrame) -> DataFrame:
+    """Files that version control does not ignore: ignored_paths (file), a path or a folder ending in a slash.
+
+    A file is looked up by its own path and by each folder above it, so the sets may be of any size.
+    """
+    parts = F.split("file", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.when(n == F.size(parts), F.col("file")).otherwise(F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.lit("/"))))
+    hit = files.select("file", F.explode(above).alias("p")).join(ignored_paths.select(F.col("file").alias("p")).distinct(), "p", "left_semi")
+    return files.join(hit.select("file").distinct(), "file", "left_anti")
+
+
+def pull_request_files(files: DataFrame) -> DataFrame:
+    """(file, text) of a pull request's files (filename, status, content): removed ones are left out, contents are
+    base64, or plain text if they are not."""
+    packed = F.regexp_replace("content", r"\s", "")
+    fits = F.rlike(packed, F.lit(r"^[A-Za-z0-9+/]*={0,2}$")) & (F.length(packed) % 4 == 0)
+    text = F.when(fits, readable(F.unbase64(packed)))
+    return files.where(F.coalesce(F.col("status") != "removed", F.lit(True))).select(F.col("filename").alias("file"), F.coalesce(text, "content").alias("text"))
 
 
 def glob_pattern(glob: str) -> str:
@@ -121,6 +191,49 @@ def python_requirements(texts: DataFrame) -> DataFrame:
     return lines.select("project", F.lower(F.regexp_extract("x", r"^([A-Za-z0-9._-]+)", 1)).alias("name"), F.trim(F.regexp_extract("x", r"^[A-Za-z0-9._-]+(?:\[[^\]]*\])?\s*([^;]*)", 1)).alias("spec"))
 
 
+def toml_dependencies(texts: DataFrame) -> DataFrame:
+    """(project, name) of the dependencies that a pyproject or Pipfile text names: in ``dependencies = [...]`` lists, and
+    as keys of dependency and package sections."""
+    lists = F.array_join(F.regexp_extract_all("text", F.lit(r"(?s)\bdependencies\s*=\s*\[(.*?)\n?\]"), F.lit(1)), "\n")
+    listed = F.regexp_extract_all(lists, F.lit(r"[\"']([A-Za-z0-9][A-Za-z0-9._-]*)"), F.lit(1))
+    sections = F.array_join(F.regexp_extract_all("text", F.lit(r"(?m)^\[(?:[\w.-]*dependencies|packages|dev-packages)\]\s*\n((?:(?!\[).*(?:\n|$))*)"), F.lit(1)), "\n")
+    keyed = F.regexp_extract_all(sections, F.lit(r"(?m)^[\"']?([A-Za-z0-9][A-Za-z0-9._-]*)[\"']?\s*="), F.lit(1))
+    names = F.array_distinct(F.transform(F.concat(listed, keyed), F.lower))
+    return texts.select("project", F.explode(names).alias("name")).where("name != 'python'")
+
+
+def python_manifests(files: DataFrame) -> DataFrame:
+    """(project, name) of each project's first manifest (project, kind, text): requirements, else pyproject, else Pipfile."""
+    order = F.when(F.col("kind") == "requirements.txt", 0).when(F.col("kind") == "pyproject.toml", 1).when(F.col("kind") == "Pipfile", 2)
+    known = files.withColumn("o", order).where("o is not null and text is not null")
+    first = known.groupBy("project").agg(F.min(F.struct("o", "text")).alias("m")).select("project", "m.*")
+    lines = python_requirements(first.where("o = 0")).select("project", "name")
+    return lines.unionByName(toml_dependencies(first.where("o > 0"))).distinct()
+
+
+# fixed values: where editors keep what a scan of the environment reads
+ENVIRONMENT = (
+    ("mcp_json", r"(?:^|/)\.?mcp\.json$|(?:^|/)\.(?:cursor|vscode)/mcp\.json$|(?:^|/)claude_desktop_config\.json$|(?:^|/)\.claude\.json$"),
+    ("settings_json", r"(?:^|/)\.claude/settings(?:\.local)?\.json$"),
+    ("command_file", r"(?:^|/)\.claude/(?:commands|skills|agents)/.*\.md$"),
+    ("instructions_md", r"(?:^|/)(?:CLAUDE|AGENTS|GEMINI)\.md$|(?:^|/)\.(?:cursorrules|windsurfrules)$|(?:^|/)copilot-instructions\.md$"),
+)
+
+
+def environment_files(files: DataFrame) -> DataFrame:
+    """(location, kind, content) of the configuration, instruction and command files among (file, text)."""
+    kind = F.coalesce(*[F.when(F.rlike("file", F.lit(p)), F.lit(k)) for k, p in ENVIRONMENT])
+    return files.select(F.col("file").alias("location"), kind.alias("kind"), F.col("text").alias("content")).where("kind is not null and content is not null")
+
+
+def hooks(settings: DataFrame) -> DataFrame:
+    """(location, content) of the commands that settings files run on events; broken files have none."""
+    schema = "hooks map<string,array<struct<matcher:string,hooks:array<struct<type:string,command:string>>>>>"
+    h = settings.select("location", F.explode(F.from_json("content", schema)["hooks"]).alias("event", "groups"))
+    h = h.select("location", "event", F.explode("groups").alias("g")).select("location", "event", F.explode("g.hooks").alias("h"))
+    return h.where("h.command is not null").select(F.concat("location", F.lit(" (hooks."), "event", F.lit(")")).alias("location"), F.col("h.command").alias("content"))
+
+
 def tool_servers(configs: DataFrame, json: str = "content") -> DataFrame:
     """(location, server, command, args, env) of tool server configuration; broken files are dropped."""
     c = configs.select("location", F.from_json(json, schemas.MCP_CONFIG)["mcpServers"].alias("m"))
@@ -128,5 +241,10 @@ def tool_servers(configs: DataFrame, json: str = "content") -> DataFrame:
 
 
 def baseline(spark: SparkSession, path: str) -> DataFrame:
-    """Accepted findings (id, file, line, type, hash) of a baseline file."""
-    return spark.read.schema("id string, file string, line int, type string, hash string").json(path)
+    """Accepted findings (id, file, line, type, hash) of a baseline; none if there is no such file. Rows of another
+    shape have no hash and are left out."""
+    schema = "id string, file string, line int, type string, hash string"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(path).where("hash is not null")
