@@ -44,7 +44,7 @@ from pyspark.sql.window import Window as W
 from ironsieve.llm.signature_tree import linked_pairs
 from ironsieve.llm.textvec import mix, portions, row_words, shingles
 from ironsieve.operators.components import connected_components, hot_bar, join_by_key
-from ironsieve.session import cut
+from ironsieve.session import cut, release
 
 #: A class of sizes ends at so many times its start.
 CLASS = 1.4
@@ -345,6 +345,7 @@ def group_links(docs: DataFrame, member: DataFrame, k: int, percent: int) -> Dat
     large = cut(member.join(of.where(big).select("component"), "component").withColumn("g", g))
     large = cut(large.join(_blocks(large), ["component", "g"]).withColumn("t", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
     found = search(cut(small.unionByName(_own_keys(large))))
+    release(docs.sparkSession)
     return found.unionAll(search(cut(_straggler_keys(large, connected_components(found)))))
 
 
@@ -375,6 +376,8 @@ def jaccard_components(
     shared = shared.groupBy("a").agg(F.sum("c").alias("c"))
     near = reps.withColumnRenamed("h1", "a").join(shared, "a").where(F.col("c") >= least_shared(F.col("n"), percent))
     near = cut(near.select("a", "n", F.col("rep").alias("id")))
+    del shared, reps, filled, same, more
+    release(spark)
     parts = cut(_texts_of(docs, near.select("id")).mapInArrow(_parts(k, percent), "a long, key long, s int, need int"))
     keyed = parts.where("key is not null").select("a", "key")
     centres = keyed.groupBy("key").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("f")).where("f > 1")
@@ -388,6 +391,8 @@ def jaccard_components(
     groups = connected_components(kept.select("a", "b"))
     member = near.join(alive.select("a").distinct(), "a").join(groups.withColumnRenamed("node", "a"), "a")
     member = cut(member.select("id", "n", "component"))
+    del groups, kept, met, alive, needs, keyed, centres, parts
+    release(spark)
     parts = connected_components(group_links(docs, member, k, percent).unionAll(copies))
     return sets.join(parts.withColumnRenamed("node", "id"), "id", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
