@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,49 +135,84 @@ def assigned(events: DataFrame, header: Column, body: Column) -> DataFrame:
 
 def sampled(events: DataFrame, rate: float, key: str = "seq", special: float | None = None) -> DataFrame:
     """A reproducible share of the events, with a rate of its own for performance events."""
-    share = F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    share = F.conv(F.left(F.md5(F.col(key).cast("string")), F.lit(8)), 16, 10).cast("long") / F.lit(float(1 << 32))
     limit = F.lit(rate) if special is None else F.when(F.col("type") == "performance", special).otherwise(rate)
     return events.where(share < limit)
 
 
-def client_batches(events: DataFrame, size: int = 10, by: str = "session_id") -> DataFrame:
-    """(by, batch, first_seq, n): a client's events in the batches of its queue."""
-    n = F.row_number().over(W.partitionBy(by).orderBy("seq")) - 1
-    return (
-        events.withColumn("batch", F.floor(n / size))
-        .groupBy(by, "batch")
-        .agg(F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n"))
-    )
+def before_send(events: DataFrame, hook: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a client's own hook leaves of the events: it may drop rows and rewrite columns, not add or lose any column."""
+    out = hook(events)
+    if set(out.columns) != set(events.columns):
+        raise ValueError("the hook must return the events' columns")
+    return out.select(*events.columns)
+
+
+def client_batches(events: DataFrame, size: int = 10, by: str = "session_id", flush_ms: int | None = None, time: str = "at_ms") -> DataFrame:
+    """(by, batch, first_seq, n): a client's events in the batches of its queue, sent when ``size`` are in it and, with
+    ``flush_ms``, at every tick of a clock that starts with the client's first event."""
+    tick = F.lit(0).cast("long")
+    if flush_ms:
+        first = events.groupBy(by).agg(F.min(time).alias("_first"))
+        events = events.join(first, by)
+        tick = F.floor((F.col(time) - F.col("_first")) / flush_ms)
+    rows = events.withColumn("_tick", tick)
+    n = F.row_number().over(W.partitionBy(by, "_tick").orderBy("seq")) - 1
+    sent = rows.withColumn("_part", F.floor(n / size)).groupBy(by, "_tick", "_part").agg(F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n"))
+    batch = F.row_number().over(W.partitionBy(by).orderBy("_tick", "_part")) - 1
+    return sent.select(by, batch.cast("long").alias("batch"), "first_seq", "n")
+
+
+def window_ends(at: np.ndarray, reset: int, window_ms: int) -> tuple[np.ndarray, list[int]]:
+    """For sorted times the number of the window of each (0: the one that is open until ``reset``), and the windows'
+    ends from then on. Windows are found one by one, times inside them all at once."""
+    ends, starts, place = [reset], [], int(np.searchsorted(at, reset))
+    while place < len(at):
+        starts.append(place)
+        ends.append(int(at[place]) + window_ms)
+        place = int(np.searchsorted(at, ends[-1]))
+    return np.searchsorted(np.array(starts, np.int64), np.arange(len(at)), side="right"), ends
 
 
 def rate_limited(requests: DataFrame, most: int = 1000, window_ms: int = 60_000) -> DataFrame:
     """Requests (project_id, at_ms, seq) with allowed, remaining and reset_ms.
 
     A window starts with the first request after the one before has ended, so where windows lie depends on every
-    request; a project's requests are folded in order, in batches, with only the open window kept. Refused ones count.
+    request; a project's requests pass in order, in batches, with only the open window kept. Refused ones count. Where
+    routes have limits of their own but share the counter, a column ``most`` says each request's limit.
     """
     kind = "project_id string, at_ms long, seq long, allowed boolean, remaining long, reset_ms long"
 
     project = F.coalesce("project_id", F.lit("anonymous")).alias("project_id")
-    rows = requests.select(project, "at_ms", "seq").repartition("project_id").sortWithinPartitions("project_id", "at_ms", "seq")
+    limit = (F.col("most") if "most" in requests.columns else F.lit(most)).cast("long").alias("most")
+    rows = requests.select(project, "at_ms", "seq", limit).repartition("project_id").sortWithinPartitions("project_id", "at_ms", "seq")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # partitions are sorted by project: only the open project's window is held, never a whole project
-        open_, reset, count = None, None, 0
+        open_, reset, count = None, 0, 0
         for b in batches:
-            allowed, left, ends = [], [], []
-            for p, at in zip(b["project_id"], b["at_ms"], strict=True):
-                if p != open_ or at >= reset:
-                    open_, reset, count = p, at + window_ms, 0
-                count += 1
-                allowed.append(count <= most)
-                left.append(max(0, most - count))
-                ends.append(reset)
-            yield b.assign(allowed=allowed, remaining=left, reset_ms=ends)
+            for p, own in b.groupby("project_id", sort=False):
+                at = own["at_ms"].to_numpy()
+                if p != open_:
+                    open_, reset, count = p, int(at[0]), 0
+                number, ends = window_ends(at, reset, window_ms)
+                first = np.searchsorted(number, number)  # where each row's window begins in the batch
+                n = np.arange(len(at)) - first + 1 + np.where(number == 0, count, 0)
+                left = own["most"].to_numpy() - n
+                reset, count = ends[-1], int(n[-1])
+                yield own[["project_id", "at_ms", "seq"]].assign(allowed=left >= 0, remaining=np.maximum(left, 0), reset_ms=np.array(ends)[number])
 
     return rows.mapInPandas(run, kind)
 
 
+def enrich_new(groups: DataFrame, stored: DataFrame, maps: DataFrame) -> DataFrame:
+    """New groups (id, project_id, release, file, ...): not stored yet. Those with a release get the ``source`` of their
+    file's map, the others none."""
+    new = groups.join(stored.select("id"), "id", "left_anti")
+    with_release = resolved_frames(new.where("release is not null"), maps)
+    return with_release.unionByName(new.where("release is null").withColumn("source", F.lit(None).cast("string")))
+
+
 def resolved_frames(errors: DataFrame, maps: DataFrame) -> DataFrame:
     """Errors with ``source``: the first source outside of installed packages in the map of their file, if there is one.
 

@@ -126,6 +126,16 @@ VULNERABILITIES = (
     _r("RACE_CONDITION_TOCTOU", "low", "race", r"\bif\s*\(\s*(?:fs\.)?existsSync\s*\([^)]*\)\s*\)\s*\{?\s*(?:return\s+)?(?:fs\.)?(?:readFile|writeFile|unlink)", "A check before use", needs="existsSync"),
 )
 
+# fixed values: patterns and descriptions of obfuscated code
+OBFUSCATED = (
+    Rule("OBFUSCATED_EVAL", r"eval\s*\(\s*(?:atob|Buffer\.from|decodeURIComponent)\s*\(", "high", "malicious", "eval() with encoded content", needs="eval"),
+    Rule("OBFUSCATED_HEX", r"\\x[0-9a-fA-F]{2}(?:\\x[0-9a-fA-F]{2}){10,}", "high", "malicious", "long hex-encoded string", needs="\\x"),
+    Rule("OBFUSCATED_CHARCODES", r"String\.fromCharCode\s*\(\s*(?:\d+\s*,\s*){5,}", "high", "malicious", "String.fromCharCode with many character codes", needs="fromCharCode"),
+    Rule("OBFUSCATED_PROPERTY", r"\['\\x", "high", "malicious", "hex-encoded property access", needs="['\\x"),
+    Rule("OBFUSCATED_FUNCTION", r"Function\s*\(\s*['\"]return\s", "high", "malicious", "Function constructor with return", needs="Function"),
+    Rule("INLINE_SCRIPT", r"<script>", "high", "script", "inline script", needs="<script>"),
+)
+
 RULES = SECRETS + VULNERABILITIES + rulebook_web.RULES + rulebook_python.RULES
 #: Rules that a framework's own defaults make needless: (id, framework).
 FRAMEWORK_GATES = (("BODYPARSER_MISSING_LIMIT", "next"), ("COOKIE_NO_SECURE", "next"), ("EXPRESS_STATIC_FROM_ROOT", "next"))

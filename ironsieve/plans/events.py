@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ironsieve.functions import severity as sev
 from ironsieve.functions import text as tx
+from ironsieve.functions.sourcemap import resolved
 from ironsieve.operators import events as ev
 from ironsieve.plans.registry import Registry
 from ironsieve.session import read_table
@@ -94,7 +95,15 @@ def root_cause(spark, sf_dir):
     return ev.group_errors(_events(spark, sf_dir)).select("id", "root_cause")
 
 
-@query()
+_ADVICE = [a[2] for a in tx.ADVICE]
+_FIXES = (
+    "CASE name WHEN 'TypeError' THEN CASE WHEN contains(message, 'undefined') THEN '{0}' ELSE '{2}' END "
+    "WHEN 'ReferenceError' THEN CASE WHEN contains(message, 'is not defined') THEN 'Ensure ' || regexp_extract(message, '(\\w+) is not defined', 1) || ' is defined and imported before use. Check for typos in the variable name and verify the import path is correct.' ELSE '{4}' END "
+    "WHEN 'SecurityError' THEN '{7}' WHEN 'RangeError' THEN '{6}' ELSE 'Investigate the ' || name || ' error. Check the stack trace for the originating function and add appropriate error handling.' END"
+).format(*_ADVICE)
+
+
+@query(f"{_EV} SELECT id, {_FIXES} AS suggested_fix FROM gs")
 def suggested_fixes(spark, sf_dir):
     return ev.group_errors(_events(spark, sf_dir)).select("id", "suggested_fix")
 
@@ -141,27 +150,82 @@ def client_batches(spark, sf_dir):
     return ev.client_batches(_events(spark, sf_dir))
 
 
-@query()
+_SHARE = "CAST('0x' || left(md5(CAST(seq AS VARCHAR)), 8) AS BIGINT) / 4294967296.0"
+
+
+@query(f"{_EV} SELECT seq, type FROM ev WHERE {_SHARE} < CASE type WHEN 'performance' THEN 0.1 ELSE 0.5 END")
 def sampled_events(spark, sf_dir):
     return ev.sampled(_events(spark, sf_dir), 0.5, special=0.1).select("seq", "type")
 
 
-@query()
+_LIMITS = """, rq AS (SELECT project_id, epoch_us(ts) // 1000 AS at_ms, seq FROM ev), st(project_id, s) AS (SELECT project_id, min(at_ms) FROM rq GROUP BY 1 UNION ALL
+ SELECT project_id, s FROM (SELECT st.project_id, min(rq.at_ms) AS s FROM st JOIN rq ON rq.project_id = st.project_id AND rq.at_ms >= st.s + 3600000 GROUP BY 1)),
+ w AS (SELECT rq.project_id, at_ms, seq, s, row_number() OVER (PARTITION BY rq.project_id, s ORDER BY at_ms, seq) AS n FROM rq ASOF JOIN st ON rq.project_id = st.project_id AND rq.at_ms >= st.s)"""
+_LIMITED = f"{_EV.replace('WITH e0', 'WITH RECURSIVE e0', 1)}{_LIMITS}"
+
+
+@query(f"{_LIMITED} SELECT project_id, at_ms, seq, n <= 10 AS allowed, greatest(0, 10 - n) AS remaining, s + 3600000 AS reset_ms FROM w")
 def rate_limit(spark, sf_dir):
-    """Requests of each project against ten in a minute, in windows that start with their first request."""
+    """Requests of each project against ten in an hour, in windows that start with their first request."""
     r = _events(spark, sf_dir).select("project_id", "at_ms", "seq")
     return ev.rate_limited(r, 10, 3_600_000)
 
 
+@query(f"{_LIMITED} SELECT project_id, at_ms, n <= 10 AS allowed, greatest(0, 10 - n) AS remaining, s + 3600000 AS reset_ms FROM w")
+def streaming_rate_limit(spark, sf_dir):
+    """The same limits over a stream."""
+    return stream.limit_once(spark, sf_dir, lambda e: production_events(e).select("project_id", "at_ms", "seq"), 10, 3_600_000)
+
+
+@query(f"{_LIMITED} SELECT seq, n <= CASE WHEN seq % 3 = 0 THEN 5 ELSE 10 END AS allowed FROM w")
+def shared_rate_limit(spark, sf_dir):
+    """Two routes with limits of their own share a project's counter."""
+    r = _events(spark, sf_dir).select("project_id", "at_ms", "seq", F.when(F.col("seq") % 3 == 0, 5).otherwise(10).alias("most"))
+    return ev.rate_limited(r, window_ms=3_600_000).select("seq", "allowed")
+
+
+_TICKS = "t AS (SELECT session_id, seq, (epoch_us(ts) // 1000 - min(epoch_us(ts) // 1000) OVER (PARTITION BY session_id)) // 3600000 AS tick FROM ev), p AS (SELECT *, (row_number() OVER (PARTITION BY session_id, tick ORDER BY seq) - 1) // 10 AS part FROM t), b AS (SELECT session_id, tick, part, min(seq) AS first_seq, count(*) AS n FROM p GROUP BY 1, 2, 3)"
+
+
+@query(f"{_EV}, {_TICKS} SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY tick, part) - 1 AS batch, first_seq, n FROM b")
+def client_batches_timed(spark, sf_dir):
+    """Batches of ten events, and of what is in the queue every hour."""
+    return ev.client_batches(_events(spark, sf_dir), flush_ms=3_600_000)
+
+
+@query(f"{_EV} SELECT seq, CASE url WHEN '/u/1' THEN '[path]' ELSE url END AS url FROM ev WHERE url <> '/u/0'")
+def sent_events(spark, sf_dir):
+    """What a client's hook leaves: one address is dropped, one is masked."""
+    hook = lambda e: e.where("url != '/u/0'").withColumn("url", F.when(F.col("url") == "/u/1", "[path]").otherwise(F.col("url")))
+    return ev.before_send(_events(spark, sf_dir), hook).select("seq", "url")
+
+
+@query(f"{_EV} SELECT seq, 'src/b.ts' AS file, CASE seq % 3 WHEN 1 THEN 5 ELSE CAST(seq % 3 + 1 AS INTEGER) END AS line FROM ev WHERE type = 'error'")
+def source_map_positions(spark, sf_dir):
+    """Positions by a map's segments where there are any for the line, else the line itself in the first own source."""
+    content = '{"version":3,"sources":["node_modules/a.js","src/b.ts"],"mappings":";ACIA,IAAA"}'
+    e = _events(spark, sf_dir).where("type = 'error'").select("seq", (F.col("seq") % 3 + 1).cast("int").alias("line"))
+    return e.select("seq", resolved(F.lit(content), F.col("line"), F.lit(0)).alias("r")).select("seq", F.col("r.source").alias("file"), F.col("r.line").cast("int").alias("line"))
+
+
+@query(f"{_EV} SELECT id, CASE WHEN project_id = 'p2' THEN NULL WHEN file LIKE 'src/mod%' THEN replace(file, '.ts', '.orig.ts') ELSE file END AS source FROM gs WHERE project_id <> 'p0'")
+def new_group_sources(spark, sf_dir):
+    """Groups that are new: those with a release get their file's source, groups of p2 have none, those of p0 are stored."""
+    g = ev.group_errors(_events(spark, sf_dir)).withColumn("release", F.when(F.col("project_id") != "p2", "r1"))
+    names = g.where("file like 'src/mod%'").select("project_id", "file").distinct()
+    content = F.concat(F.lit('{"sources":["node_modules/x.js","'), F.regexp_replace("file", r"\.ts$", ".orig.ts"), F.lit('"]}'))
+    maps = names.select("project_id", F.lit("r1").alias("release"), F.concat("file", F.lit(".map")).alias("file_path"), content.alias("content"))
+    return ev.enrich_new(g, g.where("project_id = 'p0'"), maps).select("id", "source")
+
+
 @query(f"{_EV} SELECT seq, 'src' || k % 3 || '/orig.ts' AS source FROM er WHERE k % 13 <> 0 AND k % 11 <> 0")
 def source_map_lookup(spark, sf_dir):
     e = _events(spark, sf_dir).where("type = 'error'")
     place = tx.file_and_line(F.col("error.stack"))
     errors = e.select("seq", "project_id", F.lit("r1").alias("release"), place["file"].alias("file")).where(F.startswith("file", F.lit("src/")))
-    n = spark.range(3).select(F.col("id").cast("string").alias("m"))
-    projects = e.select("project_id").distinct()
     content = F.concat(F.lit('{"sources":["node_modules/x.js","src'), "m", F.lit('/orig.ts"]}'))
-    maps = n.join(F.broadcast(projects)).select("project_id", F.lit("r1").alias("release"), F.concat(F.lit("src/mod"), "m", F.lit(".ts.map")).alias("file_path"), content.alias("content"))
+    projects = e.select("project_id").distinct().withColumn("m", F.explode(F.array(*map(F.lit, "012"))))
+    maps = projects.select("project_id", F.lit("r1").alias("release"), F.concat(F.lit("src/mod"), "m", F.lit(".ts.map")).alias("file_path"), content.alias("content"))
     return ev.resolved_frames(errors, maps).select("seq", "source")
 
 
@@ -171,17 +235,17 @@ def source_map_upsert(spark, sf_dir):
     return ev.latest_wins(e, ["project_id", "url"], "seq", ["uploaded_at"]).drop("seq")
 
 
-@query("SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 ELSE 3 END AS rank FROM orders WHERE o_orderstatus = 'O' ORDER BY rank, o_orderdate DESC, id LIMIT 500")
+@query("SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 ELSE 3 END AS rank FROM orders WHERE o_orderstatus = 'O' ORDER BY rank, o_orderdate DESC, id")
 def orders_by_severity(spark, sf_dir):
     p = F.col("o_orderpriority")
     rank = sev.lookup(p, {"1-URGENT": 0, "2-HIGH": 1, "3-MEDIUM": 2}, 3)
     o = read_table(spark, sf_dir, "orders").where("o_orderstatus = 'O'")
-    return o.select(F.col("o_orderkey").alias("id"), rank.alias("rank"), "o_orderdate").orderBy("rank", F.desc("o_orderdate"), "id").limit(500).select("id", "rank")
+    return o.select(F.col("o_orderkey").alias("id"), rank.alias("rank"), "o_orderdate").orderBy("rank", F.desc("o_orderdate"), "id").select("id", "rank")
 
 
 @query("SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 ELSE 3 END AS rank FROM orders WHERE o_orderstatus = 'O' ORDER BY rank, o_orderdate DESC, id")
 def all_orders_by_severity(spark, sf_dir):
-    """Every open order; orders_by_severity and its SQL stop after 500."""
+    """As orders_by_severity, which once stopped after 500."""
     rank = sev.lookup(F.col("o_orderpriority"), {"1-URGENT": 0, "2-HIGH": 1, "3-MEDIUM": 2}, 3)
     o = read_table(spark, sf_dir, "orders").where("o_orderstatus = 'O'")
     return o.select(F.col("o_orderkey").alias("id"), rank.alias("rank"), "o_orderdate").orderBy("rank", F.desc("o_orderdate"), "id").select("id", "rank")

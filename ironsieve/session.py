@@ -53,3 +53,9 @@ def release(spark: SparkSession) -> None:
     collector finds that nothing refers to them, which on a driver with memory to spare comes late."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate results, on whatever file system it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

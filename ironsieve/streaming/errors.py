@@ -9,13 +9,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ironsieve.functions.text import first_frame
-from ironsieve.operators.events import KINDS, describe_groups
+from ironsieve.operators.events import KINDS, describe_groups, resolved_frames, window_ends
 from ironsieve.session import ensure_checkpoint_dir
 
 
@@ -82,22 +83,20 @@ def keep_routed(events: DataFrame, base: str, checkpoint: str, **trigger) -> obj
 
 
 def limit_stream(requests: DataFrame, most: int = 1000, window_ms: int = 60_000) -> DataFrame:
-    """(project_id, at_ms, allowed, remaining, reset_ms) of a stream of requests, with a project's open window as state."""
+    """(project_id, at_ms, allowed, remaining, reset_ms) of a stream of requests (project_id, at_ms, seq), with a
+    project's open window as state. Inside a micro-batch order is that of time, then ``seq``."""
 
     def fold(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        reset, count = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(parts)).sort_values("at_ms", kind="stable")
-        out = []
-        for at in rows["at_ms"]:
-            if at >= reset:
-                reset, count = int(at) + window_ms, 0
-            count += 1
-            out.append((key[0], int(at), count <= most, max(0, most - count), reset))
-        state.update((reset, count))
-        yield pd.DataFrame(out, columns=["project_id", "at_ms", "allowed", "remaining", "reset_ms"])
+        rows = pd.concat(list(parts)).sort_values(["at_ms", "seq"], kind="stable")
+        at = rows["at_ms"].to_numpy()
+        reset, count = state.get if state.exists else (int(at[0]), 0)
+        number, ends = window_ends(at, reset, window_ms)
+        n = np.arange(len(at)) - np.searchsorted(number, number) + 1 + np.where(number == 0, count, 0)
+        state.update((ends[-1], int(n[-1])))
+        yield pd.DataFrame({"project_id": key[0], "at_ms": at, "allowed": n <= most, "remaining": np.maximum(most - n, 0), "reset_ms": np.array(ends)[number]})
 
     project = F.coalesce("project_id", F.lit("anonymous")).alias("project_id")
-    return requests.select(project, "at_ms").groupBy("project_id").applyInPandasWithState(
+    return requests.select(project, "at_ms", "seq").groupBy("project_id").applyInPandasWithState(
         fold,
         "project_id string, at_ms long, allowed boolean, remaining long, reset_ms long",
         "reset long, count long",
@@ -106,6 +105,23 @@ def limit_stream(requests: DataFrame, most: int = 1000, window_ms: int = 60_000)
     )
 
 
+def enriched(groups: DataFrame, maps: DataFrame) -> DataFrame:
+    """A stream of new groups (project_id, release, file, ...) joined with the stored source maps, a static table."""
+    return resolved_frames(groups, maps)
+
+
+def limit_once(spark: SparkSession, sf_dir: str, shape: Callable[[DataFrame], DataFrame], most: int, window_ms: int) -> DataFrame:
+    """All requests of a data folder through the limiter."""
+    table, state = _folders(spark)
+    limited = limit_stream(shape(_table_stream(spark, sf_dir)), most, window_ms)
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    limited.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(table).drop("batch")
+
+
 def _folders(spark: SparkSession) -> tuple[str, str]:
     base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     return f"{base}/table", f"{base}/state"
