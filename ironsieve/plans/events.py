@@ -259,6 +259,13 @@ def event_rollup(spark, sf_dir):
     )
 
 
+@query(f"{_EV}, m AS (SELECT project_id, name, message, frame, max(seq) AS last_seq FROM er GROUP BY ALL) SELECT id, CASE project_id WHEN 'p1' THEN 'resolved' ELSE 'open' END AS status, CASE project_id WHEN 'p1' THEN last_seq > 500 END AS recurred FROM gs JOIN m USING (project_id, name, message, frame)")
+def streaming_resolved_groups(spark, sf_dir):
+    """Groups that were resolved stay so when they recur, and say whether they did."""
+    told = lambda g: g.where("project_id = 'p1'").select("id", F.lit(500).cast("long").alias("at_seq"))
+    return stream.run_once(spark, sf_dir, production_events, told).select("id", "status", "recurred")
+
+
 @query(f"{_EV} SELECT id, severity, occurrences, first_seen, last_seen FROM gs")
 def streaming_error_groups(spark, sf_dir):
     """Groups kept by a stream over the same events; its final state equals the batch result."""

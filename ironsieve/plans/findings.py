@@ -370,3 +370,68 @@ def long_lines(spark, sf_dir):
     lines = lines_of(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return lines.where(F.length("line_text") > 4000).select("doc_id", F.col("line_no").alias("line"), "line_text")
 
+
+
+_ROWS = "r AS (SELECT conv_id * 1000 + turn AS seq, role AS category, CASE turn % 3 WHEN 0 THEN 'high' ELSE 'low' END AS severity, 'f' || conv_id % 5 AS file, CAST(CASE WHEN turn % 2 = 1 THEN conv_id % 3 END AS INTEGER) AS line, 'd' || turn % 2 AS description, 't' || turn % 4 AS id FROM conversations)"
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings made of the conversations' turns, with many repeats and lines that are null."""
+    t, c = F.col("turn"), F.col("conv_id")
+    return read_table(spark, sf_dir, "conversations").select(
+        (c * 1000 + t).alias("seq"),
+        F.col("role").alias("category"),
+        F.when(t % 3 == 0, "high").otherwise("low").alias("severity"),
+        F.concat(F.lit("f"), (c % 5).cast("string")).alias("file"),
+        F.when(t % 2 == 1, c % 3).cast("int").alias("line"),
+        F.concat(F.lit("d"), (t % 2).cast("string")).alias("description"),
+        F.concat(F.lit("t"), (t % 4).cast("string")).alias("id"),
+    )
+
+
+@query(f"WITH {_ROWS} SELECT min(seq) AS seq, category, severity, file, line, description FROM r GROUP BY category, severity, file, line, description")
+def audit_dedup(spark, sf_dir):
+    """An audit's findings, the first of each kind."""
+    return fd.first_wins(_rows(spark, sf_dir), fd.AUDIT_DEDUP, ["seq"]).select("seq", *fd.AUDIT_DEDUP)
+
+
+@query(f"WITH {_ROWS} SELECT min(seq) AS seq, id, file AS location FROM r GROUP BY id, file")
+def threat_dedup(spark, sf_dir):
+    return fd.first_wins(_rows(spark, sf_dir).withColumnRenamed("file", "location"), fd.THREAT_DEDUP, ["seq"]).select("seq", "id", "location")
+
+
+@query(f"WITH {_ROWS} SELECT seq, id, file AS project FROM r WHERE NOT (id = 't1' AND file IN ('f0', 'f2'))")
+def framework_gates(spark, sf_dir):
+    """Findings of a rule that projects on a framework need not heed are gone there."""
+    rows = _rows(spark, sf_dir).withColumnRenamed("file", "project")
+    used = rows.select("project").distinct().withColumn("framework", F.when(F.col("project").isin("f0", "f2"), "nextjs").otherwise("koa"))
+    gates = rows.select("id").distinct().where("id = 't1'").withColumn("framework", F.lit("nextjs"))
+    return fd.framework_gated(rows, gates, used).select("seq", "id", "project")
+
+
+@query("SELECT source, count(*) FILTER (doc_id % 3 <> 0) AS scored, CASE WHEN count(*) FILTER (doc_id % 3 <> 0) > 0 THEN 'D' ELSE 'A' END AS score FROM documents GROUP BY 1")
+def example_environments(spark, sf_dir):
+    """Passwords in example environment files do not count for the score."""
+    d = read_table(spark, sf_dir, "documents")
+    name = F.when(F.col("doc_id") % 3 == 0, ".env.example").otherwise("config.js")
+    files = d.select(F.concat_ws("/", F.coalesce("source", F.lit("")), F.col("doc_id").cast("string"), name).alias("file"), F.lit("password = 'correct-horse-9'").alias("text"))
+    found = scan_files(files, [r for r in rulebook.RULES if r.id == "SECRET_GENERIC_PASSWORD"])
+    source = F.element_at(F.split("file", "/"), 1)
+    every = d.select(F.coalesce("source", F.lit("")).alias("k"), "source").distinct()
+    counted = fd.scored(found).groupBy(source.alias("k")).agg(F.count(F.lit(1)).alias("scored"), F.min(sev.rank(F.col("severity"))).alias("worst"))
+    return every.join(counted, "k", "left").select("source", F.coalesce("scored", F.lit(0)).cast("long").alias("scored"), fd.grade(F.col("worst")).alias("score"))
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'src/a' || page_id || '.ts' WHEN 1 THEN '/other/src/a.ts' ELSE '/work/project2/a.ts' END AS file FROM pages")
+def relative_paths(spark, sf_dir):
+    key = F.col("page_id")
+    path = F.when(key % 3 == 0, F.concat(F.lit("/work/project/src/a"), key.cast("string"), F.lit(".ts"))).when(key % 3 == 1, "/other/src/a.ts").otherwise("/work/project2/a.ts")
+    return read_table(spark, sf_dir, "pages").select("page_id", tx.relative_path(path, F.lit("/work/project")).alias("file"))
+
+
+@query("SELECT 'rule' || doc_id % 3 AS id, source AS file, CAST(n_chars AS INTEGER) AS line, 'critical' AS severity, 'hardcoded_secret' AS type, TRUE AS auto_fixable FROM documents WHERE doc_id % 4 <> 0")
+def adapter_gitleaks(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    leak = F.struct(F.concat(F.lit("rule"), (F.col("doc_id") % 3).cast("string")).alias("RuleID"), F.col("source").alias("File"), F.col("n_chars").cast("int").alias("StartLine"))
+    reports = d.select(F.when(F.col("doc_id") % 4 != 0, F.to_json(F.array(leak))).otherwise("broken {").alias("report"))
+    return src.gitleaks_findings(reports).select("id", "file", "line", "severity", "type", "auto_fixable")

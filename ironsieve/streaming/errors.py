@@ -127,11 +127,13 @@ def _folders(spark: SparkSession) -> tuple[str, str]:
     return f"{base}/table", f"{base}/state"
 
 
-def run_once(spark: SparkSession, sf_dir: str, shape: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """All events of a data folder through the stream, then the groups it has kept."""
+def run_once(spark: SparkSession, sf_dir: str, shape: Callable[[DataFrame], DataFrame], resolved: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """All events of a data folder through the stream, then the groups it has kept; ``resolved`` makes the list of
+    resolved groups (id, at_seq) from them."""
     table, state = _folders(spark)
     keep_groups(shape(_table_stream(spark, sf_dir)), table, state).awaitTermination()
-    return current_groups(spark, table)
+    groups = current_groups(spark, table)
+    return current_groups(spark, table, resolved(groups)) if resolved else groups
 
 
 def route_once(spark: SparkSession, sf_dir: str, shape: Callable[[DataFrame], DataFrame]) -> DataFrame:
