@@ -20,7 +20,7 @@ which documents can match at all; only those go on to the shards. So every docum
 
 Nulls: null or empty texts and items match nothing. Items of fewer tokens than ``window`` match by one window of all
 their tokens, those of fewer than ``SHORTEST`` only as plain tokens: an item of one common word is in many texts. Rows that repeat a doc_id or an item_id are reported once
-with their best match. Empty tables give no rows.
+with their best match. Ids are integers, or texts of such (others are an error). Empty tables give no rows.
 """
 
 from __future__ import annotations

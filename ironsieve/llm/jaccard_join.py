@@ -27,6 +27,7 @@ shingle or part that a third of all documents hold is no hot key; the centres of
 
 Links are decided on the whole sets, so none is lost or added at any size (shingles are 64-bit hashes). Nulls: a null
 text or one without words has an empty set and links with nothing; a null id gets no component and links with nothing.
+Ids are integers, or texts of such (others are an error).
 Rows that repeat an id are one vertex. An empty table gives no rows.
 """
 

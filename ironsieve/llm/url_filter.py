@@ -29,7 +29,6 @@ INLINE_RULES = 256
 #: Up to so many rules may be broadcast for that join.
 BROADCAST_RULES = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_SCHEME = r"(?s)^.*?://"
 
 
 def host_of(url: Column) -> Column:

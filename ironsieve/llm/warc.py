@@ -13,7 +13,7 @@ response of that page with the same digest. Payloads are compared by SHA-256 and
 with very many copies only meets as digests.
 
 Nulls: null html is an empty payload, a null url leaves out the target; null page_ids come last and may be responses
-only if a payload has no other. Rows that repeat the smallest page_id with one payload are all responses. An empty table
+only if a payload has no other. Page ids are integers, or texts of such (others are an error). Rows that repeat the smallest page_id with one payload are all responses. An empty table
 gives no bundle and no rows.
 """
 
