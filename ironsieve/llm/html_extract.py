@@ -35,8 +35,8 @@ N_FEATURES = N_CUES + _TEXT
 _ASIDE = sum(1 << len(TAGS) + list(WORDS).index(x) for x in ("ad", "side", "comment", "notice", "foot", "form", "hidden"))
 EPOCHS, RATE, DECAY, PAGES, BATCH = 12, 0.4, 1e-4, 700, 8
 #: Words that short blocks outside of articles are made of, and headings of such parts.
-_CHROME = re.compile(r"©|\bcopyright\b|\ball rights\b|\bprivacy\b|\bterms of\b|\bimprint\b|\bpowered by\b", re.I)
-_PLEA = re.compile(r"\bcookies?\b|\bsubscribe\b|\bsign(?:ed)? (?:up|in)\b|\blog ?in\b|\bnewsletter\b|\badvertisement\b|\bsponsored\b", re.I)
+_CHROME = ("©", "copyright", "all rights", "privacy", "terms of", "imprint", "powered by")
+_PLEA = ("cookie", "subscribe", "sign up", "signed up", "sign in", "signed in", "log in", "login", "newsletter", "advertisement", "sponsored")
 _BAR = re.compile(r"[|·›]")
 _OTHER_PART = re.compile(r"^\W*(?:\d+\W+)?(?:comments?|repl(?:y|ies)|responses?|discussion|leave a|related|recommended|see also|more from|read next|share|follow|newsletter|about us|contact|categories|archives?|tags|search|menu|navigation|popular|latest)\b", re.I)
 
@@ -63,16 +63,16 @@ def features(found: Sequence[Block]) -> list[list[int]]:
         f.append(base + (0 if w < 3 else 1 if w < 8 else 2 if w < 20 else 3 if w < 60 else 4))
         f.append(base + 5 + (0 if b.link == 0 else 1 if b.link < 0.4 else 2 if b.link < 0.9 else 3))
         f.append(base + 9 + (0 if text[-1] in ".!?\"'”»…" else 1 if text[-1] in ":," else 2))
-        inside = bool(b.cues & _MAIN)
+        inside, low = bool(b.cues & _MAIN), text.lower()
         if inside and tag == "p":
             f.append(base + 46)
         if not inside and w < 8 and not heading and text[-1] not in ".!?":
             f.append(base + (47 if k == 0 else 48))
-        if _CHROME.search(text):
+        if any(x in low for x in _CHROME):
             f.append(base + (42 if inside else 12))
         if w < 12 and _BAR.search(text):
             f.append(base + (43 if inside else 13))
-        if _PLEA.search(text):
+        if any(x in low for x in _PLEA):
             f.append(base + (44 if inside else 14))
         f.append(base + 15 + min(3, 4 * k // n))
         if text.count(", ") >= 2:
