@@ -35,7 +35,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     at = sc.getCheckpointDir()
     if at is None:
         conf = sc.getConf().get("spark.checkpoint.dir")
-        if not conf and not sc.master.startswith("local["):
+        if not conf and sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(conf or f"/tmp/ironsieve-checkpoints-{os.getpid()}")
         at = sc.getCheckpointDir()
