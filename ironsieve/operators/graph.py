@@ -369,7 +369,8 @@ def _at_lines(findings: DataFrame, functions: DataFrame, pick: Column) -> DataFr
     Only distinct lines meet their functions, so what a task holds goes by the length of a file, not by its findings.
     """
     lines = findings.groupBy("file", "line").agg(F.count(F.lit(1)).alias("_n"))
-    first = functions.groupBy(F.col("file_path").alias("file"), F.col("start_line").cast("int").alias("line")).agg(F.min(F.struct("seq", "id")).alias("_f"))
+    placed = functions.where("file_path is not null and start_line is not null")
+    first = placed.groupBy(F.col("file_path").alias("file"), F.col("start_line").cast("int").alias("line")).agg(F.min(F.struct("seq", "id")).alias("_f"))
     both = lines.select("file", F.col("line").cast("int").alias("line"), "_n", F.lit(None).cast(first.schema["_f"].dataType).alias("_f"), F.lit(1).alias("_k"))
     both = both.unionByName(first.select("file", "line", F.lit(None).cast("long").alias("_n"), "_f", F.lit(0).alias("_k")))
     w = W.partitionBy("file").orderBy("line", "_k").rowsBetween(W.unboundedPreceding, 0)
