@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ironsieve.llm.conversation_trie import conversation_trie
 from ironsieve.llm.decontamination import leaked_items
 from ironsieve.llm.embedding_dedup import near_duplicate_vectors
 from ironsieve.llm.html_extract import extract_main_text
@@ -18,6 +19,7 @@ from ironsieve.llm.quality import quality_scores, train_on_folds
 from ironsieve.llm.secret_scan import scan_secrets
 from ironsieve.llm.sql import SQL
 from ironsieve.llm.url_filter import filter_urls
+from ironsieve.llm.vector_codes import vector_codes
 from ironsieve.llm.warc import read_archives, write_archives
 from ironsieve.session import ensure_checkpoint_dir, read_table
 
@@ -76,6 +78,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(read_table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(read_table(spark, sf_dir, "conversations")).drop("node", "parent")
+
+
 QUERIES = (
     op1_embedding_dedup,
     op2_url_filter,
@@ -87,6 +97,8 @@ QUERIES = (
     op8_html_extraction,
     op9_ngram_jaccard,
     op10_secret_scan,
+    op12_vector_codes,
+    op13_conversation_trie,
 )
 
 

@@ -90,10 +90,54 @@ OP9 = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coale
  e AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * i >= 85 * (p.n + q.n - i)){_REACH}
 SELECT n.doc_id, n.n AS n_shingles, coalesce(component, n.doc_id) AS component_id FROM n LEFT JOIN least ON least.a = n.doc_id"""
 
+# four rounds, unrolled: nearest entry of every part (ties to the lower place), then floor of the means
+def _assigned(k: int) -> str:
+    return (
+        f"d{k} AS (SELECT x.row, x.part, e.entry, sum((x.v - e.v) * (x.v - e.v)) AS d FROM x JOIN b{k} e ON e.part = x.part AND e.pos = x.pos GROUP BY ALL),"
+        f" a{k} AS MATERIALIZED (SELECT row, part, arg_min(entry, d * 256 + entry) AS entry, min(d) AS d FROM d{k} GROUP BY ALL)"
+    )
+
+
+def _moved(k: int) -> str:
+    floor = "(sum(x.v) - (sum(x.v) % count(*) + count(*)) % count(*)) // count(*)"
+    return (
+        f"m{k} AS (SELECT x.part, a.entry, x.pos, CAST({floor} AS BIGINT) AS v FROM x JOIN a{k} a ON a.row = x.row AND a.part = x.part GROUP BY ALL),"
+        f" b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, b.pos, coalesce(m.v, b.v) AS v FROM b{k} b LEFT JOIN m{k} m USING (part, entry, pos))"
+    )
+
+
+OP12 = f"""WITH k AS (SELECT vec_id, label, embedding AS v, row_number() OVER (ORDER BY vec_id) AS row FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+ u AS (SELECT row, len(v) // 4 AS step, unnest(range(0, len(v))) AS i, unnest(v) AS y FROM k),
+ x AS MATERIALIZED (SELECT row, CAST(i // step AS INT) AS part, CAST(i % step AS INT) AS pos, CAST(floor(1024 * CAST(y AS DOUBLE)) AS BIGINT) AS v FROM u),
+ b0 AS MATERIALIZED (SELECT part, CAST(row - 1 AS INT) AS entry, pos, v FROM x WHERE row <= 256),
+ {", ".join(f"{_assigned(k)}, {_moved(k)}" for k in range(4))}, {_assigned(4)},
+ t AS (SELECT row, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a4 GROUP BY row)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM b4) AS codebooks_sha256 FROM k JOIN t USING (row)"""
+
+# CRC-32 of the decimal digits of an integer, bit by bit
+_BIT = "CASE WHEN z & 1 = 1 THEN xor(z >> 1, 3988292384) ELSE z >> 1 END"
+_CRC = (
+    "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),"
+    f" lambda s, c: list_reduce(list_prepend(xor(s, c), CAST(range(8) AS BIGINT[])), lambda z, i: {_BIT})), 4294967295)"
+)
+OP13 = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ s AS (SELECT conv_id, turn, left(sha256(length(role) || ':' || role || text), 32) AS symbol, CAST(len(regexp_extract_all(text, '{_WORD}')) AS BIGINT) AS words FROM t),
+ o AS (SELECT conv_id, list(symbol ORDER BY turn NULLS FIRST, symbol) AS own, list(words ORDER BY turn NULLS FIRST, symbol) AS own_words FROM s GROUP BY 1),
+ h AS (SELECT *, CAST({_CRC} % 4 AS INT) AS h FROM o),
+ r AS (SELECT h.conv_id, list_concat(coalesce(l.own[1:h], []), h.own[h + 1:]) AS turns, list_concat(coalesce(l.own_words[1:h], []), h.own_words[h + 1:]) AS words FROM h LEFT JOIN o l ON l.conv_id = h.conv_id - h.conv_id % 20),
+ p AS MATERIALIZED (SELECT conv_id, d, sha256(array_to_string(turns[1:d], '')) AS key, CASE WHEN d > 0 THEN sha256(array_to_string(turns[1:d - 1], '')) END AS up, CASE WHEN d > 0 THEN words[d] ELSE 0 END AS w, d = len(turns) AS ends FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+ n AS MATERIALIZED (SELECT key, min(up) AS up, min(d) AS depth, min(w) AS w, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends)), sha256('')) AS ends_sha256 FROM p GROUP BY 1),
+ c AS (SELECT up, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY 1),
+ b AS (SELECT a.key, sum((n.n_convs - 1) * n.w) AS saved, count(*) FILTER (c.up IS NULL) AS leaves FROM n JOIN p a ON a.conv_id = n.conv_id AND a.d <= n.depth LEFT JOIN c ON c.up = n.key GROUP BY 1)
+SELECT n.conv_id, n.depth, q.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, b.leaves AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN b USING (key) LEFT JOIN c ON c.up = n.key LEFT JOIN n q ON q.key = n.up"""
+
 SQL = {
     "op1_embedding_dedup": OP1,
     "op2_url_filter": OP2,
     "op3_source_mixing": OP3,
     "op7_warc_bundles": OP7,
     "op9_ngram_jaccard": OP9,
+    "op12_vector_codes": OP12,
+    "op13_conversation_trie": OP13,
 }
