@@ -31,17 +31,24 @@ def test_runs(spark, name):
         assert {r.grade for r in rows} <= set("ABCDF")
 
 
-def test_entry_without_the_llm_parts(tmp_path):
+@pytest.mark.parametrize("also", [(), ("corpus_pipeline.py",)])
+def test_entry_without_the_llm_parts(tmp_path, also):
+    """A copy of the whole repository without both llm folders (and the pipeline) still imports and runs."""
     import shutil
     import subprocess
     import sys
     from pathlib import Path
 
     root = Path(__file__).resolve().parents[1]
-    shutil.copy(root / "__spark_entry__.py", tmp_path)
-    shutil.copytree(root / "ironsieve", tmp_path / "ironsieve", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and not any(k.startswith('op') and k[2].isdigit() for k in q), q"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+    shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns("llm", ".git", "__pycache__", ".pytest_cache", *also))
+    code = (
+        "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and not any(k.startswith('op') and k[2].isdigit() for k in q) and 'pipeline' not in q, q;"
+        " assert set(e.oracle_sql()) <= set(q)"
+    )
+    env = {"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path / "copy"), "PYTHONDONTWRITEBYTECODE": "1"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", check=True, env=env)
+    collected = subprocess.run([sys.executable, "-m", "pytest", "tests/", "--collect-only", "-q"], cwd=tmp_path / "copy", env=env, capture_output=True, text=True)
+    assert collected.returncode == 0, collected.stdout[-2000:]
 
 
 def test_all_open_orders(spark):
