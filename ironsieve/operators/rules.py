@@ -60,7 +60,7 @@ CONTEXTS_OFF = {
     "sql_injection": r"(?:\b(?:sql|gql|Prisma\.sql)|\$queryRaw|\$executeRaw)`",
     "xss": r"(?i)\b(?:\w*sanitiz\w*|DOMPurify\.\w+|purify|escapeHtml|encodeURIComponent|JSON\.stringify)\s*\(",
 }
-COMMENT = r"^\s*(?://|#|\*|/\*)"
+COMMENT = r"^\s*(?://|#|\*(?:[^/]|$)|/\*)"
 
 
 def _any(text: Column, needs: Sequence[str]) -> Column:
