@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ironsieve.llm.conversation_trie import conversation_trie
 from ironsieve.llm.decontamination import leaked_items
 from ironsieve.llm.embedding_dedup import near_duplicate_vectors
+from ironsieve.llm.fertility import fertility_rules
 from ironsieve.llm.html_extract import extract_main_text
 from ironsieve.llm.jaccard_join import jaccard_components
 from ironsieve.llm import language_id
@@ -78,6 +79,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op11_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility_rules(read_table(spark, sf_dir, "documents")).drop("measures")
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(read_table(spark, sf_dir, "embeddings")).drop("label")
 
@@ -97,6 +102,7 @@ QUERIES = (
     op8_html_extraction,
     op9_ngram_jaccard,
     op10_secret_scan,
+    op11_fertility_rules,
     op12_vector_codes,
     op13_conversation_trie,
 )
