@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ironsieve.functions import severity as sev
+from ironsieve.operators.prefix import places
 
 # fixed values: well-known packages, in the order in which a likeness is looked for
 POPULAR = [
@@ -91,6 +92,45 @@ def lookalikes(names: DataFrame, known: list[str] | None = None, legitimate: lis
     )
 
 
+def _one_less(word: Column) -> Column:
+    """The word without one of its characters, for each."""
+    rest = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.left(word, i - 1), F.substring(word, i + 1, F.length(word))))
+    return F.when(F.length(word) > 0, rest).otherwise(F.array().cast("array<string>"))
+
+
+def _neighbourhood(word: Column, most: int) -> Column:
+    """The word and what is left when up to ``most`` of its characters are taken away."""
+    every = level = F.array(word)
+    for _ in range(most):
+        level = F.array_distinct(F.flatten(F.transform(level, _one_less)))
+        every = F.concat(every, level)
+    return F.array_distinct(every)
+
+
+def lookalikes_among(names: DataFrame, known: DataFrame, legitimate: DataFrame | None = None, most: int = 2, name: str = "name") -> DataFrame:
+    """(name, similar_to): as ``lookalikes``, against a registry of any size, known (name, place); the first by place.
+
+    Two words at most ``most`` edits apart have a word in common that each becomes by taking away up to ``most`` of its
+    characters, so both sides' deletion neighbourhoods are joined by hash, and only words that meet are measured. A word
+    of n characters has about n ** most / most! of them. Case is ignored; equal names take the lowest place; null names
+    are left out.
+    """
+    low = F.lower(F.col(name))
+    bare = F.regexp_replace(low, r"^@[^/]+/", "")
+    listed = known.select(F.col("name").alias("_known"), F.lower("name").alias("_low"), "place").where("_low is not null")
+    exact = known.select(F.col("name").alias("_low")).where("_low is not null").distinct()
+    mine = names.select(name, low.alias("_low"), bare.alias("_bare")).where("_low is not null").distinct().join(exact, "_low", "left_anti")
+    if legitimate is not None:
+        fine = legitimate.select(F.col("name").alias("_fine")).where("_fine is not null").distinct()
+        mine = mine.join(fine, F.col("_low") == F.col("_fine"), "left_anti").join(fine, F.col("_bare") == F.col("_fine"), "left_anti")
+    left = mine.select(name, F.col("_low").alias("_mine"), F.explode(_neighbourhood(F.col("_low"), most)).alias("_part"))
+    left = left.select(name, "_mine", F.xxhash64("_part").alias("_key"))
+    right = listed.groupBy("_low").agg(F.min_by("_known", "place").alias("_known"), F.min("place").alias("place"))
+    right = right.select("_known", "_low", "place", F.explode(_neighbourhood(F.col("_low"), most)).alias("_part")).select("_known", "_low", "place", F.xxhash64("_part").alias("_key"))
+    met = left.join(right, "_key").where(F.levenshtein("_mine", "_low").between(1, most))
+    return met.groupBy(name).agg(F.min_by("_known", "place").alias("similar_to"))
+
+
 def fakes(names: DataFrame, name: str = "name") -> DataFrame:
     """(name, real): names on the list of known fakes."""
     real = F
@@ -122,6 +162,75 @@ def outdated(deps: DataFrame, majors: dict[str, int] | None = None, least: int =
     )
 
 
+def in_order(packages: DataFrame) -> DataFrame:
+    """(project, name, spec, place): a row for each dependency, in the order of the manifest; a name that development
+    dependencies repeat keeps its place and takes their version."""
+    rows = [packages.select("project", F.lit(i).alias("kind"), F.posexplode(k).alias("pos", "name", "spec")) for i, k in enumerate(("dependencies", "devDependencies"))]
+    every = rows[0].unionAll(rows[1])
+    return every.groupBy("project", "name").agg(F.max_by("spec", "kind").alias("spec"), F.min(F.struct("kind", "pos")).alias("place"))
+
+
+# fixed values: (kind, severity, description, fix) of what is found in a manifest; {} are the columns named after them
+_TEXTS = (
+    ("wildcard", "wildcard-version", "high", ('Dependency "', "name", '" uses wildcard version "', "spec", '". This allows arbitrary versions to be installed, including potentially malicious ones.'), ('Pin "', "name", '" to a specific version range (e.g., "^x.y.z") instead of "', "spec", '".')),
+    ("phantom", "phantom", "medium", ('Dependency "', "name", '" is declared in package.json but has no entry in the lockfile. This may indicate the lockfile is out of date or the dependency was never installed.'), ('Run "npm install" to regenerate the lockfile and ensure "', "name", '" is properly resolved.')),
+    ("deprecated", "deprecated", "medium", ('Dependency "', "name", '" is deprecated: ', "deprecated", ""), ('Find an actively maintained alternative to "', "name", '" and migrate away from this package.')),
+    ("typosquat", "typosquat", "critical", ('Dependency "', "name", '" looks like a typosquat of popular package "', "similar_to", '". This could be a malicious package impersonating a legitimate one.'), ('Verify that "', "name", '" is the intended package. If you meant "', "similar_to", '", replace it immediately.')),
+    ("outdated", "outdated", "low", ('Dependency "', "name", "@", "spec", '" is ', "behind", " major versions behind the current release (v", "current", "). Very old versions often have unpatched security vulnerabilities."), ('Update "', "name", '" to a recent version (current major: v', "current", "). Review the changelog for breaking changes before upgrading.")),
+)
+
+
+def dependency_findings(packages: DataFrame, locked: DataFrame, file: str = "package.json", known: DataFrame | None = None) -> DataFrame:
+    """(project and schemas.FINDING's columns) of manifests: wildcards, names missing from the lock file, deprecated ones,
+    lookalikes and very old versions.
+
+    Ids are ``dep-kind-n`` with one counter for each project, from 0, over all kinds: by the manifest's order, then in
+    the order of the kinds. ``known`` (name, place) is the registry for lookalikes, by default the short list.
+    """
+    deps = in_order(packages)
+    names = deps.select("name").distinct()
+    like = lookalikes(names) if known is None else lookalikes_among(names, known)
+    lock = locked.groupBy("project", "name").agg(F.first("deprecated", ignorenulls=True).alias("deprecated"))
+    with_lock = locked.select("project").distinct().withColumn("has_lock", F.lit(True))
+    current = sev.lookup(F.col("name"), MAJORS, None).cast("int")
+    facts = (
+        deps.join(lock.withColumn("in_lock", F.lit(True)), ["project", "name"], "left")
+        .join(with_lock, "project", "left")
+        .join(like, "name", "left")
+        .withColumns({"current": current, "behind": current - F.regexp_extract("spec", r"(\d+)", 1).try_cast("int")})
+    )
+    loose = is_wildcard(F.col("spec"))
+    holds = {
+        "wildcard": loose,
+        "phantom": ~loose & F.col("has_lock").isNotNull() & F.col("in_lock").isNull(),
+        "deprecated": F.col("deprecated").isNotNull() & (F.col("deprecated") != ""),
+        "typosquat": F.col("similar_to").isNotNull(),
+        "outdated": F.col("behind") >= 3,
+    }
+
+    def told(parts: tuple[str, ...]) -> Column:
+        return F.concat(*[F.col(p).cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+    each = []
+    for i, (kind, type_, severity, text, fix) in enumerate(_TEXTS):
+        one = F.struct(F.lit(i).alias("no"), F.lit(f"dep-{kind}-").alias("prefix"), F.lit(severity).alias("severity"), F.lit(f"dependency-{type_}").alias("type"), told(text).alias("description"), told(fix).alias("fix_suggestion"))
+        each.append(F.when(F.coalesce(holds[kind], F.lit(False)), one))
+    rows = facts.select("project", "place", F.explode(F.array_compact(F.array(*each))).alias("f")).select("project", "place", "f.*")
+    numbered = places(rows, ["project"], ["place", "no"], "n")
+    return numbered.select(
+        "project",
+        F.concat("prefix", (F.col("n") - 1).cast("string")).alias("id"),
+        F.lit("pattern").alias("engine"),
+        "severity",
+        "type",
+        F.lit(file).alias("file"),
+        F.lit(0).alias("line"),
+        "description",
+        "fix_suggestion",
+        F.lit(False).alias("auto_fixable"),
+    )
+
+
 def install_scripts(packages: DataFrame) -> DataFrame:
     """(project, script, reason, severity, evidence): suspicious commands in scripts that run on install."""
     rows = packages.select("project", F.explode("scripts").alias("script", "evidence")).where(

@@ -174,37 +174,6 @@ def window_ends(at: np.ndarray, reset: int, window_ms: int) -> tuple[np.ndarray,
     return np.searchsorted(np.array(starts, np.int64), np.arange(len(at)), side="right"), ends
 
 
-def rate_limited(requests: DataFrame, most: int = 1000, window_ms: int = 60_000) -> DataFrame:
-    """Requests (project_id, at_ms, seq) with allowed, remaining and reset_ms.
-
-    A window starts with the first request after the one before has ended, so where windows lie depends on every
-    request; a project's requests pass in order, in batches, with only the open window kept. Refused ones count. Where
-    routes have limits of their own but share the counter, a column ``most`` says each request's limit.
-    """
-    kind = "project_id string, at_ms long, seq long, allowed boolean, remaining long, reset_ms long"
-
-    project = F.coalesce("project_id", F.lit("anonymous")).alias("project_id")
-    limit = (F.col("most") if "most" in requests.columns else F.lit(most)).cast("long").alias("most")
-    rows = requests.select(project, "at_ms", "seq", limit).repartition("project_id").sortWithinPartitions("project_id", "at_ms", "seq")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # partitions are sorted by project: only the open project's window is held, never a whole project
-        open_, reset, count = None, 0, 0
-        for b in batches:
-            for p, own in b.groupby("project_id", sort=False):
-                at = own["at_ms"].to_numpy()
-                if p != open_:
-                    open_, reset, count = p, int(at[0]), 0
-                number, ends = window_ends(at, reset, window_ms)
-                first = np.searchsorted(number, number)  # where each row's window begins in the batch
-                n = np.arange(len(at)) - first + 1 + np.where(number == 0, count, 0)
-                left = own["most"].to_numpy() - n
-                reset, count = ends[-1], int(n[-1])
-                yield own[["project_id", "at_ms", "seq"]].assign(allowed=left >= 0, remaining=np.maximum(left, 0), reset_ms=np.array(ends)[number])
-
-    return rows.mapInPandas(run, kind)
-
-
 def enrich_new(groups: DataFrame, stored: DataFrame, maps: DataFrame) -> DataFrame:
     """New groups (id, project_id, release, file, ...): not stored yet. Those with a release get the ``source`` of their
     file's map, the others none."""

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window as W
 
 from ironsieve.functions.text import normal_path
 from ironsieve.operators.components import hot_bar, join_by_key
+from ironsieve.operators.prefix import places
 from ironsieve.session import cut
 
 # fixed values: (kind, method, receivers); no receivers: any. The first kind in this order counts.
@@ -160,7 +161,7 @@ def reach(edges: DataFrame, roots: DataFrame, depth: int, source: str, target: s
 
     ``roots``: (root, node); a step goes from column ``source`` to column ``target`` of the edges.
     """
-    step = edges.select(F.col(source).alias("node"), F.col(target).alias("next")).distinct()
+    step = cut(edges.select(F.col(source).alias("node"), F.col(target).alias("next")).distinct())
     seen = cut(roots.select("root", "node").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for level in range(1, depth + 1):
@@ -178,7 +179,7 @@ def near_other(edges: DataFrame, starts: DataFrame, depth: int, source: str, tar
     One search from all start nodes at once: every node keeps the two nearest start nodes, which tells of each node
     whether one besides itself is near. So the work is that of two searches, whatever the number of start nodes.
     """
-    step = edges.select(F.col(source).alias("node"), F.col(target).alias("next")).distinct()
+    step = cut(edges.select(F.col(source).alias("node"), F.col(target).alias("next")).distinct())
     seen = cut(starts.select("node").distinct().select("node", F.col("node").alias("start")))
     frontier = seen
     for _ in range(depth):
@@ -222,7 +223,7 @@ def missing_auth(graph_calls: DataFrame, functions: DataFrame, depth: int = 10)
     safe = near_other(graph_calls, guards, depth, "callee_id", "caller_id").withColumnRenamed("node", "id")
     ends, every = _projects(ends), _projects(functions)
     names = every.join(safe, "id", "left_semi").select("project", "name").distinct()
-    return ends.join(names, ["project", "name"], "left_anti").select("id", "name", "file_path", "start_line", "seq")
+    return ends.join(names, ["project", "name"], "left_anti").select("id", "name", "file_path", "start_line", "seq", "project")
 
 
 def _walk(starts: DataFrame, edges: DataFrame, known: DataFrame, sinks, depth: int, must_exist: bool) -> DataFrame:
@@ -263,14 +264,15 @@ def attack_paths(edges: DataFrame, functions: DataFrame, depth: int = 5) -> Data
     edges, functions = _projects(edges), _projects(functions)
     known = functions.select("project", "name").distinct()
     entry = functions.where(is_entry_point(F.col("name"), F.col("file_path"), F.col("is_exported"))).select(
-        "project", F.col("seq").alias("entry_seq"), F.col("name").alias("caller_name"), F.col("file_path").alias("entry_file")
+        "project", F.col("seq").alias("entry_seq"), F.col("name").alias("caller_name"), F.col("file_path").alias("entry_file"), _line(functions).alias("entry_line")
     )
     direct = entry.join(edges, ["project", "caller_name"]).join(known.withColumnRenamed("name", "callee_name"), ["project", "callee_name"])
     direct = cut(
         direct.select(
             "project",
-            F.struct("entry_seq", "seq").alias("root"),
+            F.struct("project", "entry_seq", "seq").alias("root"),
             "entry_file",
+            "entry_line",
             F.col("callee_name").alias("name"),
             sink_kind(F.col("callee_name"), F.col("receiver"), ATTACK_SINKS).alias("kind"),
             F.array("caller_name", "callee_name").alias("path"),
@@ -279,7 +281,7 @@ def attack_paths(edges: DataFrame, functions: DataFrame, depth: int = 5) -> Data
     )
     at_once = direct.where("kind is not null").select("root", F.col("name").alias("sink"), "kind", "path", "key")
     later = _walk(direct.where("kind is null"), edges, known, ATTACK_SINKS, depth, True)
-    files = direct.select("root", "entry_file").distinct()
+    files = direct.select("root", "project", "entry_file", "entry_line").distinct()
     return at_once.unionAll(later).join(files, "root").select(
         F.element_at("path", 1).alias("entry"),
         "entry_file",
@@ -290,14 +292,20 @@ def attack_paths(edges: DataFrame, functions: DataFrame, depth: int = 5) -> Data
         F.col("root.entry_seq").alias("entry_seq"),
         F.col("root.seq").alias("edge_seq"),
         "key",
+        "project",
+        "entry_line",
     )
 
 
+def _line(functions: DataFrame) -> Column:
+    return (F.col("start_line") if "start_line" in functions.columns else F.lit(None)).cast("int")
+
+
 def data_flows(edges: DataFrame, functions: DataFrame, depth: int = 8) -> DataFrame:
     """(source, sink, kind, path, has_sanitization): the first flow from each taint source to each sink."""
     edges, functions = _projects(edges), _projects(functions)
     known = functions.select("project", "name").distinct()
-    sources = functions.where(is_source(F.col("name"))).select("project", F.col("name").alias("source"), F.col("seq").alias("source_seq"))
+    sources = functions.where(is_source(F.col("name"))).select("project", F.col("name").alias("source"), F.col("seq").alias("source_seq"), F.col("file_path").alias("source_file"), _line(functions).alias("source_line"))
     using = edges.join(sources.withColumnRenamed("source", "callee_name"), ["project", "callee_name"])
     using = using.where(F.col("caller_name") != F.col("callee_name"))
     first = using.groupBy("project", "source_seq", F.col("callee_name").alias("source"), "caller_id", "caller_name").agg(F.min("seq").alias("seq"))
@@ -320,49 +328,86 @@ def data_flows(edges: DataFrame, functions: DataFrame, depth: int = 8) -> DataFr
     clean = functions.join(above, "id", "left_semi").select("project", F.col("name").alias("caller")).distinct().withColumn("scope", F.lit(True))
     flows = best.withColumn("caller", F.element_at("b.path", 2)).join(clean, ["project", "caller"], "left")
     safe = F.coalesce("scope", F.lit(False)) | has_any(F.col("caller"), SANITIZERS)
-    return flows.select("source", "sink", "b.kind", "b.path", safe.alias("has_sanitization"), "project")
+    at = sources.select("project", "source_seq", "source_file", "source_line")
+    out = flows.select("source", "sink", "b.kind", "b.path", safe.alias("has_sanitization"), "project", F.col("b.root.source_seq").alias("source_seq"), "b.key")
+    return out.join(at, ["project", "source_seq"], "left").select("source", "sink", "kind", "path", "has_sanitization", "project", "source_file", "source_line", "source_seq", "key")
 
 
 def path_findings(paths: DataFrame) -> DataFrame:
     """Findings of attack paths without validation; only shell commands are critical. Ids are of the content;
-    ``findings.running_ids`` gives running ones."""
-    text = F.concat(F.lit("Unvalidated path to "), F.col("kind"), F.lit(" sink: "), F.array_join("path", " -> "))
+    ``graph_findings`` gives running ones."""
+    from_, to = F.element_at("path", 1), F.col("sink")
+    text = F.concat(F.lit("Unvalidated path from "), from_, F.lit(" to "), to, F.lit(" ("), F.col("kind"), F.lit(" sink): "), F.array_join("path", " -> "))
     return paths.where(~F.col("has_validation")).select(
         F.concat(F.lit("kg-attack-path-"), F.left(F.sha2(text, 256), F.lit(8))).alias("id"),
-        F.lit("knowledge-graph").alias("engine"),
+        F.lit("knowledge_graph").alias("engine"),
         F.when(F.col("kind") == "shell", "critical").otherwise("high").alias("severity"),
         F.lit("attack_path").alias("type"),
         F.col("entry_file").alias("file"),
+        F.col("entry_line").alias("line"),
         text.alias("description"),
+        F.concat(F.lit("Add input validation or sanitization in the call chain between "), from_, F.lit(" and "), to).alias("fix_suggestion"),
+        F.lit(False).alias("auto_fixable"),
+        *_order(paths, "entry_seq", "edge_seq", "key"),
     )
 
 
 def auth_findings(missing: DataFrame) -> DataFrame:
     """Findings of handlers without any check among what they call."""
-    text = F.concat(F.lit("No authentication in the calls of "), F.col("name"))
+    name = F.col("name")
     return missing.select(
         F.concat(F.lit("kg-missing-auth-"), F.left(F.sha2("id", 256), F.lit(8))).alias("id"),
-        F.lit("knowledge-graph").alias("engine"),
+        F.lit("knowledge_graph").alias("engine"),
         F.lit("high").alias("severity"),
         F.lit("missing_auth").alias("type"),
         F.col("file_path").alias("file"),
-        text.alias("description"),
+        F.col("start_line").cast("int").alias("line"),
+        F.concat(F.lit("Endpoint "), name, F.lit(" has no auth middleware in call chain")).alias("description"),
+        F.concat(F.lit("Add authentication middleware (e.g., checkAuth) to the call chain for "), name).alias("fix_suggestion"),
+        F.lit(False).alias("auto_fixable"),
+        *_order(missing, "seq"),
     )
 
 
 def flow_findings(flows: DataFrame) -> DataFrame:
     """Findings of tainted flows that nothing cleans; into a shell or code they are critical."""
-    text = F.concat(F.lit("Tainted flow: "), F.array_join("path", " -> "))
+    from_, to = F.col("source"), F.col("sink")
+    text = F.concat(F.lit("Tainted data flows from "), from_, F.lit(" (user_input) to "), to, F.lit(" ("), F.col("kind"), F.lit(" sink): "), F.array_join("path", " -> "))
     return flows.where(~F.col("has_sanitization")).select(
         F.concat(F.lit("kg-tainted-flow-"), F.left(F.sha2(text, 256), F.lit(8))).alias("id"),
-        F.lit("knowledge-graph").alias("engine"),
+        F.lit("knowledge_graph").alias("engine"),
         F.when(F.col("kind").isin("shell", "eval"), "critical").otherwise("high").alias("severity"),
-        F.lit("tainted_flow").alias("type"),
-        F.lit(None).cast("string").alias("file"),
+        F.lit("tainted_data_flow").alias("type"),
+        F.col("source_file").alias("file"),
+        F.col("source_line").alias("line"),
         text.alias("description"),
+        F.concat(F.lit("Add input sanitization or parameterization between "), from_, F.lit(" and "), to).alias("fix_suggestion"),
+        F.lit(False).alias("auto_fixable"),
+        *_order(flows, "source_seq", "key"),
     )
 
 
+def _order(rows: DataFrame, *names: str) -> list[Column]:
+    """The project, and what a kind's findings are in the order of."""
+    project = F.col("project") if "project" in rows.columns else F.lit("").alias("project")
+    return [project, *(F.col(n).alias(f"_o{i}") for i, n in enumerate(names) if n in rows.columns)]
+
+
+def graph_findings(paths: DataFrame, missing: DataFrame, flows: DataFrame) -> DataFrame:
+    """All findings of a graph, by project, with running ids from 1: attack paths and missing checks share one counter,
+    in this order; tainted flows have their own."""
+    first, second, third = path_findings(paths), auth_findings(missing), flow_findings(flows)
+    shared = first.withColumn("_kind", F.lit(0)).unionByName(second.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    order = sorted(c for c in shared.columns if c.startswith("_o"))
+    prefix = F.when(F.col("type") == "attack_path", "kg-attack-path-").when(F.col("type") == "missing_auth", "kg-missing-auth-").otherwise("kg-tainted-flow-")
+    out = None
+    for rows, by in ((shared, ["_kind", *order]), (third, sorted(c for c in third.columns if c.startswith("_o")))):
+        told = places(rows, ["project"], by, "_n").withColumn("id", F.concat(prefix, F.col("_n").cast("string")))
+        told = told.drop("_n", *by)
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
 def _at_lines(findings: DataFrame, functions: DataFrame, pick: Column) -> DataFrame:
     """Findings with ``fn`` as ``pick`` tells it for each (file, line), over a window of the file's lines.
 

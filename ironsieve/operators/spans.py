@@ -100,12 +100,13 @@ def _kind(lang_token: Column, what: Column) -> Column:
 
 
 def code_spans(files: DataFrame, file: str = "file", text: str = "text", lang: str = "_lang") -> DataFrame:
-    """(file, first, last, line, last_line, kind, callee, receiver, literal, depth) of every span.
+    """(file, first, last, line, last_line, kind, callee, receiver, literal, depth, ends_line) of every span.
 
     ``first`` to ``last`` (exclusive) are code points from 0; kinds: call and group (round brackets with and without a
     callee), index, block, interpolation, template (``callee`` is its tag), comment, string, regex. ``callee`` is the
     last name before the bracket, ``receiver`` the dotted names before that; ``literal``: the first argument is one
-    string or template. A span that nothing closes ends with the file.
+    string or template; ``ends_line``: a comment that nothing follows in its last line. A span that nothing closes ends with
+    the file.
     """
     raw = tokens(files, file, text, lang).withColumn("kind", _kind(F.col("token"), F.col("what")))
     in_file = W.partitionBy("file").orderBy("no")
@@ -139,8 +140,11 @@ def code_spans(files: DataFrame, file: str = "file", text: str = "text", lang: s
     )
     spans = paired.where("_step > 0").withColumns({"last": F.coalesce("_last", "_end"), "last_line": F.coalesce("_last_line", "_end_line")})
     single = seen.where("_step = 0").where((F.col("what") == "t") | F.col("kind").isin("string", "regex"))
-    comments = placed.where("kind = 'comment'").withColumns({"_back": F.lit(""), "_literal": F.lit(False)})
-    names = ["file", "first", "last", "line", "last_line", "kind", "depth", "_back", "_literal"]
+    following = F.lead("token").over(in_file)
+    ends_line = following.isNull() | F.rlike(following, F.lit(r"^\s*\n")) | (F.rlike(following, F.lit(r"^\s")) & F.lead("token", 2).over(in_file).isNull())
+    comments = placed.withColumn("_ends_line", ends_line).where("kind = 'comment'").withColumns({"_back": F.lit(""), "_literal": F.lit(False)})
+    names = ["file", "first", "last", "line", "last_line", "kind", "depth", "_back", "_literal", "_ends_line"]
+    spans, single = (x.withColumn("_ends_line", F.lit(False)) for x in (spans, single))
     every = spans.select(*names).unionAll(single.select(*names)).unionAll(comments.select(*names))
     chain = rf"((?:[\p{{L}}\p{{N}}_$#]+ \??\. )*)({_NAME})$"
     callee, receiver = F.regexp_extract("_back", chain, 2), F.translate(F.regexp_extract("_back", chain, 1), " ", "")
@@ -156,6 +160,7 @@ def code_spans(files: DataFrame, file: str = "file", text: str = "text", lang: s
         F.when(named & (receiver != ""), F.regexp_replace(receiver, r"\??\.$", "")).alias("receiver"),
         ((F.col("kind") == "call") & F.col("_literal")).alias("literal"),
         F.col("depth").cast("int"),
+        F.col("_ends_line").alias("ends_line"),
     )
 
 
@@ -170,7 +175,7 @@ SHELLS = r"(?i)^(?:child_?process|cp|shell|shelljs|childProcess)$"
 def context_flags(spans: DataFrame, places: DataFrame) -> DataFrame:
     """``places`` (file, line, and what else) with what covers each: is_comment, wrapped, tagged, eval_of, exec_of.
 
-    is_comment: the line lies in a comment that begins before it and no code begins in it; wrapped: a call to a sanitiser
+    is_comment: the line lies in a comment that begins before it and no code follows it there; wrapped: a call to a sanitiser
     covers the line; tagged: a tagged SQL template covers it; eval_of, exec_of: the receivers of ``eval`` and ``exec``
     calls that cover it, the empty string for none. Files are the join key; a file's spans meet only its own places.
     """
@@ -178,15 +183,13 @@ def context_flags(spans: DataFrame, places: DataFrame) -> DataFrame:
     s = spans.withColumnRenamed("line", "from_line").join(keys, "file").where("from_line <= line and last_line >= line")
     is_call = F.col("kind") == "call"
     told = s.groupBy("file", "line").agg(
-        F.bool_or((F.col("kind") == "comment") & (F.col("from_line") < F.col("line"))).alias("is_comment"),
-        F.bool_or((F.col("kind") != "comment") & (F.col("from_line") == F.col("line"))).alias("_code"),
+        F.bool_or((F.col("kind") == "comment") & (F.col("from_line") < F.col("line")) & ((F.col("line") < F.col("last_line")) | F.col("ends_line"))).alias("is_comment"),
         F.bool_or(is_call & F.rlike("callee", F.lit(SANITISERS))).alias("wrapped"),
         F.bool_or((F.col("kind") == "template") & F.col("callee").isin(*TAGS)).alias("tagged"),
         F.array_sort(F.collect_set(F.when(is_call & (F.col("callee") == "eval"), F.coalesce("receiver", F.lit(""))))).alias("eval_of"),
         F.array_sort(F.collect_set(F.when(is_call & (F.col("callee") == "exec"), F.coalesce("receiver", F.lit(""))))).alias("exec_of"),
     )
     no, none = F.lit(False), F.array().cast("array<string>")
-    told = told.withColumn("is_comment", F.coalesce(F.col("is_comment") & ~F.col("_code"), no)).drop("_code")
     joined = places.join(told, ["file", "line"], "left")
     flags = {c: F.coalesce(c, no) for c in ("is_comment", "wrapped", "tagged")} | {c: F.coalesce(c, none) for c in ("eval_of", "exec_of")}
     return joined.withColumns(flags)

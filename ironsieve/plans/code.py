@@ -12,10 +12,11 @@ from ironsieve.functions.imports import stack
 from ironsieve.operators import findings as fd
 from ironsieve.operators import graph as gr
 from ironsieve.operators import rulebook
+from ironsieve.operators import spans
 from ironsieve.operators.dependencies import recommended
 from ironsieve.operators.rules import COMMENT, CONTEXTS_OFF, IMPORTS_OFF, Rule, scan_files
 from ironsieve.plans.registry import Registry
-from ironsieve.session import read_table
+from ironsieve.session import cut, read_table
 from ironsieve.sources import files as src
 from ironsieve.sources.code import parsed_files
 
@@ -164,6 +165,95 @@ def whole_scan_summary(spark, sf_dir):
     return fd.summary(whole_scan(spark, sf_dir).withColumns({"auto_fixable": F.lit(False), "context": F.lit(None).cast("string")})).select("critical", "high", "medium", "low", "score")
 
 
+_HANDLERS = (
+    ("export function handleOne(q) {", "  return executeRaw(q);", "}"),
+    ("", "export async function handleTwo(q) {", "  return execSync(q);", "}"),
+    ("export function handleThree(q) {", "  return checkInput(q);", "}"),
+    ("function processForm() {", "  const b = getRequestBody();", "  return executeQuery(b);", "}", "function getRequestBody() {", "  return 1;", "}"),
+)
+_OWN = "handleOne|handleTwo|handleThree|processForm|getRequestBody"  # names that a file's number is added to
+_SINKS = "function executeRaw(s) {\n  return s;\n}\nfunction execSync(s) {\n  return s;\n}\nfunction checkInput(s) {\n  return s;\n}\nfunction executeQuery(s) {\n  return s;\n}\n"
+_PATH = "'Unvalidated path from {0} to {1} ({2} sink): {0} -> {1}', 'Add input validation or sanitization in the call chain between {0} and {1}'"
+_ENDPOINT = "'Endpoint {0} has no auth middleware in call chain', 'Add authentication middleware (e.g., checkAuth) to the call chain for {0}'"
+_KG = f"""(VALUES (0, 0, 0, 'kg-attack-path-', 'high', 'attack_path', 1, {_PATH.format('handleOne', 'executeRaw', 'database')}),
+ (1, 0, 0, 'kg-attack-path-', 'critical', 'attack_path', 2, {_PATH.format('handleTwo', 'execSync', 'shell')}), (1, 0, 1, 'kg-missing-auth-', 'high', 'missing_auth', 2, {_ENDPOINT.format('handleTwo')}),
+ (3, 1, 0, 'kg-tainted-flow-', 'high', 'tainted_data_flow', 5, 'Tainted data flows from getRequestBody (user_input) to executeQuery (database sink): getRequestBody -> processForm -> executeQuery', 'Add input sanitization or parameterization between getRequestBody and executeQuery'))
+ t(form, counter, kind, prefix, severity, type, line, description, fix_suggestion)"""
+
+
+@query(f"""SELECT s.s_suppkey AS project, prefix || row_number() OVER (PARTITION BY s.s_suppkey, counter ORDER BY kind, 'src/api/h' || i || '.ts') AS id, 'knowledge_graph' AS engine, severity, type, 'src/api/h' || i || '.ts' AS file, line,
+ regexp_replace(description, '({_OWN})', '\\1_' || i, 'g') AS description, regexp_replace(fix_suggestion, '({_OWN})', '\\1_' || i, 'g') AS fix_suggestion FROM supplier s, generate_series(0, 3) g(i), {_KG} WHERE form = (s.s_suppkey + i * (1 + s.s_suppkey % 2)) % 4""")
+def graph_findings_counted(spark, sf_dir):
+    """Every supplier is a project of four files; its paths and missing checks share a counter, its flows have their own."""
+    i = F.explode(F.sequence(F.lit(0), F.lit(3)))
+    s = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("project"), i.alias("i"))
+    form = F.get(F.array(*[F.lit("\n".join(x) + "\n") for x in _HANDLERS]), ((F.col("project") + F.col("i") * (1 + F.col("project") % 2)) % 4).cast("int"))
+    own = F.regexp_replace(form, F.lit(f"({_OWN})"), F.concat(F.lit("$1_"), F.col("i").cast("string")))
+    files = s.select(F.col("project").cast("string").alias("project"), F.concat(F.lit("src/api/h"), F.col("i").cast("string"), F.lit(".ts")).alias("file"), F.lit("typescript").alias("language"), own.alias("text"))
+    sinks = s.select(F.col("project").cast("string")).distinct().select("project", F.lit("src/lib/sinks.ts"), F.lit("typescript"), F.lit(_SINKS))
+    g = gr.build(parsed_files(files.unionAll(sinks)))
+    calls, functions = cut(g["calls"]), cut(g["functions"])
+    found = gr.graph_findings(gr.attack_paths(calls, functions), gr.missing_auth(calls, functions), gr.data_flows(calls, functions))
+    return found.select(F.col("project").cast("long").alias("project"), "id", "engine", "severity", "type", "file", "line", "description", "fix_suggestion")
+
+
+_SNIPPETS = (
+    "db.query(sql`SELECT a\n FROM t WHERE b = ${pick(b,\n 'x)')}`)\n",
+    "// f(\nconst re = /[\"'{(]/; el.innerHTML = clean(\n  sanitizeAll(v, [1]),\n)\n",
+    "/* g(\n */ this.redis.eval('k', a)\n",
+)
+# (snippet, line, last line, kind, callee, receiver, first argument literal)
+_SPANS = (
+    (0, 1, 3, "call", "query", "db", False), (0, 1, 3, "template", "sql", None, False), (0, 2, 3, "interpolation", None, None, False), (0, 2, 3, "call", "pick", None, False), (0, 3, 3, "string", None, None, False),
+    (1, 1, 1, "comment", None, None, False), (1, 2, 2, "regex", None, None, False), (1, 2, 4, "call", "clean", None, False), (1, 3, 3, "call", "sanitizeAll", None, False), (1, 3, 3, "index", None, None, False),
+    (2, 1, 2, "comment", None, None, False), (2, 2, 2, "call", "eval", "this.redis", True), (2, 2, 2, "string", None, None, False),
+)
+_LENGTHS = [s.count("\n") for s in _SNIPPETS]
+
+
+def _spans_sql() -> str:
+    rows = ", ".join(f"({s}, {a}, {b}, '{k}', {_quoted(c) if c else 'NULL'}, {_quoted(r) if r else 'NULL'}, {str(x).upper()})" for s, a, b, k, c, r, x in _SPANS)
+    return (
+        f"WITH v(s, a, b, kind, callee, receiver, literal) AS (VALUES {rows}), f AS (SELECT p_partkey, p_partkey % 3 AS one, p_size % 3 AS two FROM part), "
+        f"x AS (SELECT p_partkey, one AS s, 0 AS skip FROM f UNION ALL SELECT p_partkey, two, {_LENGTHS}[one + 1] FROM f) "
+        "SELECT 'src/f' || p_partkey || '.ts' AS file, CAST(a + skip AS INTEGER) AS line, CAST(b + skip AS INTEGER) AS last_line, kind, callee, receiver, literal FROM x JOIN v USING (s)"
+    )
+
+
+@query(_spans_sql())
+def code_spans(spark, sf_dir):
+    """Spans of files that are composed of two snippets each, with calls, templates and comments over several lines."""
+    snippet = lambda k: F.get(F.array(*map(F.lit, _SNIPPETS)), k.cast("int"))
+    p = read_table(spark, sf_dir, "part")
+    name = F.concat(F.lit("src/f"), F.col("p_partkey").cast("string"), F.lit(".ts"))
+    files = p.select(name.alias("file"), F.concat(snippet(F.col("p_partkey") % 3), snippet(F.col("p_size") % 3)).alias("text"), F.lit("typescript").alias("_lang"))
+    return spans.code_spans(files).select("file", "line", "last_line", "kind", "callee", "receiver", "literal")
+
+
+# (text, rule of a finding in it and its line, whether its context lets it stand)
+_IN_CONTEXT = (
+    ("el.innerHTML = value;\n", "XSS_INNERHTML", 1, True),
+    ("sanitizeAll(\n  () => {\n    el.innerHTML = value;\n  },\n);\n", "XSS_INNERHTML", 3, False),
+    ("sanitizeAll(x);\nel.innerHTML = value;\n", "XSS_INNERHTML", 2, True),
+    ("/*\nel.innerHTML = value;\n*/\n", "XSS_INNERHTML", 2, False),
+    ("/*\n*/ el.innerHTML = value;\n", "XSS_INNERHTML", 2, True),
+    ("const m = myRegex.exec(`a ${b}`);\n", "CMD_INJECTION_EXEC", 1, False),
+    ("cp.exec(`ls ${dir}`);\n", "CMD_INJECTION_EXEC", 1, True),
+    ("eval(code);\n", "XSS_EVAL", 1, True),
+    ("const q = sql`\n  ${db.query(`SELECT a FROM t WHERE b = ${b}`)}\n`;\n", "SQL_INJECTION_TEMPLATE", 2, False),
+)
+
+
+@query("SELECT 'src/f' || p_partkey || '.ts' AS file, id, CAST(line AS INTEGER) AS line FROM part JOIN (VALUES " + ", ".join(f"({i}, '{rule}', {line})" for i, (_, rule, line, stays) in enumerate(_IN_CONTEXT) if stays) + f") t(i, id, line) ON p_partkey % {len(_IN_CONTEXT)} = i")
+def findings_in_context(spark, sf_dir):
+    """Findings that nothing around them silences: wrapping calls over lines, comments, receivers, tagged templates."""
+    name = F.concat(F.lit("src/f"), F.col("p_partkey").cast("string"), F.lit(".ts"))
+    text = F.get(F.array(*[F.lit(t) for t, *_ in _IN_CONTEXT]), (F.col("p_partkey") % len(_IN_CONTEXT)).cast("int"))
+    files = read_table(spark, sf_dir, "part").select(name.alias("file"), text.alias("text"))
+    rules = [r for r in rulebook.RULES if r.id in {x[1] for x in _IN_CONTEXT}]
+    return spans.in_context(scan_files(files, rules), files).select("file", "id", "line")
+
+
 @query("SELECT 'kg-attack-path-' || row_number() OVER (ORDER BY p_partkey) AS id, 'src/api/h' || p_partkey || '.ts' AS file FROM part WHERE p_size % 3 = 0")
 def graph_findings_numbered(spark, sf_dir):
     """Attack paths of composed handlers with running ids in the order of their files' numbers."""

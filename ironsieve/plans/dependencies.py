@@ -48,6 +48,68 @@ def typosquat_checked(spark, sf_dir):
     return dp.lookalikes(_names(spark, sf_dir), dp.CHECKED, [])
 
 
+# (name, version, whether it is locked, why it is deprecated), and what of it is found: (kind, severity, type, description, fix)
+_PINNED = (
+    ("react", "^15.0.0", True, None, (("outdated", "low", "dependency-outdated", 'Dependency "react@^15.0.0" is 4 major versions behind the current release (v19). Very old versions often have unpatched security vulnerabilities.', 'Update "react" to a recent version (current major: v19). Review the changelog for breaking changes before upgrading.'),)),
+    ("expresz", "*", False, None, (("wildcard", "high", "dependency-wildcard-version", 'Dependency "expresz" uses wildcard version "*". This allows arbitrary versions to be installed, including potentially malicious ones.', 'Pin "expresz" to a specific version range (e.g., "^x.y.z") instead of "*".'), ("typosquat", "critical", "dependency-typosquat", 'Dependency "expresz" looks like a typosquat of popular package "express". This could be a malicious package impersonating a legitimate one.', 'Verify that "expresz" is the intended package. If you meant "express", replace it immediately.'))),
+    ("left-padding", "1.0.0", False, None, (("phantom", "medium", "dependency-phantom", 'Dependency "left-padding" is declared in package.json but has no entry in the lockfile. This may indicate the lockfile is out of date or the dependency was never installed.', 'Run "npm install" to regenerate the lockfile and ensure "left-padding" is properly resolved.'),)),
+    ("old-library", "2.1.0", True, "use new-library", (("deprecated", "medium", "dependency-deprecated", 'Dependency "old-library" is deprecated: use new-library', 'Find an actively maintained alternative to "old-library" and migrate away from this package.'),)),
+    ("zod", "^3.2.0", True, None, ()),
+)
+_COUNTED = ", ".join(f"({i}, {j}, 'dep-{f[0]}-', '{f[1]}', '{f[2]}', '{f[3]}', '{f[4]}')" for i, p in enumerate(_PINNED) for j, f in enumerate(p[4]))
+
+
+@query(f"""SELECT p_partkey AS project, prefix || (row_number() OVER (PARTITION BY p_partkey ORDER BY i, j) - 1) AS id, severity, type, description, fix_suggestion FROM part
+ JOIN (VALUES {_COUNTED}) t(i, j, prefix, severity, type, description, fix_suggestion) ON (p_size + i) % 3 > 0""")
+def dependency_findings(spark, sf_dir):
+    """Every part is a project with some of five dependencies; all kinds of findings share its counter."""
+    p = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("project"), "p_size")
+    has = [(F.col("p_size") + i) % 3 > 0 for i in range(len(_PINNED))]
+    names = F.array_compact(F.array(*[F.when(h, F.struct(F.lit(n).alias("key"), F.lit(v).alias("value"))) for h, (n, v, *_) in zip(has, _PINNED, strict=True)]))
+    packages = p.select("project", F.map_from_entries(names).alias("dependencies"), F.lit(None).cast("map<string,string>").alias("devDependencies"))
+    locks = F.explode(F.array_compact(F.array(F.struct(F.lit("other").alias("name"), F.lit(None).cast("string").alias("deprecated")), *[F.when(h, F.struct(F.lit(n).alias("name"), F.lit(d).cast("string").alias("deprecated"))) for h, (n, _, there, d, _) in zip(has, _PINNED, strict=True) if there])))
+    locked = p.select("project", locks.alias("l")).select("project", "l.*")
+    return dp.dependency_findings(packages, locked).select("project", "id", "severity", "type", "description", "fix_suggestion")
+
+
+_WORDS = "SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower({0}.text), '[a-z]+')) AS w FROM {0}) WHERE length(w) <= 20"
+
+
+@query(f"WITH k AS ({_WORDS.format('benchmark')}), n AS ({_WORDS.format('conversations')}) SELECT n.w AS name, min(k.w) AS similar_to FROM n JOIN k ON abs(length(n.w) - length(k.w)) <= 2 AND levenshtein(n.w, k.w) BETWEEN 1 AND 2 WHERE n.w NOT IN (SELECT w FROM k) GROUP BY 1")
+def typosquat_registry(spark, sf_dir):
+    """Words of conversations as names, against those of the benchmark as a registry in alphabetical order."""
+
+    def words(table: str) -> DataFrame:
+        every = read_table(spark, sf_dir, table).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("name"))
+        return every.where("length(name) <= 20").distinct()
+
+    known = words("benchmark")
+    return dp.lookalikes_among(words("conversations"), known.select("name", F.col("name").alias("place")))
+
+
+_IGNORES = {
+    0: ["# logs", "*.log", "!keep.log", "/build/", "src/**/gen?.ts", "  ", "secret.txt"],
+    1: ["node_modules", "docs/*.md", "!docs/a.md", "**/tmp/*.bak"],
+    2: ["*", "!src", "src/a.min.js"],
+}
+_PATHS = ("a.log", "logs/keep.log", "build/out.js", "src/x/gen1.ts", "src/gen12.ts", "lib/node_modules/m/i.js", "docs/a.md", "docs/sub/b.md", "docs/b.md", "t/tmp/x.bak", "src/a.min.js", "SRC/deep/GEN2.ts", "a/Secret.TXT/b", "x.ts")
+_LEFT_OUT = (
+    r"CASE g WHEN 0 THEN CASE WHEN regexp_matches(p, '(^|/)secret\.txt(/.*)?$') OR regexp_matches(p, '^src/(.*/)?gen[^/]\.ts(/.*)?$') OR regexp_matches(p, '^build(/.*)?$') THEN TRUE WHEN regexp_matches(p, '(^|/)keep\.log(/.*)?$') THEN FALSE ELSE regexp_matches(p, '(^|/)[^/]*\.log(/.*)?$') END"
+    r" WHEN 1 THEN regexp_matches(p, '^(.*/)?tmp/[^/]*\.bak(/.*)?$') OR p <> 'docs/a.md' AND regexp_matches(p, '^docs/[^/]*\.md(/.*)?$') OR regexp_matches(p, '(^|/)node_modules(/.*)?$')"
+    " ELSE p = 'src/a.min.js' OR NOT regexp_matches(p, '(^|/)src(/.*)?$') END"
+)
+
+
+@query(f"WITH f AS (SELECT p_partkey AS project, p_partkey % 3 AS g, {_listed(_PATHS)}[p_size % {len(_PATHS)} + 1] AS file FROM part), l AS (SELECT *, lower(file) AS p FROM f) SELECT project, file FROM l WHERE {_LEFT_OUT}")
+def ignored_by_project(spark, sf_dir):
+    """Every part is a project with a file and one of three ignore files."""
+    p = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("project"), "p_size")
+    files = p.select("project", F.get(F.array(*map(F.lit, _PATHS)), F.col("p_size") % len(_PATHS)).alias("file"))
+    kinds = F.get(F.array(*(F.array(*map(F.lit, v)) for v in _IGNORES.values())), (F.col("project") % 3).cast("int"))
+    lines = p.select("project", F.posexplode(kinds).alias("no", "line"))
+    return src.ignored_by_rules(files, lines)
+
+
 _FAKES = [(fake, real) for real, v in dp.FAKES.items() for fake in v]
 
 

@@ -9,6 +9,8 @@ from ironsieve.functions import severity as sev
 from ironsieve.functions import text as tx
 from ironsieve.functions.sourcemap import resolved
 from ironsieve.operators import events as ev
+from ironsieve.operators import rate_limits as limits
+from ironsieve.operators.sourcemaps import resolve_frames
 from ironsieve.plans.registry import Registry
 from ironsieve.session import read_table
 from ironsieve.streaming import errors as stream
@@ -168,7 +170,7 @@ _LIMITED = f"{_EV.replace('WITH e0', 'WITH RECURSIVE e0', 1)}{_LIMITS}"
 def rate_limit(spark, sf_dir):
     """Requests of each project against ten in an hour, in windows that start with their first request."""
     r = _events(spark, sf_dir).select("project_id", "at_ms", "seq")
-    return ev.rate_limited(r, 10, 3_600_000)
+    return limits.rate_limited(r, 10, 3_600_000)
 
 
 @query(f"{_LIMITED} SELECT project_id, at_ms, n <= 10 AS allowed, greatest(0, 10 - n) AS remaining, s + 3600000 AS reset_ms FROM w")
@@ -181,7 +183,7 @@ def streaming_rate_limit(spark, sf_dir):
 def shared_rate_limit(spark, sf_dir):
     """Two routes with limits of their own share a project's counter."""
     r = _events(spark, sf_dir).select("project_id", "at_ms", "seq", F.when(F.col("seq") % 3 == 0, 5).otherwise(10).alias("most"))
-    return ev.rate_limited(r, window_ms=3_600_000).select("seq", "allowed")
+    return limits.rate_limited(r, window_ms=3_600_000).select("seq", "allowed")
 
 
 _TICKS = "t AS (SELECT session_id, seq, (epoch_us(ts) // 1000 - min(epoch_us(ts) // 1000) OVER (PARTITION BY session_id)) // 3600000 AS tick FROM ev), p AS (SELECT *, (row_number() OVER (PARTITION BY session_id, tick ORDER BY seq) - 1) // 10 AS part FROM t), b AS (SELECT session_id, tick, part, min(seq) AS first_seq, count(*) AS n FROM p GROUP BY 1, 2, 3)"
@@ -208,6 +210,29 @@ def source_map_positions(spark, sf_dir):
     return e.select("seq", resolved(F.lit(content), F.col("line"), F.lit(0)).alias("r")).select("seq", F.col("r.source").alias("file"), F.col("r.line").cast("int").alias("line"))
 
 
+_MAP = '{"version":3,"sources":["node_modules/a.js","../src/b.ts"],"names":["f"],"mappings":"AAAA,UCIGA;IAIH,M;;"}'
+_HIT = "k % 3 < 2 AND (k % 5 = 0 AND k % 17 >= 10 OR k % 5 = 1 AND k % 17 BETWEEN 4 AND 9)"
+
+
+@query(f"""{_EV} SELECT seq, CASE k % 3 WHEN 2 THEN 'dist/mod2.js' ELSE 'src/b.ts' END AS source_file, CAST(CASE WHEN {_HIT} THEN CASE k % 5 WHEN 0 THEN 5 ELSE 9 END ELSE k % 5 + 1 END AS INTEGER) AS source_line,
+ CAST(CASE WHEN {_HIT} THEN CASE k % 5 WHEN 0 THEN 3 ELSE 0 END END AS INTEGER) AS source_column, CASE WHEN {_HIT} AND k % 5 = 0 THEN 'f' END AS source_name FROM ev""")
+def source_map_frames(spark, sf_dir):
+    """Every event as a frame of one of three generated files: one has a map, one is listed under its own name, one has none."""
+    e = read_table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    frames = e.select(
+        F.col("event_id").alias("seq"),
+        F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string")).alias("project_id"),
+        F.lit("r1").alias("release"),
+        F.concat(F.lit("dist/mod"), (k % 3).cast("string"), F.lit(".js")).alias("file"),
+        (k % 5 + 1).alias("line"),
+        (k % 17).alias("column"),
+    )
+    paths = F.explode(F.array(F.lit("dist/mod0.js.map"), F.lit("dist/mod1.js")))
+    maps = frames.select("project_id", "release").distinct().select("*", paths.alias("file_path"), F.lit(_MAP).alias("content"))
+    return resolve_frames(frames, maps).select("seq", "source_file", "source_line", "source_column", "source_name")
+
+
 @query(f"{_EV} SELECT id, CASE WHEN project_id = 'p2' THEN NULL WHEN file LIKE 'src/mod%' THEN replace(file, '.ts', '.orig.ts') ELSE file END AS source FROM gs WHERE project_id <> 'p0'")
 def new_group_sources(spark, sf_dir):
     """Groups that are new: those with a release get their file's source, groups of p2 have none, those of p0 are stored."""

@@ -125,7 +125,7 @@ def data_flows(spark, sf_dir):
     return gr.data_flows(calls, fns).select("source", "sink", "kind", "has_sanitization")
 
 
-@query(f"{_FLOWS} SELECT CASE name WHEN 'execSync' THEN 'critical' ELSE 'high' END AS severity, 'tainted_flow' AS type, count(*) AS findings FROM f JOIN s USING (source) WHERE name IN ('executeRaw', 'execSync') AND NOT safe GROUP BY 1, 2")
+@query(f"{_FLOWS} SELECT CASE name WHEN 'execSync' THEN 'critical' ELSE 'high' END AS severity, 'tainted_data_flow' AS type, count(*) AS findings FROM f JOIN s USING (source) WHERE name IN ('executeRaw', 'execSync') AND NOT safe GROUP BY 1, 2")
 def flow_findings(spark, sf_dir):
     fns, calls = call_graph(spark, sf_dir)
     return gr.flow_findings(gr.data_flows(calls, fns)).groupBy("severity", "type").agg(F.count(F.lit(1)).alias("findings"))
@@ -220,21 +220,27 @@ def class_methods(spark, sf_dir):
     return parsed_parts(spark, sf_dir)["methods"].select("class_id", "class_name", "id", "name")
 
 
-def _deep_paths(fns: DataFrame, calls: DataFrame) -> DataFrame:
-    return gr.attack_paths(calls, fns).select("entry", "sink", "kind").distinct()
+def _deep_paths(fns: DataFrame, calls: DataFrame, depth: int = 8) -> DataFrame:
+    return gr.attack_paths(calls, fns, depth).select("entry", "sink", "kind").distinct()
 
 
-@query(PATHS)
+@query(PATHS.replace("depth < 5", "depth < 8"))
 def deep_attack_paths(spark, sf_dir):
-    """As attack_paths, which once stopped short of the operator's own depth."""
+    """Paths of up to eight calls."""
     return _deep_paths(*call_graph(spark, sf_dir))
 
 
-def _deep_context(fns: DataFrame, calls: DataFrame) -> DataFrame:
-    return gr.call_context(calls, fns).join(fns, F.col("fn") == F.col("id")).select("name", "auth", "validated")
+def _deep_context(fns: DataFrame, calls: DataFrame, depth: int = 5) -> DataFrame:
+    return gr.call_context(calls, fns, depth).join(fns, F.col("fn") == F.col("id")).select("name", "auth", "validated")
+
+
+@query(CONTEXT.replace("depth < 5", "depth < 2"))
+def near_call_context(spark, sf_dir):
+    """Only direct callers and callees, and theirs."""
+    return _deep_context(*call_graph(spark, sf_dir), 2)
 
 
 @query(CONTEXT)
 def deep_call_context(spark, sf_dir):
-    """As call_context, which once stopped short of the operator's own depth."""
+    """All five levels, as the operator has them by default."""
     return _deep_context(*call_graph(spark, sf_dir))

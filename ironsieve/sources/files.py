@@ -130,6 +130,59 @@ def ignored(path: Column, rules: list[str]) -> Column:
     return out
 
 
+_WILD = r"[*?]"
+
+
+def ignore_rules(lines: DataFrame) -> DataFrame:
+    """(project, no, back, pattern, key) of ignore files' lines (project, no, line); comments and empty lines are left out.
+
+    ``key`` is text that every path it matches has (see ``_path_keys``): a literal beginning, a literal segment or the
+    extension of a segment, else the empty key.
+    """
+    line = F.regexp_replace("line", r"^\s+|\s+$", "")
+    bare = F.regexp_replace(line, r"^!+", "")
+    body = F.regexp_replace(bare, "/+$", "")
+    rows = lines.where((line != "") & ~F.startswith(line, F.lit("#"))).select("project", "no", F.startswith(line, F.lit("!")).alias("back"), body.alias("body"))
+    from_root = F.contains("body", F.lit("/"))
+    plain = F.lower(F.regexp_replace("body", "^/+", ""))
+    escaped = F.regexp_replace(F.regexp_replace("body", "^/+", ""), r"[\\.+^${}()|\[\]]", r"\\$0")
+    marked = F.regexp_replace(escaped, r"\*\*/|\*\*|\*|\?", "\x01$0")
+    for wild, means in ((r"\x01\*\*/", "(?:.*/)?"), (r"\x01\*\*", ".*"), (r"\x01\*", "[^/]*"), (r"\x01\?", "[^/]")):
+        marked = F.regexp_replace(marked, wild, means)
+    pattern = F.concat(F.lit("(?is)"), F.when(from_root, "^").otherwise("(?:^|/)"), marked, F.lit("(?:/.*)?$"))
+    beginning = F.regexp_extract(plain, r"^((?:[^*?/]+/)*[^*?/]+)(?:/|$)", 1)  # whole segments without wildcards
+    extension = F.regexp_extract(plain, r"\.([^*?./]+)$", 1)
+    key = (
+        F.when(from_root & (beginning != ""), F.concat(F.lit("p:"), beginning))
+        .when(~from_root & ~F.rlike("body", F.lit(_WILD)), F.concat(F.lit("s:"), plain))
+        .when(~from_root & (extension != ""), F.concat(F.lit("e:"), extension))
+        .otherwise("")
+    )
+    return rows.select("project", "no", "back", pattern.alias("pattern"), key.alias("key"))
+
+
+def _path_keys(path: Column) -> Column:
+    """The empty key, a path's beginnings, its segments and their extensions."""
+    parts = F.split(F.lower(path), "/")
+    beginnings = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(F.lit("p:"), F.array_join(F.slice(parts, 1, n), "/")))
+    segments = F.transform(parts, lambda s: F.concat(F.lit("s:"), s))
+    extensions = F.transform(parts, lambda s: F.concat(F.lit("e:"), F.regexp_extract(s, r"\.([^.]+)$", 1)))
+    return F.array_distinct(F.concat(F.array(F.lit("")), beginnings, segments, extensions))
+
+
+def ignored_by_rules(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """(project, file) of files (project, file) that their project's ignore file (project, no, line) leaves out.
+
+    As ``ignored``, with rules as rows: a rule meets only paths that hold its key, by a hash join, and the glob is tried
+    on these; of those that match, the line with the highest number decides. Null paths are never left out.
+    """
+    rules = ignore_rules(lines)
+    paths = files.select("project", "file").where("file is not null").distinct()
+    met = paths.select("project", "file", F.explode(_path_keys(F.col("file"))).alias("key")).join(rules, ["project", "key"])
+    last = met.where(F.rlike("file", F.col("pattern"))).groupBy("project", "file").agg(F.max_by("back", "no").alias("back"))
+    return last.where("not back").select("project", "file")
+
+
 def _finding(**given) -> list[Column]:
     return [given[c].alias(c) if c in given else F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in schemas.FINDING.split(", "))]
 

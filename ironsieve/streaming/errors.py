@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ironsieve.functions.text import first_frame
 from ironsieve.operators.events import KINDS, describe_groups, resolved_frames, window_ends
-from ironsieve.session import ensure_checkpoint_dir
+from ironsieve.session import cut, delete_folder, ensure_checkpoint_dir
 
 
 def read_events(spark: SparkSession, folder: str, files: str = "*.parquet", per_trigger: int = 8) -> DataFrame:
@@ -45,24 +45,55 @@ def running_groups(events: DataFrame) -> DataFrame:
     )
 
 
-def keep_groups(events: DataFrame, table: str, checkpoint: str, **trigger) -> object:
-    """Write every change of a group to ``table`` as a new version; ``current_groups`` reads the last ones."""
+GROUP_KEY = ("project_id", "name", "message", "frame")
+
+
+def keep_groups(events: DataFrame, table: str, checkpoint: str, buckets: int = 16, **trigger) -> object:
+    """Upsert every change of a group into ``table``, in place: groups lie in buckets by the hash of their key, and a
+    batch rewrites the buckets that it changes.
+
+    A bucket's new version is written beside the one that is there, which goes when the batch is done; so a batch that
+    fails and is run again finds what it began with, and the table holds each group once, or twice while a batch runs.
+    """
+    spark = events.sparkSession
 
     def put(batch: DataFrame, number: int) -> None:
-        # a batch that is run again after a failure replaces its own folder
-        batch.withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{table}/batch={number}")
+        changed = cut(batch.withColumn("bucket", F.pmod(F.xxhash64(*GROUP_KEY), F.lit(buckets)).cast("int")))
+        old = _versions(spark, table, number)
+        touched = {r.bucket for r in changed.select("bucket").distinct().collect()}
+        gone = [(b, v) for b, vs in old.items() for v in vs if b in touched]
+        rows = changed
+        if gone:
+            last = spark.read.schema(changed.drop("bucket").schema).parquet(*(f"{table}/bucket={b}/version={max(old[b])}" for b in sorted({b for b, _ in gone})))
+            kept = last.join(changed.select(*GROUP_KEY), [*GROUP_KEY], "left_anti")
+            rows = changed.unionByName(kept.withColumn("bucket", F.pmod(F.xxhash64(*GROUP_KEY), F.lit(buckets)).cast("int")))
+        dealt = rows.withColumn("version", F.lit(number)).repartition("bucket")
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(table)
+        for b, v in gone:
+            delete_folder(spark, f"{table}/bucket={b}/version={v}")
 
     writer = running_groups(events).writeStream.outputMode("update").foreachBatch(put)
     return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _versions(spark: SparkSession, table: str, before: int | None = None) -> dict[int, list[int]]:
+    """The versions of each bucket, those of batches before ``before`` only."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/bucket=*/version=*")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
+    out: dict[int, list[int]] = {}
+    for f in found:
+        b, v = (int(x.split("=")[1]) for x in f.getPath().toString().split("/")[-2:])
+        if before is None or v < before:
+            out.setdefault(b, []).append(v)
+    return out
+
+
 def current_groups(spark: SparkSession, table: str, resolved: DataFrame | None = None) -> DataFrame:
     """The stored groups (see schemas.ERROR_GROUP). Groups listed in ``resolved`` (id, at_seq) stay resolved when they
     recur, and ``recurred`` says whether they did."""
-    v = spark.read.parquet(table).drop("batch")
+    last = [f"{table}/bucket={b}/version={max(v)}" for b, v in sorted(_versions(spark, table).items())]
     key = ["project_id", "name", "message", "frame"]
-    last = v.groupBy(*key).agg(F.max_by(F.struct("occurrences", "first", "last"), "version").alias("s"))
-    g = last.select(*key, "s.occurrences", F.col("s.first.timestamp").alias("first_seen"), F.col("s.last.timestamp").alias("last_seen"), F.col("s.first.stack").alias("stack_trace"), F.col("s.last.seq").alias("last_seq"))
+    g = spark.read.parquet(*last).select(*key, "occurrences", F.col("first.timestamp").alias("first_seen"), F.col("last.timestamp").alias("last_seen"), F.col("first.stack").alias("stack_trace"), F.col("last.seq").alias("last_seq"))
     out = describe_groups(g)
     if resolved is None:
         return out
