@@ -7,8 +7,10 @@ words of the whole text; its score is the posterior share, tempered by the squar
 
 Words are runs of letters (Unicode category L), lower-cased; n-grams run over a word with its two ends marked.
 
-Bound: at most ``LANGUAGES`` languages, else an error, as every entry has a number for each; of each language about ``SAMPLE`` learnt texts (those with the smallest hashes of their ids) are counted; words
-seen once in them are left to the n-grams, as unseen words will look like them. Everything else covers all rows. Reruns agree.
+Any number of languages: entries keep numbers only for the languages that they were seen in, the rest is one number for
+each language. Bound: of each language about ``SAMPLE`` learnt texts (those with the smallest hashes of their ids) are
+counted, and about ``TEXTS`` of all languages together, so with many languages fewer of each; words seen once in them are
+left to the n-grams, as unseen words will look like them. Everything else covers all rows. Reruns agree.
 
 Nulls: rows with a null language, text or id are not learnt from. A text that is null or has no letter is ``und`` with
 score 0, as is every text if nothing was learnt. Of several rows of an id in one language the smallest text is learnt. Ties go to the language
@@ -27,9 +29,10 @@ from pyspark.sql import functions as F
 
 from ironsieve.llm.quality import held_out
 from ironsieve.llm.textvec import HashIndex, code_points, letter_table, lower_table, mix, portions, runs, slabs, span_hashes
+from ironsieve.operators.components import HOT_ROWS, join_by_key
 from ironsieve.session import cut
 
-SAMPLE, ORDERS, SMOOTH, LANGUAGES = 3000, (4, 3, 2, 1), 0.5, 1024
+SAMPLE, TEXTS, ORDERS, SMOOTH = 3000, 120_000, (4, 3, 2, 1), 0.5
 _END = np.uint32(0x110000)
 
 
@@ -88,45 +91,87 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
+@dataclass
+class Table:
+    """Log frequencies of words or n-grams of one order: of each language where an entry wasn't seen in it, and by entry
+    what is added for the languages where it was."""
+
+    index: HashIndex
+    rest: np.ndarray
+    start: np.ndarray
+    lang: np.ndarray
+    more: np.ndarray
+
+    def of(self, got: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ``got``, language, what is added) of these entries."""
+        size = self.start[got + 1] - self.start[got]
+        end = np.cumsum(size)
+        at = np.repeat(self.start[got] - (end - size), size) + np.arange(end[-1] if len(end) else 0)
+        return np.repeat(np.arange(len(got)), size), self.lang[at], self.more[at]
+
+
 @dataclass
 class Model:
     langs: list[str]
-    #: by order (0: words): the table, and log frequencies (entries x languages)
-    tables: dict[int, tuple[HashIndex, np.ndarray]]
+    #: by order (0: words)
+    tables: dict[int, Table]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         n, k = len(texts), len(self.langs)
-        total, count = np.zeros((n, max(k, 1))), np.zeros(n)
+        total, count = np.zeros(n * max(k, 1)), np.zeros(n)
         for row, h, low, s, e in words_of(texts):
             count += np.bincount(row, minlength=n)
             if not k:
                 continue
-            index, logs = self.tables[0]
-            got = index.find(h)
+
+            def add(rows: np.ndarray, lang: np.ndarray, more: np.ndarray) -> None:
+                nonlocal total
+                total += np.bincount(rows * k + lang, more, n * k)
+
+            def add_rest(rows: np.ndarray, table: Table) -> None:
+                nonlocal total
+                total += np.outer(np.bincount(rows, minlength=n), table.rest).ravel()
+
+            table = self.tables[0]
+            got = table.index.find(h)
             known = got >= 0
-            own = logs[got[known]]
-            for j in range(k):
-                total[:, j] += np.bincount(row[known], own[:, j], n)
+            at, lang, more = table.of(got[known])
+            add(row[known][at], lang, more)
+            add_rest(row[known], table)
             left = np.flatnonzero(~known)
             # unseen words repeat, too: each is scored once
             uniq, first, back = np.unique(h[left], return_index=True, return_inverse=True)
-            scores = np.zeros((len(uniq), k))
+            order_of = np.zeros(len(uniq), np.int64)
+            size, parts = np.zeros(len(uniq), np.int64), []
             todo = np.arange(len(uniq))
             for order in ORDERS:
                 if not len(todo):
                     break
                 at = left[first[todo]]
                 word, g = grams(low, s[at], e[at], order)
-                index, logs = self.tables[order]
-                got = index.find(g)
+                table = self.tables[order]
+                got = table.index.find(g)
                 word, got = word[got >= 0], got[got >= 0]
                 hits = np.bincount(word, minlength=len(todo))
-                some = hits > 0
-                for j in range(k):
-                    scores[todo[some], j] = np.bincount(word, logs[got, j], len(todo))[some] / hits[some]
-                todo = todo[~some]
-            for j in range(k):
-                total[:, j] += np.bincount(row[left], scores[back, j], n)
+                at, lang, more = table.of(got)
+                # one number for each word and language
+                pair, which = np.unique(word[at] * k + lang, return_inverse=True)
+                parts.append((todo[pair // k], pair % k, np.bincount(which, more, len(pair)) / hits[pair // k]))
+                order_of[todo[hits > 0]] = order
+                todo = todo[hits == 0]
+            if parts:
+                word, lang, more = (np.concatenate(x) for x in zip(*parts, strict=True))
+                by = np.argsort(word, kind="stable")
+                word, lang, more = word[by], lang[by], more[by]
+                size = np.bincount(word, minlength=len(uniq))
+                start = np.concatenate([[0], np.cumsum(size)])
+                mine = size[back]
+                end = np.cumsum(mine)
+                at = np.repeat(start[back] - (end - mine), mine) + np.arange(end[-1] if len(end) else 0)
+                add(np.repeat(row[left], mine), lang[at], more[at])
+            for order in ORDERS:
+                add_rest(row[left][order_of[back] == order], self.tables[order])
+        total = total.reshape(n, max(k, 1))
         if not k:
             return ["und"] * n, np.zeros(n)
         best = total.argmax(axis=1)
@@ -140,10 +185,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from (id, text, lang) rows."""
     rows = docs.where("id is not null and text is not null and lang is not null")
     sizes = cut(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")))
-    if sizes.count() > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    sample = min(float(sample), TEXTS / max(1, sizes.count()))
     key = F.shiftrightunsigned(F.xxhash64("id", F.lit("language")), 33) / F.lit(float(1 << 31))
-    chosen = rows.join(F.broadcast(sizes), "lang").where(key < F.lit(float(sample)) / F.col("rows"))
+    chosen = join_by_key(rows, sizes.select("lang", "rows", F.col("rows").alias("n")), ["lang"], "n", HOT_ROWS).where(key < F.lit(float(sample)) / F.col("rows"))
     chosen = chosen.groupBy("id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
     counts = chosen.mapInArrow(_count, "ord int, h long, lang string, c long")
     counts = cut(counts.groupBy("ord", "h", "lang").agg(F.sum("c").alias("c")))
@@ -170,11 +214,11 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
         pick = np.flatnonzero(order == o)
         at = np.full(len(h), -1)
         at[pick] = np.arange(len(pick))
-        own = at[entry] >= 0
-        grid = np.full((len(pick), len(langs)), SMOOTH)
-        grid[at[entry[own]], lang[own]] += c[own]
+        own = np.flatnonzero(at[entry] >= 0)
+        own = own[np.argsort(at[entry[own]], kind="stable")]
+        start = np.concatenate([[0], np.cumsum(np.bincount(at[entry[own]], minlength=len(pick)))])
         norm = np.array([(lambda n, v: n + SMOOTH * (v + 1))(*sums.get((o, x), (0, 0))) for x in langs])
-        tables[o] = (HashIndex(h[pick]), np.log(grid / norm).astype(np.float32))
+        tables[o] = Table(HashIndex(h[pick]), np.log(SMOOTH / norm), start, lang[own], np.log1p(c[own] / SMOOTH))
     return Model(langs, tables)
 
 
