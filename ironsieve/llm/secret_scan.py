@@ -5,12 +5,14 @@ after a secret's name), ``access`` (an access key id) and ``hex`` (a run of hexa
 
 ``novel`` spans come from compression: around every sensitive word (key, secret, token, password and the like) the long
 word-like strings are candidates that hold letters and digits, or letters whose case changes often. (A run of letters of
-one case cannot be told from a word this way, nor one of digits from a number: neither is a candidate.) A candidate's
-cost is the number of bytes that it adds to the zstandard-compressed surrounding text, the compressor being primed with
-a dictionary of common identifiers; its novelty is this cost over that of a random string of the same length and
-alphabet in the same place, so entropy coding, which helps long strings and small alphabets, is on both sides. Ordinary
-identifiers and words that the surroundings repeat cost little; random strings cost what random strings cost and are
-reported. Candidates that overlap a base span are left to it.
+one case cannot be told from a word this way, nor one of digits from a number: neither is a candidate.) A candidate is
+taken apart at separators, digits and changes of case, and pieces that read like words by the dictionary of common
+identifiers go, with short numbers beside them; names of several words leave little. What is left, if it is most of the
+candidate, has a cost: the bytes that it adds to the zstandard-compressed surrounding text, the compressor being primed
+with that dictionary. Its novelty is this cost over that of a random string of the same length and alphabet in the same
+place, so entropy coding, which helps long strings and small alphabets, is on both sides. What the surroundings repeat
+costs little; random strings cost what random strings cost, and the whole candidate is reported. Candidates that overlap
+a base span are left to it.
 
 Spans are code points, end exclusive. Nulls: a null or empty text has no spans. Rows are independent, repeated ones give
 the same. An empty table gives no rows.
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 import random
 import re
 from collections.abc import Iterator
@@ -32,7 +35,7 @@ from ironsieve.llm.textvec import portions
 
 KINDS = ("assign", "access", "hex", "novel")
 #: Novelty from which a candidate is reported, and the characters around a sensitive word or candidate that count.
-NOVELTY, NEAR, CONTEXT = 0.8, 64, 256
+NOVELTY, NEAR, CONTEXT = 0.72, 64, 256
 
 _ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A
@@ -69,6 +72,7 @@ _IDENTIFIERS = (
 )
 
 
+_WORDS = frozenset(re.findall("[a-z]{3,}", _IDENTIFIERS.lower())) | {"src", "lib", "cmd", "btn", "cfg", "tmp", "img", "css", "doc", "app", "web", "dev", "prod", "test", "main", "data", "http", "json", "html", "yaml", "xml", "sql", "api", "url", "uri", "uuid", "utf"}
 _ALPHABETS = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+/_=-")
 
 
@@ -92,6 +96,53 @@ def twin(own: str) -> str:
     return make(len(own), alphabet_of(own))
 
 
+_PIECE = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+|[+/_=-]+")
+#: A piece of so many letters is a word if its pairs of letters are, on average, at most so many bits away from the words
+#: of the dictionary; a residue is reported from so many characters, and so large a share of its candidate.
+WORD, LONGEST, BITS, RESIDUE, SHARE = 4, 24, 4.7, 8, 0.5
+
+
+@functools.cache
+def _pairs() -> dict[str, float]:
+    """Bits of the second letter after the first, from the dictionary's words with their ends marked."""
+    words = [w.lower() for w in re.findall("[A-Za-z]{3,}", _IDENTIFIERS) if len(set(w.lower())) > 2 and len(w) < 20]
+    count, first = dict.fromkeys((a + b for a in "^abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz$"), 0.1), {}
+    for w in words:
+        for a, b in zip(f"^{w}", f"{w}$", strict=True):
+            count[a + b] += 1
+    for pair, n in count.items():
+        first[pair[0]] = first.get(pair[0], 0) + n
+    return {pair: math.log2(first[pair[0]] / n) for pair, n in count.items()}
+
+
+@functools.lru_cache(1 << 16)
+def is_word(piece: str) -> bool:
+    """Whether a run of letters reads like a word: it has vowels, few consonants in a row, and known pairs of letters."""
+    low = piece.lower()
+    if low in _WORDS:
+        return True
+    if not WORD <= len(low) <= LONGEST or not re.search("[aeiouy]", low) or re.search("[bcdfghjklmnpqrstvwxz]{5}|[aeiou]{4}|(.)\\1\\1", low):
+        return False
+    bits = [_pairs()[a + b] for a, b in zip(f"^{low}", f"{low}$", strict=True)]
+    return sum(bits) / len(bits) <= BITS
+
+
+def residue(own: str) -> str:
+    """What no dictionary explains of a candidate: it is taken apart at separators, digits and changes of case; words go,
+    and with them short numbers beside a word or between separators."""
+    pieces = [m.group() for m in _PIECE.finditer(own)]
+    word = [len(p) <= LONGEST and p.isalpha() and is_word(p) for p in pieces]
+    out = []
+    for i, p in enumerate(pieces):
+        sides = [k for k in (i - 1, i + 1) if 0 <= k < len(pieces)]
+        alone = all(not pieces[k].isalnum() for k in sides)
+        short = len(p) <= (4 if p.isdigit() else 3)
+        if not p.isalnum() or word[i] or short and (alone or any(word[k] for k in sides)):
+            continue
+        out.append(p)
+    return "".join(out)
+
+
 class Novelty:
     """Marginal compressed bytes of a string in its surroundings, under the identifier dictionary, over its twin's."""
 
@@ -143,7 +194,10 @@ def novel_spans(text: str, folded: bytes, base: list[tuple[int, int, int]], nove
             continue
         if any(s < end and start < e for s, _, e in base):
             continue
-        if novelty(text[max(0, start - CONTEXT) : start], own, text[end : end + CONTEXT]) >= least:
+        rest = residue(own)
+        if len(rest) < max(RESIDUE, SHARE * len(own)) or len(rest) < len(own) and len(re.findall("[A-Za-z]", rest)) < 3:
+            continue
+        if novelty(text[max(0, start - CONTEXT) : start], rest, text[end : end + CONTEXT]) >= least:
             out.append((start, 3, end))
     return out
 
