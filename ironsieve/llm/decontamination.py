@@ -45,8 +45,19 @@ _LITERAL = 5  # of a template window's tokens, so many at least are no placehold
 #: Scripts without spaces between words: Thai, Lao, Myanmar, Khmer, kana, ideographs.
 _UNSPACED = ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 
-NUMBER_WORDS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half dozen".split()
-UNITS = "mm cm m km inch inches foot feet ft yard yards mile miles mg g kg gram grams kilogram kilograms ton tons tonnes ounce ounces pound pounds lb lbs ml l liter liters litre litres gallon gallons second seconds sec minute minutes min hour hours h day days week weeks month months year years percent dollar dollars usd euro euros eur cent cents degree degrees celsius fahrenheit kelvin watt watts kw kwh volt volts amp amps joule joules newton newtons hz khz mhz ghz byte bytes kb mb gb tb mph kmh".split()
+#: Number words and units of English, German, French and Spanish; articles that also mean one are none.
+NUMBER_WORDS = (
+    "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half dozen "
+    "zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend million millionen dutzend "
+    "deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante cent mille millions douzaine "
+    "dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento mil millón millones docena"
+).split()
+UNITS = (
+    "mm cm m km inch inches foot feet ft yard yards mile miles mg g kg gram grams kilogram kilograms ton tons tonnes ounce ounces pound pounds lb lbs ml l liter liters litre litres gallon gallons second seconds sec minute minutes min hour hours h day days week weeks month months year years percent dollar dollars usd euro euros eur cent cents degree degrees celsius fahrenheit kelvin watt watts kw kwh volt volts amp amps joule joules newton newtons hz khz mhz ghz byte bytes kb mb gb tb mph kmh "
+    "meter metern kilometer kilometern meilen gramm kilogramm tonnen pfund litern gallonen sekunden minuten stunden tage tagen wochen monate jahre jahren prozent grad "
+    "mètre mètres kilomètre kilomètres grammes kilogrammes litres secondes heure heures jour jours semaine semaines mois ans années degrés "
+    "metro metros kilómetro kilómetros millas gramos kilos kilogramos toneladas litros galones segundos minutos hora horas día días semanas meses años grados"
+).split()
 FIRST_NAMES = "james john robert michael william david richard joseph thomas charles mary patricia jennifer linda elizabeth barbara susan jessica sarah karen anna emma olivia sophia lucas noah liam ethan daniel matthew mark paul peter george henry jack tom tim sam ben alice bob carol dave eve frank grace helen jane janet julia kate laura lisa maria natalia nancy rachel ruth tina betty alexis carlos juan pedro sofia pierre marie jean hans klaus greta".split()
 
 

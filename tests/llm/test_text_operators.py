@@ -223,6 +223,21 @@ def test_leaks_against_brute_force(spark, monkeypatch):
     assert len(want) > 60 and any(v[2] for v in want.values()) and any(not v[2] for v in want.values())
 
 
+REWORDED = [
+    ("A farmer has seven apples and buys two more boxes of them, each with twelve pieces; how many are there then?", "A farmer has nine apples and buys four more boxes of them, each with twenty pieces; how many are there then?"),
+    ("Ein bauer hat sieben äpfel und kauft noch zwei kisten davon, jede mit zwölf stück; wie viele sind es dann?", "Ein bauer hat neun äpfel und kauft noch vier kisten davon, jede mit zwanzig stück; wie viele sind es dann?"),
+    ("Le fermier achète sept pommes et vend ensuite deux caisses, chacune de douze pièces; combien en reste-t-il alors?", "Le fermier achète neuf pommes et vend ensuite quatre caisses, chacune de vingt pièces; combien en reste-t-il alors?"),
+    ("El tanque contiene 40 litros de agua y pierde 3 litros por cada hora que pasa abierto; cuánta agua queda dentro?", "El tanque contiene 55 galones de agua y pierde 6 galones por cada hora que pasa abierto; cuánta agua queda dentro?"),
+]
+
+
+def test_questions_of_four_languages_with_other_numbers_and_units(spark):
+    b = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(REWORDED)], "item_id long, text string")
+    d = spark.createDataFrame([(i, f"Some words before it. {y} And some after.") for i, (_, y) in enumerate(REWORDED)], "doc_id long, text string")
+    got = {r.doc_id: r for r in dc.leaked_items(d, b).collect()}
+    assert all(got[i].item_id == i and got[i].reparameterised and got[i].coverage >= 0.9 for i in range(4))
+
+
 # 5, 6: classifiers
 
 
