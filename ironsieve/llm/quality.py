@@ -74,9 +74,11 @@ class Model:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         f, at = features(texts)
-        total = np.concatenate([[0.0], np.cumsum(self.weights[f])])
         n = np.diff(at)
-        raw = self.bias + SCALE * (total[at[1:]] - total[at[:-1]]) / np.maximum(n, 1)
+        total = np.zeros(len(n))  # each text's own sum, whatever stands beside it
+        if len(f):
+            total[n > 0] = np.add.reduceat(self.weights[f], at[:-1][n > 0])
+        raw = self.bias + SCALE * total / np.maximum(n, 1)
         return 1 / (1 + np.exp(-np.clip(raw, -40, 40)))
 
 
