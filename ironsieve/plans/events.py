@@ -195,6 +195,15 @@ def client_batches_timed(spark, sf_dir):
     return ev.client_batches(_events(spark, sf_dir), flush_ms=3_600_000)
 
 
+_OPEN = "o AS (SELECT b.*, row_number() OVER (PARTITION BY session_id ORDER BY tick, part) - 1 AS batch, min(first) OVER (PARTITION BY session_id) + (tick + 1) * 3600000 AS tick_end FROM b JOIN (SELECT session_id, min(epoch_us(ts) // 1000) AS first FROM ev GROUP BY 1) USING (session_id))"
+
+
+@query(f"{_EV}, {_TICKS}, {_OPEN} SELECT session_id, batch, first_seq, n FROM o WHERE n = 10 OR tick_end <= (SELECT max(epoch_us(ts) // 1000) FROM ev)")
+def streaming_client_batches(spark, sf_dir):
+    """The timed batches over a stream, with timers; what is still queued when the events end isn't sent."""
+    return stream.batches_once(spark, sf_dir, lambda e: production_events(e).select("session_id", "at_ms", "seq"), 3_600_000)
+
+
 @query(f"{_EV} SELECT seq, CASE url WHEN '/u/1' THEN '[path]' ELSE url END AS url FROM ev WHERE url <> '/u/0'")
 def sent_events(spark, sf_dir):
     """What a client's hook leaves: one address is dropped, one is masked."""

@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ironsieve.functions.text import first_frame
 from ironsieve.operators.events import KINDS, describe_groups, resolved_frames, window_ends
 from ironsieve.session import cut, delete_folder, ensure_checkpoint_dir
+from ironsieve.streaming.batches import keep_sent
 
 
 def read_events(spark: SparkSession, folder: str, files: str = "*.parquet", per_trigger: int = 8) -> DataFrame:
@@ -153,6 +154,13 @@ def limit_once(spark: SparkSession, sf_dir: str, shape: Callable[[DataFrame], Da
     return spark.read.parquet(table).drop("batch")
 
 
+def batches_once(spark: SparkSession, sf_dir: str, shape: Callable[[DataFrame], DataFrame], flush_ms: int) -> DataFrame:
+    """All events of a data folder through the clients' queues."""
+    table, state = _folders(spark)
+    keep_sent(shape(_table_stream(spark, sf_dir)), table, state, flush_ms=flush_ms).awaitTermination()
+    return spark.read.parquet(table)
+
+
 def _folders(spark: SparkSession) -> tuple[str, str]:
     base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     return f"{base}/table", f"{base}/state"
