@@ -45,8 +45,8 @@ SECRETS = (
 
 #: Weaknesses in code.
 VULNERABILITIES = (
-    _r("SQL_INJECTION_CONCAT", "critical", "sql_injection", r"(?i)['\"`]\s*(?:SELECT|INSERT|UPDATE|DELETE)\b[^'\"`]*['\"`]\s*\+\s*\w", "SQL is put together from strings", "Use parameters", fixable=True, needs="+"),
-    _r("SQL_INJECTION_TEMPLATE", "critical", "sql_injection", r"(?i)\.(?:query|execute|raw)\s*\(\s*`[^`]*\b(?:SELECT|INSERT|UPDATE|DELETE)\b[^`]*\$\{", "SQL template with values", "Use parameters", fixable=True, needs="${"),
+    _r("SQL_INJECTION_CONCAT", "critical", "sql_injection", r"(?i)(?:\"\s*(?:SELECT|INSERT|UPDATE|DELETE)\b[^\"]*\"|'\s*(?:SELECT|INSERT|UPDATE|DELETE)\b[^']*'|`\s*(?:SELECT|INSERT|UPDATE|DELETE)\b[^`]*`)\s*\+\s*\w", "SQL is put together from strings", "Use parameters", fixable=True, needs="+"),
+    _r("SQL_INJECTION_TEMPLATE", "critical", "sql_injection", r"(?i)\.(?:query|execute|raw|run)\s*\(\s*`[^`]*\b(?:SELECT|INSERT|UPDATE|DELETE)\b[^`]*\$\{", "SQL template with values", "Use parameters", fixable=True, needs="${"),
     _r("SQL_INJECTION_TEMPLATE_STRING", "critical", "sql_injection", r"(?i)(?<![\w.])(?:const|let|var)\s+\w*(?:sql|query)\w*\s*=\s*`[^`]*\b(?:SELECT|INSERT|UPDATE|DELETE)\b[^`]*\$\{", "SQL template with values", absent=r"\bsql`|Prisma\.sql", needs="${"),
     _r("SQL_INJECTION_FSTRING", "critical", "sql_injection", r"(?i)\bf['\"][^'\"]*\b(?:SELECT|INSERT|UPDATE|DELETE)\b[^'\"]*\{", "SQL in an f-string", "Use parameters", fixable=True, needs="{"),
     _r("SQL_INJECTION_FORMAT", "critical", "sql_injection", r"(?i)['\"][^'\"]*\b(?:SELECT|INSERT|UPDATE|DELETE)\b[^'\"]*['\"]\s*(?:\.format\s*\(|%\s*[\w(])", "SQL by string formatting", "Use parameters", fixable=True, needs=(".format", "%")),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,7 +17,10 @@ from pyspark.sql import functions as F
 
 from ironsieve import schemas
 
-_STRIP = re.compile(r"//[^\n]*|/\*.*?\*/|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`", re.S)
+_MARK = re.compile(r"//[^\n]*|/\*(?:[^*]|\*(?!/))*+(?:\*/)?|'(?:[^'\\\n]|\\.)*+'?|\"(?:[^\"\\\n]|\\.)*+\"?|[`/{}]", re.S)
+_TEXT = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*+", re.S)
+_REGEX = re.compile(r"/(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/[a-z]*+")
+_BEFORE_REGEX = re.compile(r"(?:^|[=(,:\[!&|?{};+*%~^-]|=>|\b(?:return|typeof|case|throw|await|yield))\s*$")
 _DECLARED = re.compile(
     r"(?P<export>export\s+(?:default\s+)?)?(?:(?P<async>async\s+)?function\s*\*?\s*(?P<fn>[A-Za-z_$][\w$]*)\s*(?:<[^>(]*>)?\s*\((?P<fp>[^)]*)\)"
     r"|(?:const|let|var)\s+(?P<arrow>[A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?P<aasync>async\s*)?(?:\((?P<ap>[^)]*)\)|(?P<one>[A-Za-z_$][\w$]*))\s*(?::[^={]+)?=>"
@@ -25,7 +29,7 @@ _DECLARED = re.compile(
 _METHOD = re.compile(r"^[ \t]*(?:(?:public|private|protected|static|readonly|override)\s+)*(?P<async>async\s+)?(?P<name>[A-Za-z_$][\w$]*)\s*(?:<[^>(]*>)?\((?P<p>[^)]*)\)\s*(?::[^{;]+)?\{", re.M)
 _CALL = re.compile(r"(?:(?P<on>[A-Za-z_$][\w$]*)\s*\??\.\s*)?(?P<name>[A-Za-z_$][\w$]*)\s*\(")
 _IMPORT = re.compile(r"import\s+(?:type\s+)?(?P<what>[\w*{}\s,$]+?)\s+from\s+(?P<q>['\"])(?P<source>[^'\"]+)(?P=q)|(?:const|let|var)\s+(?P<req>[\w{}\s,:$]+?)\s*=\s*require\(\s*['\"](?P<module>[^'\"]+)['\"]\s*\)")
-_KEYWORDS = set("if for while switch catch function return typeof await new super constructor import require".split())
+_KEYWORDS = set("if for while switch catch function return typeof await async new super constructor import require".split())
 
 
 def _names(text: str | None) -> list[str]:
@@ -37,10 +41,62 @@ def _params(text: str | None) -> list[str]:
     return [m[1] for m in found if m]
 
 
+def blanked(text: str) -> str:
+    """The text with comments, strings, regular expressions and templates' own text made spaces, so that places stay; what
+    is in ``${…}`` is code. One pass."""
+    out, last, at = [], 0, 0
+    depth: list[int] = []  # for each open ``${`` the braces that are open in it
+
+    def blank(start: int, end: int) -> None:
+        nonlocal last
+        out.append(text[last:start])
+        out.append(re.sub(r"[^\n]", " ", text[start:end]))
+        last = end
+
+    def template(start: int) -> int:
+        """Blank a template's text from ``start`` to its end or to the next part of code."""
+        end = _TEXT.match(text, start).end()
+        if text.startswith("${", end):
+            blank(start - 1, end + 2)
+            depth.append(0)
+            return end + 2
+        blank(start - 1, min(end + 1, len(text)))
+        return end + 1
+
+    while m := _MARK.search(text, at):
+        at, c = m.end(), m[0]
+        if c == "`":
+            at = template(at)
+        elif c == "{":
+            if depth:
+                depth[-1] += 1
+        elif c == "}":
+            if depth and not depth[-1]:
+                depth.pop()
+                at = template(at)
+            elif depth:
+                depth[-1] -= 1
+        elif c == "/":
+            found = _REGEX.match(text, m.start())
+            if found and _BEFORE_REGEX.search("".join(out[-2:])[-24:] + text[max(last, m.start() - 24) : m.start()]):
+                at = found.end()
+                blank(m.start(), at)
+        else:
+            blank(m.start(), at)
+    return "".join(out) + text[last:]
+
+
 def parse_script(text: str) -> dict:
     """JavaScript or TypeScript; comments and strings are blanked first, so positions stay."""
-    code = _STRIP.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
-    line = lambda at: code.count("\n", 0, at) + 1
+    code = blanked(text)
+    breaks = [m.start() for m in re.finditer("\n", code)]
+    line = lambda at: bisect_right(breaks, at - 1) + 1
+    ends, open_ = {}, []
+    for m in re.finditer(r"[{}]", code):
+        if m[0] == "{":
+            open_.append(m.start())
+        elif open_:
+            ends[open_.pop()] = m.end()
 
     def close(at: int) -> int:
         """Where the block that begins at or after ``at`` ends; without a block the statement's end."""
@@ -48,12 +104,7 @@ def parse_script(text: str) -> dict:
         stop = re.compile(r";|\n\s*\n").search(code, at)
         if begin < 0 or (stop and stop.start() < begin):
             return stop.start() if stop else len(code)
-        depth = 0
-        for m in re.compile(r"[{}]").finditer(code, begin):
-            depth += 1 if m[0] == "{" else -1
-            if not depth:
-                return m.end()
-        return len(code)
+        return ends.get(begin, len(code))
 
     listed = set(_names(" ".join(re.findall(r"export\s*\{([^}]*)\}", code))))
     functions, classes, exports, spans = [], [], [], []
@@ -75,12 +126,16 @@ def parse_script(text: str) -> dict:
             spans.append((m.start(), end, name))
             params = _params(m["fp"] or m["ap"] or m["one"])
             functions.append((1 if m["fn"] else 2, m.start(), {"name": name, "start_line": line(m.start()), "end_line": line(end), "params": params, "is_async": bool(m["async"] or m["aasync"]), "is_exported": exported, "class_name": None}))
-    calls = []
+    calls, active = [], []
     declared = {f[1] for f in functions}
+    waiting = sorted(spans, reverse=True)
     for m in _CALL.finditer(code):
+        while waiting and waiting[-1][0] < m.start():
+            active.append(waiting.pop())
+        active = [s for s in active if s[1] > m.start()]  # as many as functions are nested
         if m["name"] in _KEYWORDS or re.search(r"function\s*\*?\s*$", code[max(0, m.start() - 12) : m.start("name")]):
             continue
-        inside = [s for s in spans if s[0] < m.start() < s[1] and not (m.start("name") < s[0] + 200 and s[2] == m["name"] and code[s[0] : m.start("name")].strip() in ("", "async", "static", "public", "private"))]
+        inside = [s for s in active if not (m.start("name") < s[0] + 200 and s[2] == m["name"] and code[s[0] : m.start("name")].strip() in ("", "async", "static", "public", "private"))]
         if inside and m.start() not in declared:
             calls.append({"caller_name": max(inside)[2], "callee_name": m["name"], "line": line(m.start()), "receiver": m["on"]})
     imports = [{"source": m["source"] or m["module"], "specifiers": _names(m["what"] or m["req"]), "line": text.count("\n", 0, m.start()) + 1} for m in _IMPORT.finditer(text)]

@@ -124,3 +124,38 @@ def test_depth_of_the_registered_questions(spark):
     assert [tuple(r) for r in plan._deep_paths(f, c).collect()] == [("handleOrder", "executeRaw", "database")]
     got = {r.name: (r.auth, r.validated) for r in plan._deep_context(f, c).collect()}
     assert got["target"] == (True, True) and got["tailB"] == (False, True) and got["hopE"] == (True, False)
+
+
+def test_scripts_with_what_hides_brackets():
+    from ironsieve.sources.code import blanked, parse_script
+
+    text = "function f() { const re = /[\"'{]/; return re.test(`a ${run(`b ${deep({k: '}'})}`)} {`); }\nclass A {\n m() { g(async (a) => a / 2 / b()); }\n n() {}\n}\nconst h = async (x) => { k(x) }\n// function no() {}\n"
+    got = parse_script(text)
+    assert [f["name"] for f in got["functions"]] == ["m", "n", "f", "h"] and got["classes"][0]["methods"] == ["m", "n"]
+    assert [(c["caller_name"], c["callee_name"]) for c in got["call_sites"]] == [("f", "test"), ("f", "run"), ("f", "deep"), ("m", "g"), ("m", "b"), ("h", "k")]
+    assert len(blanked(text)) == len(text) and blanked(text).count("\n") == text.count("\n")
+    assert blanked("a = `x") == "a =   " and blanked("`${a}`}") == "   a  }" and blanked("") == ""
+
+
+def test_long_scripts_take_linear_time():
+    import time
+
+    from ironsieve.sources.code import parse_script
+
+    def took(n):
+        text = "\n".join(f"function f{i}(a) {{ return g{i}(a, `x ${{h(a)}}`); }}" for i in range(n))
+        began = time.perf_counter()
+        assert len(parse_script(text)["call_sites"]) == 2 * n
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(16_000) < 8 * took(4_000)
+
+
+def test_sql_put_together_with_quotes_inside(spark):
+    from ironsieve.operators.rulebook import RULES
+    from ironsieve.operators.rules import scan_files
+
+    lines = {"a.ts": "q = \"SELECT * FROM t WHERE u = '\" + u + \"'\"", "b.ts": "q = \"INSERT INTO t VALUES ('\" + n + \"')\"", "c.ts": "db.run(`DELETE FROM t WHERE id = ${id}`)", "d.ts": "q = \"SELECT 'a' + 'b' FROM t\""}
+    got = {(r.file, r.id) for r in scan_files(spark.createDataFrame(list(lines.items()), "file string, text string"), RULES).collect()}
+    assert {("a.ts", "SQL_INJECTION_CONCAT"), ("b.ts", "SQL_INJECTION_CONCAT"), ("c.ts", "SQL_INJECTION_TEMPLATE")} <= got and ("d.ts", "SQL_INJECTION_CONCAT") not in got
