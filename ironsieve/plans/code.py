@@ -165,6 +165,31 @@ def whole_scan_summary(spark, sf_dir):
     return fd.summary(whole_scan(spark, sf_dir).withColumns({"auto_fixable": F.lit(False), "context": F.lit(None).cast("string")})).select("critical", "high", "medium", "low", "score")
 
 
+_GATED, _ACCEPTED = ("CORS_WILDCARD", "CRYPTO_MD5"), "TYPEORM_SYNCHRONIZE_PRODUCTION"
+
+
+@query(
+    WHOLE[: WHOLE.index(", kept AS")]
+    + ", every AS (SELECT id, severity, file, CAST(line AS INTEGER) AS line, CAST(regexp_extract(file, 'f(\\d+)', 1) AS INTEGER) AS k FROM one WHERE n = 1 UNION ALL SELECT 'kg-attack-path-1', 'high', 'src/f' || p_partkey || CASE p_partkey % 2 WHEN 0 THEN '.ts' ELSE '.py' END, 1, p_partkey FROM part WHERE p_size % 5 = 0)"
+    f" SELECT id, severity, file, line FROM every WHERE NOT (k % 3 = 1 AND id IN {_GATED}) AND k % 8 <> 6 AND NOT (k % 4 = 0 AND id = '{_ACCEPTED}')"
+)
+def whole_scan_gated(spark, sf_dir):
+    """A scan with all its parts: two scanners, the graph's findings, a framework's gates, changed files, a baseline."""
+    files = code_files(spark, sf_dir)
+    number = F.regexp_extract("file", r"f(\d+)", 1).cast("int")
+    project = F.concat(F.lit("p"), (number % 3).cast("string"))
+    rules = [r for r in rulebook.RULES if r.id in PLAIN]
+    found = scan_files(files, rules).withColumn("project", project)
+    again = found.where("severity = 'high'").withColumn("engine", F.lit("other"))
+    graph = files.where("p_size % 5 = 0").select(
+        F.lit("kg-attack-path-1").alias("id"), F.lit("knowledge_graph").alias("engine"), F.lit("high").alias("severity"), F.lit("attack_path").alias("type"), "file", F.lit(1).alias("line"), F.lit("d").alias("description"), project.alias("project")
+    )
+    gates = spark.createDataFrame([(x, "nextjs") for x in _GATED], "id string, framework string"), spark.createDataFrame([("p1", "nextjs")], "project string, framework string")
+    changed = files.where("p_partkey % 8 <> 6").select("file")
+    baseline = fd.fingerprinted(scan_files(files.where("p_partkey % 4 = 0"), [r for r in rules if r.id == _ACCEPTED]))
+    return fd.whole_scan([found, again], graph, gates, changed=changed, baseline=baseline).select("id", "severity", "file", "line")
+
+
 _HANDLERS = (
     ("export function handleOne(q) {", "  return executeRaw(q);", "}"),
     ("", "export async function handleTwo(q) {", "  return execSync(q);", "}"),
