@@ -8,12 +8,13 @@ without scheme is on the cluster's default file system; ``SCHEMES`` says how Had
 a name of its own; the index lists only bundles of tasks that ended well, so a lost executor leaves no half archive.
 
 Of records with equal payloads of at least ``least`` bytes the one with the smallest page_id is the response, the others
-are revisits that refer to it, by its page, target and date. On reading, a revisit is sound if the archives hold a
-response of that page with the same digest. Payloads are compared by SHA-256 and length; texts travel once, by page, and a payload
-with very many copies only meets as digests.
+are revisits that refer to it, by its record identifier, page, target and date. On reading, a revisit is sound if the archives hold a
+response of that page with the same digest. Payloads are compared by SHA-256 and length, and only
+digests are shuffled: the table of revisits goes to the pages where it is small (``SENT``), else texts travel once, by page.
 
 Nulls: null html is an empty payload, a null url leaves out the target; null page_ids come last and may be responses
-only if a payload has no other. Page ids are integers, or texts of such (others are an error). Rows that repeat the smallest page_id with one payload are all responses. An empty table
+only if a payload has no other. Page ids are integers, or texts of such (others are an error). Rows that repeat a page_id and payload have one record
+identifier; those of the smallest page_id are all responses. An empty table
 gives no bundle and no rows.
 """
 
@@ -37,6 +38,8 @@ from ironsieve.session import cut
 
 FRAME = 1 << 20
 BUNDLE = 1 << 28
+#: Bytes of the table of revisits up to which it is broadcast.
+SENT = 32 << 20
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 DATE = "2000-01-01T00:00:00Z"
 #: Hadoop's names of stores, and how tasks open them.
@@ -66,8 +69,9 @@ def read_seek_table(f, size: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def record_id(page_id: int | None, number: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{number}')}>"
+def record_id(page_id: int | None, digest: str) -> str:
+    """A record's identifier, from its page and the SHA-256 of its payload, so that revisits can name their response."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
 
 
 def payload_digest(payload: bytes) -> str:
@@ -98,7 +102,7 @@ def _target(url: str) -> str:
     return quote(url, safe=":/?#[]@!$&'()*+,;=%~-._")
 
 
-def record(page_id, url, payload: bytes, refers_to, rid: str, refers_url: str | None = None) -> bytes:
+def record(page_id, url, payload: bytes, refers_to, rid: str, refers_url: str | None = None, refers_id: str | None = None) -> bytes:
     """One WARC/1.1 record; with ``refers_to`` a revisit without payload."""
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {rid}"]
     head += [f"WARC-Date: {DATE}"]
@@ -108,6 +112,8 @@ def record(page_id, url, payload: bytes, refers_to, rid: str, refers_url: str |
     head += [f"X-Page-ID: {page_id}", f"X-Payload-Length: {len(payload)}"]
     if refers_to is not None:
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+        if refers_id is not None:
+            head.append(f"WARC-Refers-To: {refers_id}")
         if refers_url is not None:
             head.append("WARC-Refers-To-Target-URI: " + _target(refers_url))
         head += [f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page: {refers_to}"]
@@ -174,14 +180,15 @@ def _write(folder: str, frame: int, bundle: int):
         fs, path = _opened(folder)
         fs.create_dir(path, recursive=True)
         names = [x.split()[0] for x in INDEX.split(", ")]
-        at, number = None, 0
+        at = None
         for b in batches:
             for page_id, url, html, refers, refers_url, revisit in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 at = at or Bundle(fs, path, frame)
                 payload = (html or "").encode("utf-8", "surrogatepass")
-                rid = record_id(page_id, f"{at.name}:{number}")
-                at.add(page_id, rid, record(page_id, url, payload, (refers if refers is not None else "null") if revisit else None, rid, refers_url))
-                number += 1
+                sha = hashlib.sha256(payload).hexdigest()
+                rid = record_id(page_id, sha)
+                to = (refers if refers is not None else "null") if revisit else None
+                at.add(page_id, rid, record(page_id, url, payload, to, rid, refers_url, record_id(refers, sha) if revisit else None))
                 if at.offset >= bundle:
                     yield _columns(at.close(), names, _INDEX_TYPES)
                     at = None
@@ -214,7 +221,10 @@ def write_archives(
         .where("copies > 1")
     )
     later = join_by_key(keys.drop("url"), first, ["sha", "n"], "copies", hot_bar(keys.count())).where(~F.col("id").eqNullSafe(F.col("first")))
-    later = later.select(F.col("id").alias("own"), F.col("sha").alias("same"), "first", "first_url").distinct()
+    later = cut(later.select(F.col("id").alias("own"), F.col("sha").alias("same"), "first", "first_url").distinct())
+    # with few revisits their table goes to the pages, which then are not shuffled
+    size = later.agg(F.sum(F.coalesce(F.octet_length("first_url"), F.lit(0)) + 160)).first()[0] or 0
+    later = F.broadcast(later) if size <= SENT else later
     whole = rows.withColumn("sha", digest)
     joined = whole.join(later, F.col("id").eqNullSafe(F.col("own")) & (F.col("sha") == F.col("same")), "left")
     # a revisit's payload is only measured and digested by its task

@@ -565,6 +565,27 @@ def test_viterbi_and_gradient_are_exact():
         assert np.allclose(one + two, sum_)
 
 
+def test_revisits_name_their_response(spark, tmp_path):
+    import os
+
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "same" if i % 2 else f"own {i}") for i in range(20)], "page_id long, url string, html string").repartition(4)
+    for limit in (warc.SENT, 0):  # the table of revisits is sent to the pages, or met by a shuffle
+        held, warc.SENT = warc.SENT, limit
+        try:
+            index = warc.write_archives(pages, str(tmp_path / f"w{limit}")).collect()
+        finally:
+            warc.SENT = held
+        ids = {r.page_id: r.record_id for r in index}
+        assert len(set(ids.values())) == 20
+        for r in index:
+            with open(r.bundle, "rb") as f:
+                table = warc.read_seek_table(f, os.path.getsize(r.bundle))
+                f.seek(table[r.frame][0])
+                data = warc.zstandard.ZstdDecompressor().decompress(f.read(table[r.frame][1]))
+            fields, _ = warc.parse_record(data[r.at : r.at + r.bytes])
+            assert fields.get("warc-refers-to") == (ids[1] if r.page_id % 2 and r.page_id > 1 else None)
+
+
 # 10: secrets
 
 
