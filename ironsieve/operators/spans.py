@@ -43,6 +43,8 @@ PYTHON = rf'#[^\n]*+|{_PREFIX}"""(?:[^"\\]++|\\[\s\S]|"(?!""))*+"{{0,3}}|{_PREFI
 # fixed values: words before a bracket that call nothing
 KEYWORDS = ("if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "yield", "in", "of", "and", "or", "not", "elif", "case", "throw", "delete", "void", "with", "def", "class", "lambda", "import", "print")
 _LOOK_BACK = 12
+#: Code points of text for each task, about: their tokens, some hundred bytes each, are sorted in its memory.
+TASK_CHARS = 2 << 20
 
 
 def _unfold(parts: Column) -> Column:
@@ -99,6 +101,15 @@ def _kind(lang_token: Column, what: Column) -> Column:
     )
 
 
+def _dealt(files: DataFrame) -> DataFrame:
+    """Files (file, text, _lang) by file over as many tasks as their text asks for: the windows over tokens follow this
+    dealing, and Spark would join small texts to few tasks, which then hold all of their tokens."""
+    chars = files.agg(F.sum(F.length("text"))).first()[0] or 0
+    spark = files.sparkSession
+    least = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return files.repartition(max(least, -(-chars // TASK_CHARS)), "file")
+
+
 def code_spans(files: DataFrame, file: str = "file", text: str = "text", lang: str = "_lang") -> DataFrame:
     """(file, first, last, line, last_line, kind, callee, receiver, literal, depth, ends_line) of every span.
 
@@ -108,7 +119,7 @@ def code_spans(files: DataFrame, file: str = "file", text: str = "text", lang: s
     string or template; ``ends_line``: a comment that nothing follows in its last line. A span that nothing closes ends with
     the file.
     """
-    raw = tokens(files, file, text, lang).withColumn("kind", _kind(F.col("token"), F.col("what")))
+    raw = tokens(_dealt(files.select(F.col(file).alias("file"), F.col(text).alias("text"), F.col(lang).alias("_lang")))).withColumn("kind", _kind(F.col("token"), F.col("what")))
     in_file = W.partitionBy("file").orderBy("no")
     upto, before = in_file.rowsBetween(W.unboundedPreceding, 0), in_file.rowsBetween(W.unboundedPreceding, -1)
     opens = F.col("kind").isin("call", "index", "block", "interpolation") | (F.col("what") == "h")
@@ -125,27 +136,30 @@ def code_spans(files: DataFrame, file: str = "file", text: str = "text", lang: s
         }
     )
     placed = placed.withColumns({"last": F.col("first") + F.col("_n"), "last_line": F.col("line") + F.col("_breaks")})
-    # what stands around the token, without white space and comments
-    seen = placed.where(~F.col("kind").isin("space", "comment"))
-    back = F.array_join(F.collect_list(F.when(F.col("what").isin("c"), F.col("token")).otherwise("`")).over(in_file.rowsBetween(-_LOOK_BACK, -1)), " ")
+    following = F.lead("token").over(in_file)
+    ends_line = following.isNull() | F.rlike(following, F.lit(r"^\s*\n")) | (F.rlike(following, F.lit(r"^\s")) & F.lead("token", 2).over(in_file).isNull())
+    comment = F.col("kind") == "comment"
+    # what stands around the token, without white space and comments: each file's comments are a window of their own
+    seen = placed.withColumns({"_ends_line": comment & ends_line, "_comment": comment}).where("kind <> 'space'")
+    near = W.partitionBy("file", "_comment").orderBy("no")
+    back = F.array_join(F.collect_list(F.when(F.col("what").isin("c"), F.col("token")).otherwise("`")).over(near.rowsBetween(-_LOOK_BACK, -1)), " ")
     plain = F.col("kind").isin("string", "template")
-    next_kind, next_what = F.lead(plain).over(in_file), F.lead("what").over(in_file)
-    after = F.lead("token", 2).over(in_file)
+    next_kind, next_what = F.lead(plain).over(near), F.lead("what").over(near)
+    after = F.lead("token", 2).over(near)
     literal = next_kind & ((next_what == "h") | after.isin(",", ")"))
-    seen = seen.withColumns({"_back": back, "_literal": F.coalesce(literal, F.lit(False))})
-    # an opener and the next closer of its depth
-    level = W.partitionBy("file", "depth").orderBy("no")
-    paired = seen.where("_step <> 0").withColumns(
-        {"_last": F.lead(F.when(F.col("_step") < 0, F.col("last"))).over(level), "_last_line": F.lead(F.when(F.col("_step") < 0, F.col("last_line"))).over(level)}
+    seen = seen.withColumns({"_back": F.when(comment, "").otherwise(back), "_literal": F.coalesce(literal, F.lit(False)) & ~comment})
+    # an opener and the next closer of its depth; what opens and closes nothing is a span by itself
+    whole = comment | ((F.col("what") == "t") | F.col("kind").isin("string", "regex")) & (F.col("_step") == 0)
+    paired = seen.where(whole | (F.col("_step") != 0)).withColumn("_pairs", (F.col("_step") != 0) & ~comment)
+    level = W.partitionBy("file", "_pairs", "depth").orderBy("no")
+    closed = lambda c: F.lead(F.when(F.col("_step") < 0, F.col(c))).over(level)
+    paired = paired.withColumns({"_last": closed("last"), "_last_line": closed("last_line")}).where("not _pairs or _step > 0")
+    every = paired.withColumns(
+        {
+            "last": F.when(F.col("_pairs"), F.coalesce("_last", "_end")).otherwise(F.col("last")),
+            "last_line": F.when(F.col("_pairs"), F.coalesce("_last_line", "_end_line")).otherwise(F.col("last_line")),
+        }
     )
-    spans = paired.where("_step > 0").withColumns({"last": F.coalesce("_last", "_end"), "last_line": F.coalesce("_last_line", "_end_line")})
-    single = seen.where("_step = 0").where((F.col("what") == "t") | F.col("kind").isin("string", "regex"))
-    following = F.lead("token").over(in_file)
-    ends_line = following.isNull() | F.rlike(following, F.lit(r"^\s*\n")) | (F.rlike(following, F.lit(r"^\s")) & F.lead("token", 2).over(in_file).isNull())
-    comments = placed.withColumn("_ends_line", ends_line).where("kind = 'comment'").withColumns({"_back": F.lit(""), "_literal": F.lit(False)})
-    names = ["file", "first", "last", "line", "last_line", "kind", "depth", "_back", "_literal", "_ends_line"]
-    spans, single = (x.withColumn("_ends_line", F.lit(False)) for x in (spans, single))
-    every = spans.select(*names).unionAll(single.select(*names)).unionAll(comments.select(*names))
     chain = rf"((?:[\p{{L}}\p{{N}}_$#]+ \??\. )*)({_NAME})$"
     callee, receiver = F.regexp_extract("_back", chain, 2), F.translate(F.regexp_extract("_back", chain, 1), " ", "")
     named = F.col("kind").isin("call", "template") & (callee != "") & ~callee.isin(*KEYWORDS)
