@@ -47,3 +47,27 @@ def test_composed_files_are_dealt(spark):
     sf = "/root/testdata/sf0.001"
     assert all("REPARTITION_BY_NUM" in plan_of(df) for df in (pc.code_files(spark, sf), pc.code_spans(spark, sf)))
     assert pg.parsed_parts(spark, sf)["functions"].count() == 2 * spark.read.parquet(f"{sf}/part.parquet").count() + spark.read.parquet(f"{sf}/part.parquet").select("p_brand").distinct().count()
+
+
+def calls_of(spark, pairs):
+    names = sorted({x for pair in pairs for x in pair})
+    functions = spark.createDataFrame([(n, n, "src/api/r.ts", i, n.startswith("handle") and n.endswith("1"), True) for i, n in enumerate(names)], "id string, name string, file_path string, seq long, is_exported boolean, is_async boolean")
+    rows = [(i, a, a, b, b, None) for i, (a, b) in enumerate(pairs)]
+    return functions, spark.createDataFrame(rows, "seq long, caller_id string, caller_name string, callee_id string, callee_name string, receiver string")
+
+
+def test_searches_follow_only_calls_that_lead_to_sinks(spark, monkeypatch):
+    pairs = [("handle1", "step"), ("step", "low"), ("low", "execSync"), ("low", "step"), *[(x, f"leaf{i}") for i in range(50) for x in ("handle1", "step")]]
+    functions, calls = calls_of(spark, pairs)
+    given, walk = [], gr._walk
+    monkeypatch.setattr(gr, "_walk", lambda starts, edges, *a: given.append(edges.count()) or walk(starts, edges, *a))
+    found = [(r.entry, r.sink, r.path) for r in gr.attack_paths(calls, functions).collect()]
+    assert found == [("handle1", "execSync", ["handle1", "step", "low", "execSync"])]
+    assert given == [4]
+
+
+def test_calls_are_kept_as_numbers(spark):
+    """The checkpoint of a call graph has no text: names and ids follow from the numbers."""
+    _, calls = pg.call_graph(spark, "/root/testdata/sf0.001")
+    kept = plan_of(calls).split("Scan ExistingRDD")[1].split("]")[0]
+    assert kept.count("#") == 3
