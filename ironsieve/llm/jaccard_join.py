@@ -357,6 +357,17 @@ def _texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return docs.join(rows.select("id").distinct(), "id", "left_semi").join(rows, "id")
 
 
+def stars(links: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b): edges with the components of ``links``: each a and its b's hang on the smallest of these b's.
+
+    Sets of one group meet at the same few centres, so the edges between centres are few distinct ones and every set has
+    one edge of its own, where ``links`` has one for each part. An a has a b for each part of its set, at most.
+    """
+    met = links.groupBy(a).agg(F.collect_set(b).alias("bs")).select(a, "bs", F.array_min("bs").alias("m"))
+    ends = met.select(F.explode(F.array_append("bs", F.col(a))).alias("a"), F.col("m").alias("b"))
+    return ends.where("a != b").distinct()
+
+
 def jaccard_components(
     docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -389,7 +400,7 @@ def jaccard_components(
     alive = cut(alive.select("a", "s", "need"))
     rarest = W.partitionBy("a", "s").orderBy("c", "b").rowsBetween(W.unboundedPreceding, 0)  # a row for each part, at most
     kept = met.join(alive, ["a", "s"]).withColumn("sum", F.sum("c").over(rarest)).where("2 * sum >= need")
-    groups = connected_components(kept.select("a", "b"))
+    groups = connected_components(stars(kept, "a", "b"))
     member = near.join(alive.select("a").distinct(), "a").join(groups.withColumnRenamed("node", "a"), "a")
     member = cut(member.select("id", "n", "component"))
     del groups, kept, met, alive, needs, keyed, centres, parts

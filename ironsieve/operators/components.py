@@ -48,8 +48,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     ``edges`` is undirected: loops, repeats, either direction and nulls are fine (a null end drops the edge).
     Every round points larger neighbours at the smallest one (large star), then every node's smaller neighbours at
     the smallest of them (small star). Minima are combined before the shuffle; hubs' minima are few and broadcast
-    (``join_by_key``), so no task gets all edges of a hub. Each round is checkpointed, so the plan
-    stays short. Rounds grow with the logarithm of the longest chain.
+    (``join_by_key``), so no task gets all edges of a hub. Both halves of a round are checkpointed, so the plan
+    stays short and the first half, which the second one reads twice, is made once. Rounds grow with the logarithm of the longest chain.
     """
     a, b = F.col(a), F.col(b)
     e = cut(
@@ -66,7 +66,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         least = least.select("u", F.least("u", "m").alias("m"), "n")
-        large = meet(both, least).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = cut(meet(both, least).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         small = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         hung = meet(large, small).where(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(hung.unionAll(small.select("u", F.col("m").alias("v"))).distinct())

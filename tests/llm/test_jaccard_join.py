@@ -7,6 +7,8 @@ import pytest
 from ironsieve.llm import jaccard_join
 from ironsieve.llm.jaccard_join import jaccard_components
 from ironsieve.llm.signature_tree import linked_pairs, similar
+from ironsieve.operators.components import connected_components
+from ironsieve.session import cut
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -85,6 +87,16 @@ def test_large_groups(spark, monkeypatch):
     assert sorted(tuple(x) for x in got) == brute(rows, 5, 80)
 
 
+def test_stars_have_few_edges_and_the_same_components(spark):
+    r = random.Random(5)
+    links = [(a, r.randrange(1, 20)) for a in range(1, 2_000) for _ in range(15)] + [(5_000 + a, 5_003 + a) for a in range(40)]
+    df = spark.createDataFrame([(a, b) for a, b in links if a != b], "x long, b long")
+    some = cut(jaccard_join.stars(df, "x", "b"))
+    component = lambda e: {tuple(x) for x in connected_components(e).collect()}
+    assert component(some) == component(df.withColumnRenamed("x", "a"))
+    assert some.count() < 2_000 + 40 + 20 * 20
+
+
 def test_hard_rows(spark):
     rows = [(5, None), (3, ""), (9, " \t\n"), (8, "One"), (2, "one"), (7, "a b c d e"), (7, "a b c d e"), (None, "a b c d e"), (1, "x " * 300_000), (4, "X " * 300_001)]
     docs = spark.createDataFrame([(i, t, i, "z") for i, t in rows], "doc_id long, text string, component long, node string")

@@ -34,6 +34,31 @@ def test_components_of_hubs_chains_and_noise(spark, monkeypatch):
     assert connected_components(df.limit(0)).collect() == []
 
 
+def test_a_round_over_a_hub_joins_each_edge_three_times_at_most(spark, monkeypatch):
+    made, sizes = spark.sparkContext.accumulator(0), []
+    join, state = components.join_by_key, components._state
+
+    def counted(rows, *facts):
+        def run(batches):
+            for x in batches:
+                made.add(x.num_rows)
+                yield x
+
+        out = join(rows, *facts)
+        return out.mapInArrow(run, out.schema)
+
+    def seen(edges):
+        out = state(edges)
+        sizes.append(out.size if out.open else 0)
+        return out
+
+    monkeypatch.setattr(components, "join_by_key", counted)
+    monkeypatch.setattr(components, "_state", seen)
+    edges = spark.range(1, 1_001).selectExpr("0L AS a", "id AS b").unionAll(spark.range(1, 1_000).selectExpr("id AS a", "id + 1 AS b").where("a % 3 = 0"))
+    assert {x.component for x in connected_components(edges).collect()} == {0}
+    assert 0 < made.value <= 3 * sum(sizes)
+
+
 def test_rows_of_a_hot_key_are_dealt_evenly(spark):
     rows = spark.range(100_000).select(F.when(F.col("id") < 60_000, -1).otherwise(F.col("id")).alias("k"), "id")
     facts = rows.groupBy("k").agg(F.max("id").alias("m"), F.count("*").alias("n"))
