@@ -14,7 +14,7 @@ from ironsieve.operators import rulebook
 from ironsieve.operators.rulebook import OBFUSCATED
 from ironsieve.operators.rules import Rule, lines_of, scan_files
 from ironsieve.plans.registry import Registry
-from ironsieve.session import read_table
+from ironsieve.session import read_table, spread
 from ironsieve.sources import files as src
 
 query = Registry()
@@ -180,7 +180,7 @@ def rulebook_findings(spark, sf_dir):
 
 
 def _project_grades(docs: DataFrame) -> DataFrame:
-    return _graded(docs, rulebook.RULES + OBFUSCATED + RULES)
+    return _graded(spread(docs.select("source", "text")), rulebook.RULES + OBFUSCATED + RULES)
 
 
 @query()
