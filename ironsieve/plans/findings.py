@@ -170,7 +170,7 @@ def _rulebook_scan(docs: DataFrame, pages: DataFrame) -> DataFrame:
     files = docs.select(F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("file"), "text").unionAll(
         pages.select(F.concat(F.lit("pages/"), F.col("page_id").cast("string")), "html")
     )
-    return scan_files(files, rulebook.RULES + OBFUSCATED + tuple(r for r in RULES if r.type in ("hardcoded_secret", "personal_data")))
+    return scan_files(spread(files), rulebook.RULES + OBFUSCATED + tuple(r for r in RULES if r.type in ("hardcoded_secret", "personal_data")))
 
 
 @query()
