@@ -1,97 +1,86 @@
 """A client's event queue over a stream: sent when it is full, and at every tick of the client's clock.
 
-State is the open queue of each client, which Spark keeps; an event-time timer flushes what is in it when its tick ends,
-and the state of a client that has sent everything expires after ``idle_ms`` without events.
+State is the open queue of each client, which Spark keeps and hands over with the client's new events, many clients in one
+Arrow batch; an event-time timeout flushes what is in it when its tick ends, and the state of a client that has sent
+everything expires after ``idle_ms`` without events.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SENT = "session_id string, batch long, first_seq long, n long"
+# when the clock began, the open tick, the number of batches sent, the queue, and the time of the last event
+QUEUE = "first long, tick long, sent long, seqs array<long>, last long"
 
 
-class ClientQueue(StatefulProcessor):
+def queued(ticks: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the batches of events in order begin, and how many events each has: a batch holds up to ``size`` of one tick."""
+    starts = np.flatnonzero(np.diff(ticks, prepend=ticks[0] - 1))
+    place = np.arange(len(ticks)) - np.repeat(starts, np.diff(starts, append=len(ticks)))
+    begin = np.flatnonzero(place % size == 0)
+    return begin, np.diff(begin, append=len(ticks))
+
+
+def _client(size: int, flush_ms: int, idle_ms: int | None) -> Callable:
     """Rows (session_id, at_ms, seq) of one client to the batches that it sends (SENT)."""
 
-    def __init__(self, size: int, flush_ms: int, idle_ms: int | None) -> None:
-        self.size, self.flush_ms, self.idle_ms = size, flush_ms, idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        # when the clock began, the open tick, the number of batches sent, and the queue
-        self.queue = handle.getValueState("queue", "first long, tick long, sent long, seqs array<long>, last long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        own = pd.concat([r[["at_ms", "seq"]] for r in rows]).sort_values(["at_ms", "seq"])
-        if self.queue.exists():
-            first, tick, sent, seqs, last = self.queue.get()
-            seqs = list(seqs)
-        else:
-            first, tick, sent, seqs, last = int(own["at_ms"].iloc[0]), 0, 0, [], 0
-        out = []
-
-        def flush() -> None:
-            nonlocal sent, seqs
-            if seqs:
-                out.append((key[0], sent, min(seqs), len(seqs)))
-                sent, seqs = sent + 1, []
-
-        for (_, part) in own.assign(_tick=(own["at_ms"] - first) // self.flush_ms).groupby("_tick"):
-            now = int(part["_tick"].iloc[0])
-            if now > tick:
-                flush()
-                tick = now
-            for seq in part["seq"].sort_values().tolist():
-                seqs.append(seq)
-                if len(seqs) == self.size:
-                    flush()
-        last = max(last, int(own["at_ms"].iloc[-1]))
-        self._keep(first, tick, sent, seqs, last)
-        if out:
-            yield pd.DataFrame(out, columns=["session_id", "batch", "first_seq", "n"])
-
-    def _keep(self, first: int, tick: int, sent: int, seqs: list[int], last: int) -> None:
-        self.queue.update((first, tick, sent, seqs, last))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if seqs:
-            self.handle.registerTimer(first + (tick + 1) * self.flush_ms)
-        elif self.idle_ms is not None:
-            self.handle.registerTimer(last + self.idle_ms)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if not self.queue.exists():
+    def keep(state: GroupState, first: int, tick: int, sent: int, seqs: list[int], last: int) -> None:
+        state.update((first, tick, sent, seqs, last))
+        due = first + (tick + 1) * flush_ms if seqs else None if idle_ms is None else last + idle_ms
+        if due is not None:  # a timeout is over when the watermark is past it
+            state.setTimeoutTimestamp(max(due - 1, state.getCurrentWatermarkMs(), 1))
+
+    def fold(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            first, tick, sent, seqs, last = state.get
+            if not seqs:
+                state.remove()
+                return
+            keep(state, first, tick, sent + 1, [], last)
+            yield pd.DataFrame({"session_id": [key[0]], "batch": [sent], "first_seq": [min(seqs)], "n": [len(seqs)]})
             return
-        first, tick, sent, seqs, last = self.queue.get()
-        if len(seqs):
-            self._keep(first, tick, sent + 1, [], last)
-            yield pd.DataFrame([(key[0], sent, min(seqs), len(seqs))], columns=["session_id", "batch", "first_seq", "n"])
-        else:
-            self.queue.clear()
+        rows = [(p["at_ms"].to_numpy(), p["seq"].to_numpy()) for p in parts]
+        at, seq = (np.concatenate(x) for x in zip(*rows, strict=True))
+        first, tick, sent, old, last = state.get if state.exists else (int(at.min()), 0, 0, [], 0)
+        own = (at - first) // flush_ms
+        order = np.lexsort((seq, own))
+        # what comes after its tick's end joins the open queue
+        ticks = np.concatenate([np.full(len(old), tick, np.int64), np.maximum(own[order], tick)])
+        every = np.concatenate([np.array(old, np.int64), seq[order]])
+        begin, n = queued(ticks, size)
+        last, tick = max(last, int(at.max())), int(ticks[-1])
+        still = n[-1] < size and first + (tick + 1) * flush_ms > state.getCurrentWatermarkMs()
+        out = len(n) - int(still)
+        keep(state, first, tick, sent + out, every[begin[-1] :].tolist() if still else [], last)
+        if out:
+            least = np.minimum.reduceat(every, begin)[:out]
+            yield pd.DataFrame({"session_id": key[0], "batch": sent + np.arange(out), "first_seq": least, "n": n[:out]})
 
-    def close(self) -> None:
-        pass
+    return fold
 
 
 def sent_batches(events: DataFrame, size: int = 10, flush_ms: int = 5_000, idle_ms: int | None = None, late_ms: int = 0) -> DataFrame:
     """SENT of a stream of events (session_id, at_ms, seq), as ``operators.events.client_batches`` has them in batch.
 
     A clock starts with a client's first event and ticks every ``flush_ms``; events up to ``late_ms`` behind the stream
-    are waited for. A micro-batch's events of one client (two numbers each) are sorted in one task. With ``idle_ms`` a
+    are waited for, those without a time are left out. A micro-batch's events of one client (two numbers each) are sorted in
+    one task. With ``idle_ms`` a
     client that comes back after so long is a new one.
     """
-    timed = events.select("session_id", "at_ms", "seq", F.timestamp_millis("at_ms").alias("at")).withWatermark("at", f"{late_ms} milliseconds")
-    return timed.groupBy("session_id").transformWithStateInPandas(ClientQueue(size, flush_ms, idle_ms), SENT, "Append", "EventTime")
+    timed = events.where("at_ms is not null").select("session_id", "at_ms", "seq", F.timestamp_millis("at_ms").alias("at")).withWatermark("at", f"{late_ms} milliseconds")
+    fold = _client(size, flush_ms, idle_ms)
+    return timed.groupBy("session_id").applyInPandasWithState(fold, SENT, QUEUE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def use_rocks(spark: SparkSession) -> None:
-    """The state store that timers need."""
+    """A state store that needn't hold all clients' queues in memory."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 

@@ -1,11 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ironsieve.operators.events import client_batches
 from ironsieve.streaming import errors as st
-from ironsieve.streaming.batches import keep_sent
+from ironsieve.streaming.batches import keep_sent, queued
 
 
 def files(spark, rows, schema, folder, parts):
@@ -71,3 +72,17 @@ def test_a_batch_that_failed_is_run_again(spark, tmp_path):
     again = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in/0")).schema).parquet(str(tmp_path / "in/*"))
     st.keep_groups(again, table, str(tmp_path / "s"), buckets=2).awaitTermination()
     assert st.current_groups(spark, table).agg(F.sum("occurrences"), F.count(F.lit(1))).first()[:] == (100, 5)
+
+
+def test_a_clients_events_are_batched_at_once():
+    r = random.Random(5)
+    for _ in range(200):
+        ticks = sorted(r.choices(range(6), k=r.randrange(1, 40)))
+        want, n = [], 0
+        for i, t in enumerate(ticks):
+            n = 1 if i == 0 or t != ticks[i - 1] or n == 3 else n + 1
+            if n == 1:
+                want.append([i, 0])
+            want[-1][1] += 1
+        begin, sizes = queued(np.array(ticks), 3)
+        assert [list(x) for x in zip(begin.tolist(), sizes.tolist(), strict=True)] == want
