@@ -86,3 +86,37 @@ def test_a_clients_events_are_batched_at_once():
             want[-1][1] += 1
         begin, sizes = queued(np.array(ticks), 3)
         assert [list(x) for x in zip(begin.tolist(), sizes.tolist(), strict=True)] == want
+
+
+def test_clients_share_rows_of_state(spark, tmp_path):
+    r = random.Random(6)
+    rows, at = [], 1_700_000_000_000
+    for seq in range(1500):
+        at += r.choice([0, 10, 30, 90])
+        rows.append((r.choice([None, "hot", "hot", "hot", *(f"c{i}" for i in range(60))]), at, seq))
+    rows.insert(700, ("hot", None, 5000))  # no time, no tick
+    stream = files(spark, rows, "session_id string, at_ms long, seq long", tmp_path / "in", 4)
+    q = keep_sent(stream, str(tmp_path / "out"), str(tmp_path / "state"), flush_ms=2_000, buckets=5)
+    q.awaitTermination()
+    assert 0 < max(p.stateOperators[0].numRowsTotal for p in q.recentProgress) <= 5
+    got = [tuple(x) for x in spark.read.parquet(str(tmp_path / "out")).select("session_id", "batch", "first_seq", "n").collect()]
+    timed = [x for x in rows if x[1] is not None]
+    df = spark.createDataFrame([(s or "~", t, q) for s, t, q in timed], "session_id string, at_ms long, seq long")
+    want = {(None if s == "~" else s, b, f, n) for s, b, f, n in client_batches(df, flush_ms=2_000).collect()}
+    first, last = {}, {}
+    for s, t, _ in timed:
+        first.setdefault(s, t)
+        last[s] = t
+    final = {s: max((w for w in want if w[0] == s), key=lambda w: w[1]) for s in first}
+    still = {w for s, w in final.items() if w[3] < 10 and first[s] + ((last[s] - first[s]) // 2_000 + 1) * 2_000 > at}
+    assert len(got) == len(set(got)) and set(got) == want - still and still and len(got) > 500
+
+
+def test_a_client_that_comes_back_late_is_new(spark, tmp_path):
+    rows = [("a", 1_000, 0), ("b", 1_000, 1), ("b", 101_000, 2), ("b", 101_000, 3), ("b", 201_000, 4), ("b", 201_000, 5), ("a", 301_000, 6), ("b", 301_000, 7), ("b", 401_000, 8), ("b", 401_000, 9)]
+    for idle, number in ((50_000, 0), (None, 1)):
+        base = tmp_path / str(idle)
+        stream = files(spark, rows, "session_id string, at_ms long, seq long", base / "in", 5)
+        keep_sent(stream, str(base / "out"), str(base / "state"), flush_ms=5_000, idle_ms=idle, buckets=1).awaitTermination()
+        got = spark.read.parquet(str(base / "out")).where("session_id = 'a'").select("batch", "first_seq", "n").collect()
+        assert sorted(map(tuple, got)) == [(0, 0, 1), (number, 6, 1)]
